@@ -2,9 +2,9 @@
 
 The words of a text (the tokenizer's own pre-tokens) are split inside Spark tasks. A block of
 documents keeps, for each document, the positions of its words in the block's vocabulary; the words
-themselves go once per block into a word table, are made distinct over the corpus, and are encoded
-once each. The ids, and the bytes that the id-to-piece table gives for them, are joined back by word
-and put in place by position.
+themselves go once per block into a word table, which is split by a hash of the word, made distinct
+over the corpus, and encoded once a word. The ids are joined back by block and put in place by
+position; decoding joins them with the id-to-piece table.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import saved, whole_text
 
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 12_000_000
 CACHE_WORDS = 400_000
 #: Texts of these characters only are split by SPLIT; others by the tokenizer's own splitter, which is slower.
 PLAIN = re.compile("[^\t-\r -~\x85\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
@@ -96,21 +96,52 @@ class Encoder:
             return b"".join([cache[w] for w in words])
 
 
-def split_blocks(docs: DataFrame, path: str) -> DataFrame:
-    """Rows (block, word, place) and (block, rows): a block's words, and its documents' word places."""
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte plane by byte plane, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(numbers, "<u4").view("u1").reshape(-1, 4).T.tobytes())
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1").reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
+def split_blocks(docs: DataFrame, path: str, buckets: int) -> DataFrame:
+    """A block's words, in rows (block, bucket, places, words), and its documents, in one row of bucket -1.
+
+    A word's bucket is a hash of it. In the row of bucket -1, places holds the documents' word places
+    one after the other, and words their ids and numbers of words.
+    """
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         splitter, part, chars = Splitter(path), 0, 0
         vocab: dict[str, int] = {}
         rows: list = []
         places: list = []
-        block = None
-
-        def filled() -> Iterator[pd.DataFrame]:
-            data = zlib.compress(np.concatenate(places).tobytes(), 1)
-            yield pd.DataFrame({"block": block, "word": list(vocab), "place": np.arange(len(vocab)), "docs": None, "data": None})
-            yield pd.DataFrame({"block": [block], "word": [None], "place": [-1], "docs": [json.dumps(rows).encode()], "data": [data]})
 
+        def filled(block: int) -> Iterator[pd.DataFrame]:
+            seen = np.concatenate(places) if places else np.empty(0, "u4")
+            order = np.argsort(-np.bincount(seen, minlength=len(vocab)), kind="stable")
+            rank = np.empty(len(vocab), "u4")  # frequent words get small numbers, which compress better
+            rank[order] = np.arange(len(vocab), dtype="u4")
+            by: dict[int, list] = {}
+            for word, place in zip(vocab, rank.tolist()):
+                by.setdefault(zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets, []).append((word, place))
+            keys = list(by)
+            yield pd.DataFrame(
+                {
+                    "block": block,
+                    "bucket": [-1, *keys],
+                    "places": [squeezed(rank[seen]), *(squeezed([p for _, p in by[k]]) for k in keys)],
+                    "words": [json.dumps(rows).encode(), *(zlib.compress(json.dumps([w for w, _ in by[k]], ensure_ascii=False).encode(), 3) for k in keys)],
+                }
+            )
+
+        block = 0
         for batch in batches:
             for pid, doc_id, text in zip(batch["pid"], batch["doc_id"], batch["text"]):
                 block = (int(pid) << 24) + part
@@ -122,24 +153,36 @@ def split_blocks(docs: DataFrame, path: str) -> DataFrame:
                 rows.append((doc_id, len(words)))
                 chars += len(text)
                 if chars >= BLOCK_CHARS:
-                    yield from filled()
+                    yield from filled(block)
                     vocab, rows, places, chars, part = {}, [], [], 0, part + 1
         if rows:
-            yield from filled()
+            yield from filled(block)
 
     rows = docs.select(F.spark_partition_id().alias("pid"), F.col("doc_id").cast("string").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInPandas(split, "block long, word string, place long, docs binary, data binary")
+    return rows.mapInPandas(split, "block long, bucket long, places binary, words binary")
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word) -> (word, ids array<int>); each row once through BPE."""
+def encode_words(blocks: DataFrame, path: str) -> DataFrame:
+    """The word table: gathers each bucket's words over all blocks, encodes each distinct one once.
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Returns (block, places, sizes, ids): for a block's words in the bucket, how many ids each has, and the ids.
+    """
+
+    def encode(key, rows: pd.DataFrame) -> pd.DataFrame:
         encoder = Encoder(path)
-        for batch in batches:
-            yield pd.DataFrame({"word": batch["word"], "ids": [encoder.word(w) for w in batch["word"]]})
+        table: dict[str, np.ndarray] = {}
+        sizes, ids = [], []
+        for data in rows["words"]:
+            words = json.loads(zlib.decompress(data))
+            for w in words:
+                if w not in table:
+                    table[w] = np.array(encoder.word(w), "<u4")
+            found = [table[w] for w in words]
+            sizes.append(squeezed([len(x) for x in found]))
+            ids.append(squeezed(np.concatenate(found)))
+        return pd.DataFrame({"block": rows["block"], "places": rows["places"], "sizes": sizes, "ids": ids})
 
-    return words.mapInPandas(encode, "word string, ids array<int>")
+    return blocks.where("bucket >= 0").groupBy("bucket").applyInPandas(encode, "block long, places binary, sizes binary, ids binary")
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
@@ -147,28 +190,36 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
     Returns one row per row of docs: doc_id, ids array<int>, decoded string. Null texts count as
     empty and have no ids; equal rows stay separate; other columns of docs are left aside; an empty
-    table gives an empty one. Words are joined over the corpus, so a frequent word costs one row per
-    block of BLOCK_CHARS characters.
+    table gives an empty one. A word costs one entry per block of BLOCK_CHARS characters, however
+    often it is there; a bucket of the word table holds a word at most once per block, so frequent
+    words make none larger.
     """
     spark = docs.sparkSession
-    blocks = saved(split_blocks(docs, path))
-    words = blocks.where("word is not null")
-    coded = saved(encode_words(words.select("word").distinct(), path))
-    placed = words.select("block", "word", "place").join(coded, "word").select("block", "place", "ids")
-    payload = blocks.where("word is null").select(F.col("block").alias("home"), "docs", "data")
+    buckets = max(32, 4 * docs.rdd.getNumPartitions())
+    blocks = saved(split_blocks(docs, path, buckets))
+    coded = encode_words(blocks, path)
+    payload = blocks.where("bucket = -1").select(F.col("block").alias("home"), "places", "words")
     shared = spark.sparkContext.broadcast(piece_bytes(path))  # one entry per id of the vocabulary
 
     def join(key, own: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         pieces = shared.value
-        order = np.argsort(table["place"].to_numpy())
-        ids = [table["ids"].iat[i] for i in order]
-        spelled = [b"".join([pieces[i] for i in x]) for x in ids]
+        home = np.concatenate([unsqueezed(x) for x in table["places"]] or [np.empty(0, "u4")])
+        sizes = np.concatenate([unsqueezed(x) for x in table["sizes"]] or [np.empty(0, "u4")]).astype("i8")
+        flat = np.concatenate([unsqueezed(x) for x in table["ids"]] or [np.empty(0, "u4")]).astype("i4")
+        ends = np.cumsum(sizes)
+        first, size = np.empty(len(home), "i8"), np.empty(len(home), "i8")
+        first[home], size[home] = ends - sizes, sizes
+        listed = flat.tolist()
+        spelled = [b"".join([pieces[i] for i in listed[a : a + n]]) for a, n in zip(first.tolist(), size.tolist())]
         out = []
-        for docs_, data in zip(own["docs"], own["data"]):
-            places, at = np.frombuffer(zlib.decompress(data), "<u4").tolist(), 0
+        for places, docs_ in zip(own["places"], own["words"]):
+            places, at = unsqueezed(places), 0
             for doc_id, n in json.loads(docs_):
                 mine, at = places[at : at + n], at + n
-                out.append((None if doc_id is None else int(doc_id), np.concatenate([ids[p] for p in mine]) if mine else np.empty(0, "i4"), b"".join([spelled[p] for p in mine]).decode("utf-8", "replace")))
+                lengths = size[mine]
+                start = np.cumsum(lengths) - lengths
+                ids = flat[np.arange(lengths.sum()) + np.repeat(first[mine] - start, lengths)]
+                out.append((None if doc_id is None else int(doc_id), ids, b"".join([spelled[p] for p in mine.tolist()]).decode("utf-8", "replace")))
         return pd.DataFrame({"doc_id": pd.Series([o[0] for o in out], dtype="Int64"), "ids": [o[1] for o in out], "decoded": [o[2] for o in out]})
 
-    return payload.groupBy("home").cogroup(placed.groupBy("block")).applyInPandas(join, "doc_id long, ids array<int>, decoded string")
+    return payload.groupBy("home").cogroup(coded.groupBy("block")).applyInPandas(join, "doc_id long, ids array<int>, decoded string")
