@@ -67,7 +67,7 @@ def plan_windows(counts: dict[int, int], capacity: int) -> list[tuple[int, list[
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per window-sized piece of each text's ids (and the end id), saved by the caller."""
+    """One row per window-sized piece of each text's ids (and the end id)."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, end = Encoder(tokenizer), np.array([END_ID], "<u4").tobytes()
@@ -91,7 +91,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     is the end id alone; equal rows are packed each; null doc_ids stay null; other columns of docs
     are left aside; an empty table gives an empty one.
     """
-    pieces = token_pieces(docs, tokenizer, capacity)
+    pieces = saved(token_pieces(docs, tokenizer, capacity))  # read three times below; tokenized once
     pieces = pieces.withColumn("whole", (F.col("length") == capacity).cast("int")).withColumn("one", F.lit(1))
     pieces = sliced(pieces, "doc_id", "doc_tokens", "start", "ids_crc32")
     counts = {r["length"]: r["n"] for r in pieces.where("whole = 0").groupBy("length").agg(F.count("*").alias("n")).collect()}  # under capacity rows
