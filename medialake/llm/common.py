@@ -35,8 +35,12 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def whole_text(name: str = "text") -> Column:
@@ -48,6 +52,18 @@ def held_out(doc_id: str, parts: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == remainder, F.lit(False))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, column: str, parts: int, remainder: int, rows: int) -> DataFrame:
+    """(text, y) of at most ``rows`` rows of each label that aren't held out, the least by a hash of the id."""
+    known = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", parts, remainder))
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    order, out = [F.xxhash64("doc_id"), F.col("doc_id")], []
+    for y in (0, 1):
+        picked = known.where(F.col("y") == y).orderBy(*order).limit(rows)  # so a broadcast of at most ``rows`` ids
+        out.append(texts.join(F.broadcast(picked), "doc_id").orderBy(*order).limit(rows))
+    return out[0].union(out[1]).select("text", "y")
+
+
 def sliced(df: DataFrame, *order: str) -> DataFrame:
     """Adds ``slice``: contiguous ranges of df in the given order, numbered from 0, saved."""
     n = max(1, df.count() // ROWS_PER_SLICE + 1)
