@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, sharding, simhash, toxicity
+from . import bpe, packing, quality, repeats, sharding, simhash, toxicity
 from .common import documents, held_out, table
 
 
@@ -26,6 +26,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def repeats_digest(docs: DataFrame, hot_texts: int = repeats.HOT_TEXTS) -> DataFrame:
+    rows, kept = repeats.find_repeats(docs, hot_texts)
+    cut = kept.select("uid", F.size("spans").cast("long").alias("spans"), F.octet_length("kept").cast("long").alias("left"), F.sha2("kept", 256).alias("sha"))
+    copied = (F.col("copies") > 1) & (F.col("n_bytes") >= repeats.LENGTH)
+    left = F.when(copied, F.lit(0)).otherwise(F.coalesce("left", "n_bytes"))
+    whole = F.when(copied, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("sha", F.lower(F.hex("digest"))))
+    out = rows.join(cut, "uid", "left")
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - left).alias("n_removed"), F.when(copied, F.lit(1).cast("long")).otherwise(F.coalesce("spans", F.lit(0))).alias("n_spans"), whole.alias("kept_sha256"))
+
+
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_digest(documents(spark, sf_dir))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(documents(spark, sf_dir))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -47,5 +61,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op5_simhash, op7_sharding, op8_quality, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op5_simhash, op6_repeats, op7_sharding, op8_quality, op9_packing, op10_toxicity)}
 ORACLES: dict[str, str] = {}
