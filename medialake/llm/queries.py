@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, repeats, sharding, simhash, toxicity
+from . import bpe, packing, quality, repeats, sharding, simhash, syncmers, toxicity
 from .common import documents, held_out, table
 
 
@@ -15,6 +15,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = syncmers.fingerprints(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), syncmers.spelled("anchors").alias("fingerprint"), syncmers.spelled("edited_anchors").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(documents(spark, sf_dir), tokenizer_path())
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -61,5 +66,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op5_simhash, op6_repeats, op7_sharding, op8_quality, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_syncmers, op2_bpe, op5_simhash, op6_repeats, op7_sharding, op8_quality, op9_packing, op10_toxicity)}
 ORACLES: dict[str, str] = {}
