@@ -19,9 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, whole_text
+from .common import whole_text
 
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 8_000_000
 CACHE_WORDS = 400_000
 #: Texts of these characters only are split by SPLIT; others by the tokenizer's own splitter, which is slower.
 PLAIN = re.compile("[^\t-\r -~\x85\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
@@ -111,10 +111,11 @@ def unsqueezed(data: bytes) -> np.ndarray:
 
 
 def split_blocks(docs: DataFrame, path: str, buckets: int) -> DataFrame:
-    """A block's words, in rows (block, bucket, places, words), and its documents, in one row of bucket -1.
+    """A block's words, in rows (key, block, places, words) by bucket, and its documents, in one row.
 
-    A word's bucket is a hash of it. In the row of bucket -1, places holds the documents' word places
-    one after the other, and words their ids and numbers of words.
+    A word's bucket is a hash of it, and the key of a row of words; places are sorted and stored as
+    differences. The key of a row of documents is below zero; there places holds the documents' word
+    places one after the other, and words their ids and numbers of words.
     """
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,14 +130,15 @@ def split_blocks(docs: DataFrame, path: str, buckets: int) -> DataFrame:
             rank = np.empty(len(vocab), "u4")  # frequent words get small numbers, which compress better
             rank[order] = np.arange(len(vocab), dtype="u4")
             by: dict[int, list] = {}
-            for word, place in zip(vocab, rank.tolist()):
-                by.setdefault(zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets, []).append((word, place))
+            listed = list(vocab)
+            for place, i in enumerate(order.tolist()):
+                by.setdefault(zlib.crc32(listed[i].encode("utf-8", "surrogatepass")) % buckets, []).append((listed[i], place))
             keys = list(by)
             yield pd.DataFrame(
                 {
+                    "key": [-1 - block, *keys],
                     "block": block,
-                    "bucket": [-1, *keys],
-                    "places": [squeezed(rank[seen]), *(squeezed([p for _, p in by[k]]) for k in keys)],
+                    "places": [squeezed(rank[seen]), *(squeezed(np.diff([p for _, p in by[k]], prepend=0)) for k in keys)],
                     "words": [json.dumps(rows).encode(), *(zlib.compress(json.dumps([w for w, _ in by[k]], ensure_ascii=False).encode(), 3) for k in keys)],
                 }
             )
@@ -159,13 +161,14 @@ def split_blocks(docs: DataFrame, path: str, buckets: int) -> DataFrame:
             yield from filled(block)
 
     rows = docs.select(F.spark_partition_id().alias("pid"), F.col("doc_id").cast("string").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInPandas(split, "block long, bucket long, places binary, words binary")
+    return rows.mapInPandas(split, "key long, block long, places binary, words binary")
 
 
 def encode_words(blocks: DataFrame, path: str) -> DataFrame:
     """The word table: gathers each bucket's words over all blocks, encodes each distinct one once.
 
-    Returns (block, places, sizes, ids): for a block's words in the bucket, how many ids each has, and the ids.
+    Returns (key, places, sizes, ids) with the key of the block's documents: for a block's words in
+    the bucket, how many ids each has, and the ids.
     """
 
     def encode(key, rows: pd.DataFrame) -> pd.DataFrame:
@@ -180,9 +183,9 @@ def encode_words(blocks: DataFrame, path: str) -> DataFrame:
             found = [table[w] for w in words]
             sizes.append(squeezed([len(x) for x in found]))
             ids.append(squeezed(np.concatenate(found)))
-        return pd.DataFrame({"block": rows["block"], "places": rows["places"], "sizes": sizes, "ids": ids})
+        return pd.DataFrame({"key": -1 - rows["block"], "places": rows["places"], "sizes": sizes, "ids": ids})
 
-    return blocks.where("bucket >= 0").groupBy("bucket").applyInPandas(encode, "block long, places binary, sizes binary, ids binary")
+    return blocks.groupBy("key").applyInPandas(encode, "key long, places binary, sizes binary, ids binary")
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
@@ -196,14 +199,15 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """
     spark = docs.sparkSession
     buckets = max(32, 4 * docs.rdd.getNumPartitions())
-    blocks = saved(split_blocks(docs, path, buckets))
-    coded = encode_words(blocks, path)
-    payload = blocks.where("bucket = -1").select(F.col("block").alias("home"), "places", "words")
+    blocks = split_blocks(docs, path, buckets).repartition("key")
+    # floor(rand()) is 0, and keeps Spark from filtering before the shuffle: words and documents share it, so texts are split once
+    words, payload = blocks.where(F.col("key") + F.floor(F.rand(0)) >= 0), blocks.where(F.col("key") + F.floor(F.rand(0)) < 0)
+    coded = encode_words(words, path)
     shared = spark.sparkContext.broadcast(piece_bytes(path))  # one entry per id of the vocabulary
 
     def join(key, own: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         pieces = shared.value
-        home = np.concatenate([unsqueezed(x) for x in table["places"]] or [np.empty(0, "u4")])
+        home = np.concatenate([np.cumsum(unsqueezed(x), dtype="i8") for x in table["places"]] or [np.empty(0, "u4")])
         sizes = np.concatenate([unsqueezed(x) for x in table["sizes"]] or [np.empty(0, "u4")]).astype("i8")
         flat = np.concatenate([unsqueezed(x) for x in table["ids"]] or [np.empty(0, "u4")]).astype("i4")
         ends = np.cumsum(sizes)
@@ -222,4 +226,4 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
                 out.append((None if doc_id is None else int(doc_id), ids, b"".join([spelled[p] for p in mine.tolist()]).decode("utf-8", "replace")))
         return pd.DataFrame({"doc_id": pd.Series([o[0] for o in out], dtype="Int64"), "ids": [o[1] for o in out], "decoded": [o[2] for o in out]})
 
-    return payload.groupBy("home").cogroup(coded.groupBy("block")).applyInPandas(join, "doc_id long, ids array<int>, decoded string")
+    return payload.groupBy("key").cogroup(coded.groupBy("key")).applyInPandas(join, "doc_id long, ids array<int>, decoded string")
