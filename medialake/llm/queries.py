@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, repeats, sharding, simhash, syncmers, toxicity
+from . import bpe, packing, pii, quality, repeats, sharding, simhash, syncmers, toxicity
 from .common import documents, held_out, table
 
 
@@ -26,6 +26,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal(documents(spark, sf_dir))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *(count(k) for k in pii.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(documents(spark, sf_dir))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -66,5 +73,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_syncmers, op2_bpe, op5_simhash, op6_repeats, op7_sharding, op8_quality, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_syncmers, op2_bpe, op4_pii, op5_simhash, op6_repeats, op7_sharding, op8_quality, op9_packing, op10_toxicity)}
 ORACLES: dict[str, str] = {}
