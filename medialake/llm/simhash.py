@@ -136,6 +136,13 @@ def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     return dealt.mapInPandas(compare, "u long, v long")
 
 
+def _classes(rows: DataFrame, bits: int) -> DataFrame:
+    """(fp, root, first): each distinct fingerprint, its component and its least doc_id."""
+    fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(fps, bits))
+    return fps.join(roots, F.col("node") == F.col("fp"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+
+
 def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id for each row of docs.
 
@@ -145,10 +152,21 @@ def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, shingle: int = SHINGL
     if it has none); repeated rows stay; an empty table gives an empty one.
     """
     rows = saved(fingerprints(docs, shingle))
-    fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(fps, bits))
-    members = roots.join(fps, F.col("node") == F.col("fp")).select("fp", "root", "first")
-    least = members.groupBy("root").agg(F.min("first").alias("least"))
-    moved = members.join(least, "root").select("fp", "least")
-    found = fps.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(found, "fp").select("doc_id", "fp", "component_id")
+    classes = _classes(rows, bits)
+    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(classes.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of docs per component of near duplicates: of its smallest doc_id, a null one last."""
+    classes = _classes(saved(fingerprints(docs, shingle)), bits)
+    head = classes.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("unknown"), "first", "fp")).alias("head"))
+    head = head.select(F.col("head.first").alias("__id"), F.col("head.fp").alias("__kept"))
+
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(np.array([simhash(t, shingle) for t in batch], "u8").view("i8"))
+
+    keyed = docs.withColumn("__fp", F.pandas_udf(score, "long")(whole_text().cast("binary")))
+    kept = keyed.join(head, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept")))
+    return kept.dropDuplicates(["__id", "__kept"]).select(*docs.columns)
