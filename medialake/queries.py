@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from .functions import dates, geo, text
+from .functions import dates, geo, pixels, text
 from .operators import browse, dupes, events, ingest, merge, people, places, rules, summary
 from .plans import upkeep
 from .schema import table
@@ -668,3 +668,27 @@ def map_framing(spark, d):
 def largest_favorites(spark, d):
     p = browse.scope(fx.photos(spark, d), "favorites").where("rating >= 2 AND bytes > 1000000")
     return browse.ordered(p, "size").select("id", "bytes", "favorite").limit(50)
+
+
+# Pixels: components of embeddings, moved to 0..1, stand for dots.
+
+GREY = "g AS (SELECT vec_id AS id, list_transform(embedding, lambda x: least(1.0::DOUBLE, greatest(0.0::DOUBLE, x::DOUBLE + 0.5::DOUBLE))) AS g FROM embeddings)"
+
+
+def _grey(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x.cast("double") + 0.5))).alias("g"))
+
+
+@query(f"WITH {GREY} SELECT id, array_to_string([len(list_filter(g, lambda v: least(7, greatest(0, floor(v * 8))) = b)) FOR b IN range(0, 8)], ',') AS bins FROM g")
+def pixel_histogram(spark, d):
+    return _grey(spark, d).select("id", F.array_join(F.transform(pixels.histogram(F.col("g"), 8), lambda n: n.cast("string")), ",").alias("bins"))
+
+
+@query(f"WITH {GREY} SELECT id, round(10 * log10(1 / list_avg(list_transform(g, lambda v: pow(v - least(1.0, greatest(0.0, (v - 0.5::DOUBLE) * 1.5::DOUBLE + 0.5::DOUBLE)), 2)))), 6) AS psnr FROM g")
+def pixel_contrast_psnr(spark, d):
+    return _grey(spark, d).select("id", F.round(pixels.psnr(F.col("g"), pixels.contrast(F.col("g"), 0.5)), 6).alias("psnr"))
+
+
+@query(f"WITH {GREY} SELECT id, round(list_sum(list_transform(g, lambda v: v + (1 - (1 - v) * (1 - v) - v) * 0.5::DOUBLE)), 6) AS total FROM g")
+def pixel_blend_screen(spark, d):
+    return _grey(spark, d).select("id", F.round(F.aggregate(pixels.blend(F.col("g"), F.col("g"), "screen", 0.5), F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
