@@ -1,38 +1,15 @@
-"""Helpers that several text operators share: the shared folder, saved tables, global ranks."""
+"""Helpers that several text operators share: tables, labelled rows, global ranks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-ROWS_PER_SLICE = 200_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only on a local master."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="medialake-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
 
+from ..shared import saved, shared_dir
 
-def saved(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back.
+__all__ = ["documents", "held_out", "labelled", "running", "saved", "shared_dir", "sliced", "table", "whole_text"]
 
-    Cuts the lineage, so a lost executor never repeats what was written, and fixes values that
-    depend on the order of evaluation (partition and row ids).
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+ROWS_PER_SLICE = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,7 +62,3 @@ def running(df: DataFrame, order: list, sums: dict[str, str], by: list[str] | No
     local = df.select("*", *(F.coalesce(F.sum(c).over(own), F.lit(0)).alias(n) for n, c in sums.items()))
     joined = local.join(totals, ["slice", *by])
     return joined.select(*df.columns, *((F.col(n) + F.col(f"__{n}")).cast("long").alias(n) for n in sums))
-
-
-def pandas_schema(*fields: tuple[str, str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])

@@ -5,6 +5,10 @@ three bits apart share three whole blocks, so no link is lost. Inside a group a
 distances to reference fingerprints discards pairs whose largest coordinate difference passes the
 threshold (the triangle inequality), and only survivors are compared. A group yields a spanning
 forest of its links, not its pairs.
+
+keep_one() looks further: for five-word shingles and a Jaccard similarity of 0.8, whose fingerprints
+differ in ten bits or so, groups share a band of minima of hash orders, the pivot tables discard with
+a wide radius, and the survivors' minima are compared.
 """
 
 from __future__ import annotations
@@ -136,13 +140,6 @@ def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     return dealt.mapInPandas(compare, "u long, v long")
 
 
-def _classes(rows: DataFrame, bits: int) -> DataFrame:
-    """(fp, root, first): each distinct fingerprint, its component and its least doc_id."""
-    fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(fps, bits))
-    return fps.join(roots, F.col("node") == F.col("fp"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-
-
 def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id for each row of docs.
 
@@ -152,21 +149,127 @@ def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, shingle: int = SHINGL
     if it has none); repeated rows stay; an empty table gives an empty one.
     """
     rows = saved(fingerprints(docs, shingle))
-    classes = _classes(rows, bits)
+    fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(fps, bits))
+    classes = fps.join(roots, F.col("node") == F.col("fp"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(classes.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
-    """One row of docs per component of near duplicates: of its smallest doc_id, a null one last."""
-    classes = _classes(saved(fingerprints(docs, shingle)), bits)
-    head = classes.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("unknown"), "first", "fp")).alias("head"))
-    head = head.select(F.col("head.first").alias("__id"), F.col("head.fp").alias("__kept"))
+# Near copies by shingle similarity: SimHash only discards, and signatures verify.
+
+SIMILAR = 0.8
+SIMILAR_WORDS = 5
+#: Minima of so many hash orders make a signature; equal ones estimate the Jaccard similarity of shingle sets.
+ORDERS = 128
+BANDS = 16
+BAND_ORDERS = 4
+#: Shingle sets of similarity 0.8 differ in 10 of 64 bits at the mean, with a deviation of 3.
+RADIUS = 26
+ROWS_PER_STREAM = 20_000
+
+
+def signature(data: bytes, k: int = SIMILAR_WORDS) -> tuple[int, np.ndarray]:
+    """(SimHash, ORDERS minima) of the k-word shingles; ASCII case is folded, fewer words are one shingle."""
+    words = data.lower().split()
+    k = max(1, min(k, len(words)))
+    digest = xxhash.xxh64_intdigest
+    h = np.array([digest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)], "u8")
+    least = np.full(ORDERS, np.uint64(2**64 - 1))
+    bits = np.zeros(64, "i8")
+    for i in range(0, len(h), 2048):
+        part = h[i : i + 2048]
+        least = np.minimum(least, (part[:, None] * _ODD + _PLUS).min(axis=0))
+        bits += np.unpackbits(part.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="i8")
+    return int(np.packbits(bits * 2 > len(h), bitorder="little").view("<u8")[0]), least
+
+
+def _orders() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    return rng.integers(0, 2**64, ORDERS, dtype="u8") | np.uint64(1), rng.integers(0, 2**64, ORDERS, dtype="u8")
+
+
+_ODD, _PLUS = _orders()
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """uid, doc_id, digest (of the text), fp, minima (16 bits each), keys: one per band of minima."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [signature(t) for t in batch["data"]]
+            keys = [[xxhash.xxh64_intdigest(least[b * BAND_ORDERS : (b + 1) * BAND_ORDERS].tobytes(), b) - 2**63 for b in range(BANDS)] for _, least in found]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "fp": np.array([f for f, _ in found], "u8").view("i8"), "minima": [(least >> np.uint64(40)).astype("<u2").tobytes() for _, least in found], "keys": keys})
+
+    rows = docs.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), whole_text().cast("binary").alias("data")).withColumn("digest", F.md5("data"))
+    rows = rows.mapInPandas(run, "doc_id decimal(20,0), digest string, fp long, minima binary, keys array<long>")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("uid", F.monotonically_increasing_id())
+
+
+def _led(rows: DataFrame, similar: float) -> DataFrame:
+    """(key, uid, leader, fp, minima): rows sorted by (key, salt, turn) stream past the leaders of their group.
+
+    A row joins the first leader whose pivot distances, fingerprint and minima are near enough, else
+    it leads from then on. Only leaders are held.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots, group = pivot_fingerprints(), None
+        ids: list[int] = []
+        fps, tables, signs = (np.empty((0, *shape), kind) for shape, kind in (((), "u8"), ((PIVOTS,), "i2"), ((ORDERS,), "u2")))
         for batch in batches:
-            yield pd.Series(np.array([simhash(t, shingle) for t in batch], "u8").view("i8"))
+            fp = batch["fp"].to_numpy("i8").view("u8")
+            table = np.bitwise_count(fp[:, None] ^ pivots).astype("i2")
+            sign = np.frombuffer(b"".join(batch["minima"]), "<u2").reshape(-1, ORDERS)
+            leader = np.empty(len(batch), "i8")
+            for i, (key, salt, uid) in enumerate(zip(batch["key"], batch["salt"], batch["uid"])):
+                if (key, salt) != group:
+                    group, ids = (key, salt), []
+                    fps, tables, signs = fps[:0], tables[:0], signs[:0]
+                near = np.flatnonzero(np.abs(tables - table[i]).max(axis=1, initial=0) <= RADIUS) if ids else np.empty(0, "i8")
+                near = near[np.bitwise_count(fps[near] ^ fp[i]) <= RADIUS]
+                near = near[(signs[near] == sign[i]).mean(axis=1) >= similar]
+                if len(near):
+                    leader[i] = ids[near[0]]
+                else:
+                    leader[i] = uid
+                    ids.append(uid)
+                    fps, tables, signs = np.append(fps, fp[i]), np.vstack([tables, table[i]]), np.vstack([signs, sign[i]])
+            yield batch.assign(leader=leader)[["key", "uid", "leader", "fp", "minima"]]
+
+    dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "turn")
+    return dealt.select("key", "salt", "uid", "fp", "minima").mapInPandas(run, "key long, uid long, leader long, fp long, minima binary")
+
+
+def similar_classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(uid, root) of sketches() rows of different texts whose shingles are similar, linked through leaders."""
+    keyed = saved(rows.select("uid", F.explode("keys").alias("key")))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    held = keyed.join(shared, "key").join(rows.select("uid", "fp", "minima"), "uid")
+    # a large group is split into streams, whose leaders then meet in one
+    salt = F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / ROWS_PER_STREAM)).cast("int")
+    held = held.select("key", "uid", "fp", "minima", salt.alias("salt"), F.xxhash64("uid", "key").alias("turn"))
+    first = saved(_led(held, similar))
+    large = shared.where(F.col("n") > ROWS_PER_STREAM).select("key")
+    heads = first.where("uid = leader").join(large, "key").select("key", "uid", "fp", "minima", F.lit(0).alias("salt"), F.xxhash64("uid", "key").alias("turn"))
+    edges = first.select("uid", "leader").union(_led(heads, similar).select("uid", "leader")).where("uid <> leader")
+    return components(edges.select(F.col("uid").alias("u"), F.col("leader").alias("v"))).withColumnRenamed("node", "uid")
+
 
-    keyed = docs.withColumn("__fp", F.pandas_udf(score, "long")(whole_text().cast("binary")))
-    kept = keyed.join(head, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept")))
+def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """One row of docs per group of near copies: of its smallest doc_id, null ones last.
+
+    Equal texts are copies; so are texts whose sets of five-word shingles have an (estimated) Jaccard
+    similarity of ``similar`` or more, and what such links connect. Texts without words are copies of
+    each other. Repeated rows come once; an empty table gives an empty one.
+    """
+    rows = saved(sketches(docs))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid")).alias("head")
+    texts = saved(rows.groupBy("digest").agg(first).select("digest", F.col("head.doc_id").alias("doc_id"), F.col("head.uid").alias("uid")))
+    own = saved(rows.join(texts.select("uid"), "uid", "left_semi").select("uid", "fp", "minima", "keys"))
+    placed = texts.join(similar_classes(own, similar), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    head = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest")).alias("head"))
+    head = head.select(F.col("head.doc_id").alias("__id"), F.col("head.digest").alias("__kept"))
+    keyed = docs.withColumn("__digest", F.md5(whole_text().cast("binary")))
+    kept = keyed.join(head, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")))
     return kept.dropDuplicates(["__id", "__kept"]).select(*docs.columns)

@@ -91,3 +91,44 @@ def test_fingerprint(text):
 def test_too_many_bits(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), 4)
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    k = max(1, min(5, len(words)))
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+@pytest.mark.parametrize("stream", [simhash.ROWS_PER_STREAM, 3])
+def test_similar_texts_are_copies_and_others_stay(spark, docs, monkeypatch, stream):
+    monkeypatch.setattr(simhash, "ROWS_PER_STREAM", stream)
+    rng = np.random.default_rng(7)
+    vocab = [f"v{i}" for i in range(4000)]
+    table, groups = [], {}
+    for g in range(12):
+        base = list(rng.choice(vocab, 400))
+        for c in range(int(rng.integers(1, 9))):
+            words = list(base)
+            for at in rng.integers(0, 400, c % 4):
+                words[at] = "edited"
+            i = len(table) * 3 % 101 + 1000 * (len(table) // 101)
+            table.append((i, " ".join(words)))
+            groups.setdefault(g, []).append(i)
+    half = [(900 + k, " ".join(list(rng.choice(vocab, 200)) + table[0][1].split()[:200])) for k in range(3)]  # half shared: not copies
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(docs(table + half)).collect())
+    assert kept == sorted([min(x) for x in groups.values()] + [i for i, _ in half])
+
+
+def test_keep_one_of_odd_rows(odd):
+    rows = simhash.keep_one(odd)
+    assert rows.columns == odd.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows.collect()) == [(False, 1), (False, 2), (False, 4), (False, 5), (False, 6), (True, 0)]
+    assert simhash.keep_one(odd.limit(0)).count() == 0
+
+
+def test_signatures_estimate_the_similarity():
+    a = " ".join(f"w{i}" for i in range(600))
+    b = " ".join(f"w{i}" if i % 60 else "x" for i in range(600))
+    real = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    (fa, ma), (fb, mb) = simhash.signature(a.encode()), simhash.signature(b.encode())
+    assert abs((ma == mb).mean() - real) < 0.12 and (fa ^ fb).bit_count() <= simhash.RADIUS
