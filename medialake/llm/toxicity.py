@@ -29,7 +29,7 @@ from .common import labelled, whole_text
 
 #: The fit sees at most so many labelled rows of each kind, and so many characters of each.
 FIT_ROWS = 3000
-FIT_CHARS = 20_000
+FIT_CHARS = 10_000
 DICT_BYTES = 2048
 WINDOW_BYTES = 48
 SPELL_BYTES = 12
