@@ -3,7 +3,8 @@
 A dictionary of toxic text and one of ordinary text are built from labelled rows. Every word of
 a text is a window: it is compressed with either dictionary, and the lengths are compared. How much
 shorter a window must be, and how many such windows make a text toxic, is calibrated on labelled
-rows that the dictionaries were not built from.
+rows that the dictionaries were not built from. Windows are spelled so that each letter depends on the ones
+before: a match in the middle of another word is none.
 
 Whole-text dictionaries from zstandard's own trainer, and windows of 64 bytes, do not tell the two
 kinds apart here (the lengths of both overlap): the trainer ranks by frequency, and what is frequent
@@ -30,11 +31,12 @@ from .common import labelled, whole_text
 #: The fit sees at most so many labelled rows of each kind, and so many characters of each.
 FIT_ROWS = 3000
 FIT_CHARS = 10_000
-DICT_BYTES = 2048
+DICT_BYTES = 3072
 WINDOW_BYTES = 48
 SPELL_BYTES = 12
 UNIT_BYTES = (4, 5, 6, 7, 8)
 LEAST_TEXTS = 3
+LEAST_Z = 4.0
 MOST_OFTEN = 4
 FEW = 50
 #: A text of at least this score is toxic.
@@ -53,8 +55,12 @@ def words(text: str) -> list[bytes]:
 
 
 def spelled(word: bytes) -> bytes:
-    """The first bytes of a word, each after its position, so that only matches from a word's start count."""
-    return bytes(x for at_byte in enumerate(word[:SPELL_BYTES], 128) for x in at_byte)
+    """The first bytes of a word, each as three that depend on all before it, so that only common starts match."""
+    out, h = bytearray(), 0
+    for byte in word[:SPELL_BYTES]:
+        h = (h * 40_503 + byte + 1) & 0xFFFFFF
+        out += bytes((h >> 16, h >> 8 & 255, h & 255))
+    return bytes(out)
 
 
 class Gap:
@@ -63,7 +69,7 @@ class Gap:
     def __init__(self, dictionaries: tuple[bytes, bytes]):
         import zstandard as z
 
-        how = z.ZstdCompressionParameters.from_level(3, window_log=13, hash_log=12, chain_log=12, search_log=10, min_match=4, strategy=z.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+        how = z.ZstdCompressionParameters.from_level(3, window_log=14, hash_log=12, chain_log=12, search_log=10, min_match=4, strategy=z.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.ordinary, self.toxic = (z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how) for d in dictionaries)
         self.cache: dict[bytes, int] = {}
 
@@ -141,14 +147,14 @@ def dictionaries(z: dict[bytes, float], frequent: list[bytes], least: float) ->
         for w in sorted((w for w in z if z[w] >= least and len(w) >= UNIT_BYTES[0]), key=lambda w: (-z[w], -len(w), w)):
             if any(w.startswith(t) or t.startswith(w) for t in taken):
                 continue
-            if len(out) + 2 * len(w) > DICT_BYTES:
+            if len(out) + 3 * len(w) > DICT_BYTES:
                 break
             taken.append(w)
             out = spelled(w) + out
         return out
 
     ordinary = b"".join(spelled(w) for w in reversed(frequent) if len(w) >= UNIT_BYTES[0] and z.get(w, 0.0) < least)
-    return ordinary[-DICT_BYTES:] + FILLER, kind() + FILLER
+    return ordinary[-4 * DICT_BYTES :] + FILLER, kind() + FILLER
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
@@ -169,9 +175,9 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     size = np.array([c.total() for c in counted])
     best, top = None, max(z.values(), default=0.0)
     for share in (0.15, 0.2, 0.3, 0.4, 0.5):
-        pair = dictionaries(z, frequent, max(3.0, top * share))
+        pair = dictionaries(z, frequent, max(LEAST_Z, top * share))
         gap = Gap(pair)
-        for least in (4, 5, 6, 7):
+        for least in (3, 5, 7, 9):
             hits = np.array([sum(n for w, n in c.items() if gap(w) >= least) for c in counted])
             for count, rate in itertools.product((1, 2, 3, 4), (0.0, 0.001, 0.002, 0.004)):
                 said = hits >= enough(size, count, rate)

@@ -40,7 +40,7 @@ def test_words_and_starts_weigh_as_often_as_they_are_there():
 def test_gap_counts_only_what_starts_a_word():
     gap = toxicity.Gap(toxicity.dictionaries({b"nasty": 9.0}, [b"plain"], 3.0))
     assert gap(b"nasty") > 3 and gap(b"nastyish") > 3
-    assert gap(b"xxnasty") <= 1 and gap(b"plain") <= 0
+    assert gap(b"xxnasty") <= 1 and gap(b"plain") <= 0 and gap("é".encode() + b"nasty") <= 1
 
 
 def test_pairs_rank_the_good_above_the_bad():
