@@ -155,13 +155,19 @@ def learned_thresholds(answers: DataFrame, share: float = 0.9, least: int = 6, f
     """One row: join_from, the lowest link down to which at least ``share`` of at least ``least`` answers say yes
     (counted from the top, not below ``floor``), and ask_from, the link above the run of noes at the bottom.
 
-    answers: (link, same 0/1, at). They are what people typed, so few; prefix sums are taken in one task.
+    answers: (link, same 0/1, at). Answers are added up per thousandth of a link first; those sums, a
+    thousand rows or so, are what one task adds up, and each thousandth then goes through its own answers.
     """
-    down = Window.orderBy(F.desc("link"), "at").rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.orderBy("link", "at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = answers.select("link", "same", "at", F.sum("same").over(down).alias("yes"), F.count("*").over(down).alias("n"), F.sum("same").over(up).alias("yes_up"))
+    rows = answers.select("link", "same", "at", F.floor(F.col("link") * 1000).cast("long").alias("part"))
+    sums = rows.groupBy("part").agg(F.sum("same").alias("y"), F.count("*").alias("n"))
+    above, below = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    sums = sums.select("part", total("y", above).alias("y_above"), total("n", above).alias("n_above"), total("y", below).alias("y_below"))
+    down = Window.partitionBy("part").orderBy(F.desc("link"), "at").rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy("part").orderBy("link", "at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.join(sums, "part").select("link", (F.col("y_above") + F.sum("same").over(down)).alias("yes"), (F.col("n_above") + F.count("*").over(down)).alias("n"), (F.col("y_below") + F.sum("same").over(up)).alias("yes_up"))
     good = (F.col("n") >= least) & (F.col("yes") / F.col("n") >= share) & (F.col("link") >= floor)
-    return rows.agg(F.min(F.when(good, F.col("link"))).alias("join_from"), F.max(F.when(F.col("yes_up") == 0, F.col("link"))).alias("ask_from"))
+    return placed.agg(F.min(F.when(good, F.col("link"))).alias("join_from"), F.max(F.when(F.col("yes_up") == 0, F.col("link"))).alias("ask_from"))
 
 
 def suggestions(links: DataFrame, people: DataFrame, apart: DataFrame, together: DataFrame, ask: float, join: float, k: int) -> DataFrame:

@@ -117,11 +117,10 @@ def names_within_one_edit(spark, d):
     return p.join(q, ["p_brand", "p_size"]).where((F.col("p_partkey") < F.col("b")) & text.within_one_edit(F.col("p_type"), F.col("other"))).select(F.col("p_partkey").alias("a"), "b")
 
 
-@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(left(text, 200), '[;,]'), lambda s: trim(s)), lambda s: s <> ''), '; ') AS keywords FROM documents WHERE len(list_distinct(list_transform(string_split_regex(left(text, 200), '[;,]'), lambda s: lower(trim(s))))) = len(string_split_regex(left(text, 200), '[;,]')) AND NOT regexp_matches(left(text, 200), '[\\n\\t\\r]')")
+@query("""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[;,]'), lambda s: trim(s)), lambda s: s <> '') AS parts FROM documents), l AS (SELECT *, list_transform(parts, lambda s: lower(s)) AS lowered FROM p)
+SELECT doc_id, array_to_string(list_filter(parts, lambda s, i: list_position(lowered, lower(s)) = i), '; ') AS keywords FROM l""")
 def keyword_lists(spark, d):
-    parts = F.split(F.substring("text", 1, 200), "[;,]")
-    docs = table(spark, d, "documents").where((F.size(F.array_distinct(F.transform(parts, lambda s: F.lower(F.trim(s))))) == F.size(parts)) & ~F.substring("text", 1, 200).rlike("[\\n\\t\\r]"))
-    return docs.select("doc_id", text.merge_keywords(F.substring("text", 1, 200), F.lit("")).alias("keywords"))
+    return table(spark, d, "documents").select("doc_id", text.merge_keywords(F.col("text"), F.lit("")).alias("keywords"))
 
 
 # Summaries
@@ -320,13 +319,13 @@ def people_audit(spark, d):
     return people.audit(f, people.knn_means(f), 0.3, 0.05, 0.2)
 
 
-ANSWERS = "answers AS (SELECT CAST(doc_id % 97 AS DOUBLE) / 97 AS link, quality AS same, doc_id AS t FROM labels WHERE doc_id % 97 > 25 OR quality = 0)"
+ANSWERS = "answers AS (SELECT CAST(doc_id % 97 AS DOUBLE) / 97 AS link, CASE WHEN doc_id % 97 > 25 THEN quality ELSE 0 END AS same, doc_id AS t FROM labels)"
 
 
 @query(f"""WITH {ANSWERS}, r AS (SELECT link, sum(same) OVER d AS yes, count(*) OVER d AS n, sum(same) OVER u AS yes_up FROM answers WINDOW d AS (ORDER BY link DESC, t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), u AS (ORDER BY link, t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT min(link) FILTER (n >= 6 AND yes / n >= 0.85 AND link >= 0.42) AS join_from, max(link) FILTER (yes_up = 0) AS ask_from FROM r""")
 def learned_thresholds(spark, d):
-    answers = table(spark, d, "labels").where("doc_id % 97 > 25 OR quality = 0").select(F.expr("CAST(doc_id % 97 AS DOUBLE) / 97 AS link"), F.col("quality").alias("same"), F.col("doc_id").alias("at"))
+    answers = table(spark, d, "labels").select(F.expr("CAST(doc_id % 97 AS DOUBLE) / 97 AS link"), F.expr("CASE WHEN doc_id % 97 > 25 THEN quality ELSE 0 END AS same"), F.col("doc_id").alias("at"))
     return people.learned_thresholds(answers, 0.85)
 
 
