@@ -87,8 +87,9 @@ def estimate(files: DataFrame, measured: DataFrame, samples: int = 24) -> DataFr
     """One row: files, bytes, and the bytes after, by the ratio of at most ``samples`` evenly spread measured files.
 
     Which files to measure is sample_rows(); measured: (id, bytes, after)."""
-    ratio = measured.limit(samples).agg((F.sum("after") / F.sum("bytes")).alias("ratio"))
-    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).join(F.broadcast(ratio), F.lit(True)).select("files", "bytes", (F.col("bytes") * F.col("ratio")).alias("after"))
+    ratio = measured.orderBy("id").limit(samples).agg((F.sum("after") / F.sum("bytes")).alias("ratio")).first()["ratio"]  # one number
+    sums = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    return sums.select("files", "bytes", (F.col("bytes") * F.lit(ratio).cast("double")).alias("after"))
 
 
 def sample_rows(files: DataFrame, samples: int = 24) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -12,9 +15,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder from spark.checkpoint.dir; a temporary one only on a local master."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="medialake-")
+        own = tempfile.mkdtemp(prefix="medialake-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = "file://" + own
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 

@@ -186,6 +186,14 @@ def test_due_checks_take_one_at_least(spark):
     assert sorted(r["key"] for r in upkeep.due_checks(df, 1e9, 101).collect()) == ["a", "b"]
 
 
+def test_estimates(spark):
+    files = spark.createDataFrame([(i, f"p{i}", 100) for i in range(50)], "id long, path string, bytes long")
+    assert upkeep.sample_rows(files).count() == 24
+    measured = spark.createDataFrame([(1, 100, 50), (2, 300, 250)], "id long, bytes long, after long")
+    assert tuple(upkeep.estimate(files, measured).first()) == (50, 5000, 3750.0)
+    assert upkeep.estimate(files, measured.limit(0)).first()["after"] is None
+
+
 def test_pixels(spark):
     df = spark.createDataFrame([([0.0, 0.5, 1.0],)], "g array<double>")
     r = df.select(pixels.tone(F.col("g"), [0.0, 1.0, 0.0]), pixels.histogram(F.col("g"), 2), pixels.psnr(F.col("g"), F.col("g")), pixels.luma(F.col("g"), F.col("g"), F.col("g"))).first()
