@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import dates, geo, pixels, text
-from .operators import browse, dupes, events, ingest, merge, people, places, rules, summary
+from .operators import browse, dupes, edits, events, ingest, merge, people, places, rules, summary
+from .operators import vocabulary as words
 from .plans import upkeep
 from .schema import table
 
@@ -691,3 +692,53 @@ def pixel_contrast_psnr(spark, d):
 @query(f"WITH {GREY} SELECT id, round(list_sum(list_transform(g, lambda v: v + (1 - (1 - v) * (1 - v) - v) * 0.5::DOUBLE)), 6) AS total FROM g")
 def pixel_blend_screen(spark, d):
     return _grey(spark, d).select("id", F.round(F.aggregate(pixels.blend(F.col("g"), F.col("g"), "screen", 0.5), F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
+
+
+# Vocabulary and edits
+
+VOCABULARY = f"""{P}, w AS (SELECT 'camera' AS kind, trim(camera_model) AS text FROM photos WHERE camera_model IS NOT NULL UNION ALL SELECT 'folder', string_split(path, '/')[-2] FROM photos UNION ALL SELECT 'person', c_name FROM customer UNION ALL SELECT 'album', p_name FROM part
+UNION ALL SELECT 'place', n_name FROM nation UNION ALL SELECT 'place', r_name FROM nation JOIN region ON n_regionkey = r_regionkey), vocabulary AS (SELECT kind, text, count(*) AS uses FROM w WHERE trim(text) <> '' GROUP BY 1, 2)"""
+
+
+def _vocabulary(spark, d):
+    nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    placed = nations.select(F.col("n_name").alias("city"), F.lit(None).cast("string").alias("region"), F.col("r_name").alias("country"))
+    return words.vocabulary(fx.photos(spark, d), table(spark, d, "customer").select(F.col("c_name").alias("name")), placed, table(spark, d, "part").select(F.col("p_name").alias("name")))
+
+
+@query(f"WITH {VOCABULARY} SELECT kind, text, uses FROM vocabulary")
+def search_vocabulary(spark, d):
+    return _vocabulary(spark, d).select("kind", "text", "uses")
+
+
+@query(f"WITH {VOCABULARY} SELECT kind, text, uses FROM vocabulary WHERE starts_with(lower(text), 'a') OR contains(lower(text), ' a') ORDER BY starts_with(lower(text), 'a') DESC, CASE kind WHEN 'person' THEN 0 WHEN 'place' THEN 1 WHEN 'camera' THEN 2 WHEN 'album' THEN 3 ELSE 4 END, uses DESC, text LIMIT 8")
+def search_suggestions(spark, d):
+    return words.suggestions(_vocabulary(spark, d), "A")
+
+
+@query(f"WITH {P} SELECT path, CASE WHEN album % 4 = 0 THEN 5 ELSE rating END AS rating, CASE WHEN album % 4 = 0 THEN 1 ELSE favorite END AS favorite, CASE WHEN album % 4 = 0 THEN 9.0::DOUBLE ELSE mtime END AS modified_at FROM photos")
+def edited_marks(spark, d):
+    p = fx.photos(spark, d)
+    user = p.select("path", "rating", "favorite", F.col("mtime").alias("modified_at"))
+    return edits.edited(user, p.where("album % 4 = 0"), 9.0, rating=11, favorite=1)
+
+
+@query(f"WITH {P} SELECT id, CASE WHEN id % 6 = 0 THEN taken_at + 3600 ELSE taken_at END AS taken_at, CASE WHEN id % 6 = 0 AND taken_at IS NOT NULL THEN 'manual' ELSE 'exif' END AS date_source FROM photos")
+def shifted_dates(spark, d):
+    p = fx.photos(spark, d).select("id", "taken_at", F.lit("exif").alias("date_source"))
+    return edits.shifted(p, p.where("id % 6 = 0"), 3600.0)
+
+
+@query("WITH gone AS (SELECT n_nationkey AS id FROM nation WHERE n_regionkey = 2) SELECT c_custkey AS id FROM customer WHERE c_nationkey NOT IN (SELECT id FROM gone)")
+def albums_left_after_delete(spark, d):
+    folders = table(spark, d, "region").select(F.expr("CAST(1000 + r_regionkey AS BIGINT) AS id"), F.lit(None).cast("long").alias("parent_id"))
+    folders = folders.union(table(spark, d, "nation").select(F.col("n_nationkey").cast("long"), F.expr("CAST(1000 + n_regionkey AS BIGINT)")))
+    albums = fx.albums(spark, d).withColumn("folder_id", F.col("folder_id").cast("long"))
+    return edits.deleted(folders, albums, fx.album_items(spark, d), 1002)[1].select("id")
+
+
+@query(f"WITH {V}, m AS (SELECT id, CASE WHEN person_id = 3 THEN 5 ELSE person_id END AS person_id FROM faces) SELECT id, CAST(person_id AS BIGINT) AS person_id FROM m")
+def people_merged(spark, d):
+    f = fx.faces(spark, d).select("id", F.col("person_id").cast("long").alias("person_id"))
+    none = spark.createDataFrame([], "a long, b long")
+    return edits.people_merged(spark.range(10), f, none, 3, 5)[1].select("id", F.col("person_id").cast("long").alias("person_id"))
