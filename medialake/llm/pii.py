@@ -222,6 +222,5 @@ def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             yield pd.Series(out, dtype="object")
 
     keyed = docs.withColumn("__digest", F.pandas_udf(digest, "binary")(whole_text()))
-    found = found.withColumnRenamed("spans", "__spans")
-    joined = keyed.join(found, keyed["__digest"] == found["digest"], "left")
+    joined = keyed.join(found.select(F.col("digest").alias("__digest"), F.col("spans").alias("__spans")), "__digest", "left")
     return joined.withColumn("text", F.pandas_udf(cut, "string")("text", "__spans")).select(*docs.columns)

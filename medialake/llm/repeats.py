@@ -291,7 +291,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     copied = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select("digest").distinct()
     changed = kept.select("digest", F.col("kept")).union(copied.select("digest", F.lit(b"")))
     keyed = docs.withColumn("__digest", F.unhex(F.sha2(whole_text().cast("binary"), 256)))
-    joined = keyed.join(changed.withColumnRenamed("kept", "__kept"), keyed["__digest"] == changed["digest"], "left")
+    joined = keyed.join(changed.select(F.col("digest").alias("__digest"), F.col("kept").alias("__kept")), "__digest", "left")
 
     def spell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

@@ -194,8 +194,8 @@ def fit_rows(docs: DataFrame, labels: DataFrame, parts: int = 5, remainder: int
     return fit([(r["text"], r["y"]) for r in picked.select(F.substring("text", 1, FIT_CHARS).alias("text"), "y").collect()])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds ``score`` to every row of docs (a column of that name is replaced); null texts count as empty.
+def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """Adds the score to every row of docs (a column of that name is replaced); null texts count as empty.
 
     A text without words scores 0. Each row is scored by itself, so repeated rows get equal scores,
     and an empty table gives an empty one.
@@ -206,4 +206,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pd.Series([one(t) for t in batch], dtype="float64")
 
-    return docs.withColumn("score", F.pandas_udf(run, "double")(whole_text()))
+    return docs.withColumn(column, F.pandas_udf(run, "double")(whole_text()))

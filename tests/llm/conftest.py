@@ -31,4 +31,4 @@ def odd(docs):
 
     long = " ".join(f"w{i % 977}x{i}" for i in range(20_000))
     rows = [(1, "a plain text of several words, and a few more of them"), (2, None), (3, ""), (4, "same words here and there today"), (4, "same words here and there today"), (5, long), (6, "é ²½ \x1c日本語 <|endoftext|> x"), (None, "no id at all")]
-    return docs(rows).withColumns({c: F.lit(7) for c in ("slice", "rank", "block", "word", "count", "fingerprint", "size", "shard", "uid", "score", "component_id", "pid", "key")})
+    return docs(rows).withColumns({c: F.lit(7) for c in ("slice", "rank", "block", "word", "count", "fingerprint", "size", "shard", "uid", "score", "component_id", "pid", "key", "digest", "spans", "kept", "base", "values", "words", "tie", "ghost", "next", "anchors", "hashes", "copies", "root", "node", "head", "y", "data")})
