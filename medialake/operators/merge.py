@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fold
+from .people import matched_boxes
+
 
 def membership(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     """(album, item) of the merged albums, from (album, item, added, removed) of both copies.
@@ -72,3 +75,32 @@ def guarded(mine: DataFrame, theirs: DataFrame, list_key: str) -> DataFrame:
 def missing(mine: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
     """Rows of theirs whose key I don't have: to add, never to overwrite."""
     return theirs.join(mine.select(key).distinct(), key, "left_anti")
+
+
+def face_decisions(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Faces of both copies: (photo, id, box, person, state, state_at), where photo is a file's fingerprint.
+
+    A face of theirs is mine if it lies in the same photo and overlaps by half or more; the newer
+    decision counts, a tie is mine. Faces that I lack are added, with ids below zero made from theirs.
+    """
+    pairs = matched_boxes(mine, theirs)
+    other = theirs.select(F.col("id").alias("other_id"), F.col("person").alias("o_person"), F.col("state").alias("o_state"), F.col("state_at").alias("o_at"))
+    joined = mine.join(pairs, "id", "left").join(other, "other_id", "left")
+    newer = F.coalesce(F.col("o_at") > F.coalesce("state_at", F.lit(float("-inf"))), F.lit(False))
+    pick = lambda c, o: F.when(newer, F.col(o)).otherwise(F.col(c)).alias(c)
+    known = joined.select("photo", "id", "box", pick("person", "o_person"), pick("state", "o_state"), pick("state_at", "o_at"))
+    fresh = theirs.join(pairs.select(F.col("other_id").alias("id")).distinct(), "id", "left_anti")
+    return known.unionByName(fresh.select("photo", (-1 - F.col("id")).alias("id"), "box", "person", "state", "state_at"))
+
+
+def one_per_name(people: DataFrame) -> DataFrame:
+    """(id, keep): people of the same name, regardless of case and accents, as the one of the least id; nameless ones stay."""
+    named = people.where(F.col("name").isNotNull()).select("id", fold("name").alias("n"))
+    least = named.groupBy("n").agg(F.min("id").alias("keep"))
+    return people.select("id").join(named.join(least, "n").select("id", "keep"), "id", "left").select("id", F.coalesce("keep", "id").alias("keep"))
+
+
+def to_pull(listing: DataFrame, seen: DataFrame) -> DataFrame:
+    """Files (name, size, mtime) of other copies whose size or time isn't what was seen last."""
+    last = seen.select("name", F.col("size").alias("s"), F.col("mtime").alias("m"))
+    return listing.join(last, "name", "left").where(F.col("s").isNull() | (F.col("s") != F.col("size")) | (F.col("m") != F.col("mtime"))).select("name", "size", "mtime")

@@ -91,3 +91,18 @@ def test_headers(spark, tmp_path):
     rows = headers.probed(spark, str(tmp_path)).collect()
     assert [(r["width"], r["make"], r["duration"]) for r in rows] == [(40, "Ab", None)]
     assert headers.xmp('<x xmp:Rating="5"><dc:title>T</dc:title></x>') == {"xmp:Rating": "5", "dc:title": "T"}
+
+
+def test_face_decisions(spark):
+    from medialake.operators import merge
+
+    schema_ = "photo string, id long, box struct<x:double,y:double,w:double,h:double>, person string, state int, state_at double"
+    mine = spark.createDataFrame([("p", 1, (0.0, 0.0, 1.0, 1.0), "a", 0, 5.0), ("p", 2, (5.0, 5.0, 1.0, 1.0), "b", 1, 9.0), ("q", 3, (0.0, 0.0, 1.0, 1.0), None, 0, None)], schema_)
+    theirs = spark.createDataFrame([("p", 1, (0.1, 0.0, 1.0, 1.0), "c", 1, 6.0), ("p", 2, (5.0, 5.0, 1.0, 1.0), "d", 1, 9.0), ("q", 3, (0.9, 0.9, 1.0, 1.0), "e", 1, 1.0)], schema_)
+    rows = {r["id"]: r["person"] for r in merge.face_decisions(mine, theirs).collect()}
+    assert rows == {1: "c", 2: "b", 3: None, -4: "e"}
+    people = spark.createDataFrame([(3, "Zoé"), (1, "zoe"), (2, None)], "id long, name string")
+    assert {r["id"]: r["keep"] for r in merge.one_per_name(people).collect()} == {1: 1, 2: 2, 3: 1}
+    seen = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 1.0)], "name string, size long, mtime double")
+    now = spark.createDataFrame([("a", 1, 1.0), ("b", 2, 1.0), ("c", 1, 1.0)], "name string, size long, mtime double")
+    assert sorted(r["name"] for r in merge.to_pull(now, seen).collect()) == ["b", "c"]
