@@ -14,12 +14,12 @@ a wide radius, and the survivors' minima are compared.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, whole_text
@@ -166,7 +166,8 @@ BANDS = 16
 BAND_ORDERS = 4
 #: Shingle sets of similarity 0.8 differ in 10 of 64 bits at the mean, with a deviation of 3.
 RADIUS = 26
-ROWS_PER_STREAM = 20_000
+#: A larger group is cut into chunks of so many rows, and each pair of chunks is a group of its own.
+ROWS_PER_STREAM = 2048
 
 
 def signature(data: bytes, k: int = SIMILAR_WORDS) -> tuple[int, np.ndarray]:
@@ -206,54 +207,77 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("uid", F.monotonically_increasing_id())
 
 
-def _led(rows: DataFrame, similar: float) -> DataFrame:
-    """(key, uid, leader, fp, minima): rows sorted by (key, salt, turn) stream past the leaders of their group.
+def _in_pairs(rows: DataFrame, chunks: Column) -> DataFrame:
+    """Cuts each group (key) into chunks by a hash of uid; each pair of chunks (a <= b) is a group of its own."""
+    rows = rows.withColumns({"__own": F.pmod(F.xxhash64("uid"), chunks).cast("int"), "__other": F.explode(F.sequence(F.lit(0), chunks.cast("int") - 1))})
+    rows = rows.withColumns({"a": F.least("__own", "__other"), "b": F.greatest("__own", "__other")}).drop("__own", "__other")
+    return rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+
+
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """(rows, bounds) of whole groups of batches sorted by (key, a, b): group i is rows[bounds[i] : bounds[i + 1]]."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        key = held[["key", "a", "b"]].to_numpy()
+        cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        if len(cut):
+            yield held[: cut[-1]], np.concatenate([[0], cut])
+            held = held[cut[-1] :].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held, np.array([0, len(held)])
+
+
+def spanning(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of n rows; near(i, others) are those of the others that are linked to i."""
+    alive, us, vs = np.ones(n, bool), [], []
+    for start in range(n):
+        stack = [start] if alive[start] else []
+        alive[start] = False
+        while stack:
+            i = stack.pop()
+            found = np.flatnonzero(alive)
+            found = near(i, found) if len(found) else found
+            alive[found] = False
+            us.append(np.full(len(found), i))
+            vs.append(found)
+            stack.extend(found.tolist())
+    none = np.empty(0, "i8")
+    return np.concatenate(us or [none]), np.concatenate(vs or [none])
 
-    A row joins the first leader whose pivot distances, fingerprint and minima are near enough, else
-    it leads from then on. Only leaders are held.
-    """
+
+def _linked(rows: DataFrame, similar: float) -> DataFrame:
+    """(u, v): a spanning forest of the pairs near enough by pivots, fingerprints and minima, per group of (key, a, b)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pivots, group = pivot_fingerprints(), None
-        ids: list[int] = []
-        fps, tables, signs = (np.empty((0, *shape), kind) for shape, kind in (((), "u8"), ((PIVOTS,), "i2"), ((ORDERS,), "u2")))
-        for batch in batches:
-            fp = batch["fp"].to_numpy("i8").view("u8")
+        pivots = pivot_fingerprints()
+        for part, bounds in _whole(batches):
+            uid, fp = part["uid"].to_numpy("i8"), part["fp"].to_numpy("i8").view("u8")
             table = np.bitwise_count(fp[:, None] ^ pivots).astype("i2")
-            sign = np.frombuffer(b"".join(batch["minima"]), "<u2").reshape(-1, ORDERS)
-            leader = np.empty(len(batch), "i8")
-            for i, (key, salt, uid) in enumerate(zip(batch["key"], batch["salt"], batch["uid"])):
-                if (key, salt) != group:
-                    group, ids = (key, salt), []
-                    fps, tables, signs = fps[:0], tables[:0], signs[:0]
-                near = np.flatnonzero(np.abs(tables - table[i]).max(axis=1, initial=0) <= RADIUS) if ids else np.empty(0, "i8")
-                near = near[np.bitwise_count(fps[near] ^ fp[i]) <= RADIUS]
-                near = near[(signs[near] == sign[i]).mean(axis=1) >= similar]
-                if len(near):
-                    leader[i] = ids[near[0]]
-                else:
-                    leader[i] = uid
-                    ids.append(uid)
-                    fps, tables, signs = np.append(fps, fp[i]), np.vstack([tables, table[i]]), np.vstack([signs, sign[i]])
-            yield batch.assign(leader=leader)[["key", "uid", "leader", "fp", "minima"]]
-
-    dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "turn")
-    return dealt.select("key", "salt", "uid", "fp", "minima").mapInPandas(run, "key long, uid long, leader long, fp long, minima binary")
+            sign = np.frombuffer(b"".join(part["minima"]), "<u2").reshape(-1, ORDERS)
+            us, vs = [], []
+            for s, e in zip(bounds[:-1], bounds[1:]):
+
+                def near(i: int, j: np.ndarray, s: int = s) -> np.ndarray:
+                    j = j[np.abs(table[s + j] - table[s + i]).max(axis=1, initial=0) <= RADIUS]
+                    j = j[np.bitwise_count(fp[s + j] ^ fp[s + i]) <= RADIUS]
+                    return j[(sign[s + j] == sign[s + i]).mean(axis=1) >= similar]
+
+                u, v = spanning(e - s, near)
+                us.append(uid[s + u])
+                vs.append(uid[s + v])
+            yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)}).drop_duplicates()
+
+    return rows.select("key", "a", "b", "uid", "fp", "minima").mapInPandas(run, "u long, v long")
 
 
 def similar_classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(uid, root) of sketches() rows of different texts whose shingles are similar, linked through leaders."""
+    """(uid, root) of sketches() rows of different texts whose shingles are similar, and what such links connect."""
     keyed = saved(rows.select("uid", F.explode("keys").alias("key")))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     held = keyed.join(shared, "key").join(rows.select("uid", "fp", "minima"), "uid")
-    # a large group is split into streams, whose leaders then meet in one
-    salt = F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / ROWS_PER_STREAM)).cast("int")
-    held = held.select("key", "uid", "fp", "minima", salt.alias("salt"), F.xxhash64("uid", "key").alias("turn"))
-    first = saved(_led(held, similar))
-    large = shared.where(F.col("n") > ROWS_PER_STREAM).select("key")
-    heads = first.where("uid = leader").join(large, "key").select("key", "uid", "fp", "minima", F.lit(0).alias("salt"), F.xxhash64("uid", "key").alias("turn"))
-    edges = first.select("uid", "leader").union(_led(heads, similar).select("uid", "leader")).where("uid <> leader")
-    return components(edges.select(F.col("uid").alias("u"), F.col("leader").alias("v"))).withColumnRenamed("node", "uid")
+    edges = _linked(_in_pairs(held, F.ceil(F.col("n") / ROWS_PER_STREAM)), similar)
+    return components(edges).withColumnRenamed("node", "uid")
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

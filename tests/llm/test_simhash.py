@@ -132,3 +132,32 @@ def test_signatures_estimate_the_similarity():
     real = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
     (fa, ma), (fb, mb) = simhash.signature(a.encode()), simhash.signature(b.encode())
     assert abs((ma == mb).mean() - real) < 0.12 and (fa ^ fb).bit_count() <= simhash.RADIUS
+
+
+@pytest.mark.parametrize("rows", [simhash.ROWS_PER_STREAM, 3])
+def test_no_link_of_a_family_edited_step_by_step_is_lost(spark, docs, monkeypatch, rows):
+    """Each version is near the versions beside it only, so that no single row leads the family."""
+    monkeypatch.setattr(simhash, "ROWS_PER_STREAM", rows)
+    table = []
+    for g in range(6):
+        words = [f"g{g}w{i}" for i in range(400)]
+        for v in range(40):
+            table.append((g * 100 + v, " ".join(words)))
+            for at in range(v * 5, v * 5 + 5):  # the next version: five words in a row
+                words[at * 2 % 400] = f"g{g}v{v}x{at}"
+    near = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    assert all(near(x[1], y[1]) > 0.87 for x, y in zip(table, table[1:]) if x[0] + 1 == y[0]) and near(table[0][1], table[39][1]) < 0.5
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs(table)).collect()) == [g * 100 for g in range(6)]
+
+
+def test_a_row_is_linked_to_each_near_row_of_its_band(spark):
+    """a is near l, b is near a but not l: b is linked whichever comes first."""
+    base = np.arange(simhash.ORDERS, dtype="<u2")
+    minima = []
+    for changed in (0, 20, 40):
+        m = base.copy()
+        m[:changed] += 1000
+        minima.append(m.tobytes())
+    for ids in ((1, 2, 3), (2, 1, 3), (3, 2, 1), (11, 7, 25)):
+        df = spark.createDataFrame([(i, 0, m, [7]) for i, m in zip(ids, minima)], "uid long, fp long, minima binary, keys array<long>")
+        assert {(r["uid"], r["root"]) for r in simhash.similar_classes(df).collect()} == {(i, min(ids)) for i in ids}
