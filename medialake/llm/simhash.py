@@ -8,7 +8,8 @@ forest of its links, not its pairs.
 
 keep_one() looks further: for five-word shingles and a Jaccard similarity of 0.8, whose fingerprints
 differ in ten bits or so, groups share a band of minima of hash orders, the pivot tables discard with
-a wide radius, and the survivors' minima are compared.
+a wide radius, and minima propose pairs. What proposed pairs connect is a family; inside a family the
+shingle sets themselves are compared, and only they decide.
 """
 
 from __future__ import annotations
@@ -160,6 +161,8 @@ def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, shingle: int = SHINGL
 
 SIMILAR = 0.8
 SIMILAR_WORDS = 5
+#: Minima propose pairs of at least this estimate: four deviations below SIMILAR, so 1 in 20,000 pairs at 0.8 isn't proposed.
+PROPOSED = 0.65
 #: Minima of so many hash orders make a signature; equal ones estimate the Jaccard similarity of shingle sets.
 ORDERS = 128
 BANDS = 16
@@ -168,14 +171,21 @@ BAND_ORDERS = 4
 RADIUS = 26
 #: A larger group is cut into chunks of so many rows, and each pair of chunks is a group of its own.
 ROWS_PER_STREAM = 2048
+#: And of so many bytes of text, where texts are compared.
+BYTES_PER_CHUNK = 8_000_000
 
 
-def signature(data: bytes, k: int = SIMILAR_WORDS) -> tuple[int, np.ndarray]:
-    """(SimHash, ORDERS minima) of the k-word shingles; ASCII case is folded, fewer words are one shingle."""
+def shingle_set(data: bytes, k: int = SIMILAR_WORDS) -> np.ndarray:
+    """Sorted XXH64 values of the distinct k-word shingles; ASCII case is folded, fewer words are one shingle."""
     words = data.lower().split()
     k = max(1, min(k, len(words)))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)], "u8")
+    return np.unique(np.array([digest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)], "u8"))
+
+
+def signature(data: bytes, k: int = SIMILAR_WORDS) -> tuple[int, np.ndarray]:
+    """(SimHash, ORDERS minima) of the distinct k-word shingles."""
+    h = shingle_set(data, k)
     least = np.full(ORDERS, np.uint64(2**64 - 1))
     bits = np.zeros(64, "i8")
     for i in range(0, len(h), 2048):
@@ -194,16 +204,16 @@ _ODD, _PLUS = _orders()
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, digest (of the text), fp, minima (16 bits each), keys: one per band of minima."""
+    """uid, doc_id, digest and size (of the text), fp, minima (16 bits each), keys: one per band of minima."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [signature(t) for t in batch["data"]]
             keys = [[xxhash.xxh64_intdigest(least[b * BAND_ORDERS : (b + 1) * BAND_ORDERS].tobytes(), b) - 2**63 for b in range(BANDS)] for _, least in found]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "fp": np.array([f for f, _ in found], "u8").view("i8"), "minima": [(least >> np.uint64(40)).astype("<u2").tobytes() for _, least in found], "keys": keys})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "size": batch["data"].map(len), "fp": np.array([f for f, _ in found], "u8").view("i8"), "minima": [(least >> np.uint64(40)).astype("<u2").tobytes() for _, least in found], "keys": keys})
 
     rows = docs.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), whole_text().cast("binary").alias("data")).withColumn("digest", F.md5("data"))
-    rows = rows.mapInPandas(run, "doc_id decimal(20,0), digest string, fp long, minima binary, keys array<long>")
+    rows = rows.mapInPandas(run, "doc_id decimal(20,0), digest string, size long, fp long, minima binary, keys array<long>")
     return rows.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("uid", F.monotonically_increasing_id())
 
 
@@ -272,7 +282,7 @@ def _linked(rows: DataFrame, similar: float) -> DataFrame:
 
 
 def similar_classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(uid, root) of sketches() rows of different texts whose shingles are similar, and what such links connect."""
+    """(uid, root) of sketches() rows whose minima are similar, and what such links connect."""
     keyed = saved(rows.select("uid", F.explode("keys").alias("key")))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     held = keyed.join(shared, "key").join(rows.select("uid", "fp", "minima"), "uid")
@@ -280,18 +290,64 @@ def similar_classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return components(edges).withColumnRenamed("node", "uid")
 
 
+def alike(sets: list[np.ndarray], i: int, others: np.ndarray, similar: float) -> np.ndarray:
+    """Those of the others whose shingle set has a Jaccard similarity of ``similar`` or more to that of i."""
+    one, size = sets[i], np.array([len(sets[j]) for j in others], "i8")
+    able = np.minimum(size, len(one)) >= similar * np.maximum(size, len(one)) - 0.5  # the sizes alone allow it
+    others, size = others[able], size[able]
+    if not len(others):
+        return others
+    shared = np.empty(len(others), "i8")
+    for k, j in enumerate(others):
+        at = np.searchsorted(one, sets[j])
+        shared[k] = np.count_nonzero(one[np.minimum(at, len(one) - 1)] == sets[j]) if len(one) else 0
+    union = len(one) + size - shared
+    return others[np.where(union > 0, shared / np.maximum(union, 1), 1.0) >= similar]  # without words: alike
+
+
+def verified(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(u, v): a spanning forest of the pairs of a family (key) whose shingle sets are similar, from uid, minima, data."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, bounds in _whole(batches):
+            us, vs = [], []
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                uid = part["uid"].to_numpy("i8")[s:e]
+                sign = np.frombuffer(b"".join(part["minima"].iloc[s:e]), "<u2").reshape(-1, ORDERS)
+                sets = [shingle_set(x) for x in part["data"].iloc[s:e]]
+
+                def near(i: int, j: np.ndarray, sign: np.ndarray = sign, sets: list = sets) -> np.ndarray:
+                    return alike(sets, i, j[(sign[j] == sign[i]).mean(axis=1) >= min(PROPOSED, similar)], similar)
+
+                u, v = spanning(e - s, near)
+                us.append(uid[u])
+                vs.append(uid[v])
+            yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    chunks = F.ceil(F.greatest(F.col("n") / ROWS_PER_STREAM, F.col("bytes") / BYTES_PER_CHUNK, F.lit(1)))
+    dealt = _in_pairs(rows.join(sizes, "key"), chunks)
+    return dealt.select("key", "a", "b", "uid", "minima", "data").mapInPandas(run, "u long, v long")
+
+
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row of docs per group of near copies: of its smallest doc_id, null ones last.
 
-    Equal texts are copies; so are texts whose sets of five-word shingles have an (estimated) Jaccard
-    similarity of ``similar`` or more, and what such links connect. Texts without words are copies of
-    each other. Repeated rows come once; an empty table gives an empty one.
+    Equal texts are copies; so are texts whose sets of five-word shingles have a Jaccard similarity of
+    ``similar`` or more, and what such links connect. Minima propose what is compared; the sets decide.
+    Texts without words are copies of each other. Repeated rows come once; an empty table gives an
+    empty one.
     """
     rows = saved(sketches(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid")).alias("head")
     texts = saved(rows.groupBy("digest").agg(first).select("digest", F.col("head.doc_id").alias("doc_id"), F.col("head.uid").alias("uid")))
-    own = saved(rows.join(texts.select("uid"), "uid", "left_semi").select("uid", "fp", "minima", "keys"))
-    placed = texts.join(similar_classes(own, similar), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    own = saved(rows.join(texts.select("uid"), "uid", "left_semi").select("uid", "digest", "size", "fp", "minima", "keys"))
+    families = similar_classes(own, min(PROPOSED, similar)).withColumnRenamed("root", "key")
+    members = saved(own.drop("fp", "keys").join(families, "uid"))
+    data = docs.select(F.md5(whole_text().cast("binary")).alias("digest"), whole_text().cast("binary").alias("data"))
+    data = data.join(members.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("data").alias("data"))
+    edges = verified(members.join(data, "digest"), similar)
+    placed = texts.join(components(edges).withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     head = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest")).alias("head"))
     head = head.select(F.col("head.doc_id").alias("__id"), F.col("head.digest").alias("__kept"))
     keyed = docs.withColumn("__digest", F.md5(whole_text().cast("binary")))

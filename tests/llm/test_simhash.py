@@ -161,3 +161,26 @@ def test_a_row_is_linked_to_each_near_row_of_its_band(spark):
     for ids in ((1, 2, 3), (2, 1, 3), (3, 2, 1), (11, 7, 25)):
         df = spark.createDataFrame([(i, 0, m, [7]) for i, m in zip(ids, minima)], "uid long, fp long, minima binary, keys array<long>")
         assert {(r["uid"], r["root"]) for r in simhash.similar_classes(df).collect()} == {(i, min(ids)) for i in ids}
+
+
+def test_near_copies_are_decided_by_the_shingles_themselves(spark, docs):
+    """Pairs a little above and below 0.8: the ones go, the others stay, without exception."""
+    rng = np.random.default_rng(11)
+    table, want = [], []
+    for g in range(60):
+        words = [f"g{g}w{i}" for i in range(500)]
+        other = list(words)
+        for at in rng.choice(np.arange(0, 500, 5), 5 + g % 14, replace=False):
+            other[at] = f"g{g}x{at}"
+        a, b = shingles(" ".join(words)), shingles(" ".join(other))
+        table += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+        want += [2 * g] + [2 * g + 1] * (len(a & b) / len(a | b) < 0.8)
+    assert 75 < len(want) < 110
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs(table)).collect()) == want
+
+
+def test_repeated_shingles_do_not_discard():
+    """The same set of shingles has one fingerprint, however often they are there."""
+    words = [f"w{i}" for i in range(300)]
+    few, many = (" ".join(words + ["x"] * n).encode() for n in (20, 2000))
+    assert simhash.signature(few)[0] == simhash.signature(many)[0]
