@@ -15,7 +15,6 @@ one, is in texts of its own kind.
 from __future__ import annotations
 
 import itertools
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,17 +25,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled, whole_text
+from .common import labelled, saved, whole_text
 
-#: The fit sees at most so many labelled rows of each kind, and so many characters of each.
+#: The fit sees at most so many labelled rows of each kind, each as a whole.
 FIT_ROWS = 3000
-FIT_CHARS = 10_000
+FIT_PARTS = 16
 DICT_BYTES = 3072
 WINDOW_BYTES = 48
 SPELL_BYTES = 12
 UNIT_BYTES = (4, 5, 6, 7, 8)
 LEAST_TEXTS = 3
 LEAST_Z = 4.0
+GAPS = (3, 5, 7, 9)
 MOST_OFTEN = 4
 FEW = 50
 #: A text of at least this score is toxic.
@@ -120,23 +120,36 @@ def units(text: str) -> Counter:
     return Counter({u: min(n, MOST_OFTEN) for u, n in out.items()})
 
 
-def contrast(texts: list[str], toxic: list[int]) -> dict[bytes, float]:
-    """Unit -> z-score of how often it is in toxic against ordinary texts; rare ones are left out."""
-    total, square, seen, sizes = (Counter(), Counter()), Counter(), Counter(), [0, 0]
-    for text, y in zip(texts, toxic):
-        sizes[y] += 1
-        found = units(text)
-        total[y].update(found)
-        seen.update(found.keys())
-        square.update({u: n * n for u, n in found.items()})
-    n0, n1 = max(1, sizes[0]), max(1, sizes[1])
-    n, out = n0 + n1, {}
-    for u, k in seen.items():
-        if k >= LEAST_TEXTS:
-            mean = (total[0][u] + total[1][u]) / n
-            spread = max(square[u] / n - mean * mean, 1 / n)
-            out[u] = (total[1][u] / n1 - total[0][u] / n0) / math.sqrt(spread * (1 / n0 + 1 / n1))
-    return out
+def contrast(train: DataFrame, sizes: tuple[int, int]) -> DataFrame:
+    """(unit, z): z-score of how often a unit is in toxic against ordinary texts (text, y); rare ones are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            total, square, seen = (Counter(), Counter()), Counter(), Counter()
+            for text, y in zip(batch["text"], batch["y"]):
+                found = units(text)
+                total[y].update(found)
+                seen.update(found.keys())
+                square.update({u: n * n for u, n in found.items()})
+            yield pd.DataFrame([(u, total[0][u], total[1][u], square[u], k) for u, k in seen.items()], columns=["unit", "t0", "t1", "square", "seen"])
+
+    n0, n1 = (max(1, n) for n in sizes)
+    sums = train.mapInPandas(run, "unit binary, t0 long, t1 long, square long, seen long").groupBy("unit").agg(*(F.sum(c).alias(c) for c in ("t0", "t1", "square", "seen")))
+    mean = (F.col("t0") + F.col("t1")) / (n0 + n1)
+    spread = F.greatest(F.col("square") / (n0 + n1) - mean * mean, F.lit(1 / (n0 + n1)))
+    return sums.where(F.col("seen") >= LEAST_TEXTS).select("unit", ((F.col("t1") / n1 - F.col("t0") / n0) / F.sqrt(spread * (1 / n0 + 1 / n1))).alias("z"))
+
+
+def commonest(train: DataFrame) -> list[bytes]:
+    """The DICT_BYTES most frequent words of ordinary texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            count = Counter(w for t in batch["text"] for w in words(t))
+            yield pd.DataFrame(list(count.items()), columns=["word", "n"])
+
+    sums = train.where("y = 0").mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [bytes(r["word"]) for r in sums.orderBy(F.desc("n"), "word").limit(DICT_BYTES).collect()]
 
 
 def dictionaries(z: dict[bytes, float], frequent: list[bytes], least: float) -> tuple[bytes, bytes]:
@@ -157,41 +170,58 @@ def dictionaries(z: dict[bytes, float], frequent: list[bytes], least: float) ->
     return ordinary[-4 * DICT_BYTES :] + FILLER, kind() + FILLER
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """Dictionaries from two thirds of the rows, thresholds from the others; one kind alone scores 0."""
-    texts: dict[str, int] = {}
-    for text, y in rows:
-        texts[text] = max(y, texts.get(text, 0))
-    train = [x for i, x in enumerate(sorted(texts.items())) if i % 3]
-    check = [x for i, x in enumerate(sorted(texts.items())) if not i % 3]
-    if not any(y for _, y in train) or all(y for _, y in train):
-        return Model((b"", b""), 0, 0, 0.0)
-    z = contrast([t for t, _ in train], [y for _, y in train])
-    if not any(y for _, y in check) or all(y for _, y in check):
-        check = train
-    frequent = [w for w, _ in sorted(Counter(w for t, y in train if not y for w in words(t)).items(), key=lambda x: (-x[1], x[0]))[:DICT_BYTES]]
-    y = np.array([y for _, y in check])
-    counted = [Counter(words(t)) for t, _ in check]
-    size = np.array([c.total() for c in counted])
-    best, top = None, max(z.values(), default=0.0)
-    for share in (0.15, 0.2, 0.3, 0.4, 0.5):
-        pair = dictionaries(z, frequent, max(LEAST_Z, top * share))
-        gap = Gap(pair)
-        for least in (3, 5, 7, 9):
-            hits = np.array([sum(n for w, n in c.items() if gap(w) >= least) for c in counted])
-            for count, rate in itertools.product((1, 2, 3, 4), (0.0, 0.001, 0.002, 0.004)):
-                said = hits >= enough(size, count, rate)
-                right = said[y == 1].mean() - REJECT_COST * said[y == 0].mean()
-                key = (round(right, 2), share, least, -count, -rate)
-                if best is None or key > best[0]:
-                    best = key, Model(pair, least, count, rate)
-    return best[1]
+def hits(check: DataFrame, pairs: list[tuple[bytes, bytes]]) -> list:
+    """Rows (y, size, hits) of whole texts: their label, their windows, and hits by pair of dictionaries and gap."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gaps = [Gap(pair) for pair in pairs]
+        for batch in batches:
+            counted = [Counter(words(t)) for t in batch["text"]]
+            found = [[0] * (len(GAPS) * len(pairs)) for _ in counted]
+            for k, gap in enumerate(gaps):
+                for c, out in zip(counted, found):
+                    for w, n in c.items():
+                        g = gap(w)
+                        for at, least in enumerate(GAPS):
+                            out[k * len(GAPS) + at] += n * (g >= least)
+            yield pd.DataFrame({"y": batch["y"], "size": [c.total() for c in counted], "hits": found})
+
+    return check.mapInPandas(run, "y int, size long, hits array<long>").collect()
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, parts: int = 5, remainder: int = 0) -> Model:
-    """fit() on at most FIT_ROWS rows of each label that aren't held out, FIT_CHARS characters of each."""
-    picked = labelled(docs, labels, "toxic", parts, remainder, FIT_ROWS)
-    return fit([(r["text"], r["y"]) for r in picked.select(F.substring("text", 1, FIT_CHARS).alias("text"), "y").collect()])
+    """A model of at most FIT_ROWS rows of each label that aren't held out, read as whole texts by tasks.
+
+    Dictionaries come from two thirds of the different texts, thresholds from the others; one kind alone
+    scores 0. The driver gets digests, the units that stand out, and counts, a row a text; no text.
+    """
+    picked = labelled(docs, labels, "toxic", parts, remainder, FIT_ROWS).withColumn("digest", F.md5(F.col("text").cast("binary")))
+    rows = saved(picked.repartition(FIT_PARTS, "digest").groupBy("digest").agg(F.first("text").alias("text"), F.max("y").alias("y")))
+    known = sorted((r["digest"], r["y"]) for r in rows.select("digest", "y").collect())
+    # every third text, by its digest, is for thresholds
+    held, kinds = [d for d, _ in known[::3]], [y for i, (_, y) in enumerate(known) if i % 3]
+    if len(set(kinds)) < 2:
+        return Model((b"", b""), 0, 0, 0.0)
+    marks = F.broadcast(docs.sparkSession.createDataFrame([(d,) for d in held], "digest string"))
+    train = rows.join(marks, "digest", "left_anti")
+    check = rows.join(marks, "digest", "left_semi") if len({y for _, y in known[::3]}) == 2 else train
+    # no threshold below LEAST_Z is tried, so no other unit is needed
+    z = {bytes(r["unit"]): r["z"] for r in contrast(train, (kinds.count(0), kinds.count(1))).where(F.col("z") >= LEAST_Z).collect()}
+    frequent, top = commonest(train), max(z.values(), default=0.0)
+    shares = (0.15, 0.2, 0.3, 0.4, 0.5)
+    pairs = [dictionaries(z, frequent, max(LEAST_Z, top * share)) for share in shares]
+    found = hits(check, pairs)
+    y, size, table = np.array([r["y"] for r in found]), np.array([r["size"] for r in found]), np.array([r["hits"] for r in found])
+    best = None
+    for (k, share), (at, least) in itertools.product(enumerate(shares), enumerate(GAPS)):
+        hit = table[:, k * len(GAPS) + at]
+        for count, rate in itertools.product((1, 2, 3, 4), (0.0, 0.001, 0.002, 0.004)):
+            said = hit >= enough(size, count, rate)
+            right = said[y == 1].mean() - REJECT_COST * said[y == 0].mean()
+            key = (round(right, 2), share, least, -count, -rate)
+            if best is None or key > best[0]:
+                best = key, Model(pairs[k], least, count, rate)
+    return best[1]
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

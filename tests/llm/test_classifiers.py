@@ -50,3 +50,14 @@ def test_pairs_rank_the_good_above_the_bad():
     model = quality.fit(x, y)
     s = model(x)
     assert np.mean((s >= quality.CUT) == (y == 1)) > 0.95
+
+
+def test_the_fit_reads_whole_texts(spark, docs):
+    """Toxic passages that stand after 12,000 characters of ordinary words are learned."""
+    rng = np.random.default_rng(3)
+    plain = [f"plain{i}" for i in range(300)]
+    rows = [(i, " ".join([*rng.choice(plain, 1600), *rng.choice(["nastyword", "vilephrase", "foulname"] if i % 2 else plain, 6)])) for i in range(120)]
+    assert all(len(" ".join(t.split()[:1600])) > 11_000 for _, t in rows)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    score = toxicity.fit_rows(docs(rows), labels).scorer()
+    assert np.mean([(score(t) >= toxicity.CUT) == i % 2 for i, t in rows]) > 0.95
