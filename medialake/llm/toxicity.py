@@ -1,10 +1,10 @@
 """Toxicity by compression distance to two zstandard dictionaries.
 
 A dictionary of toxic text and one of ordinary text are built from labelled rows. Every word of
-a text is a window: it is compressed with either dictionary, and the lengths are compared. How much
+a text is a window, a long one several, so that every byte is in a window: it is compressed with either dictionary, and the lengths are compared. How much
 shorter a window must be, and how many such windows make a text toxic, is calibrated on labelled
 rows that the dictionaries were not built from. Windows are spelled so that each letter depends on the ones
-before: a match in the middle of another word is none.
+before: a match in the middle of a window is none.
 
 Whole-text dictionaries from zstandard's own trainer, and windows of 64 bytes, do not tell the two
 kinds apart here (the lengths of both overlap): the trainer ranks by frequency, and what is frequent
@@ -31,8 +31,7 @@ from .common import labelled, saved, whole_text
 FIT_ROWS = 3000
 FIT_PARTS = 16
 DICT_BYTES = 3072
-WINDOW_BYTES = 48
-SPELL_BYTES = 12
+WINDOW_BYTES = 12
 UNIT_BYTES = (4, 5, 6, 7, 8)
 LEAST_TEXTS = 3
 LEAST_Z = 4.0
@@ -48,16 +47,27 @@ WORD = re.compile(rb"[^\x00-\x2f:-@\[-`{-\x7f]+")
 FILLER = b"<<window of text>> "
 
 
+def windows(run: bytes) -> list[bytes]:
+    """Windows of at most WINDOW_BYTES that cover a run: consecutive ones and, as scripts of wide characters
+    (three bytes or more) may have no spaces, one at each wide character."""
+    if len(run) <= WINDOW_BYTES:
+        return [run]
+    if max(run) < 0xE0:
+        return [run[i : i + WINDOW_BYTES] for i in range(0, len(run), WINDOW_BYTES)]
+    wide = {i for i, byte in enumerate(run) if byte >= 0xE0}
+    return [run[i : i + WINDOW_BYTES] for i in sorted(wide | set(range(0, len(run), WINDOW_BYTES)))]
+
+
 def words(text: str) -> list[bytes]:
-    """Lower-case runs of letters and digits, cut at WINDOW_BYTES."""
+    """The windows of lower-case runs of letters and digits."""
     found = WORD.findall(text.lower().encode("utf-8", "replace"))
-    return [p for w in found for p in ([w] if len(w) <= WINDOW_BYTES else [w[i : i + WINDOW_BYTES] for i in range(0, len(w), WINDOW_BYTES)])]
+    return [p for w in found for p in ([w] if len(w) <= WINDOW_BYTES else windows(w))]
 
 
 def spelled(word: bytes) -> bytes:
-    """The first bytes of a word, each as three that depend on all before it, so that only common starts match."""
+    """The bytes of a window, each as three that depend on all before it, so that only common starts match."""
     out, h = bytearray(), 0
-    for byte in word[:SPELL_BYTES]:
+    for byte in word:
         h = (h * 40_503 + byte + 1) & 0xFFFFFF
         out += bytes((h >> 16, h >> 8 & 255, h & 255))
     return bytes(out)

@@ -61,3 +61,24 @@ def test_the_fit_reads_whole_texts(spark, docs):
     labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
     score = toxicity.fit_rows(docs(rows), labels).scorer()
     assert np.mean([(score(t) >= toxicity.CUT) == i % 2 for i, t in rows]) > 0.95
+
+
+def test_every_byte_of_a_text_is_in_a_window_that_is_compressed():
+    for run in ("a" * 12, "abcdefghijklm" * 5, "日本語の長い文章です" * 4, "é" * 31, "ab日" * 9, "x" * 100):
+        data = run.encode()
+        found = toxicity.words(run)
+        at, end = -1, 0
+        for w in found:
+            at = data.index(w, at + 1) if at < 0 or len(set(run)) > 1 else end
+            assert at <= end
+            end = max(end, at + len(w))
+        assert end == len(data)
+        for w in found:  # each byte of a window changes what is compressed
+            assert all(toxicity.spelled(w[:i] + b"!" + w[i + 1 :]) != toxicity.spelled(w) for i in range(len(w)))
+
+
+def test_a_toxic_word_is_found_within_a_text_without_spaces():
+    bad = "悪口雑言"
+    gap = toxicity.Gap(toxicity.dictionaries({bad.encode(): 9.0}, ["普通の話".encode()], 3.0))
+    assert max(map(gap, toxicity.words("今日はとても良い天気で" + bad + "と言われました"))) > 3
+    assert max(map(gap, toxicity.words("今日はとても良い天気でしたので散歩をしてから帰りました"))) <= 1
