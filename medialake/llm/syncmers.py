@@ -25,7 +25,8 @@ WORD_END = r"\s+|(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai
 def with_syncmers(df: DataFrame, text: str, anchors: str, places: str) -> DataFrame:
     """Adds the anchors of a text column (24-bit hashes, array<long>) and their word positions.
 
-    A text of fewer than K words has one anchor, the hash of all of them; one without words none.
+    A text of fewer than K words has one anchor, the hash of all of them; one of more words of which no
+    run is chosen (of up to K + K - S - 2 words) has its run of least hash; one without words has none.
     """
     words = F.filter(F.split(F.col(text), WORD_END), lambda w: w != "")
     df = df.withColumn("__h", F.transform(words, lambda w: F.xxhash64(w)))
@@ -40,9 +41,11 @@ def with_syncmers(df: DataFrame, text: str, anchors: str, places: str) -> DataFr
         return (first == least) | (last == least)
 
     runs = F.filter(F.sequence(F.lit(0), n - K), chosen)
-    df = df.withColumn(places, F.when(n >= K, runs).when(n > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn("__r", F.when(n >= K, runs).when(n > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
+    least = F.array_min(F.transform(F.sequence(F.lit(0), n - K), lambda i: F.struct(F.xxhash64(F.slice("__h", i + 1, K)).alias("hash"), i.alias("place"))))["place"]
+    df = df.withColumn(places, F.when((F.size("__r") == 0) & (n >= K), F.array(least)).otherwise(F.col("__r")))
     hashes = F.transform(places, lambda i: F.xxhash64(F.slice("__h", i + 1, K)).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-    return df.withColumn(anchors, hashes).drop("__h", "__s", "__m")
+    return df.withColumn(anchors, hashes).drop("__h", "__s", "__m", "__r")
 
 
 def spelled(anchors: str) -> Column:

@@ -66,3 +66,13 @@ def test_odd_rows(spark, odd, docs):
 def test_no_python_in_the_plan(spark):
     plan = queries.op1_syncmers(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_short_texts_have_anchors_of_their_own(spark, docs):
+    """Texts of 6, 7 and 8 words: none is without an anchor, and different ones aren't alike."""
+    table = [(100 * n + k, " ".join(f"a{n}b{k}c{w}" for w in range(n))) for n in (6, 7, 8) for k in range(40)]
+    rows = syncmers.fingerprints(docs(table)).collect()
+    assert len(rows) == len(table) and all(r["anchors"] and r["near_next"] == 0.0 for r in rows)
+    assert all(0 <= p <= 2 for r in rows for p in r["places"])
+    twice = syncmers.fingerprints(docs([(1, table[50][1]), (2, table[50][1])])).collect()
+    assert all(r["near_next"] == 1.0 for r in twice)
