@@ -1,15 +1,14 @@
 """Toxicity by compression distance to two zstandard dictionaries.
 
-A dictionary of toxic text and one of ordinary text are built from labelled rows. Every word of
-a text is a window, a long one several, so that every byte is in a window: it is compressed with either dictionary, and the lengths are compared. How much
-shorter a window must be, and how many such windows make a text toxic, is calibrated on labelled
-rows that the dictionaries were not built from. Windows are spelled so that each letter depends on the ones
-before: a match in the middle of a window is none.
-
-Whole-text dictionaries from zstandard's own trainer, and windows of 64 bytes, do not tell the two
-kinds apart here (the lengths of both overlap): the trainer ranks by frequency, and what is frequent
-is common to both. So a dictionary's content is ranked by how much more often a word, or the start of
-one, is in texts of its own kind.
+zstandard's own trainer makes one dictionary of windows of toxic text and one of windows of ordinary
+text. A window is a run of letters and digits between two spaces, a long run several overlapping ones,
+so that every letter is in a window. A text's windows are compressed with either dictionary; how many
+bytes shorter the toxic one must make a window, and how many such windows make a text toxic, is
+calibrated on labelled rows that the dictionaries were not trained on, as is the trainer's segment size.
+
+The trainer keeps what is frequent, and most of a toxic text is as ordinary as any other. So the toxic
+dictionary is trained on those windows of toxic texts that stand out: that hold a unit (a word or the
+start of one) which is in far more toxic texts than ordinary ones.
 """
 
 from __future__ import annotations
@@ -30,57 +29,62 @@ from .common import labelled, saved, whole_text
 #: The fit sees at most so many labelled rows of each kind, each as a whole.
 FIT_ROWS = 3000
 FIT_PARTS = 16
-DICT_BYTES = 3072
-WINDOW_BYTES = 12
+DICT_BYTES = 8192
+#: The trainer's segments (k) and what it counts (d); k is calibrated.
+SEGMENTS = (32, 48, 64)
+COUNTED = 8
+#: The trainer reads so many windows or so, each as often as its share asks, of so many different ordinary ones.
+TRAINED_WINDOWS = 100_000
+ORDINARY_WINDOWS = 20_000
+WINDOW_BYTES = 32
+WIDE_BYTES = 12
 UNIT_BYTES = (4, 5, 6, 7, 8)
 LEAST_TEXTS = 3
-LEAST_Z = 4.0
-GAPS = (3, 5, 7, 9)
-MOST_OFTEN = 4
+#: Standing out begins at these z-scores; which one is calibrated.
+LEAST_Z = (6.0, 8.0)
+GAPS = (2, 3, 4, 5, 6)
+COUNTS = (1, 2, 3, 4)
+SHARES = (0.0, 0.001, 0.002, 0.004, 0.008)
+#: Under so many windows a hit, a short text needs fewer hits than the count.
 FEW = 50
 #: A text of at least this score is toxic.
 CUT = 0.5
 #: What it costs to reject a clean text, in toxic texts kept (as shares of their kind).
 REJECT_COST = 5
 CACHE_WORDS = 300_000
+SEED = 10
 WORD = re.compile(rb"[^\x00-\x2f:-@\[-`{-\x7f]+")
+#: Ends each window, and either dictionary: zstandard looks for no match in the last bytes of its input.
 FILLER = b"<<window of text>> "
 
 
 def windows(run: bytes) -> list[bytes]:
-    """Windows of at most WINDOW_BYTES that cover a run: consecutive ones and, as scripts of wide characters
-    (three bytes or more) may have no spaces, one at each wide character."""
-    if len(run) <= WINDOW_BYTES:
-        return [run]
+    """Overlapping windows that cover a long run; scripts of wide characters (three bytes or more), which may
+    have no spaces, have a short one at each wide character."""
     if max(run) < 0xE0:
-        return [run[i : i + WINDOW_BYTES] for i in range(0, len(run), WINDOW_BYTES)]
+        half = WINDOW_BYTES // 2
+        return [run[i : i + WINDOW_BYTES] for i in range(0, max(1, len(run) - half), half)]
     wide = {i for i, byte in enumerate(run) if byte >= 0xE0}
-    return [run[i : i + WINDOW_BYTES] for i in sorted(wide | set(range(0, len(run), WINDOW_BYTES)))]
+    return [run[i : i + WIDE_BYTES] for i in sorted(wide | set(range(0, len(run), WIDE_BYTES)))]
 
 
 def words(text: str) -> list[bytes]:
-    """The windows of lower-case runs of letters and digits."""
+    """The windows of a text: its lower-case runs of letters and digits, whole if they are short."""
     found = WORD.findall(text.lower().encode("utf-8", "replace"))
-    return [p for w in found for p in ([w] if len(w) <= WINDOW_BYTES else windows(w))]
-
-
-def spelled(word: bytes) -> bytes:
-    """The bytes of a window, each as three that depend on all before it, so that only common starts match."""
-    out, h = bytearray(), 0
-    for byte in word:
-        h = (h * 40_503 + byte + 1) & 0xFFFFFF
-        out += bytes((h >> 16, h >> 8 & 255, h & 255))
-    return bytes(out)
+    return [p for w in found for p in ([w] if len(w) <= WIDE_BYTES else windows(w))]
 
 
 class Gap:
-    """How many bytes fewer a word takes with the toxic dictionary than with the ordinary one."""
+    """How many bytes fewer a window takes with the toxic dictionary than with the ordinary one."""
 
     def __init__(self, dictionaries: tuple[bytes, bytes]):
         import zstandard as z
 
-        how = z.ZstdCompressionParameters.from_level(3, window_log=14, hash_log=12, chain_log=12, search_log=10, min_match=4, strategy=z.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.ordinary, self.toxic = (z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how) for d in dictionaries)
+        def compressor(d: bytes) -> z.ZstdCompressor:
+            how = z.ZstdCompressionParameters.from_level(3, source_size=64, dict_size=len(d), min_match=4, strategy=z.STRATEGY_GREEDY, search_log=8, write_content_size=False, write_checksum=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS)
+            return z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d), compression_params=how)
+
+        self.ordinary, self.toxic = map(compressor, dictionaries)
         self.cache: dict[bytes, int] = {}
 
     def __call__(self, word: bytes) -> int:
@@ -88,7 +92,7 @@ class Gap:
         if gap is None:
             if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
-            window = spelled(word) + FILLER  # zstandard looks for no match in the last bytes
+            window = b" %b %b" % (word, FILLER)
             gap = self.cache[word] = len(self.ordinary.compress(window)) - len(self.toxic.compress(window))
         return gap
 
@@ -121,63 +125,53 @@ class Model:
         return score
 
 
-def units(text: str) -> Counter:
-    """The words of a text and what they start with, each as often as it is there, up to MOST_OFTEN."""
-    out: Counter = Counter()
-    for w, n in Counter(words(text)).items():
-        for u in {w, *(w[:k] for k in UNIT_BYTES if len(w) > k)}:
-            out[u] += n
-    return Counter({u: min(n, MOST_OFTEN) for u, n in out.items()})
+def units(word: bytes) -> list[bytes]:
+    return [word, *(word[:k] for k in UNIT_BYTES if len(word) > k)]
 
 
 def contrast(train: DataFrame, sizes: tuple[int, int]) -> DataFrame:
-    """(unit, z): z-score of how often a unit is in toxic against ordinary texts (text, y); rare ones are left out."""
+    """(unit, z): z-score of the share of toxic texts that hold a unit against ordinary ones (text, y); rare ones are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            total, square, seen = (Counter(), Counter()), Counter(), Counter()
+            held = (Counter(), Counter())
             for text, y in zip(batch["text"], batch["y"]):
-                found = units(text)
-                total[y].update(found)
-                seen.update(found.keys())
-                square.update({u: n * n for u, n in found.items()})
-            yield pd.DataFrame([(u, total[0][u], total[1][u], square[u], k) for u, k in seen.items()], columns=["unit", "t0", "t1", "square", "seen"])
+                held[y].update({u for w in set(words(text)) for u in units(w)})
+            yield pd.DataFrame([(u, held[0][u], held[1][u]) for u in {*held[0], *held[1]}], columns=["unit", "t0", "t1"])
 
     n0, n1 = (max(1, n) for n in sizes)
-    sums = train.mapInPandas(run, "unit binary, t0 long, t1 long, square long, seen long").groupBy("unit").agg(*(F.sum(c).alias(c) for c in ("t0", "t1", "square", "seen")))
+    sums = train.mapInPandas(run, "unit binary, t0 long, t1 long").groupBy("unit").agg(F.sum("t0").alias("t0"), F.sum("t1").alias("t1"))
     mean = (F.col("t0") + F.col("t1")) / (n0 + n1)
-    spread = F.greatest(F.col("square") / (n0 + n1) - mean * mean, F.lit(1 / (n0 + n1)))
-    return sums.where(F.col("seen") >= LEAST_TEXTS).select("unit", ((F.col("t1") / n1 - F.col("t0") / n0) / F.sqrt(spread * (1 / n0 + 1 / n1))).alias("z"))
+    spread = F.greatest(mean * (1 - mean), F.lit(1 / (n0 + n1)))
+    z = (F.col("t1") / n1 - F.col("t0") / n0) / F.sqrt(spread * (1 / n0 + 1 / n1))
+    return sums.where(F.col("t1") >= LEAST_TEXTS).select("unit", z.alias("z"))
 
 
-def commonest(train: DataFrame) -> list[bytes]:
-    """The DICT_BYTES most frequent words of ordinary texts."""
+def counted(train: DataFrame, z: dict[bytes, float]) -> DataFrame:
+    """(window, y, z, n): the windows of the training texts, the z-score of what stands out in them (0: nothing), how often they are there."""
+    state = train.sparkSession.sparkContext.broadcast(z)  # the units of at most 2 * FIT_ROWS texts that stand out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        z_ = state.value
         for batch in batches:
-            count = Counter(w for t in batch["text"] for w in words(t))
-            yield pd.DataFrame(list(count.items()), columns=["word", "n"])
-
-    sums = train.where("y = 0").mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in sums.orderBy(F.desc("n"), "word").limit(DICT_BYTES).collect()]
+            for y, texts in batch.groupby("y")["text"]:
+                n = Counter(w for t in texts for w in words(t))
+                yield pd.DataFrame({"window": list(n), "y": y, "z": [max(z_.get(u, 0.0) for u in units(w)) for w in n], "n": list(n.values())})
 
+    return train.mapInPandas(run, "window binary, y int, z double, n long").groupBy("window", "y", "z").agg(F.sum("n").alias("n"))
 
-def dictionaries(z: dict[bytes, float], frequent: list[bytes], least: float) -> tuple[bytes, bytes]:
-    """Of frequent ordinary words, and of the units whose z-score passes ``least``; the strongest stand last."""
 
-    def kind() -> bytes:
-        out, taken = b"", []
-        for w in sorted((w for w in z if z[w] >= least and len(w) >= UNIT_BYTES[0]), key=lambda w: (-z[w], -len(w), w)):
-            if any(w.startswith(t) or t.startswith(w) for t in taken):
-                continue
-            if len(out) + 3 * len(w) > DICT_BYTES:
-                break
-            taken.append(w)
-            out = spelled(w) + out
-        return out
+def dictionary(windows: list[tuple[bytes, int]], segment: int) -> bytes:
+    """zstandard's dictionary of (window, times); of windows too few to train on, the windows themselves."""
+    import zstandard as z
 
-    ordinary = b"".join(spelled(w) for w in reversed(frequent) if len(w) >= UNIT_BYTES[0] and z.get(w, 0.0) < least)
-    return ordinary[-4 * DICT_BYTES :] + FILLER, kind() + FILLER
+    total = sum(n for _, n in windows)
+    samples = [b" %b " % w for w, n in sorted(windows) for _ in range(-(-n * TRAINED_WINDOWS // max(TRAINED_WINDOWS, total)))]
+    samples = [samples[i] for i in np.random.default_rng(SEED).permutation(len(samples))]
+    try:
+        return z.train_dictionary(DICT_BYTES, samples, k=segment, d=COUNTED, level=1).as_bytes() + FILLER
+    except z.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-DICT_BYTES:] + FILLER
 
 
 def hits(check: DataFrame, pairs: list[tuple[bytes, bytes]]) -> list:
@@ -202,8 +196,9 @@ def hits(check: DataFrame, pairs: list[tuple[bytes, bytes]]) -> list:
 def fit_rows(docs: DataFrame, labels: DataFrame, parts: int = 5, remainder: int = 0) -> Model:
     """A model of at most FIT_ROWS rows of each label that aren't held out, read as whole texts by tasks.
 
-    Dictionaries come from two thirds of the different texts, thresholds from the others; one kind alone
-    scores 0. The driver gets digests, the units that stand out, and counts, a row a text; no text.
+    Dictionaries come from two thirds of the different texts, thresholds from the others; a text that
+    is labelled both ways counts as toxic; one kind alone scores 0. The driver gets digests, the units and
+    windows that stand out, the most frequent ordinary windows, and counts, a row a text; no text.
     """
     picked = labelled(docs, labels, "toxic", parts, remainder, FIT_ROWS).withColumn("digest", F.md5(F.col("text").cast("binary")))
     rows = saved(picked.repartition(FIT_PARTS, "digest").groupBy("digest").agg(F.first("text").alias("text"), F.max("y").alias("y")))
@@ -215,22 +210,20 @@ def fit_rows(docs: DataFrame, labels: DataFrame, parts: int = 5, remainder: int
     marks = F.broadcast(docs.sparkSession.createDataFrame([(d,) for d in held], "digest string"))
     train = rows.join(marks, "digest", "left_anti")
     check = rows.join(marks, "digest", "left_semi") if len({y for _, y in known[::3]}) == 2 else train
-    # no threshold below LEAST_Z is tried, so no other unit is needed
-    z = {bytes(r["unit"]): r["z"] for r in contrast(train, (kinds.count(0), kinds.count(1))).where(F.col("z") >= LEAST_Z).collect()}
-    frequent, top = commonest(train), max(z.values(), default=0.0)
-    shares = (0.15, 0.2, 0.3, 0.4, 0.5)
-    pairs = [dictionaries(z, frequent, max(LEAST_Z, top * share)) for share in shares]
+    z = {bytes(r["unit"]): r["z"] for r in contrast(train, (kinds.count(0), kinds.count(1))).where(F.col("z") >= LEAST_Z[0]).collect()}
+    seen = saved(counted(train, z))
+    ordinary = [(bytes(r["window"]), r["n"]) for r in seen.where("y = 0").orderBy(F.desc("n"), "window").limit(ORDINARY_WINDOWS).collect()]
+    toxic = [(bytes(r["window"]), r["n"], r["z"]) for r in seen.where((F.col("y") == 1) & (F.col("z") >= LEAST_Z[0])).collect()]
+    pairs = [(dictionary(ordinary, k), dictionary([(w, n) for w, n, z in toxic if z >= least], k)) for least in LEAST_Z for k in SEGMENTS]
     found = hits(check, pairs)
     y, size, table = np.array([r["y"] for r in found]), np.array([r["size"] for r in found]), np.array([r["hits"] for r in found])
     best = None
-    for (k, share), (at, least) in itertools.product(enumerate(shares), enumerate(GAPS)):
-        hit = table[:, k * len(GAPS) + at]
-        for count, rate in itertools.product((1, 2, 3, 4), (0.0, 0.001, 0.002, 0.004)):
-            said = hit >= enough(size, count, rate)
-            right = said[y == 1].mean() - REJECT_COST * said[y == 0].mean()
-            key = (round(right, 2), share, least, -count, -rate)
-            if best is None or key > best[0]:
-                best = key, Model(pairs[k], least, count, rate)
+    for (k, pair), (at, least), count, rate in itertools.product(enumerate(pairs), enumerate(GAPS), COUNTS, SHARES):
+        said = table[:, k * len(GAPS) + at] >= enough(size, count, rate)
+        right = said[y == 1].mean() - REJECT_COST * said[y == 0].mean()
+        key = (round(right, 2), least, -count, -rate, k)
+        if best is None or key > best[0]:
+            best = key, Model(pair, least, count, rate)
     return best[1]
 
 

@@ -31,16 +31,51 @@ def test_odd_rows(spark, odd, op):
     assert all(0 <= r["score"] <= 1 for r in op.score(odd, untaught).collect())
 
 
-def test_words_and_starts_weigh_as_often_as_they_are_there():
+def test_words_and_units():
     assert toxicity.words("Ab, cd_EF 9é") == [b"ab", b"cd", b"ef", "9é".encode()]
-    found = toxicity.units("wordy words wordy")
-    assert found[b"word"] == 3 and found[b"wordy"] == 2
+    assert toxicity.units(b"wordy") == [b"wordy", b"word"]
 
 
-def test_gap_counts_only_what_starts_a_word():
-    gap = toxicity.Gap(toxicity.dictionaries({b"nasty": 9.0}, [b"plain"], 3.0))
-    assert gap(b"nasty") > 3 and gap(b"nastyish") > 3
-    assert gap(b"xxnasty") <= 1 and gap(b"plain") <= 0 and gap("é".encode() + b"nasty") <= 1
+def test_dictionaries_are_trained_by_zstandard_and_tell_windows_apart():
+    import zstandard
+
+    bad, good = [(b"nastyword", 900), (b"vilephrase", 700), (b"foulname", 800)], [(b"plain%d" % i, 30) for i in range(300)]
+    pair = toxicity.dictionary(good, 32), toxicity.dictionary(bad, 32)
+    assert all(zstandard.ZstdCompressionDict(d).dict_id() for d in pair)  # a trained dictionary has an id; raw content has none
+    gap = toxicity.Gap(pair)
+    assert gap(b"nastyword") > 2 and gap(b"foulname") > 2
+    assert gap(b"plain77") <= 0 and gap(b"elsewhere") <= 1
+
+
+def test_scores_equal_a_plain_loop(spark):
+    """No cache, no windows counted twice: each window of each text is compressed by itself."""
+    import re
+
+    import zstandard as z
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit_rows(table, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert model.count and all(z.ZstdCompressionDict(d).dict_id() for d in model.dictionaries)
+
+    def size(window: bytes, dictionary: bytes) -> int:
+        how = z.ZstdCompressionParameters.from_level(3, source_size=64, dict_size=len(dictionary), min_match=4, strategy=z.STRATEGY_GREEDY, search_log=8, write_content_size=False, write_checksum=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS)
+        return len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(dictionary), compression_params=how).compress(b" " + window + b" <<window of text>> "))
+
+    rows = toxicity.score(table.where("doc_id % 25 = 0"), model).collect()
+    for r in rows:
+        n = hits = 0
+        for run in re.findall("[^\x00-/:-@\\[-`{-\x7f]+", r["text"].lower()):
+            run = run.encode()
+            if len(run) <= 12:
+                cuts = [run]
+            elif max(run) < 0xE0:
+                cuts = [run[i : i + 32] for i in range(0, max(1, len(run) - 16), 16)]
+            else:
+                cuts = [run[i : i + 12] for i in range(len(run)) if i % 12 == 0 or run[i] >= 0xE0]
+            n += len(cuts)
+            hits += sum(size(w, model.dictionaries[0]) - size(w, model.dictionaries[1]) >= model.gap for w in cuts)
+        need = max(min(model.count, max(1, n / 50)), model.share * n)
+        assert r["score"] == pytest.approx(1 - 0.5 ** (hits / need) if n else 0.0)
 
 
 def test_pairs_rank_the_good_above_the_bad():
@@ -63,22 +98,22 @@ def test_the_fit_reads_whole_texts(spark, docs):
     assert np.mean([(score(t) >= toxicity.CUT) == i % 2 for i, t in rows]) > 0.95
 
 
-def test_every_byte_of_a_text_is_in_a_window_that_is_compressed():
-    for run in ("a" * 12, "abcdefghijklm" * 5, "日本語の長い文章です" * 4, "é" * 31, "ab日" * 9, "x" * 100):
+def test_every_byte_of_a_text_is_in_a_window():
+    letters = np.random.default_rng(5).permutation([chr(c) for c in [*range(0x3041, 0x3091), *range(0x100, 0x140, 2)]])
+    narrow = [chr(97 + c % 26) + chr(97 + c // 26) for c in np.random.default_rng(6).permutation(400)]
+    for run in (*("".join(letters[:n]).lower() for n in range(4, 60)), *("".join(narrow)[:n] for n in range(12, 99))):
         data = run.encode()
-        found = toxicity.words(run)
-        at, end = -1, 0
-        for w in found:
-            at = data.index(w, at + 1) if at < 0 or len(set(run)) > 1 else end
-            assert at <= end
+        at = end = 0
+        for w in toxicity.words(run):
+            at = data.index(w, at) if len(set(run)) > 1 else end
+            assert at <= end and len(w) <= toxicity.WINDOW_BYTES
             end = max(end, at + len(w))
         assert end == len(data)
-        for w in found:  # each byte of a window changes what is compressed
-            assert all(toxicity.spelled(w[:i] + b"!" + w[i + 1 :]) != toxicity.spelled(w) for i in range(len(w)))
 
 
 def test_a_toxic_word_is_found_within_a_text_without_spaces():
     bad = "悪口雑言"
-    gap = toxicity.Gap(toxicity.dictionaries({bad.encode(): 9.0}, ["普通の話".encode()], 3.0))
-    assert max(map(gap, toxicity.words("今日はとても良い天気で" + bad + "と言われました"))) > 3
+    pair = toxicity.dictionary([("普通の話".encode(), 50), ("良い天気".encode(), 50)], 32), toxicity.dictionary([(bad.encode(), 90)], 32)
+    gap = toxicity.Gap(pair)
+    assert max(map(gap, toxicity.words("今日はとても良い天気で" + bad + "と言われました"))) >= 3
     assert max(map(gap, toxicity.words("今日はとても良い天気でしたので散歩をしてから帰りました"))) <= 1
