@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..shared import saved, shared_dir
 
-__all__ = ["documents", "held_out", "labelled", "running", "saved", "shared_dir", "sliced", "table", "whole_text"]
+__all__ = ["documents", "free", "held_out", "labelled", "running", "saved", "shared_dir", "sliced", "table", "whole_text"]
 
 ROWS_PER_SLICE = 200_000
 
@@ -25,6 +25,15 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def free(name: str, df: DataFrame) -> str:
+    """A column name, made of ``name``, that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = "__" + name
+    while name in taken:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: str, parts: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == remainder, F.lit(False))
 

@@ -42,8 +42,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def repeats_digest(docs: DataFrame, hot_texts: int = repeats.HOT_TEXTS) -> DataFrame:
-    rows, kept = repeats.find_repeats(docs, hot_texts)
+def repeats_digest(docs: DataFrame, hot_suffixes: int = repeats.HOT_SUFFIXES) -> DataFrame:
+    rows, kept = repeats.find_repeats(docs, hot_suffixes)
     cut = kept.select("uid", F.size("spans").cast("long").alias("spans"), F.octet_length("kept").cast("long").alias("left"), F.sha2("kept", 256).alias("sha"))
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= repeats.LENGTH)
     left = F.when(copied, F.lit(0)).otherwise(F.coalesce("left", "n_bytes"))

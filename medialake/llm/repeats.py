@@ -7,7 +7,10 @@ repeat. Anchors whose hash is nowhere else are dropped first. The suffixes at th
 stands before them, are range-partitioned by their leading bytes under splitters that Spark samples;
 a bucket sorts its suffixes by multikey quicksort (three-way splits on eight bytes at a time), and
 compares neighbours. Splitters cut only between different leading bytes, so suffixes on the two
-sides of a boundary differ within their first K bytes: no repeat crosses one.
+sides of a boundary differ within their first K bytes: no repeat crosses one. A start that more than
+HOT_SUFFIXES suffixes share is split deeper: windows that start near the anchor need more bytes in
+common after it, those that start far before it more bytes before it, so each part of the offsets
+has longer leading bytes of its own. Where a part is one offset, they are the whole window.
 
 A window that starts d bytes before its anchor is repeated if another suffix shares d bytes to the
 left and LENGTH - d to the right; runs of neighbours whose common prefix (or, sorted from the right,
@@ -21,17 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, whole_text
+from .common import free, saved, whole_text
 
 LENGTH = 200
 K = 64
 SIDE = LENGTH - K
 CHUNK = 1 << 19
-#: Suffixes with the same K leading bytes in more texts than this are told apart by whole windows, not in one bucket.
-HOT_TEXTS = 50_000
+#: Leading bytes that more suffixes share are split deeper, their offsets in so many parts a time.
+HOT_SUFFIXES = 4096
+PARTS = 4
 SUFFIXES_PER_BUCKET = 40_000
 PLACE_BITS = 20
 #: Hash parameters: odd multipliers for strings of 1, 2, 4, ... bytes.
@@ -189,18 +193,33 @@ def suffixes(texts: DataFrame) -> DataFrame:
     return texts.select("uid", "data", "hashes").mapInPandas(run, "uid long, places binary, context binary, least int, most int")
 
 
-def windows(texts: DataFrame) -> DataFrame:
-    """(uid, place, window) for each window at an anchor in ``hot``; window is a 128-bit hash."""
+def leading() -> Column:
+    """The bytes that suffixes have in common if a window at an offset from ``lo`` to ``hi`` repeats."""
+    return F.substring("context", F.lit(SIDE + 1) - F.col("lo"), F.col("lo") + LENGTH - F.col("hi"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for uid, data, wanted in zip(batch["uid"], batch["data"], batch["hot"]):
-                for a, chunk in chunks(data):
-                    h, _, first, last = anchors(chunk, a)
-                    here = [s for k in np.flatnonzero(np.isin(h, wanted)) for s in range(int(first[k]), int(last[k]) + 1)]
-                    yield pd.DataFrame({"uid": uid, "place": here, "window": [hashlib.blake2b(data[s : s + LENGTH], digest_size=16).digest() for s in here]})
 
-    return texts.select("uid", "data", "hot").mapInPandas(run, "uid long, place long, window binary")
+def split_hot(rows: DataFrame, hot_suffixes: int) -> tuple[DataFrame, DataFrame | None]:
+    """The suffixes, each with offsets lo to hi so that few share its leading bytes, and (uid, places, low, high).
+
+    The latter are those whose whole window is shared by more than ``hot_suffixes``; None: none are.
+    """
+    key = ["lo", "hi", "lead"]
+    level = saved(rows.select("*", F.lit(0).alias("lo"), F.lit(SIDE).alias("hi")))
+    cool, sure = None, None
+    while True:
+        led = level.withColumn("lead", leading())
+        hot = saved(led.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > hot_suffixes).select(key))
+        if hot.isEmpty():
+            return level if cool is None else cool.unionByName(level), sure
+        own, shared = led.join(hot, key, "left_anti").drop("lead"), led.join(hot, key, "left_semi").drop("lead")
+        cool = own if cool is None else cool.unionByName(own)
+        one = shared.where("lo = hi").select("uid", "places", F.col("lo").cast("long").alias("low"), F.col("hi").cast("long").alias("high"))
+        sure = one if sure is None else sure.union(one)
+        step = F.ceil((F.col("hi") - F.col("lo") + 1) / PARTS).cast("int")
+        parts = shared.where("lo < hi").withColumns({"step": step, "lo": F.explode(F.sequence(F.col("lo"), F.col("hi"), step))})
+        parts = parts.withColumn("hi", F.least(F.col("hi"), F.col("lo") + F.col("step") - 1)).drop("step")
+        parts = parts.withColumns({"least": F.greatest("least", "lo"), "most": F.least("most", "hi")})
+        level = saved(parts.where(F.col("least") <= F.col("most")))
 
 
 def compared(rows: DataFrame, buckets: int) -> DataFrame:
@@ -214,7 +233,7 @@ def compared(rows: DataFrame, buckets: int) -> DataFrame:
         keep = low <= high
         yield pd.DataFrame({"uid": bucket["uid"].to_numpy("i8")[keep], "places": bucket["places"].to_numpy()[keep], "low": low[keep], "high": high[keep]})
 
-    dealt = rows.repartitionByRange(buckets, F.substring("context", SIDE + 1, K))
+    dealt = rows.repartitionByRange(buckets, "lo", "hi", leading()).drop("lo", "hi")
     return dealt.mapInPandas(run, "uid long, places binary, low long, high long")
 
 
@@ -229,7 +248,7 @@ def merged(intervals: np.ndarray) -> np.ndarray:
     return np.stack([intervals[first, 0], reach[np.concatenate([first[1:] - 1, [len(intervals) - 1]])]], axis=1)
 
 
-def find_repeats(docs: DataFrame, hot_texts: int = HOT_TEXTS) -> tuple[DataFrame, DataFrame]:
+def find_repeats(docs: DataFrame, hot_suffixes: int = HOT_SUFFIXES) -> tuple[DataFrame, DataFrame]:
     """The rows, and the texts that lose bytes.
 
     Returns (uid, doc_id, digest, n_bytes, copies) for each row of docs, where copies counts the rows
@@ -245,33 +264,26 @@ def find_repeats(docs: DataFrame, hot_texts: int = HOT_TEXTS) -> tuple[DataFrame
     one = rows.join(texts.select("uid", "copies"), "uid")  # a row of each text
     anchored = one.select("uid", F.explode("hashes").alias("h"))
     shared = anchored.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = anchored.distinct().join(shared, "h").groupBy("uid")
-    wanted = wanted.agg(F.collect_list(F.when(F.col("n") <= hot_texts, F.col("h"))).alias("hashes"), F.collect_list(F.when(F.col("n") > hot_texts, F.col("h"))).alias("hot"))
+    wanted = anchored.distinct().join(shared, "h").groupBy("uid").agg(F.collect_list("h").alias("hashes"))
     wanted = saved(wanted.join(one.select("uid", "doc_id", "digest", "copies"), "uid"))
     full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("data"))
     full = full.withColumn("digest", F.unhex(F.sha2("data", 256)))
     near = full.join(wanted, (full["digest"] == wanted["digest"]) & full["doc_id"].eqNullSafe(wanted["doc_id"]))
-    near = near.select("uid", wanted["digest"], "data", "hashes", "hot", "copies")
+    near = near.select("uid", wanted["digest"], "data", "hashes", "copies")
     # rows that share doc_id and text, or null ids, come once each: the text is then a copy anyway
     near = saved(near)
-    count = wanted.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // SUFFIXES_PER_BUCKET + 1)
-    spans = compared(suffixes(near.where(F.size("hashes") > 0)), parts)
-    spans = spans.select("uid", F.struct("places", "low", "high").alias("found"))
-    hot = windows(near.where(F.size("hot") > 0))
-    again = hot.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    hot = hot.join(again, "window").groupBy("uid").agg(F.collect_list("place").alias("more"))
-    found = spans.groupBy("uid").agg(F.collect_list("found").alias("found"))
-    cut = near.where("copies = 1").select("uid", "digest", "data").join(found.join(hot, "uid", "full"), "uid")
+    dealt, sure = split_hot(suffixes(near), hot_suffixes)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), dealt.count() // SUFFIXES_PER_BUCKET + 1)
+    spans = compared(dealt, parts)
+    spans = spans if sure is None else spans.unionByName(sure)
+    found = spans.groupBy("uid").agg(F.collect_list(F.struct("places", "low", "high")).alias("found"))
+    cut = near.where("copies = 1").select("uid", "digest", "data").join(found, "uid")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for uid, digest, data, found_, more in zip(batch["uid"], batch["digest"], batch["data"], batch["found"], batch["more"]):
-                pieces = [np.stack([p - f["high"], p - f["low"] + LENGTH], axis=1) for f in (found_ if found_ is not None else []) for p in (np.frombuffer(f["places"], "<u4").astype("i8"),)]
-                if more is not None:
-                    at = np.asarray(more, "i8")
-                    pieces.append(np.stack([at, at + LENGTH], axis=1))
+            for uid, digest, data, found_ in zip(batch["uid"], batch["digest"], batch["data"], batch["found"]):
+                pieces = [np.stack([p - f["high"], p - f["low"] + LENGTH], axis=1) for f in found_ for p in (np.frombuffer(f["places"], "<u4").astype("i8"),)]
                 gone = merged(np.concatenate(pieces)).tolist()
                 ends = [0, *(e for _, e in gone)]
                 kept = b"".join(data[a:b] for a, b in zip(ends, [*(s for s, _ in gone), len(data)]))
@@ -285,16 +297,19 @@ def find_repeats(docs: DataFrame, hot_texts: int = HOT_TEXTS) -> tuple[DataFrame
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes of each text removed (its other columns as they are).
 
-    Text is what the kept bytes spell; bytes of a character that was cut apart are left out.
+    Text is what the kept bytes spell; bytes of a character that was cut apart are left out. Null texts
+    stay null; texts shorter than LENGTH bytes stay as they are; copies lose everything; an empty table
+    gives an empty one. A column that is named like one used inside keeps its name and values.
     """
     rows, kept = find_repeats(docs)
     copied = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select("digest").distinct()
     changed = kept.select("digest", F.col("kept")).union(copied.select("digest", F.lit(b"")))
-    keyed = docs.withColumn("__digest", F.unhex(F.sha2(whole_text().cast("binary"), 256)))
-    joined = keyed.join(changed.select(F.col("digest").alias("__digest"), F.col("kept").alias("__kept")), "__digest", "left")
+    digest, left = free("digest", docs), free("kept", docs)
+    keyed = docs.withColumn(digest, F.unhex(F.sha2(whole_text().cast("binary"), 256)))
+    joined = keyed.join(changed.select(F.col("digest").alias(digest), F.col("kept").alias(left)), digest, "left")
 
     def spell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([None if b is None else b.decode("utf-8", "ignore") for b in batch], dtype="object")
 
-    return joined.withColumn("text", F.coalesce(F.pandas_udf(spell, "string")("__kept"), "text")).select(*docs.columns)
+    return joined.withColumn("text", F.coalesce(F.pandas_udf(spell, "string")(left), "text")).select(*docs.columns)

@@ -46,19 +46,35 @@ def hard(rng):
     return texts
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT_TEXTS, 3])
+@pytest.mark.parametrize("hot", [repeats.HOT_SUFFIXES, 3])
 def test_edges_and_hot_passages(spark, docs, hot):
     table = [(i % 40, t) for i, t in enumerate([*hard(np.random.default_rng(3)), None, "", "tiny"])]
     table += [table[3], (None, table[3][1] + "?"), (None, None)]
     assert Counter(tuple(r) for r in queries.repeats_digest(docs(table), hot).collect()) == Counter((i, *x) for (i, _), x in zip(table, brute([t for _, t in table])))
 
 
+def test_a_hot_line_is_split_until_few_suffixes_share_leading_bytes(spark, docs):
+    """A line of 100 dashes, many times in each text, between other lines each time; and a passage in all texts."""
+    rng = np.random.default_rng(9)
+    line, passage = "-" * 100, " ".join(f"shared{i}" for i in range(60))
+    texts = ["\n".join([passage, *(x for _ in range(12) for x in (" ".join(f"w{k}" for k in rng.integers(0, 9, int(rng.integers(5, 30)))), line))]) for _ in range(40)]
+    table = list(enumerate(texts))
+    assert Counter(tuple(r) for r in queries.repeats_digest(docs(table), 8).collect()) == Counter((i, *x) for (i, _), x in zip(table, brute(texts)))
+    near = spark.createDataFrame([(i, t.encode(), repeats.anchors(t.encode())[0].tolist()) for i, t in table], "uid long, data binary, hashes array<long>")
+    dealt, sure = repeats.split_hot(repeats.suffixes(near), 8)
+    assert sure.count() > 0
+    assert dealt.groupBy("lo", "hi", repeats.leading()).count().agg(F.max("count")).first()[0] <= 8
+
+
 def test_odd_rows(spark, odd):
     table = [(r["doc_id"], r["text"]) for r in odd.collect()]
     check(spark, table, queries.repeats_digest(odd).collect())
     assert queries.repeats_digest(odd.limit(0)).count() == 0
     assert repeats.remove_repeats(odd).count() == odd.count()
-    assert repeats.remove_repeats(odd).columns == odd.columns
+    clash = odd.withColumn("__digest", F.lit("x")).withColumn("__kept", F.lit("y"))
+    assert repeats.remove_repeats(clash).columns == clash.columns
+    assert {(r["__digest"], r["__kept"]) for r in repeats.remove_repeats(clash).collect()} == {("x", "y")}
+    assert repeats.remove_repeats(odd.limit(0)).count() == 0
 
 
 def test_removed_text(docs):
