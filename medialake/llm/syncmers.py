@@ -3,6 +3,8 @@
 The letters of the k-mers are words (characters, in scripts written without spaces). A run of K words
 is chosen if the least hash among its inner runs of S words lies at its first or last place. Whether
 a run is chosen depends on its own words alone, so an edit changes only the anchors that touch it.
+Two texts are matched by anchors and by their positions: an anchor that both hold counts, and so does a
+pair of neighbouring anchors that stand at the same distance in both.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from .common import whole_text
 K = 6
 S = 2
 INNER = K - S + 1
-HASH_BITS = 24
 ROWS_PER_SLICE = 20_000
 #: Slices of the doc_id order; beyond it they hold more rows, and sort with spilling.
 MOST_SLICES = 4096
@@ -23,7 +24,7 @@ WORD_END = r"\s+|(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai
 
 
 def with_syncmers(df: DataFrame, text: str, anchors: str, places: str) -> DataFrame:
-    """Adds the anchors of a text column (24-bit hashes, array<long>) and their word positions.
+    """Adds the anchors of a text column (64-bit hashes, array<long>) and their word positions.
 
     A text of fewer than K words has one anchor, the hash of all of them; one of more words of which no
     run is chosen (of up to K + K - S - 2 words) has its run of least hash; one without words has none.
@@ -44,20 +45,29 @@ def with_syncmers(df: DataFrame, text: str, anchors: str, places: str) -> DataFr
     df = df.withColumn("__r", F.when(n >= K, runs).when(n > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
     least = F.array_min(F.transform(F.sequence(F.lit(0), n - K), lambda i: F.struct(F.xxhash64(F.slice("__h", i + 1, K)).alias("hash"), i.alias("place"))))["place"]
     df = df.withColumn(places, F.when((F.size("__r") == 0) & (n >= K), F.array(least)).otherwise(F.col("__r")))
-    hashes = F.transform(places, lambda i: F.xxhash64(F.slice("__h", i + 1, K)).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    hashes = F.transform(places, lambda i: F.xxhash64(F.slice("__h", i + 1, K)))
     return df.withColumn(anchors, hashes).drop("__h", "__s", "__m", "__r")
 
 
 def spelled(anchors: str) -> Column:
-    """The anchors as one string, HASH_BITS / 4 lower-case hex digits each."""
-    digits = F.transform(anchors, lambda x: F.substring(F.hex(x.bitwiseOR(F.lit(1 << HASH_BITS))), 2, HASH_BITS // 4))
-    return F.lower(F.array_join(digits, ""))
+    """The anchors as one string, 16 lower-case hex digits each."""
+    return F.lower(F.array_join(F.transform(anchors, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
-def likeness(a: str, b: str) -> Column:
-    """Shared distinct anchors over those of the text that has more; two texts without any are alike."""
-    most = F.greatest(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
-    return F.when(most == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / most)
+def links(anchors: Column, places: Column) -> Column:
+    """A hash for each two neighbouring anchors and the distance from the one to the other."""
+    return F.transform(F.slice(anchors, 1, F.greatest(F.size(anchors) - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(anchors, i + 1), F.get(places, i + 1) - F.get(places, i)))
+
+
+def likeness(a: tuple[str, str], b: tuple[str, str]) -> Column:
+    """Shared distinct anchors and links over those of the text that has more; texts without any are alike.
+
+    a, b: names of (anchors, links) columns. The order in which anchors stand, and how far apart, thus
+    counts as much as which they are.
+    """
+    shared = sum((F.size(F.array_intersect(x, y)) for x, y in zip(a, b)), F.lit(0))
+    most = sum((F.greatest(F.size(F.array_distinct(x)), F.size(F.array_distinct(y))) for x, y in zip(a, b)), F.lit(0))
+    return F.when(most == 0, F.lit(1.0)).otherwise(shared / most)
 
 
 def in_circle(docs: DataFrame) -> tuple[DataFrame, Window]:
@@ -73,13 +83,13 @@ def in_circle(docs: DataFrame) -> tuple[DataFrame, Window]:
     cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
     cuts = sorted(set(cuts))  # fewer than MOST_SLICES numbers
     below = F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    rows = rows.withColumn("slice", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(below))
+    rows = rows.withColumn("slice", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(below + 1))
     heads = rows.groupBy("slice").agg(F.max(F.struct("doc_id", "tie")).alias("head")).orderBy("slice").collect()  # a row per slice
     after = [(heads[k]["head"]["doc_id"], heads[k]["head"]["tie"], heads[(k + 1) % len(heads)]["slice"]) for k in range(len(heads))]
     after = spark.createDataFrame(after, "head_id long, head_tie long, home int")
     ghosts = rows.join(F.broadcast(after), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie")))
     ghosts = ghosts.groupBy("home").agg(F.first("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("tie"), F.col("home").alias("slice"), F.lit(1).alias("ghost"))
-    both = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts).repartition(n, "slice")
+    both = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts).repartitionById(n + 1, "slice")
     return both, Window.partitionBy("slice").orderBy("ghost", F.desc_nulls_last("doc_id"), F.desc("tie"))
 
 
@@ -91,10 +101,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     the order of texts; the only row follows itself; an empty table gives an empty one.
     """
     rows, order = in_circle(docs)
-    rows = with_syncmers(rows, "text", "anchors", "places")
-    rows = rows.withColumns({"next": F.lead("text").over(order), "next_anchors": F.lead("anchors").over(order)}).where("ghost = 0")
+    rows = with_syncmers(rows, "text", "anchors", "places").withColumn("links", links(F.col("anchors"), F.col("places")))
+    rows = rows.withColumns({c: F.lead(own).over(order) for c, own in (("next", "text"), ("next_anchors", "anchors"), ("next_links", "links"))}).where("ghost = 0")
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - third), F.substring("next", F.lit(1), third)).alias("edited"), "anchors", "places", "next_anchors")
-    rows = with_syncmers(rows, "edited", "edited_anchors", "edited_places")
-    return rows.select("doc_id", "n_chars", "edited", "anchors", "places", "edited_anchors", likeness("anchors", "edited_anchors").alias("near_edited"), likeness("anchors", "next_anchors").alias("near_next"))
+    edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next", F.lit(1), third)).alias("edited")
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited, "anchors", "places", "links", "next_anchors", "next_links")
+    rows = with_syncmers(rows, "edited", "edited_anchors", "edited_places").withColumn("edited_links", links(F.col("edited_anchors"), F.col("edited_places")))
+    near = lambda other: likeness(("anchors", "links"), (other + "_anchors", other + "_links"))
+    return rows.select("doc_id", "n_chars", "edited", "anchors", "places", "edited_anchors", near("edited").alias("near_edited"), near("next").alias("near_next"))

@@ -2,6 +2,9 @@ import hashlib
 import re
 from collections import Counter
 
+import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from medialake.llm import queries, syncmers
@@ -34,6 +37,64 @@ def test_op1(spark):
     assert sum(r["near_next"] for r in long) / len(long) < 0.1
 
 
+def h64(data, seed=42):
+    return xxhash.xxh64_intdigest(data, seed)
+
+
+def plain(text):
+    """(anchors, places) by the definition, one run at a time, with a public hash library."""
+    cut = regex.split(r"\s+|(?<=[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}])", text, flags=regex.ASCII | regex.VERSION1)
+    words = [h64(w.encode()) for w in cut if w]
+    low = lambda x: (x % 2**64).to_bytes(8, "little")
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    if not words:
+        return [], []
+
+    def chain(values):
+        seed = 42
+        for v in values:
+            seed = h64(low(v), seed)
+        return signed(seed)
+
+    inner = [chain(words[i : i + syncmers.S]) for i in range(len(words) - syncmers.S + 1)]
+    runs = range(len(words) - syncmers.K + 1)
+    places = [i for i in runs if min(inner[i : i + syncmers.INNER]) in (inner[i], inner[i + syncmers.INNER - 1])]
+    if not len(runs):
+        places = [0]
+    elif not places:
+        places = [min(runs, key=lambda i: (chain(words[i : i + syncmers.K]), i))]
+    return [chain(words[i : i + syncmers.K]) for i in places], places
+
+
+def alike(a, b):
+    """Shared anchors, and shared pairs of neighbours with their distance, over those of the longer."""
+    links = lambda t: {(x, y, q - p) for x, y, p, q in zip(t[0], t[0][1:], t[1], t[1][1:])}
+    sets = [(set(a[0]), set(b[0])), (links(a), links(b))]
+    most = sum(max(len(x), len(y)) for x, y in sets)
+    return sum(len(x & y) for x, y in sets) / most if most else 1.0
+
+
+def test_every_column_equals_a_plain_loop(spark):
+    table = sorted(((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()), reverse=True)
+    own, text = {i: plain(t) for i, t in table}, dict(table)
+    hexed = lambda anchors: "".join(f"{x % 2**64:016x}" for x in anchors)
+    rows = {r["doc_id"]: r for r in queries.op1_syncmers(spark, SF).collect()}
+    for k, (i, t) in enumerate(table):
+        after = table[(k + 1) % len(table)][0]
+        third = len(t) // 3
+        edited = plain(t[: len(t) - third] + text[after][:third])
+        r = rows[i]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (hexed(own[i][0]), hexed(edited[0]))
+        assert (r["near_edited"], r["near_next"]) == (pytest.approx(alike(own[i], edited)), pytest.approx(alike(own[i], own[after])))
+
+
+def test_position_counts_in_a_match(spark, docs):
+    """The same anchors in another order are less alike than in the same order further on."""
+    parts = [" ".join(f"p{k}w{w}" for w in range(40)) for k in range(6)]
+    rows = {r["doc_id"]: r["near_next"] for r in syncmers.fingerprints(docs([(9, " ".join(parts)), (8, "new words at the start " + " ".join(parts)), (7, "other " * 30), (6, " ".join(parts)), (5, " ".join(reversed(parts)))])).collect()}
+    assert rows[9] > 0.9 and rows[6] < rows[9] and rows[8] == 0.0
+
+
 def test_chosen_runs_are_closed_syncmers(spark):
     """Against the definition, word by word."""
     text = " ".join(f"t{i * i % 13}" for i in range(60))
