@@ -4,8 +4,10 @@ A farthest-first traversal of a bounded sample gives the nodes of the tree's upp
 of it covers the sample within the next insertion distance. Every row, query or datum, goes to its
 nearest leaf; leaves are cut into blocks, each with its own centre, covering radius and sub-nodes. Pairs
 of a query node and a data node are descended together and dropped if no product across their
-covering radii reaches the worst kth score of the queries below. Spark joins the pairs of blocks
-that are left, and the same bound prunes sub-nodes inside a block before products are taken.
+covering radii reaches the worst kth score of the queries below. The tree's lower levels grow with the rows, as blocks do: Spark joins the centres and radii of blocks
+under the pairs of leaves that are left, prunes pairs of blocks by the same bound, and joins the vectors of
+those that pass, by block, so that a dense leaf is no hot key. Sub-nodes inside a block are pruned alike
+before products are taken.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from .common import saved
 
 #: The tree's upper levels and the first bounds come from at most so many rows; every row is indexed.
 SAMPLE_ROWS = 4096
+#: Leaves that the driver's descent sees; what lies below them are blocks, as many as the rows need.
 MOST_LEAVES = 256
 ROWS_PER_LEAF = 2048
 QUERIES_PER_LEAF = 256
@@ -154,10 +157,10 @@ def unpacked(data, dim: int) -> np.ndarray:
 
 
 def blocked(rows: DataFrame, cap: int) -> DataFrame:
-    """(leaf, n, centre, radius, sub, ids, uids, kth, data): blocks of up to ``cap`` rows of a leaf.
+    """(leaf, dim, centre, radius, least, centres, radii, sizes, ids, uids, kth, data): blocks of up to ``cap`` rows of a leaf.
 
-    rows: leaf, part, vec_id, uid, kth, data. A block's rows are ordered by its sub-nodes; ``sub``
-    holds their centres, radii and sizes.
+    rows: leaf, part, vec_id, uid, kth, data. A block has its centre, its covering radius and its least kth
+    score. Its rows are ordered by its sub-nodes, whose centres, radii and sizes it holds.
     """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,9 +179,10 @@ def blocked(rows: DataFrame, cap: int) -> DataFrame:
                 sizes = np.bincount(sub, minlength=len(tree.centres))
                 distance = np.sqrt(((f - tree.centres[sub]) ** 2).sum(1))
                 radii = np.array([distance[sub == s].max(initial=0.0) for s in range(len(sizes))])
-                own = own.iloc[order]
-                out.append((int(own["leaf"].iloc[0]), int(own["dim"].iloc[0]), tree.centres.tobytes(), radii.tobytes(), sizes.astype("<i8").tobytes(), own["vec_id"].to_numpy("<i8").tobytes(), own["uid"].to_numpy("<i8").tobytes(), own["kth"].to_numpy("<i8").tobytes(), x.tobytes()))
-            return pd.DataFrame(out, columns=["leaf", "dim", "centres", "radii", "sizes", "ids", "uids", "kth", "data"])
+                own, centre = own.iloc[order], f.mean(0)
+                radius = float(np.sqrt(((f - centre) ** 2).sum(1)).max(initial=0.0))
+                out.append((int(own["leaf"].iloc[0]), int(own["dim"].iloc[0]), centre.astype("<f8").tobytes(), radius, int(own["kth"].min()), tree.centres.tobytes(), radii.tobytes(), sizes.astype("<i8").tobytes(), own["vec_id"].to_numpy("<i8").tobytes(), own["uid"].to_numpy("<i8").tobytes(), own["kth"].to_numpy("<i8").tobytes(), x.tobytes()))
+            return pd.DataFrame(out, columns=["leaf", "dim", "centre", "radius", "least", "centres", "radii", "sizes", "ids", "uids", "kth", "data"])
 
         key = None
         for batch in batches:  # sorted by leaf and part
@@ -192,7 +196,24 @@ def blocked(rows: DataFrame, cap: int) -> DataFrame:
             yield filled(pd.concat(held))
 
     dealt = rows.repartition("dim", "leaf", "part").sortWithinPartitions("dim", "leaf", "part")
-    return dealt.mapInPandas(pack, "leaf long, dim int, centres binary, radii binary, sizes binary, ids binary, uids binary, kth binary, data binary")
+    return dealt.mapInPandas(pack, "leaf long, dim int, centre binary, radius double, least long, centres binary, radii binary, sizes binary, ids binary, uids binary, kth binary, data binary")
+
+
+def near_blocks(queries: DataFrame, blocks: DataFrame, leaves: DataFrame, dim: int) -> DataFrame:
+    """(q_block, d_block): blocks under pairs of leaves (q_leaf, d_leaf) that may hold a top-k pair, by centres and radii."""
+
+    def pruned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            q, d = (np.frombuffer(b"".join(b[c]), "<f8").reshape(len(b), dim) for c in ("q_centre", "d_centre"))
+            qr, dr = b["q_radius"].to_numpy(), b["d_radius"].to_numpy()
+            qn, dn = np.sqrt((q * q).sum(1)), np.sqrt((d * d).sum(1))
+            most = (q * d).sum(1) + qn * dr + qr * dn + qr * dr
+            most += SLACK * (1 + np.abs(most) + (qn + qr) * (dn + dr))
+            yield b.loc[most >= b["least"].to_numpy("f8"), ["q_block", "d_block"]]
+
+    of = lambda df, side, *more: df.select(F.col("leaf").alias(side + "_leaf"), *(F.col(c).alias(f"{side}_{c}") for c in ("block", "centre", "radius")), *more)
+    met = of(queries, "q", "least").join(F.broadcast(leaves), "q_leaf").join(of(blocks, "d"), "d_leaf")
+    return met.mapInPandas(pruned, "q_block long, d_block long")
 
 
 def top_k(vectors: DataFrame, k: int = 5, queries_every: int = 50, scale: int = SCALE) -> DataFrame:
@@ -249,12 +270,14 @@ def _top_k(rows: DataFrame, dim: int, k: int) -> DataFrame:
         count = F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), F.col(leaf))
         return F.pmod(F.xxhash64("uid"), count)
 
-    blocks = saved(blocked(placed.select("uid", "vec_id", "dim", "data", "kth", "leaf", parts(data, "leaf", BLOCK_ROWS).alias("part")), BLOCK_ROWS))
+    block = F.monotonically_increasing_id().alias("block")
+    blocks = saved(blocked(placed.select("uid", "vec_id", "dim", "data", "kth", "leaf", parts(data, "leaf", BLOCK_ROWS).alias("part")), BLOCK_ROWS).select(block, "*"))
     queries = placed.where("query").select("uid", "vec_id", "dim", "data", "kth", F.col("q_leaf").alias("leaf"), parts(asked, "q_leaf", QUERY_BLOCK_ROWS).alias("part"))
-    queries = saved(blocked(queries, QUERY_BLOCK_ROWS))
+    queries = saved(blocked(queries, QUERY_BLOCK_ROWS).select(block, "*"))
     near = spark.createDataFrame(pairs or [(-1, -1)], "q_leaf long, d_leaf long")  # at most MOST_LEAVES squared
-    q = queries.select(*(F.col(c).alias("q_" + c) for c in queries.columns)).join(F.broadcast(near), "q_leaf")
-    joined = q.join(blocks, F.col("d_leaf") == F.col("leaf")).drop("q_leaf", "d_leaf", "leaf", "dim", "q_dim", "kth", "q_sizes", "q_centres", "q_radii")
+    met = near_blocks(queries, blocks, near, dim)
+    q = met.join(queries.select(F.col("block").alias("q_block"), *(F.col(c).alias("q_" + c) for c in ("data", "kth", "uids", "ids"))), "q_block").drop("q_block")
+    joined = q.join(blocks.select(F.col("block").alias("d_block"), "data", "ids", "uids", "sizes", "centres", "radii"), "d_block").drop("d_block")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
