@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, whole_text
+from .common import free, saved, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -26,8 +26,6 @@ LEAST_VALUES = 3
 LEAST_SHARE = 0.6
 #: A value is taken for known from this score on.
 ACCEPT = 0.9
-#: Longer tokens are no candidates.
-TOKEN_CHARS = 64
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -37,6 +35,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARKED = re.compile(r"[0-9@]\S*")
 EDGES = ".,;:!?\"'()[]{}<>|*$%&#"
 NUMBER = re.compile(r"[0-9]+")
+UNIT = re.compile(r"\s*((?:[^\w\s]|_)*[^\W_]*)")
 NUMERIC = re.compile(r"[\x200-9().-]+")
 
 
@@ -99,10 +98,8 @@ def candidates(text: str, known: list[tuple[int, str, int]]) -> Iterator[tuple[i
     k = 0
     for m in MARKED.finditer(text):
         start, end = m.span()
-        while start > 0 and end - start <= TOKEN_CHARS and not text[start - 1].isspace():
+        while start > 0 and not text[start - 1].isspace():  # once a token, as MARKED takes its rest
             start -= 1
-        if end - start > TOKEN_CHARS:
-            continue
         while start < end and text[start] in EDGES:
             start += 1
         while end > start and text[end - 1] in EDGES:
@@ -111,7 +108,7 @@ def candidates(text: str, known: list[tuple[int, str, int]]) -> Iterator[tuple[i
             k += 1
         if start >= end or any(a < end and b > start for a, b in taken[k : k + 4]):
             continue
-        if held and start == held[1] + 1 and text[held[1]] == " " and NUMERIC.fullmatch(text, *held) and NUMERIC.fullmatch(text, start, end) and end - held[0] <= TOKEN_CHARS:
+        if held and start == held[1] + 1 and text[held[1]] == " " and NUMERIC.fullmatch(text, *held) and NUMERIC.fullmatch(text, start, end):
             held = held[0], end
             continue
         if held:
@@ -121,17 +118,39 @@ def candidates(text: str, known: list[tuple[int, str, int]]) -> Iterator[tuple[i
         yield held
 
 
+def unit_before(text: str, end: int) -> tuple[str, int]:
+    """The word before a place, with the marks between, and where it starts; numbers are written 9."""
+    at = end
+    while at > 0 and text[at - 1].isspace():
+        at -= 1
+    stop = at
+    while at > 0 and not text[at - 1].isspace() and not text[at - 1].isalnum():
+        at -= 1
+    while at > 0 and text[at - 1].isalnum():
+        at -= 1
+    return NUMBER.sub("9", text[at:stop].lower()), at
+
+
+def unit_after(text: str, start: int) -> str:
+    """What follows a place: marks, then a word; numbers are written 9."""
+    return NUMBER.sub("9", UNIT.match(text, start)[1].lower())
+
+
 def contexts(text: str, start: int, end: int) -> list[int]:
-    """Hashes of the patterns around a span: one and two words before it, and one on either side."""
-    before = NUMBER.sub("9", text[max(0, start - 80) : start].lower()).split()[-2:]
-    after = NUMBER.sub("9", text[end : end + 40].lower()).split()[:1]
+    """Hashes of the patterns around a span: one and two words before it, and one on either side.
+
+    Words are whole, however long: what lies between two spans is read for few of them, so this is linear.
+    """
+    last, at = unit_before(text, start)
     out = []
-    if before:
-        out.append("l " + before[-1])
-        if len(before) == 2:
-            out.append("ll " + " ".join(before))
+    if last:
+        out.append("l " + last)
+        more = unit_before(text, at)[0]
+        if more:
+            out.append("ll " + more + " " + last)
+        after = unit_after(text, end)
         if after:
-            out.append("lr " + before[-1] + " _ " + after[0])
+            out.append("lr " + last + " _ " + after)
     return [xxhash.xxh64_intdigest(p, 0) - 2**63 for p in out]
 
 
@@ -200,7 +219,10 @@ def find_personal(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """docs with each span of its texts replaced by its kind in brackets; the other columns as they are."""
+    """docs with each span of its texts replaced by its kind in brackets; the other columns as they are.
+
+    Null texts stay null, texts without spans as they are, repeated rows stay; an empty table gives an empty one.
+    """
     found = find_personal(docs, rounds).where("size(spans) > 0").groupBy("digest").agg(F.first("spans").alias("spans"))
 
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -221,6 +243,7 @@ def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 out.append(text)
             yield pd.Series(out, dtype="object")
 
-    keyed = docs.withColumn("__digest", F.pandas_udf(digest, "binary")(whole_text()))
-    joined = keyed.join(found.select(F.col("digest").alias("__digest"), F.col("spans").alias("__spans")), "__digest", "left")
-    return joined.withColumn("text", F.pandas_udf(cut, "string")("text", "__spans")).select(*docs.columns)
+    key, marked = free("digest", docs), free("spans", docs)
+    keyed = docs.withColumn(key, F.pandas_udf(digest, "binary")(whole_text()))
+    joined = keyed.join(found.select(F.col("digest").alias(key), F.col("spans").alias(marked)), key, "left")
+    return joined.withColumn("text", F.pandas_udf(cut, "string")("text", marked)).select(*docs.columns)

@@ -78,3 +78,29 @@ def test_odd_rows(odd, docs):
     out = pii.redact(odd)
     assert out.columns == odd.columns and Counter(r["text"] for r in out.collect()) == Counter(r["text"] for r in odd.collect())
     assert out.limit(0).count() == 0
+
+
+def test_long_words_and_values_count_as_a_whole(docs):
+    """A word of 300 letters before a value is one pattern; a value of over 64 characters is a candidate."""
+    word = "w" * 300
+    mail = "who@" + "h" * 80
+    table = [*((i, f"{word} +1 (212) 555-01{i:02} and mail n{i}@host{i}.org soon") for i in range(20)), (100, f"{word} 212 555 0199 and mail {mail} soon"), (101, "w" * 299 + " 212 555 0177 and")]
+    rows = {r["doc_id"]: r for r in pii.find_personal(docs(table)).collect()}
+    assert [(s["kind"], table[20][1][s["start"] : s["end"]]) for s in rows[100]["spans"]] == [("phone", "212 555 0199"), ("email", mail)]
+    assert rows[101]["spans"] == []
+
+
+@pytest.mark.parametrize("text", ["a@b.cc," * 30_000, "x" * 200_000 + " 1.2.3.4 " + "y" * 200_000, "1.2.3.4 " * 30_000, "(1.2.3.4)" * 20_000, "." * 200_000 + "1.2.3.4"])
+def test_contexts_are_linear(text):
+    import time
+
+    began = time.time()
+    for a, _, b in pii.base_spans(text):
+        pii.contexts(text, a, b)
+    assert time.time() - began < 5
+
+
+def test_redact_keeps_columns_named_like_its_own(odd):
+    clash = odd.withColumn("__digest", F.lit("x")).withColumn("__spans", F.lit("y"))
+    out = pii.redact(clash)
+    assert out.columns == clash.columns and {(r["__digest"], r["__spans"]) for r in out.collect()} == {("x", "y")}
