@@ -1,10 +1,12 @@
 """SimHash fingerprints of word shingles, linked by pivot distance tables.
 
-Distinct fingerprints are grouped under keys of three of six bit blocks: two fingerprints at most
-three bits apart share three whole blocks, so no link is lost. Inside a group a table of Hamming
-distances to reference fingerprints discards pairs whose largest coordinate difference passes the
-threshold (the triangle inequality), and only survivors are compared. A group yields a spanning
-forest of its links, not its pairs.
+A table of Hamming distances from each distinct fingerprint to reference fingerprints is computed once.
+Pairs whose largest coordinate difference passes the threshold are discarded (the triangle inequality),
+and only survivors are compared. No equality join on coordinates is selective: any fingerprint is 32 bits
+from any pivot, give or take four. So fingerprints are first grouped under keys of three of six bit
+blocks: two at most three bits apart share three whole blocks, so no link is lost. A large group is cut
+by its first pivot coordinate into stripes of more bits than the threshold, of which only equal and
+neighbouring ones meet. A group yields a spanning forest of its links, not its pairs.
 
 keep_one() looks further: for five-word shingles and a Jaccard similarity of 0.8, whose fingerprints
 differ in ten bits or so, groups share a band of minima of hash orders, the pivot tables discard with
@@ -30,7 +32,9 @@ MAX_BITS = 3
 SHINGLE = 3
 SEED = 42
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))  # (first bit, width)
+#: A group of more rows is large; of a stripe, at most so many times as many (before chance) are in a chunk.
 GROUP_ROWS = 512
+CHUNKS_PER_GROUP = 4
 PIVOTS = 16
 
 
@@ -68,9 +72,19 @@ def pivot_fingerprints(n: int = PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(str(i), 7) for i in range(n)], "u8")
 
 
-def forest(fp: np.ndarray, pivots: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links among distinct fingerprints."""
-    table = np.bitwise_count(fp[:, None] ^ pivots).astype("i2")
+def pivot_table(fps: DataFrame) -> DataFrame:
+    """Adds ``table``: a byte per pivot, the Hamming distance of column fp to it."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pivots = pivot_fingerprints()
+        for batch in batches:
+            yield pd.Series([r.tobytes() for r in np.bitwise_count(batch.to_numpy("i8").view("u8")[:, None] ^ pivots)], dtype="object")
+
+    return fps.withColumn("table", F.pandas_udf(run, "binary")("fp"))
+
+
+def forest(fp: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the links among distinct fingerprints, given their rows of the pivot table."""
     order = np.argsort(table[:, 0], kind="stable")
     fp, table = fp[order], table[order]
     first, alive = np.ascontiguousarray(table[:, 0]), np.ones(len(fp), bool)
@@ -92,36 +106,44 @@ def forest(fp: np.ndarray, pivots: np.ndarray, bits: int) -> tuple[np.ndarray, n
 
 
 def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """(u, v): links among distinct fingerprints (column fp) that connect what pairs within bits connect."""
+    """(u, v): links among distinct fingerprints (columns fp, table) that connect what pairs within bits connect."""
     if bits > len(BLOCKS) - 3:
         raise ValueError("the block keys find pairs of at most three differing bits")
     parts = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in BLOCKS]
     keys = []
     for n, (i, j, k) in enumerate(itertools.combinations(range(len(BLOCKS)), 3)):
         keys.append(((F.lit(n) * 2048 + parts[i]) * 2048 + parts[j]) * 2048 + parts[k])
-    keyed = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    keyed = fps.select("fp", "table", F.explode(F.array(*keys)).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = keyed.join(shared, "key")
-    # a large group is cut into chunks, and each pair of chunks is a group of its own
-    chunks = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
-    rows = rows.select("key", "fp", F.pmod(F.xxhash64("fp"), chunks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-    rows = rows.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
+    # in a large group, chunks of the same stripe meet pair by pair, and those of neighbouring stripes; each meeting (g, a, b) is a group of its own
+    large, stripe = F.col("n") > GROUP_ROWS, F.floor(F.conv(F.hex(F.substring("table", 1, 1)), 16, 10).cast("int") / (bits + 1)).cast("int")
+    chunks = F.when(large, F.ceil(F.col("n") / (CHUNKS_PER_GROUP * GROUP_ROWS))).otherwise(1).cast("int")
+    rows = rows.select("key", "fp", "table", F.when(large, stripe).otherwise(0).alias("stripe"), large.alias("large"), chunks.alias("chunks"), F.pmod(F.xxhash64("fp"), chunks).cast("int").alias("own"))
+
+    def meeting(g: Column, a: Column, b: Column) -> Column:
+        return F.struct(g.alias("g"), a.cast("int").alias("a"), b.cast("int").alias("b"))
+
+    every, own, g = F.sequence(F.lit(0), F.col("chunks") - 1), F.col("own"), 2 * F.col("stripe")
+    same = F.transform(every, lambda c: meeting(g, F.least(own, c), F.greatest(own, c)))
+    beside = F.concat(F.transform(every, lambda c: meeting(g + 1, own, c)), F.transform(every, lambda c: meeting(g - 1, c, own)))
+    rows = rows.select("key", "fp", "table", F.explode(F.when(F.col("large"), F.concat(same, beside)).otherwise(same)).alias("at")).select("key", "at.*", "fp", "table")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pivots, held = pivot_fingerprints(), None
+        held = None
 
         def linked(part: pd.DataFrame) -> pd.DataFrame:
-            fp = part["fp"].to_numpy().view("u8")
-            key = part[["key", "a", "b"]].to_numpy()
+            fp, table = part["fp"].to_numpy().view("u8"), np.frombuffer(b"".join(part["table"]), "u1").reshape(len(part), -1).astype("i2")
+            key = part[group].to_numpy()
             cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
             starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(fp)]])
             two = starts[ends - starts == 2]
             x, y = fp[two], fp[two + 1]
-            far = np.abs(np.bitwise_count(x[:, None] ^ pivots).astype("i2") - np.bitwise_count(y[:, None] ^ pivots)).max(axis=1, initial=0)
+            far = np.abs(table[two] - table[two + 1]).max(axis=1, initial=0)
             near = (far <= bits) & (np.bitwise_count(x ^ y) <= bits)
             us, vs = [x[near]], [y[near]]
             for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
-                u, v = forest(np.unique(fp[s:e]), pivots, bits)
+                u, v = forest(fp[s:e], table[s:e], bits)  # distinct: a fingerprint meets a chunk once
                 us.append(u)
                 vs.append(v)
             u, v = np.concatenate(us), np.concatenate(vs)
@@ -129,15 +151,15 @@ def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
 
         for batch in batches:  # sorted by group; the last group of a batch may go on in the next
             held = batch if held is None else pd.concat([held, batch])
-            last = held[["key", "a", "b"]].iloc[-1]
-            done = ((held["key"] != last["key"]) | (held["a"] != last["a"]) | (held["b"] != last["b"])).to_numpy()
+            done = (held[group] != held[group].iloc[-1]).any(axis=1).to_numpy()
             if done.any():
                 yield linked(held[done])
                 held = held[~done]
         if held is not None and len(held):
             yield linked(held)
 
-    dealt = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    group = ["key", "g", "a", "b"]
+    dealt = rows.repartition(*group).sortWithinPartitions(*group)
     return dealt.mapInPandas(compare, "u long, v long")
 
 
@@ -150,7 +172,7 @@ def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, shingle: int = SHINGL
     if it has none); repeated rows stay; an empty table gives an empty one.
     """
     rows = saved(fingerprints(docs, shingle))
-    fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    fps = saved(pivot_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first"))))
     roots = components(links(fps, bits))
     classes = fps.join(roots, F.col("node") == F.col("fp"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))

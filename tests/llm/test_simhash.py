@@ -72,7 +72,7 @@ def test_links_keep_the_components_of_crowded_groups(spark):
             fps.add(f)
     rows = [(i, f) for i, f in enumerate(sorted(fps))]
     signed = [(f - 2**64 if f >= 2**63 else f,) for _, f in rows]
-    found = {r["node"] & (2**64 - 1): r["root"] for r in components(simhash.links(spark.createDataFrame(signed, "fp long"))).collect()}
+    found = {r["node"] & (2**64 - 1): r["root"] for r in components(simhash.links(simhash.pivot_table(spark.createDataFrame(signed, "fp long")))).collect()}
     groups = defaultdict(set)
     for i, f in rows:
         groups[found.get(f, ("alone", f))].add(i)
@@ -82,6 +82,12 @@ def test_links_keep_the_components_of_crowded_groups(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_the_pivot_table_holds_distances(spark):
+    rows = simhash.pivot_table(spark.createDataFrame([(5,), (-1,), (-(2**63),)], "fp long")).collect()
+    pivots = [xxhash.xxh64_intdigest(str(i), 7) for i in range(simhash.PIVOTS)]
+    assert all(list(r["table"]) == [((r["fp"] & (2**64 - 1)) ^ p).bit_count() for p in pivots] for r in rows)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="aB é\t\n\x1c\x85日", max_size=40))
 def test_fingerprint(text):
@@ -90,7 +96,7 @@ def test_fingerprint(text):
 
 def test_too_many_bits(spark):
     with pytest.raises(ValueError):
-        simhash.links(spark.createDataFrame([(1,)], "fp long"), 4)
+        simhash.links(simhash.pivot_table(spark.createDataFrame([(1,)], "fp long")), 4)
 
 
 def shingles(text):
@@ -184,3 +190,39 @@ def test_repeated_shingles_do_not_discard():
     words = [f"w{i}" for i in range(300)]
     few, many = (" ".join(words + ["x"] * n).encode() for n in (20, 2000))
     assert simhash.signature(few)[0] == simhash.signature(many)[0]
+
+
+def test_recall_of_planted_pairs_and_chains(docs):
+    """200 pairs of similarity 0.8 to 0.9 and 100 below; 20 chains of which only neighbours are near: none is lost, none too many."""
+    rng = np.random.default_rng(11)
+    table, near, far, chains = [], [], [], []
+
+    def add(words):
+        table.append((len(table), " ".join(words)))
+        return len(table) - 1
+
+    def edited(words, changes):
+        out = list(words)
+        for k, at in enumerate(rng.choice(len(words), changes, replace=False)):
+            out[at] = f"new{len(table)}x{k}"
+        return out
+
+    def alike(i, j):
+        a, b = shingles(table[i][1]), shingles(table[j][1])
+        return len(a & b) / len(a | b)
+
+    while len(near) < 200 or len(far) < 100:
+        base = [f"d{len(table)}w{k}" for k in range(300)]
+        i, j = add(base), add(edited(base, int(rng.integers(3, 12))))
+        (near if alike(i, j) >= 0.8 else far).append((i, j))
+    for c in range(20):
+        words, chain = [f"c{c}w{k}" for k in range(300)], []
+        for _ in range(4):
+            chain.append(add(words))
+            words = edited(words, 4)
+        assert all(alike(a, b) >= 0.8 for a, b in zip(chain, chain[1:])) and alike(chain[0], chain[-1]) < 0.8
+        chains.append(chain)
+    kept = {r["doc_id"] for r in simhash.keep_one(docs(table)).collect()}
+    assert {i for i, j in near if j in kept} == set() and all(i in kept for i, _ in near)
+    assert all(i in kept and j in kept for i, j in far)
+    assert all([x in kept for x in chain] == [True, False, False, False] for chain in chains)
