@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, whole_text
+from .common import free, saved, whole_text
 from .graph import components
 
 MAX_BITS = 3
@@ -371,7 +371,8 @@ def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     edges = verified(members.join(data, "digest"), similar)
     placed = texts.join(components(edges).withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     head = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest")).alias("head"))
-    head = head.select(F.col("head.doc_id").alias("__id"), F.col("head.digest").alias("__kept"))
-    keyed = docs.withColumn("__digest", F.md5(whole_text().cast("binary")))
-    kept = keyed.join(head, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")))
-    return kept.dropDuplicates(["__id", "__kept"]).select(*docs.columns)
+    own, kept_id, kept = (free(c, docs) for c in ("digest", "id", "kept"))
+    head = head.select(F.col("head.doc_id").alias(kept_id), F.col("head.digest").alias(kept))
+    keyed = docs.withColumn(own, F.md5(whole_text().cast("binary")))
+    picked = keyed.join(head, F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept)))
+    return picked.dropDuplicates([kept_id, kept]).select(*docs.columns)

@@ -117,3 +117,45 @@ def test_a_toxic_word_is_found_within_a_text_without_spaces():
     gap = toxicity.Gap(pair)
     assert max(map(gap, toxicity.words("今日はとても良い天気で" + bad + "と言われました"))) >= 3
     assert max(map(gap, toxicity.words("今日はとても良い天気でしたので散歩をしてから帰りました"))) <= 1
+
+
+def test_quality_scores_equal_a_plain_loop(spark):
+    """Shares counted one character at a time, the learned weights applied by hand."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit_rows(table, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert 0 < model.quantile < 1
+
+    def shares(text):
+        data, words = text.encode(), text.split()
+        n, k = max(1, len(data)), max(1, len(words))
+        upper = sum(65 <= b <= 90 for b in data)
+        letters = upper + sum(97 <= b <= 122 for b in data) + sum(b >= 128 for b in data)
+        plain = sum(data.count(c) for c in b".,'-")
+        marks = sum(chr(b) in r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~""" for b in data)
+        again = sum(a == b for a, b in zip(words, words[1:]))
+        lines = [x for x in text.split("\n") if x]
+        pairs = {(a, b) for a, b in zip(words, words[1:])}
+        caps = upper / max(1, letters)
+        return [
+            caps, (marks - plain) / n, data.count(b"|") / k, data.count(b"!") / k, plain / n, sum(48 <= b <= 57 for b in data) / n, letters / n, again / k,
+            len(pairs) / max(1, k - 1) if k > 1 else 1.0, len(set(words)) / k**0.9, max((words.count(w) for w in set(words)), default=0) / k,
+            len(set(lines)) / max(1, len(lines)), min(1.0, n / k / 20), min(1.0, k / 20), min(1.0, k / 200), caps > 0.3, again / k > 0.2, (marks - plain) / k > 0.5,
+        ]
+
+    for r in quality.score(table.where("doc_id % 9 = 0"), model).collect():
+        raw = sum(min(8.0, max(-8.0, (x - m) / s)) * w for x, m, s, w in zip(shares(r["text"]), model.mean, model.scale, model.weights))
+        z = min(30.0, max(-30.0, model.slope * (raw - model.cut) + np.log(0.7 / 0.3)))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_weights_lower_the_pairwise_loss():
+    """The logistic loss over all pairs of a good and a bad row falls, and the cut is a quantile of the scores."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, quality.FEATURES))
+    y = (x[:, 1] - x[:, 2] + rng.normal(size=120) / 2 > 0).astype(int)
+    model = quality.fit(x, y)
+    raw = np.clip((x - model.mean) / model.scale, -8, 8) @ model.weights
+    loss = np.mean([np.log1p(np.exp(b - a)) for a in raw[y == 1] for b in raw[y == 0]])
+    assert loss < 0.5 * np.log(2)
+    assert model.cut == pytest.approx(np.quantile(raw, model.quantile))
+    assert abs(np.mean(raw < model.cut) - model.quantile) < 0.02
