@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,9 +26,37 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Tables written inside the open scratch() blocks, the innermost last.
+_OPEN: list[list[str]] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back, which cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables saved inside the block at its end, but for those saved by the function it gives."""
+    made: list[str] = []
+    kept: list[str] = []
+    _OPEN.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = saved(df)
+        kept.append(made[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        _OPEN.pop()
+        jvm = spark.sparkContext._jvm
+        for path in set(made) - set(kept):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
