@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..shared import saved, shared_dir
+from ..shared import saved, scratch, shared_dir
 
-__all__ = ["documents", "free", "held_out", "labelled", "running", "saved", "shared_dir", "sliced", "table", "whole_text"]
+__all__ = ["documents", "free", "held_out", "labelled", "running", "saved", "scratch", "shared_dir", "sliced", "table", "whole_text"]
 
 ROWS_PER_SLICE = 200_000
 
