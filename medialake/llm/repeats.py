@@ -34,7 +34,7 @@ K = 64
 SIDE = LENGTH - K
 CHUNK = 1 << 19
 #: Leading bytes that more suffixes share are split deeper, their offsets in so many parts a time.
-HOT_SUFFIXES = 4096
+HOT_SUFFIXES = 1024
 PARTS = 4
 SUFFIXES_PER_BUCKET = 40_000
 PLACE_BITS = 20
@@ -201,9 +201,10 @@ def leading() -> Column:
 def split_hot(rows: DataFrame, hot_suffixes: int) -> tuple[DataFrame, DataFrame | None]:
     """The suffixes, each with offsets lo to hi so that few share its leading bytes, and (uid, places, low, high).
 
-    The latter are those whose whole window is shared by more than ``hot_suffixes``; None: none are.
+    A part of the offsets sees only some of a context. Suffixes that are alike in all of it are decided
+    at once, these are the latter table (None: none are), and one of them goes on, for others to meet.
     """
-    key = ["lo", "hi", "lead"]
+    key, row = ["lo", "hi", "lead"], ["uid", "places", "lo", "hi"]
     level = saved(rows.select("*", F.lit(0).alias("lo"), F.lit(SIDE).alias("hi")))
     cool, sure = None, None
     while True:
@@ -211,15 +212,18 @@ def split_hot(rows: DataFrame, hot_suffixes: int) -> tuple[DataFrame, DataFrame
         hot = saved(led.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > hot_suffixes).select(key))
         if hot.isEmpty():
             return level if cool is None else cool.unionByName(level), sure
-        own, shared = led.join(hot, key, "left_anti").drop("lead"), led.join(hot, key, "left_semi").drop("lead")
+        own = led.join(hot, key, "left_anti").drop("lead")
         cool = own if cool is None else cool.unionByName(own)
-        one = shared.where("lo = hi").select("uid", "places", F.col("lo").cast("long").alias("low"), F.col("hi").cast("long").alias("high"))
-        sure = one if sure is None else sure.union(one)
         step = F.ceil((F.col("hi") - F.col("lo") + 1) / PARTS).cast("int")
-        parts = shared.where("lo < hi").withColumns({"step": step, "lo": F.explode(F.sequence(F.col("lo"), F.col("hi"), step))})
+        parts = led.join(hot, key, "left_semi").drop("lead").withColumns({"step": step, "lo": F.explode(F.sequence(F.col("lo"), F.col("hi"), step))})
         parts = parts.withColumn("hi", F.least(F.col("hi"), F.col("lo") + F.col("step") - 1)).drop("step")
-        parts = parts.withColumns({"least": F.greatest("least", "lo"), "most": F.least("most", "hi")})
-        level = saved(parts.where(F.col("least") <= F.col("most")))
+        parts = parts.withColumns({"least": F.greatest("least", "lo"), "most": F.least("most", "hi")}).where(F.col("least") <= F.col("most"))
+        parts = saved(parts.withColumn("seen", F.md5(F.substring("context", F.lit(SIDE + 1) - F.col("hi"), F.col("hi") + LENGTH - F.col("lo")))))
+        alike = parts.groupBy("lo", "hi", "least", "most", "seen").agg(F.min(F.struct("uid", "places", "context")).alias("one"), F.count("*").alias("n"))
+        alike = saved(alike.select("one.*", "least", "most", "lo", "hi", "n"))
+        decided = parts.join(alike.where("n = 1").select(row), row, "left_anti").select("uid", "places", F.col("least").cast("long").alias("low"), F.col("most").cast("long").alias("high"))
+        sure = decided if sure is None else sure.union(decided)
+        level = alike.drop("n")
 
 
 def compared(rows: DataFrame, buckets: int) -> DataFrame:
