@@ -367,7 +367,8 @@ def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     families = similar_classes(own, min(PROPOSED, similar)).withColumnRenamed("root", "key")
     members = saved(own.drop("fp", "keys").join(families, "uid"))
     data = docs.select(F.md5(whole_text().cast("binary")).alias("digest"), whole_text().cast("binary").alias("data"))
-    data = data.join(members.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("data").alias("data"))
+    # copies are put together before the join, so that a large group of them is no hot key
+    data = data.groupBy("digest").agg(F.first("data").alias("data")).join(members.select("digest"), "digest", "left_semi")
     edges = verified(members.join(data, "digest"), similar)
     placed = texts.join(components(edges).withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     head = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest")).alias("head"))
