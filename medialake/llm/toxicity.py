@@ -188,6 +188,7 @@ def hits(check: DataFrame, pairs: list[tuple[bytes, bytes]]) -> list:
                         g = gap(w)
                         for at, least in enumerate(GAPS):
                             out[k * len(GAPS) + at] += n * (g >= least)
+                gap.cache.clear()  # one pair's windows are held at a time
             yield pd.DataFrame({"y": batch["y"], "size": [c.total() for c in counted], "hits": found})
 
     return check.mapInPandas(run, "y int, size long, hits array<long>").collect()
