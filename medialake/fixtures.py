@@ -13,8 +13,8 @@ _YEAR = {"spark": "CAST(year({0}) AS STRING)", "sql": "CAST(year({0}) AS VARCHAR
 #: Photos of orders: column -> expression in the common part of both dialects; {s} seconds and {y} year of the order.
 PHOTOS = {
     "id": "o_orderkey",
-    "ext": "CASE o_orderkey % 10 WHEN 0 THEN 'mp4' WHEN 1 THEN 'png' WHEN 2 THEN 'heic' WHEN 3 THEN 'MOV' ELSE 'jpg' END",
-    "filename": "CASE WHEN o_orderkey % 17 = 0 THEN 'Screenshot_' ELSE 'IMG_' END || CAST(o_orderkey AS {text}) || CASE o_orderkey % 10 WHEN 0 THEN '.mp4' WHEN 1 THEN '.png' WHEN 2 THEN '.heic' WHEN 3 THEN '.MOV' ELSE '.jpg' END",
+    "ext": "CASE o_orderkey % 40 WHEN 7 THEN 'qt' WHEN 17 THEN '3g2' WHEN 27 THEN 'OGV' WHEN 37 THEN 'flv' WHEN 8 THEN 'webm' WHEN 18 THEN 'm2ts' ELSE CASE o_orderkey % 10 WHEN 0 THEN 'mp4' WHEN 1 THEN 'png' WHEN 2 THEN 'heic' WHEN 3 THEN 'MOV' ELSE 'jpg' END END",
+    "filename": "CASE WHEN o_orderkey % 17 = 0 THEN 'Screenshot_' WHEN o_orderkey % 19 = 0 THEN 'ScreenCapture ' WHEN o_orderkey % 23 = 1 THEN 'Captura de pantalla ' WHEN o_orderkey % 13 = 5 THEN 'Screen Shot ' WHEN o_orderkey % 13 = 6 THEN 'screen_shot_' ELSE 'IMG_' END || CAST(o_orderkey AS {text}) || CASE o_orderkey % 10 WHEN 0 THEN '.mp4' WHEN 1 THEN '.png' WHEN 2 THEN '.heic' WHEN 3 THEN '.MOV' ELSE '.jpg' END",
     "path": "'/lib/' || {y} || '/' || CASE WHEN o_orderkey % 2 = 0 THEN 'clip' ELSE 'still' END || CAST(o_orderkey - o_orderkey % 2 AS {text}) || CASE o_orderkey % 10 WHEN 0 THEN '.mp4' WHEN 1 THEN '.png' WHEN 2 THEN '.heic' WHEN 3 THEN '.MOV' ELSE '.jpg' END",
     "bytes": "CAST(floor(o_totalprice * 100) AS BIGINT)",
     "mtime": "CAST({s} + 5 AS DOUBLE)",
@@ -35,6 +35,14 @@ PHOTOS = {
     "paired_to": "CASE WHEN o_orderkey % 37 = 0 THEN o_orderkey END",
     "duration": "CASE WHEN o_orderkey % 10 IN (0, 3) THEN CAST(o_orderkey % 600 AS DOUBLE) / 100 END",
     "album": "o_custkey",
+    "root_id": "CAST(o_custkey % 5 AS BIGINT)",
+    "look_key": "CASE WHEN o_orderkey % 3 = 0 THEN 'look' || CAST(o_orderkey % 701 AS {text}) END",
+    "looked_bytes": "CASE WHEN o_orderkey % 2 = 0 THEN CAST(floor(o_totalprice * 100) AS BIGINT) ELSE 0 END",
+    "looked_mtime": "CAST({s} + 5 AS DOUBLE)",
+    "content_hash": "'content' || CAST(o_orderkey % 901 AS {text})",
+    "hashed_bytes": "CAST(floor(o_totalprice * 100) AS BIGINT)",
+    "hashed_mtime": "CASE WHEN o_orderkey % 5 = 0 THEN CAST({s} + 5 AS DOUBLE) END",
+    "thumb_state": "CAST(o_orderkey % 4 AS INTEGER)",
 }
 
 

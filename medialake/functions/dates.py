@@ -40,6 +40,35 @@ def date_from_folders(path: str, depth: int = 3) -> Column:
     return F.get(F.filter(dates, lambda d: d.isNotNull()), F.lit(0))
 
 
+# How cameras and videos write their dates.
+CAMERA_FORMATS = ("yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy:MM:dd")
+
+
+def camera_time(text: Column, subsecond: Column | None = None) -> Column:
+    """Epoch seconds of a camera's date (its clock taken as UTC), with a fraction if its digits are given; else null."""
+    raw = F.substring(F.trim(F.regexp_replace(text, "\u0000+$", "")), 1, 19)
+    at = F.coalesce(*(F.when(raw.rlike(shape), F.try_to_timestamp(raw, F.lit(f))) for f, shape in zip(CAMERA_FORMATS, (r"^\d{4}:\d\d:\d\d \d\d:\d\d:\d\d$", r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$", r"^\d{4}:\d\d:\d\d$"))))
+    seconds = epoch(at.cast("timestamp_ntz")).cast("double")
+    if subsecond is None:
+        return seconds
+    part = F.when(F.trim(subsecond).rlike("^[0-9]+$"), F.concat(F.lit("0."), F.trim(subsecond)).cast("double"))
+    return seconds + F.coalesce(part, F.lit(0.0))
+
+
+def container_time(text: Column) -> Column:
+    """Epoch seconds of an ISO date of a video, with or without a fraction and a zone (none: UTC); else null."""
+    t = F.trim(text)
+    shape = t.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:?\d\d)?$")
+    sign = F.when(F.regexp_extract(t, r"([+-])\d\d:?\d\d$", 1) == "-", -1).otherwise(1)
+    zone = F.regexp_extract(t, r":\d\d(?:\.\d+)?([+-]\d\d:?\d\d)$", 1)
+    digits = F.regexp_replace(zone, "[^0-9]", "")
+    hour, minute = F.substring(digits, 1, 2).try_cast("int"), F.substring(digits, 3, 2).try_cast("int")
+    offset = sign * (F.coalesce(hour, F.lit(0)) * 3600 + F.coalesce(minute, F.lit(0)) * 60)
+    fraction = F.coalesce(F.concat(F.lit("0"), F.regexp_extract(t, r"(\.\d+)", 1)).try_cast("double"), F.lit(0.0))
+    at = F.try_to_timestamp(F.replace(F.substring(t, 1, 19), F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return F.when(shape, epoch(at.cast("timestamp_ntz")).cast("double") + fraction - offset)
+
+
 def day_title(day: Column, today: Column) -> Column:
     """Today, Yesterday, the weekday within a week, else the long date."""
     ago = F.datediff(today, day)

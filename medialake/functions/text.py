@@ -16,6 +16,21 @@ def fold(text: pd.Series) -> pd.Series:
     return text.map(lambda s: s if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower())
 
 
+# Latin letters with marks, and the plain letters they fold to.
+MARKED = "áàâäãåāăąçćčďéèêëēėęěíìîïīįñńňóòôöõōőřśšşťţúùûüūůűųýÿžźżğ"
+PLAIN = "aaaaaaaaacccdeeeeeeeeiiiiiinnnooooooorsssttuuuuuuuuyyzzzg"
+
+
+def folded(text: Column) -> Column:
+    """Lower case, Latin letters without their marks, by Spark's own functions; fold() does so for all scripts."""
+    return F.translate(F.lower(text), MARKED, PLAIN)
+
+
+def casefolded(text: Column) -> Column:
+    """folded(), with ß as ss: the variant that names of places and lists are compared by."""
+    return F.replace(folded(text), F.lit("ß"), F.lit("ss"))
+
+
 def contains_folded(column: str, word: str) -> Column:
     """Whether a text holds a word, regardless of case and accents, by collation: no Python."""
     return F.contains(F.collate(F.coalesce(F.col(column), F.lit("")), "UNICODE_CI_AI"), F.collate(F.lit(word), "UNICODE_CI_AI"))
@@ -32,11 +47,15 @@ def contains_all(haystack: str, words: list[str], without: list[str] = ()) -> Co
     return out
 
 
-def natural_key(column: str, digits: int = 12) -> Column:
-    """A key that sorts runs of digits as numbers: each is padded with zeros to ``digits``; case is ignored."""
+def natural_key(column: str) -> Column:
+    """A key that sorts runs of digits as numbers, however long, before other runs; case is ignored.
+
+    A run of digits is (0, its length without zeros in front, its digits), another (1, 0, the run).
+    """
     runs = F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit("([0-9]+|[^0-9]+)"), 1)
-    padded = F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.lpad(r, digits, "0")).otherwise(r))
-    return F.array_join(padded, "")
+    number = lambda r: F.regexp_replace(r, "^0+", "")
+    part = lambda kind, size, run: F.struct(kind.alias("kind"), size.alias("size"), run.alias("run"))
+    return F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), part(F.lit(0), F.length(number(r)), number(r))).otherwise(part(F.lit(1), F.lit(0), r)))
 
 
 def within_one_edit(a: Column, b: Column) -> Column:

@@ -13,11 +13,14 @@ BANDS = 4
 LARGEST_BUCKET = 60
 
 
-def duplicate_key() -> Column:
+def duplicate_key(columns: list[str] | None = None) -> Column:
     """The look's key while it is fresh, else the content hash while that is, else the quick fingerprint.
 
-    Fresh: it was taken at the size and time that the file has now.
+    Fresh: it was taken at the size and time that the file has now. columns: those there are; without a
+    look or a hash among them, the fingerprint alone counts.
     """
+    if columns is not None and not {"look_key", "content_hash"} <= set(columns):
+        return F.col("fingerprint")
     look = F.col("look_key").isNotNull() & (F.col("looked_bytes") == F.col("bytes")) & (F.col("looked_mtime") == F.col("mtime"))
     content = F.col("content_hash").isNotNull() & (F.col("hashed_bytes") == F.col("bytes")) & (F.col("hashed_mtime") == F.col("mtime"))
     return F.when(look, F.col("look_key")).when(content, F.col("content_hash")).otherwise(F.col("fingerprint"))

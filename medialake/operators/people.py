@@ -15,6 +15,7 @@ from ..shared import saved
 ASSIGN = 0.48
 MARGIN = 0.04
 REJECT = 0.8
+BARRED = -9.0
 NEIGHBOURS = 5
 #: A person is compared by at most so many faces, the least by a hash of the id.
 SAMPLE_FACES = 1500
@@ -81,28 +82,39 @@ def _two_best(scored: DataFrame, *keep: str) -> DataFrame:
     return best.select("id", *keep, "b.person_id", "b.s", "next")
 
 
-def assign(faces: DataFrame, people: DataFrame, least: float = ASSIGN, margin: float = MARGIN) -> DataFrame:
+def assign(faces: DataFrame, people: DataFrame, least: float = ASSIGN, margin: float = MARGIN, present: DataFrame | None = None) -> DataFrame:
     """(id, person_id, likeness) of loose faces: the person of the best average likeness, if it passes
-    ``least`` and the next one by ``margin``; of two faces of a photo the better one gets the person.
+    ``least``. A face is left out if the next person passes it too and is less than ``margin`` behind.
+    Of two faces of a photo the better one gets the person. present: (photo_id, person_id) of people who
+    are in a photo already, or whom the user took a face of that photo out of; they don't count there.
 
     people: centroids(). Blocks of faces meet blocks of people; a face keeps its two best of each.
     """
     means = people.select("person_id", F.transform("total", lambda x: x / F.col("faces")).alias("u"))
     theirs, n = _blocks(means, PEOPLE_PER_BLOCK, "person_id", "u")
-    mine, _ = _blocks(faces.select("id", "photo_id", unit("emb").alias("u")).where("u is not null"), BLOCK, "id", "photo_id", "u")
+    loose = faces.select("id", "photo_id", unit("emb").alias("u")).where("u is not null")
+    if present is None:
+        loose = loose.withColumn("barred", F.array().cast("array<long>"))
+    else:  # as many as there are faces in a photo
+        loose = loose.join(present.groupBy("photo_id").agg(F.collect_set(F.col("person_id").cast("long")).alias("barred")), "photo_id", "left")
+    mine, _ = _blocks(loose, BLOCK, "id", "photo_id", "u", "barred")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b in zip(batch["mine"], batch["theirs"]):
                 s = _matrix(a, "u") @ _matrix(b, "u").T
                 who = np.array([r["person_id"] for r in b], "i8")
+                for k, r in enumerate(a):
+                    if r["barred"] is not None and len(r["barred"]):
+                        s[k, np.isin(who, r["barred"])] = BARRED
                 order = np.lexsort((np.broadcast_to(who, s.shape), -s), axis=1)[:, :2]
                 i = np.repeat(np.arange(len(a)), order.shape[1])
                 yield pd.DataFrame({"id": np.array([r["id"] for r in a], "i8")[i], "photo_id": np.array([r["photo_id"] for r in a], "i8")[i], "person_id": who[order.ravel()], "s": s[i, order.ravel()]})
 
     scored = _meet(mine, theirs, n).select("mine", "theirs").mapInPandas(compare, "id long, photo_id long, person_id long, s double")
     best = _two_best(scored, "photo_id")
-    good = best.where((F.col("s") >= least) & (F.col("next").isNull() | (F.col("s") - F.col("next") >= margin)))
+    close = (F.col("next") >= least) & (F.col("s") - F.col("next") < margin)
+    good = best.where((F.col("s") >= least) & ~F.coalesce(close, F.lit(False)))
     once = good.groupBy("photo_id", "person_id").agg(F.max(F.struct("s", (-F.col("id")).alias("neg"))).alias("b"))
     return once.select((-F.col("b.neg")).alias("id"), "person_id", F.col("b.s").alias("likeness"))
 

@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEGREE, distance_km, located, snapped
+from ..functions.text import casefolded
+from ..shared import saved
 
 # How far a name reaches.
 TOWN_KM = 60.0
 COUNTRY_KM = 400.0
 METRO_KM = 40.0
 METRO_PEOPLE = 100_000
+PLACE_KM = 3.0
+CITY_KM = 200.0
 ANTARCTICA_LAT = -60.0
 
 
@@ -51,20 +55,65 @@ def largest(points: DataFrame, towns: DataFrame, km: float, people: int = METRO_
 
 
 def locate(points: DataFrame, towns: DataFrame) -> DataFrame:
-    """id, city, country: the nearest town within TOWN_KM, folded into a large city of its country within
-    METRO_KM; the country of the nearest town within COUNTRY_KM; Antarctica south of 60°.
+    """id, city, country: the nearest town within TOWN_KM, or the largest city within METRO_KM of the point if that
+    is in the same country; the country of the nearest town within COUNTRY_KM; Antarctica south of 60°.
+
+    Only points without a town within TOWN_KM look further, so few meet all the towns of a country.
     """
     names = towns.select(F.col("id").alias("town_id"), "name", "country", "lat", "lon")
-    at = nearest(points, towns, COUNTRY_KM).join(names, "town_id")
-    centre = at.select("id", "lat", "lon", F.col("country").alias("own"))
-    metro = near(centre, towns.where(F.col("population") >= METRO_PEOPLE), METRO_KM).join(towns.select(F.col("id").alias("town_id"), F.col("name").alias("metro"), F.col("country").alias("theirs"), "population"), "town_id")
-    metro = metro.join(centre.select("id", "own"), "id").where("own = theirs").groupBy("id").agg(F.max_by("metro", F.struct("population", "metro")).alias("metro"))
-    named = at.join(metro, "id", "left").select("id", F.when(F.col("km") <= TOWN_KM, F.coalesce("metro", "name")).alias("city"), "country")
+    close = saved(nearest(points, towns, TOWN_KM))
+    far = nearest(points.join(close.select("id"), "id", "left_anti"), towns, COUNTRY_KM)
+    at = close.union(far).join(names, "town_id")
+    metro = largest(points, towns, METRO_KM).join(names.select("town_id", F.col("name").alias("metro"), F.col("country").alias("theirs")), "town_id").select("id", "metro", "theirs")
+    own = F.when(F.col("theirs") == F.col("country"), F.col("metro"))
+    named = at.join(metro, "id", "left").select("id", F.when(F.col("km") <= TOWN_KM, F.coalesce(own, "name")).alias("city"), "country")
     south = F.col("lat") <= ANTARCTICA_LAT
     out = points.select("id", "lat").join(named, "id", "left")
     return out.select("id", F.when(~south, F.col("city")).alias("city"), F.when(south, F.lit("Antarctica")).otherwise(F.col("country")).alias("country"))
 
 
+def merged_answers(answers: DataFrame) -> DataFrame:
+    """(id, kind) of the answers of several searches, each place once, the first in order.
+
+    Two are one place if their titles fold alike and they lie within 0.004 degrees, or say the same detail;
+    a place without a kind takes that of an answer which has one. answers: (id, title, detail, kind, lat,
+    lon), in order of id. Titles are joined, and an answer goes if an earlier one is the same place.
+    """
+    rows = answers.select("id", "kind", "lat", "lon", casefolded(F.col("title")).alias("title"), casefolded(F.coalesce("detail", F.lit(""))).alias("detail"))
+    other = rows.select(F.col("id").alias("other"), "title", F.col("kind").alias("o_kind"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), F.col("detail").alias("o_detail"))
+    close = (F.abs(F.col("lat") - F.col("o_lat")) < 0.004) & (F.abs(F.col("lon") - F.col("o_lon")) < 0.004)
+    same = rows.join(other, "title").where((F.col("other") != F.col("id")) & (close | (F.col("detail") == F.col("o_detail"))))
+    gone = same.where("other < id").select("id").distinct()
+    named = same.where("other > id AND o_kind <> ''").groupBy("id").agg(F.min_by("o_kind", "other").alias("more"))
+    kept = rows.join(gone, "id", "left_anti").join(named, "id", "left")
+    return kept.select("id", F.when(F.coalesce("kind", F.lit("")) == "", F.col("more")).otherwise(F.col("kind")).alias("kind"))
+
+
+def described(pins: DataFrame, points: DataFrame, towns: DataFrame) -> DataFrame:
+    """(pin, name) of pins on a map, by the points that each holds (pin, id, lat, lon).
+
+    Points within 3 km: the town nearest to their middle and its region, else the country. Several
+    countries: how many. Over 200 km: the country. Within 40 km: the largest city around the middle. One
+    city: that. Else how many places. Cities are those of 100,000 people. pins: (pin).
+    """
+    big, middle = towns.where(F.col("population") >= METRO_PEOPLE), F.monotonically_increasing_id()
+    sums = points.groupBy("pin").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
+    span = distance_km(F.col("s"), F.col("w"), F.col("n"), F.col("e"))
+    sums = saved(pins.join(sums, "pin").select("pin", "lat", "lon", span.alias("span"), middle.alias("id")))
+    names = towns.select(F.col("id").alias("town_id"), "name", "region", "country")
+    here = nearest(sums, towns, TOWN_KM).join(names, "town_id").select("id", F.concat("name", F.lit(", "), F.coalesce("region", "country")).alias("here"))
+    there = nearest(sums, towns, COUNTRY_KM).join(names, "town_id").select("id", F.col("country").alias("there"))
+    around = largest(sums, towns, METRO_KM).join(names, "town_id").select("id", F.col("name").alias("around"))
+    of = nearest(points.select("id", "lat", "lon"), big, COUNTRY_KM).join(names, "town_id").select("id", "name", "country")
+    held = points.select("pin", "id").join(of, "id").groupBy("pin").agg(F.countDistinct("name").alias("cities"), F.countDistinct("country").alias("countries"), F.min("name").alias("city"), F.min("country").alias("country"))
+    rows = sums.join(here, "id", "left").join(there, "id", "left").join(around, "id", "left").join(held, "pin", "left")
+    wide = F.when(F.col("countries") > 1, F.format_string("%d countries", F.col("countries"))).when(F.col("span") > CITY_KM, F.coalesce("country", F.lit("")))
+    wide = wide.when((F.col("span") <= METRO_KM) & F.col("around").isNotNull() & F.col("country").isNotNull(), F.concat("around", F.lit(", "), F.col("country"))).when(F.col("cities") == 1, F.concat("city", F.lit(", "), F.col("country")))
+    wide = wide.when(F.col("cities") > 1, F.format_string("%d places in %s", F.col("cities"), F.col("country"))).otherwise(F.lit(""))
+    name = F.when(F.col("lat") <= ANTARCTICA_LAT, "Antarctica").when(F.col("span") <= PLACE_KM, F.coalesce("here", "there", F.lit(""))).otherwise(wide)
+    return rows.select("pin", name.alias("name"))
+
+
 def to_name(photos: DataFrame, named: DataFrame) -> DataFrame:
     """Photos that have a place but no name for it, or a name for another place."""
     here = photos.where(located("gps_lat", "gps_lon")).select(F.col("id"), "gps_lat", "gps_lon")

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import wall_time
 
 # File name endings of videos, and how screenshots are named.
-VIDEO_EXTENSIONS = ("mp4", "mov", "m4v", "avi", "mkv", "webm", "mpg", "mpeg", "3gp", "mts", "m2ts", "wmv")
-SCREENSHOT_PREFIXES = ("screenshot", "screen shot", "captura de pantalla", "screen_shot")
+VIDEO_EXTENSIONS = ("mp4", "m4v", "mov", "qt", "mkv", "webm", "avi", "3gp", "3g2", "mts", "m2ts", "mpg", "mpeg", "wmv", "ogv", "flv")
+SCREENSHOT_PREFIXES = ("screenshot", "screen shot", "captura de pantalla", "screencapture")
 
 #: Field -> kind: text, number, flag, given (not null), date, media.
 FIELDS = {
-    "name": "text", "path": "text", "title": "text", "caption": "text", "keywords": "text", "camera_make": "text", "camera_model": "text", "lens": "text", "ext": "text", "place_name": "text",
+    "name": "text", "filename": "text", "folder": "text", "path": "text", "title": "text", "caption": "text", "keywords": "text", "camera_make": "text", "camera_model": "text", "lens": "text", "ext": "text", "place_name": "text",
     "rating": "number", "bytes": "number", "width": "number", "height": "number", "iso": "number", "f_number": "number", "focal_length": "number", "duration": "number",
-    "favorite": "flag", "hidden": "flag", "edit_version": "flag", "gps_lat": "given", "taken_at": "date", "added_at": "date", "media": "media",
+    "favorite": "flag", "hidden": "flag", "edited": "flag", "edit_version": "flag", "has_location": "given", "gps_lat": "given", "taken_at": "date", "added_at": "date", "media_type": "media", "media": "media",
 }
+#: Fields whose column has another name.
+COLUMNS = {"name": "filename", "folder": "path", "edited": "edit_version", "has_location": "gps_lat"}
+#: How stored rules spell operators -> as below.
+SPELLED = {"is not": "is_not", "does not contain": "without", "greater than": ">", "less than": "<", "is true": "yes", "is false": "no", "in the last days": "last_days"}
 DAY = 86_400
 
 
@@ -46,35 +52,54 @@ def _number(value: object) -> float | None:
         return None
 
 
+def _moment(value: object) -> float | None:
+    """Epoch seconds of a number or of an ISO date or time (UTC, if it names no zone)."""
+    if isinstance(value, (int, float)):
+        return float(value)
+    try:
+        at = datetime.fromisoformat(str(value))
+    except ValueError:
+        return None
+    return (at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp()
+
+
+def stored(text: str | None) -> list[Rule]:
+    """The rules of a saved smart album: a JSON list of objects with field, op and value; none if it can't be read."""
+    try:
+        rows = json.loads(text or "[]")
+    except ValueError:
+        return []
+    return [Rule(str(r.get("field", "")), str(r.get("op", "")), r.get("value")) for r in rows if isinstance(r, dict)] if isinstance(rows, list) else []
+
+
 def condition(rule: Rule, as_of: float, columns: dict[str, str] | None = None) -> Column | None:
     """The predicate of a rule, None if its field, operator or value isn't known. as_of: now, in epoch seconds.
 
-    Text ignores case and takes a null for ''; % and _ in a text are wildcards; a null number is -1
-    for 'is' and 'is_not', and fails '>' and '<'.
+    Operators are named as here or as stored rules spell them. Text ignores case and takes a null for '';
+    % and _ in a text are wildcards; a null number is -1 for 'is_not' alone, and fails the others; dates
+    are epoch seconds or ISO texts; of media, all that isn't 'is video' asks for pictures.
     """
-    kind, name = FIELDS.get(rule.field), (columns or {}).get(rule.field, "filename" if rule.field == "name" else rule.field)
-    c = F.col(name) if rule.field != "media" else None
+    kind, name = FIELDS.get(rule.field), (columns or {}).get(rule.field, COLUMNS.get(rule.field, rule.field))
+    c, op = F.col(name), SPELLED.get(rule.op, rule.op)
     if kind == "text":
         text, value = F.lower(F.coalesce(c, F.lit(""))), str(rule.value or "").lower()
-        return {"is": text == value, "is_not": text != value, "contains": text.like(f"%{value}%"), "without": ~text.like(f"%{value}%")}.get(rule.op)
+        return {"is": text == value, "is_not": text != value, "contains": text.like(f"%{value}%"), "without": ~text.like(f"%{value}%")}.get(op)
     if kind == "number":
         value = _number(rule.value)
         if value is None:
             return None
-        whole = F.coalesce(c, F.lit(-1))
-        return {"is": whole == value, "is_not": whole != value, ">": c > value, "<": c < value}.get(rule.op)
+        return {"is": c == value, "is_not": F.coalesce(c, F.lit(-1)) != value, ">": c > value, "<": c < value}.get(op)
     if kind == "flag":
-        return {"yes": F.coalesce(c, F.lit(0)) > 0, "no": F.coalesce(c, F.lit(0)) <= 0}.get(rule.op)
+        return {"yes": F.coalesce(c, F.lit(0)) > 0, "no": F.coalesce(c, F.lit(0)) == 0}.get(op)
     if kind == "given":
-        return {"yes": c.isNotNull(), "no": c.isNull()}.get(rule.op)
+        return {"yes": c.isNotNull(), "no": c.isNull()}.get(op)
     if kind == "date":
-        value = _number(rule.value)
+        value = _number(rule.value) if op == "last_days" else _moment(rule.value)
         if value is None:
             return None
-        return {"last_days": c >= as_of - value * DAY, "after": c > value, "before": c < value}.get(rule.op)
+        return {"last_days": c >= as_of - value * DAY, "after": c > value, "before": c < value}.get(op)
     if kind == "media":
-        video = is_video()
-        return {"video": video, "photo": ~video}.get(str(rule.value)) if rule.op == "is" else None
+        return is_video() if op == "is video" or (op == "is" and rule.value == "video") else ~is_video()
     return None
 
 
@@ -86,6 +111,12 @@ def combined(rules: list[Rule], match: str, as_of: float) -> Column:
     return reduce((lambda a, b: a | b) if match == "any" else (lambda a, b: a & b), found)
 
 
+def live_count(photos: DataFrame, rules: list[Rule], match: str, as_of: float) -> DataFrame:
+    """One row, items: how many photos rules find while they are edited; not trashed and not hidden, moving halves count."""
+    live = F.col("trashed_at").isNull() & (F.coalesce(F.col("hidden"), F.lit(0)) == 0)
+    return photos.where(live & combined(rules, match, as_of)).agg(F.count("*").alias("items"))
+
+
 # Search terms that need no parsing: each is a predicate to combine by &.
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import folded
+
 #: The order of kinds among suggestions.
 KINDS = ("person", "place", "camera", "album", "folder", "event")
 MOST_CAMERAS = 400
@@ -28,12 +30,12 @@ def vocabulary(photos: DataFrame, people: DataFrame, placed: DataFrame, albums:
     parts = [counted(people, "name", "person"), counted(photos, "camera_model", "camera", MOST_CAMERAS), counted(albums, "name", "album"), counted(folders, "folder", "folder")]
     parts += [counted(placed, c, "place") for c in ("city", "region", "country")]
     both = reduce(DataFrame.unionByName, parts).groupBy("kind", "text").agg(F.sum("uses").alias("uses"))
-    return both.withColumn("folded", F.lower("text"))
+    return both.withColumn("folded", folded(F.col("text")))
 
 
 def suggestions(words: DataFrame, typed: str, k: int = 8) -> DataFrame:
     """The k best completions of what is typed: texts that start with it, then texts with a word that does."""
-    start = F.startswith("folded", F.lit(typed.lower()))
-    inner = F.contains("folded", F.lit(" " + typed.lower()))
+    start = F.startswith("folded", folded(F.lit(typed)))
+    inner = F.contains("folded", folded(F.lit(" " + typed)))
     rank = F.element_at(F.create_map(*(x for i, n in enumerate(KINDS) for x in (F.lit(n), F.lit(i)))), F.col("kind"))
     return words.where(start | inner).orderBy(start.cast("int").desc(), rank, F.desc("uses"), "text").limit(k).select("kind", "text", "uses")

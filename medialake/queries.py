@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import dates, geo, pixels, text
-from .operators import browse, dupes, edits, events, ingest, merge, people, places, rules, summary
+from .operators import browse, dupes, edits, events, ingest, lookups, merge, people, places, rules, search, summary
 from .operators import vocabulary as words
 from .plans import upkeep
 from .schema import table
@@ -18,7 +18,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 P, A, M, V = fx.PHOTOS_SQL, fx.ALBUMS_SQL, fx.MOMENTS_SQL, fx.VECTORS_SQL
 LIVE = "trashed_at IS NULL AND paired_to IS NULL AND hidden = 0"
-VIDEO = "lower(ext) IN ('mp4', 'mov')"
+VIDEO = "lower(ext) IN ('mp4', 'm4v', 'mov', 'qt', 'mkv', 'webm', 'avi', '3gp', '3g2', 'mts', 'm2ts', 'mpg', 'mpeg', 'wmv', 'ogv', 'flv')"
+SCREEN = "(lower(filename) LIKE 'screenshot%' OR lower(filename) LIKE 'screen shot%' OR lower(filename) LIKE 'captura de pantalla%' OR lower(filename) LIKE 'screencapture%')"
+DUPE_KEY = "CASE WHEN look_key IS NOT NULL AND looked_bytes = bytes AND looked_mtime = mtime THEN look_key WHEN content_hash IS NOT NULL AND hashed_bytes = bytes AND hashed_mtime = mtime THEN content_hash ELSE fingerprint END"
 AS_OF = 1_700_000_000.0
 
 
@@ -46,7 +48,7 @@ def browse_filters_any(spark, d):
     return browse.filtered(browse.scope(fx.photos(spark, d), "library"), ["favorites", "edited", "not_in_album", "no such"], items).select("id")
 
 
-@query(f"WITH {P} SELECT id, filename FROM photos WHERE {LIVE} AND lower(filename) LIKE 'screenshot%'")
+@query(f"WITH {P} SELECT id, filename FROM photos WHERE {LIVE} AND {SCREEN}")
 def browse_screenshots(spark, d):
     return browse.scope(fx.photos(spark, d), "screenshots").select("id", "filename")
 
@@ -57,7 +59,7 @@ def browse_album_members(spark, d):
     return browse.scope(fx.photos(spark, d), "ids", ids).select("id")
 
 
-@query(f"WITH {P}, s AS (SELECT * FROM photos WHERE {LIVE}) SELECT id, fingerprint, min(taken_at) OVER (PARTITION BY fingerprint) AS group_first FROM s WHERE fingerprint IN (SELECT fingerprint FROM s GROUP BY 1 HAVING count(*) > 1)")
+@query(f"WITH {P}, k AS (SELECT *, {DUPE_KEY} AS k FROM photos WHERE trashed_at IS NULL) SELECT id, k AS fingerprint, min(taken_at) OVER (PARTITION BY k) AS group_first FROM k WHERE {LIVE} AND k IN (SELECT k FROM k GROUP BY 1 HAVING count(*) > 1)")
 def browse_duplicates_grouped(spark, d):
     return browse.group_order(browse.scope(fx.photos(spark, d), "duplicates"), "fingerprint", "taken_at").select("id", "fingerprint", "group_first")
 
@@ -67,19 +69,26 @@ def browse_next_page(spark, d):
     return browse.page_after(browse.scope(fx.photos(spark, d), "library"), 900_000_000.0, 5, 200).select("id", "taken_at")
 
 
-@query("""WITH p AS (SELECT p_partkey AS id, lower(p_name) || ' ' || p_size || ' of ' || p_partkey AS name FROM part)
-SELECT id, array_to_string(list_transform(regexp_extract_all(name, '[0-9]+|[^0-9]+'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(r, 12, '0') ELSE r END), '') AS key FROM p""")
+NAMES = "names AS (SELECT p_partkey AS id, p_name || ' ' || p_size || ' of ' || CASE WHEN p_partkey % 3 = 0 THEN '00' ELSE '' END || CAST(CAST(p_partkey AS BIGINT) * 1700000000001 AS VARCHAR) AS name FROM part)"
+
+
+def _names(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr("p_name || ' ' || p_size || ' of ' || CASE WHEN p_partkey % 3 = 0 THEN '00' ELSE '' END || CAST(CAST(p_partkey AS BIGINT) * 1700000000001 AS STRING) AS name"))
+
+
+@query(f"""WITH {NAMES}, r AS (SELECT id, unnest(regexp_extract_all(lower(name), '[0-9]+|[^0-9]+')) AS run, generate_subscripts(regexp_extract_all(lower(name), '[0-9]+|[^0-9]+'), 1) AS n FROM names)
+SELECT id, string_agg(CASE WHEN regexp_matches(run, '^[0-9]') THEN '0:' || length(ltrim(run, '0')) || ':' || ltrim(run, '0') ELSE '1:0:' || run END, '|' ORDER BY n) AS key FROM r GROUP BY id""")
 def natural_order_keys(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.col("p_size").cast("string"), F.lit("of"), F.col("p_partkey").cast("string")).alias("name"))
-    return p.select("id", text.natural_key("name").alias("key"))
+    spelled = F.transform(text.natural_key("name"), lambda p: F.concat_ws(":", p["kind"].cast("string"), p["size"].cast("string"), p["run"]))
+    return _names(spark, d).select("id", F.array_join(spelled, "|").alias("key"))
 
 
 # Rules
 
-RULES = [rules.Rule("camera_model", "contains", "nik"), rules.Rule("rating", ">", 1), rules.Rule("taken_at", "after", 800_000_000), rules.Rule("bytes", ">", "not a number")]
+RULES = [rules.Rule("camera_model", "contains", "nik"), rules.Rule("rating", ">", 1), rules.Rule("taken_at", "after", "1995-05-09"), rules.Rule("rating", "is not", 4), rules.Rule("bytes", ">", "not a number")]
 
 
-@query(f"WITH {P} SELECT id FROM photos WHERE lower(coalesce(camera_model, '')) LIKE '%nik%' AND rating > 1 AND taken_at > 800000000")
+@query(f"WITH {P} SELECT id FROM photos WHERE lower(coalesce(camera_model, '')) LIKE '%nik%' AND rating > 1 AND taken_at > epoch(TIMESTAMP '1995-05-09') AND coalesce(rating, -1) <> 4")
 def smart_rules_all(spark, d):
     return fx.photos(spark, d).where(rules.combined(RULES, "all", AS_OF)).select("id")
 
@@ -128,7 +137,7 @@ def keyword_lists(spark, d):
 
 
 @query(f"""WITH {P} SELECT count(*) FILTER ({LIVE}) AS library, count(*) FILTER ({LIVE} AND favorite > 0) AS favorites, count(*) FILTER (trashed_at IS NULL AND paired_to IS NULL AND edit_version > 0) AS edited,
-count(*) FILTER (trashed_at IS NULL AND paired_to IS NULL AND hidden > 0) AS hidden, count(*) FILTER ({LIVE} AND lower(filename) LIKE 'screenshot%') AS screenshots, count(*) FILTER ({LIVE} AND {VIDEO}) AS videos,
+count(*) FILTER (trashed_at IS NULL AND paired_to IS NULL AND hidden > 0) AS hidden, count(*) FILTER ({LIVE} AND {SCREEN}) AS screenshots, count(*) FILTER ({LIVE} AND {VIDEO}) AS videos,
 count(*) FILTER ({LIVE} AND gps_lat IS NOT NULL AND NOT (gps_lat = 0 AND gps_lon = 0)) AS located, count(*) FILTER (trashed_at IS NOT NULL) AS trash, CAST(sum(bytes) AS BIGINT) AS bytes FROM photos""")
 def sidebar_counts(spark, d):
     return summary.sidebar_counts(fx.photos(spark, d))
@@ -292,15 +301,15 @@ def class_links(spark, d):
     return people.class_links(fx.faces(spark, d)).select("a", "b", F.round("link", 6).alias("link"))
 
 
-ASSIGN = f"""{LINKS}, sc AS (SELECT f.id, f.photo_id, s.person_id, list_inner_product(f.u, list_transform(s.total, lambda x: x / s.n)) AS s FROM faces f, sums s WHERE f.person_id IS NULL),
+ASSIGN = f"""{LINKS}, sc AS (SELECT f.id, f.photo_id, s.person_id, list_inner_product(f.u, list_transform(s.total, lambda x: x / s.n)) AS s FROM faces f, sums s WHERE f.person_id IS NULL AND NOT EXISTS (SELECT 1 FROM faces o WHERE o.photo_id = f.photo_id AND o.person_id = s.person_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, person_id) AS rn, lead(s) OVER (PARTITION BY id ORDER BY s DESC, person_id) AS next FROM sc),
-g AS (SELECT * FROM r WHERE rn = 1 AND s >= 0.02 AND (next IS NULL OR s - next >= 0.002))"""
+g AS (SELECT * FROM r WHERE rn = 1 AND s >= 0.02 AND NOT coalesce(next >= 0.02 AND s - next < 0.002, false))"""
 
 
 @query(f"WITH {ASSIGN} SELECT id, CAST(person_id AS BIGINT) AS person_id, round(s, 6) AS likeness FROM (SELECT *, row_number() OVER (PARTITION BY photo_id, person_id ORDER BY s DESC, id) AS k FROM g) WHERE k = 1")
 def assign_known(spark, d):
     f = fx.faces(spark, d)
-    return people.assign(f.where("person_id is null"), people.centroids(f), 0.02, 0.002).select("id", "person_id", F.round("likeness", 6).alias("likeness"))
+    return people.assign(f.where("person_id is null"), people.centroids(f), 0.02, 0.002, f.where("person_id is not null")).select("id", "person_id", F.round("likeness", 6).alias("likeness"))
 
 
 KNN = f"{V}, sc AS (SELECT f.id, o.person_id, list_inner_product(f.u, o.u) AS s FROM faces f JOIN faces o ON f.id <> o.id WHERE o.person_id IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY id, person_id ORDER BY s DESC) AS rn FROM sc), means AS (SELECT id, person_id, avg(s) AS mean FROM k WHERE rn <= 5 GROUP BY 1, 2)"
@@ -399,37 +408,37 @@ def backup_plan(spark, d):
     return upkeep.backup_plan(local, remote, manifest)
 
 
-CHECKS = f"files AS (SELECT doc_id AS key, n_chars AS size, CASE WHEN doc_id % 3 > 0 THEN {AS_OF} - doc_id % 90 * 86400 END AS checked_at, {AS_OF} - doc_id * 7 AS mtime FROM documents)"
+CHECKS = f"files AS (SELECT doc_id AS key, n_chars AS size, CASE WHEN doc_id % 3 > 0 THEN {AS_OF} - doc_id % 90 * 86400 END AS checked_at, {AS_OF} - doc_id * 7 AS mtime, {AS_OF} - doc_id * 7 + CASE WHEN doc_id % 8 = 0 THEN 3000 ELSE 0 END AS ctime FROM documents)"
 
 
 @query(f"""WITH {CHECKS}, r AS (SELECT key, size, coalesce(sum(size) OVER (ORDER BY coalesce(checked_at, -1), key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent, row_number() OVER (ORDER BY coalesce(checked_at, -1), key) - 1 AS turn
-FROM files WHERE (checked_at IS NULL OR checked_at < {AS_OF} - 30 * 86400) AND mtime <= {AS_OF} - 600) SELECT key, size, turn FROM r WHERE sent + size <= 900000 OR turn = 0""")
+FROM files WHERE (checked_at IS NULL OR checked_at < {AS_OF} - 30 * 86400) AND greatest(mtime, ctime) <= {AS_OF} - 600) SELECT key, size, turn FROM r WHERE sent < 900000""")
 def check_budget(spark, d):
-    files = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("n_chars").alias("size"), F.expr(f"CASE WHEN doc_id % 3 > 0 THEN CAST({AS_OF} AS DOUBLE) - doc_id % 90 * 86400 END AS checked_at"), F.expr(f"CAST({AS_OF} AS DOUBLE) - doc_id * 7 AS mtime"))
+    files = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("n_chars").alias("size"), F.expr(f"CASE WHEN doc_id % 3 > 0 THEN CAST({AS_OF} AS DOUBLE) - doc_id % 90 * 86400 END AS checked_at"), F.expr(f"CAST({AS_OF} AS DOUBLE) - doc_id * 7 AS mtime"), F.expr(f"CAST({AS_OF} AS DOUBLE) - doc_id * 7 + CASE WHEN doc_id % 8 = 0 THEN 3000 ELSE 0 END AS ctime"))
     return upkeep.due_checks(files, AS_OF, 900_000)
 
 
 SEEN = """k AS (SELECT l_orderkey * 10 + l_linenumber AS key, l_partkey AS size, CAST(l_suppkey AS DOUBLE) AS mtime, CAST(l_suppkey AS DOUBLE) AS ctime, 'd' || l_partkey AS digest FROM lineitem WHERE l_orderkey % 4 > 0),
-s AS (SELECT l_orderkey * 10 + l_linenumber AS key, l_partkey + CASE WHEN l_partkey % 11 = 0 THEN 1 ELSE 0 END AS size, CAST(l_suppkey AS DOUBLE) AS mtime, CAST(l_suppkey AS DOUBLE) AS ctime, 'd' || CASE WHEN l_partkey % 5 = 0 THEN -1 ELSE l_partkey END AS digest, 'd' || CASE WHEN l_partkey % 10 = 0 THEN -1 ELSE l_partkey END AS again FROM lineitem)"""
+s AS (SELECT l_orderkey * 10 + l_linenumber AS key, l_partkey + CASE WHEN l_partkey % 11 = 0 THEN 1 ELSE 0 END AS size, CAST(l_suppkey AS DOUBLE) AS mtime, CAST(l_suppkey AS DOUBLE) AS ctime, 'd' || CASE WHEN l_partkey % 5 = 0 THEN -1 ELSE l_partkey END AS digest, 'd' || CASE WHEN l_partkey % 10 = 0 THEN -1 WHEN l_partkey % 15 = 0 THEN -2 ELSE l_partkey END AS again FROM lineitem)"""
 
 
-@query(f"""WITH {SEEN} SELECT s.key, CASE WHEN k.digest IS NULL THEN 'new' WHEN NOT (s.size = k.size AND s.mtime = k.mtime AND s.ctime = k.ctime) THEN 'changed' WHEN s.digest <> k.digest AND s.again <> k.digest THEN 'damaged' ELSE 'ok' END AS state FROM s LEFT JOIN k USING (key)""")
+@query(f"""WITH {SEEN} SELECT s.key, CASE WHEN k.digest IS NULL THEN 'new' WHEN NOT (s.size = k.size AND s.mtime = k.mtime AND s.ctime = k.ctime) THEN 'changed' WHEN s.digest = k.digest OR s.again = k.digest THEN 'ok' WHEN s.again = s.digest THEN 'damaged' ELSE 'skipped' END AS state FROM s LEFT JOIN k USING (key)""")
 def check_states(spark, d):
     li = table(spark, d, "lineitem")
     key, mtime, ctime = F.expr("l_orderkey * 10 + l_linenumber AS key"), F.expr("CAST(l_suppkey AS DOUBLE) AS mtime"), F.expr("CAST(l_suppkey AS DOUBLE) AS ctime")
     known = li.where("l_orderkey % 4 > 0").select(key, F.col("l_partkey").alias("size"), mtime, ctime, F.expr("'d' || l_partkey AS digest"))
-    seen = li.select(key, F.expr("l_partkey + CASE WHEN l_partkey % 11 = 0 THEN 1 ELSE 0 END AS size"), mtime, ctime, F.expr("'d' || CASE WHEN l_partkey % 5 = 0 THEN -1 ELSE l_partkey END AS digest"), F.expr("'d' || CASE WHEN l_partkey % 10 = 0 THEN -1 ELSE l_partkey END AS again"))
+    seen = li.select(key, F.expr("l_partkey + CASE WHEN l_partkey % 11 = 0 THEN 1 ELSE 0 END AS size"), mtime, ctime, F.expr("'d' || CASE WHEN l_partkey % 5 = 0 THEN -1 ELSE l_partkey END AS digest"), F.expr("'d' || CASE WHEN l_partkey % 10 = 0 THEN -1 WHEN l_partkey % 15 = 0 THEN -2 ELSE l_partkey END AS again"))
     return upkeep.check_states(known, seen)
 
 
 VIDEOS = "v AS (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(floor(l_extendedprice * 3000) AS BIGINT) AS bytes, 640 + l_partkey % 5 * 320 AS width, 480 + l_partkey % 5 * 180 AS height, CAST(l_quantity AS DOUBLE) AS duration, 24 + l_suppkey % 2 * 6 AS fps FROM lineitem)"
 
 
-@query(f"""WITH {VIDEOS}, s AS (SELECT id, bytes, bytes - width * height * fps * duration * CAST(0.035 AS DOUBLE) / 8 AS saving, width * height * duration * fps AS work FROM v)
-SELECT id, round(saving, 3) AS saving, round(work, 3) AS work, round(saving / work, 6) AS gain FROM s WHERE saving >= 20971520 AND saving >= bytes * CAST(0.25 AS DOUBLE) AND work > 0""")
+@query(f"""WITH {VIDEOS}, s AS (SELECT id, bytes, bytes - CAST(floor((CASE WHEN greatest(width, height) <= 854 THEN 1500000 WHEN greatest(width, height) <= 1280 THEN 4000000 WHEN greatest(width, height) <= 1920 THEN 8000000 ELSE 20000000 END + 160000) * duration / 8) AS BIGINT) AS saving, CAST(width * height * greatest(duration, CAST(0.1 AS DOUBLE)) AS DOUBLE) AS work FROM v)
+SELECT id, saving, round(work, 3) AS work, saving / work AS gain FROM s WHERE saving >= 20971520 AND saving >= bytes * CAST(0.25 AS DOUBLE)""")
 def savings_plan(spark, d):
     v = table(spark, d, "lineitem").select(F.expr("l_orderkey * 10 + l_linenumber AS id"), F.expr("CAST(floor(l_extendedprice * 3000) AS BIGINT) AS bytes"), F.expr("640 + l_partkey % 5 * 320 AS width"), F.expr("480 + l_partkey % 5 * 180 AS height"), F.expr("CAST(l_quantity AS DOUBLE) AS duration"), F.expr("24 + l_suppkey % 2 * 6 AS fps"))
-    return upkeep.savings_plan(v).select("id", F.round("saving", 3).alias("saving"), F.round("work", 3).alias("work"), F.round("gain", 6).alias("gain"))
+    return upkeep.savings_plan(v).select("id", "saving", F.round("work", 3).alias("work"), "gain")
 
 
 # Places
@@ -458,7 +467,7 @@ def largest_place(spark, d):
 
 
 @query(f"""WITH {TOWNS_SQL}, {POINTS_SQL}, n AS (SELECT p.id, t.*  EXCLUDE (id), t.id AS town_id, {KM.format('p', 't')} AS km, row_number() OVER (PARTITION BY p.id ORDER BY {KM.format('p', 't')}, t.id) AS rn FROM points p, towns t WHERE {KM.format('p', 't')} <= 400),
-b AS (SELECT * FROM n WHERE rn = 1), m AS (SELECT b.id, arg_max(t.name, t.population) AS metro FROM b JOIN towns t ON t.country = b.country AND t.population >= 100000 AND {KM.format('b', 't')} <= 40 GROUP BY 1)
+b AS (SELECT * FROM n WHERE rn = 1), g AS (SELECT p.id, arg_max(t.name, t.population * 1000000 - t.id) AS metro, arg_max(t.country, t.population * 1000000 - t.id) AS theirs FROM points p JOIN towns t ON t.population >= 100000 AND {KM.format('p', 't')} <= 40 GROUP BY 1), m AS (SELECT b.id, CASE WHEN theirs = b.country THEN metro END AS metro FROM b LEFT JOIN g ON g.id = b.id)
 SELECT p.id, CASE WHEN p.lat > -60 AND km <= 60 THEN coalesce(metro, name) END AS city, CASE WHEN p.lat <= -60 THEN 'Antarctica' ELSE country END AS country FROM points p LEFT JOIN b ON b.id = p.id LEFT JOIN m ON m.id = p.id""")
 def locate_points(spark, d):
     return places.locate(_points(spark, d), _towns(spark, d))
@@ -605,17 +614,29 @@ def skip_memory(spark, d):
     return upkeep.not_skipped(plan, memory, AS_OF)
 
 
-@query("WITH l AS (SELECT o_custkey AS folder, 'v' || o_orderkey % 50 || CASE WHEN o_orderkey % 3 = 0 THEN '.part' ELSE '' END AS name FROM orders) SELECT folder, name FROM l a WHERE name LIKE '%.part' AND EXISTS (SELECT 1 FROM l b WHERE b.folder = a.folder AND b.name || '.part' = a.name)")
+LISTING = "l AS (SELECT CASE WHEN o_custkey % 4 = 0 THEN 'Other/' ELSE 'Originals/' END || o_custkey % 40 AS folder, CASE o_orderkey % 6 WHEN 0 THEN 'v' || o_orderkey % 50 || '.jpg.part' WHEN 1 THEN '.v' || o_orderkey % 50 || '.smaller.mp4.part' WHEN 2 THEN 'v' || o_orderkey % 50 || '-2.mov' ELSE 'v' || o_orderkey % 50 || '.jpg' END AS name, 1700000000 - o_orderkey * 1000 % 172800 AS t FROM orders)"
+
+
+@query(f"""WITH {LISTING} SELECT DISTINCT folder, name FROM l a WHERE folder || '/' LIKE 'Originals/%' AND name LIKE '%.part' AND 1700000000 - t >= 86400 AND CASE WHEN regexp_matches(name, '^\\..+\\.smaller\\.mp4\\.part$')
+THEN EXISTS (SELECT 1 FROM l b WHERE b.folder = a.folder AND b.name <> a.name AND (b.name = regexp_extract(a.name, '^\\.(.+)\\.smaller\\.mp4\\.part$', 1) OR b.name LIKE regexp_extract(a.name, '^\\.(.+)\\.smaller\\.mp4\\.part$', 1) || '.%' OR b.name LIKE regexp_extract(a.name, '^\\.(.+)\\.smaller\\.mp4\\.part$', 1) || '-%'))
+ELSE EXISTS (SELECT 1 FROM l b WHERE b.folder = a.folder AND b.name || '.part' = a.name) END""")
 def stray_partials(spark, d):
-    return upkeep.stray_partials(table(spark, d, "orders").select(F.col("o_custkey").alias("folder"), F.expr("'v' || o_orderkey % 50 || CASE WHEN o_orderkey % 3 = 0 THEN '.part' ELSE '' END AS name")))
+    folder = F.expr("CASE WHEN o_custkey % 4 = 0 THEN 'Other/' ELSE 'Originals/' END || o_custkey % 40 AS folder")
+    name = F.expr("CASE o_orderkey % 6 WHEN 0 THEN 'v' || o_orderkey % 50 || '.jpg.part' WHEN 1 THEN '.v' || o_orderkey % 50 || '.smaller.mp4.part' WHEN 2 THEN 'v' || o_orderkey % 50 || '-2.mov' ELSE 'v' || o_orderkey % 50 || '.jpg' END AS name")
+    return upkeep.stray_partials(table(spark, d, "orders").select(folder, name, F.expr("1700000000D - o_orderkey * 1000 % 172800 AS mtime")), AS_OF)
+
 
+@query("WITH f AS (SELECT s_suppkey AS id, 'p' || lpad(CAST(s_suppkey * 7919 % 10007 AS VARCHAR), 6, '0') AS path FROM supplier), r AS (SELECT *, row_number() OVER (ORDER BY path) - 1 AS place, greatest(1, count(*) OVER () // 24) AS step FROM f) SELECT id, path FROM r WHERE place % step = 0 AND place < step * 24")
+def estimate_samples(spark, d):
+    return upkeep.sample_rows(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.expr("'p' || lpad(CAST(s_suppkey * 7919 % 10007 AS STRING), 6, '0') AS path")))
 
-TRIES = "tries AS (SELECT l_orderkey AS id, l_linenumber AS rung, l_partkey AS size, CASE WHEN l_suppkey % 3 = 0 THEN 0.9::DOUBLE ELSE 0.99::DOUBLE END AS ssim FROM lineitem)"
 
+TRIES = "tries AS (SELECT l_orderkey AS id, l_linenumber AS rung, l_partkey AS size, CASE WHEN l_suppkey % 3 = 0 THEN 0.9::DOUBLE ELSE 0.99::DOUBLE END AS ssim, CASE WHEN l_suppkey % 5 = 0 THEN 0.95::DOUBLE ELSE 0.96::DOUBLE END AS worst_block, CASE WHEN l_suppkey % 7 = 0 THEN 0.0023::DOUBLE ELSE 0.0022::DOUBLE END AS chroma_error FROM lineitem)"
 
-@query(f"WITH {TRIES} SELECT id, arg_min(rung, size * 100 + rung) AS rung, min(size) AS size FROM tries WHERE ssim >= 0.985 GROUP BY 1")
+
+@query(f"WITH {TRIES} SELECT id, arg_min(rung, size * 100 + rung) AS rung, min(size) AS size FROM tries WHERE ssim >= 0.985::DOUBLE AND worst_block >= 0.955::DOUBLE AND chroma_error <= 0.0022::DOUBLE GROUP BY 1")
 def best_rung(spark, d):
-    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("rung"), F.col("l_partkey").alias("size"), F.expr("CASE WHEN l_suppkey % 3 = 0 THEN 0.9D ELSE 0.99D END AS ssim"), F.lit(0.95).alias("worst_block"), F.lit(1.0).alias("chroma_error"))
+    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("rung"), F.col("l_partkey").alias("size"), F.expr("CASE WHEN l_suppkey % 3 = 0 THEN 0.9D ELSE 0.99D END AS ssim"), F.expr("CASE WHEN l_suppkey % 5 = 0 THEN 0.95D ELSE 0.96D END AS worst_block"), F.expr("CASE WHEN l_suppkey % 7 = 0 THEN 0.0023D ELSE 0.0022D END AS chroma_error"))
     return upkeep.best_rung(t)
 
 
@@ -742,3 +763,237 @@ def people_merged(spark, d):
     f = fx.faces(spark, d).select("id", F.col("person_id").cast("long").alias("person_id"))
     none = spark.createDataFrame([], "a long, b long")
     return edits.people_merged(spark.range(10), f, none, 3, 5)[1].select("id", F.col("person_id").cast("long").alias("person_id"))
+
+
+# Search terms
+
+FACE_ROWS = "f AS (SELECT vec_id AS id, vec_id * 7 % 300 AS photo_id, CASE WHEN vec_id % 4 > 0 THEN label END AS person_id, CAST(vec_id % 3 AS INTEGER) AS state FROM embeddings)"
+
+
+def _face_rows(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.expr("vec_id * 7 % 300 AS photo_id"), F.expr("CASE WHEN vec_id % 4 > 0 THEN label END AS person_id"), F.expr("CAST(vec_id % 3 AS INT) AS state"))
+
+
+@query(f"WITH {P}, {FACE_ROWS} SELECT id FROM photos WHERE id IN (SELECT photo_id FROM f WHERE state < 2 AND person_id IN (1, 2)) AND id IN (SELECT photo_id FROM f WHERE state < 2 AND person_id IN (3, 4)) AND id NOT IN (SELECT photo_id FROM f WHERE state < 2 AND person_id = 5)")
+def search_people(spark, d):
+    f = _face_rows(spark, d)
+    return search.of_people(search.with_all_people(fx.photos(spark, d), f, [[1, 2], [3, 4]]), f, [5], without=True).select("id")
+
+
+@query("WITH p AS (SELECT o_orderkey AS id, o_custkey FROM orders), pp AS (SELECT o_orderkey AS photo_id, CASE o_custkey % 5 WHEN 0 THEN 'Córdoba' WHEN 1 THEN 'CORDOBA' WHEN 2 THEN 'Cordobas' WHEN 3 THEN 'Lyon' END AS city FROM orders) SELECT id FROM p WHERE EXISTS (SELECT 1 FROM pp WHERE pp.photo_id = p.id AND strip_accents(lower(city)) = 'cordoba')")
+def search_place(spark, d):
+    placed = table(spark, d, "orders").select(F.col("o_orderkey").alias("photo_id"), F.expr("CASE o_custkey % 5 WHEN 0 THEN 'Córdoba' WHEN 1 THEN 'CORDOBA' WHEN 2 THEN 'Cordobas' WHEN 3 THEN 'Lyon' END AS city"))
+    return search.at_place(fx.photos(spark, d), placed, "city", "córdoba").select("id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_custkey % 3 = 0")
+def search_disk_folder(spark, d):
+    paths = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr("'/lib/' || CASE o_custkey % 3 WHEN 0 THEN 'Cumpleaños' WHEN 1 THEN 'Cumpleaños viejos' ELSE 'x' END || '/cumpleaños.jpg' AS path"))
+    return paths.where(search.in_disk_folder("cumpleanos")).select("id")
+
+
+@query(f"WITH {P} SELECT id FROM photos WHERE taken_at >= 800000000 AND taken_at < 800864000.001 OR taken_at >= 850000000 AND taken_at < 850864000.001")
+def search_event_spans(spark, d):
+    return fx.photos(spark, d).where(search.in_events([(800_000_000.0, 800_864_000.0), (850_000_000.0, 850_864_000.0)])).select("id")
+
+
+FOLDED = "translate(lower(text), 'áàâäãåāăąçćčďéèêëēėęěíìîïīįñńňóòôöõōőřśšşťţúùûüūůűųýÿžźżğ', 'aaaaaaaaacccdeeeeeeeeiiiiiinnnooooooorsssttuuuuuuuuyyzzzg')"
+WORDS = "w AS (SELECT 'folder' AS kind, 'Éire ' || n_name AS text, 1 AS uses FROM nation UNION ALL SELECT 'place', 'eire ' || lower(n_name), 2 FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'album', 'Eire ' || n_name, 3 FROM nation WHERE n_nationkey % 3 = 0)"
+
+
+def _words(spark, d):
+    n = table(spark, d, "nation")
+    rows = n.selectExpr("'folder' AS kind", "'Éire ' || n_name AS text", "1 AS uses").union(n.where("n_nationkey % 2 = 0").selectExpr("'place'", "'eire ' || lower(n_name)", "2")).union(n.where("n_nationkey % 3 = 0").selectExpr("'album'", "'Eire ' || n_name", "3"))
+    return rows.withColumn("folded", text.folded(F.col("text")))
+
+
+@query(f"WITH {WORDS}, x AS (SELECT *, {FOLDED} AS folded FROM w) SELECT kind, text FROM x WHERE folded = 'eire nation_1' AND kind IN ('folder', 'album') AND NOT EXISTS (SELECT 1 FROM x WHERE folded = 'eire nation_1' AND kind NOT IN ('folder', 'album')) UNION ALL SELECT kind, text FROM x WHERE folded = 'eire nation_2' AND kind IN ('folder', 'album') AND NOT EXISTS (SELECT 1 FROM x WHERE folded = 'eire nation_2' AND kind NOT IN ('folder', 'album')) UNION ALL SELECT kind, text FROM x WHERE folded = 'eire nation_3' AND kind IN ('folder', 'album') AND NOT EXISTS (SELECT 1 FROM x WHERE folded = 'eire nation_3' AND kind NOT IN ('folder', 'album')) UNION ALL SELECT kind, text FROM x WHERE folded = 'eire nation_6' AND kind IN ('folder', 'album') AND NOT EXISTS (SELECT 1 FROM x WHERE folded = 'eire nation_6' AND kind NOT IN ('folder', 'album'))")
+def folder_only(spark, d):
+    w = _words(spark, d)
+    parts = [search.folder_only(w, t) for t in ("ÉIRE Nation_1 ", "eire nation_2", "Eire Nation_3", "eire nation_6")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query(f"WITH {WORDS}, x AS (SELECT *, {FOLDED} AS folded FROM w) SELECT kind, text, uses FROM x WHERE folded = 'eire nation_0' AND kind = 'album' UNION ALL SELECT kind, text, uses FROM x WHERE folded = 'eire nation_5'")
+def chip_of_kind(spark, d):
+    w = _words(spark, d)
+    return search.of_kind(w, "Éire Nation_0", "album").union(search.of_kind(w, "eire nation_5", "album"))
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS position, n_name AS text FROM nation WHERE n_nationkey <> 7")
+def chip_taken_away(spark, d):
+    terms = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("position"), F.col("n_name").alias("text"))
+    return search.without_term(terms, 7)
+
+
+# More scopes
+
+
+@query(f"WITH {P}, {A} SELECT p.id, i.position FROM photos p JOIN items i ON i.photo_id = p.id AND i.album_id = 7 WHERE {LIVE}")
+def browse_album_by_hand(spark, d):
+    rows = browse.in_album(fx.photos(spark, d), fx.album_items(spark, d), 7)
+    return browse.ordered(rows, "manual").select("id", "position")
+
+
+@query(f"WITH {P}, {A} SELECT id FROM photos WHERE {LIVE} AND id IN (SELECT photo_id FROM items JOIN albums a ON a.id = album_id WHERE folder_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1))")
+def browse_folder_tree(spark, d):
+    folders = table(spark, d, "region").select(F.expr("CAST(1000 + r_regionkey AS BIGINT) AS id"), F.lit(None).cast("long").alias("parent_id"))
+    folders = folders.union(table(spark, d, "nation").select(F.col("n_nationkey").cast("long"), F.expr("CAST(1000 + n_regionkey AS BIGINT)")))
+    below = summary.closure(folders).where("ancestor = 1001").select("id")
+    return browse.in_folders(fx.photos(spark, d), fx.album_items(spark, d), fx.albums(spark, d), below).select("id")
+
+
+SAVED = '[{"field": "folder", "op": "contains", "value": "CLIP"}, {"field": "edited", "op": "is true"}, {"field": "media_type", "op": "is photo"}, {"field": "taken_at", "op": "before", "value": "1998-01-01"}, {"field": "later", "op": "is", "value": 1}]'
+
+
+@query(f"WITH {P} SELECT id FROM photos WHERE {LIVE} AND lower(path) LIKE '%clip%' AND edit_version > 0 AND NOT {VIDEO} AND taken_at < epoch(TIMESTAMP '1998-01-01')")
+def browse_smart_album(spark, d):
+    return browse.smart(fx.photos(spark, d), SAVED, "all", AS_OF).select("id")
+
+
+@query(f"WITH {P}, r AS (SELECT r_regionkey AS id, r_regionkey % 2 AS in_library FROM region) SELECT id FROM photos WHERE {LIVE} AND root_id IN (SELECT id FROM r WHERE in_library = 1)")
+def browse_imports_by_root(spark, d):
+    roots = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.expr("r_regionkey % 2 AS in_library"))
+    return browse.scope(fx.photos(spark, d), "imports", roots=roots).select("id")
+
+
+@query(f"WITH {P} SELECT count(*) AS items FROM photos WHERE trashed_at IS NULL AND hidden = 0 AND (coalesce(rating, -1) <> 3 AND gps_lat IS NULL AND bytes < 15000000)")
+def live_rule_count(spark, d):
+    return rules.live_count(fx.photos(spark, d), [rules.Rule("rating", "is not", 3), rules.Rule("has_location", "is false"), rules.Rule("bytes", "less than", "15000000")], "all", AS_OF)
+
+
+# Lookups
+
+
+@query(f"WITH {P}, m AS (SELECT CASE WHEN id % 3 = 0 THEN id - id % 9 END AS of, id FROM photos) SELECT of AS id, min(id) AS moving_id FROM m WHERE of IS NOT NULL AND of IN (SELECT id FROM photos) GROUP BY 1")
+def moving_halves(spark, d):
+    return lookups.moving_halves(fx.photos(spark, d).withColumn("paired_to", F.expr("CASE WHEN id % 3 = 0 THEN id - id % 9 END")))
+
+
+@query(f"WITH {P} SELECT id, filename FROM photos WHERE path = (SELECT path FROM photos WHERE id = 96)")
+def photo_by_path(spark, d):
+    p = fx.photos(spark, d)
+    return lookups.photo(p, lookups.photo(p, 96, "id").first()["path"]).select("id", "filename")
+
+
+@query(f"WITH {P} SELECT id, path FROM photos WHERE thumb_state = 0 AND trashed_at IS NULL ORDER BY taken_at DESC NULLS LAST, id LIMIT 100")
+def thumbnail_queue(spark, d):
+    return lookups.thumbnail_queue(fx.photos(spark, d), 100)
+
+
+EVENTS_SQL = "ev AS (SELECT event_id AS id, floor(epoch(ts)) AS start_at, floor(epoch(ts)) + event_id % 50 * 1000 AS end_at, event_id % 4 AS photos, event_id % 3 AS videos FROM events WHERE event_id % 9 = 0)"
+
+
+def _event_rows(spark, d):
+    return fx.moments(spark, d).where("id % 9 = 0").select("id", F.col("taken_at").alias("start_at"), F.expr("taken_at + id % 50 * 1000 AS end_at"), F.expr("id % 4 AS photos"), F.expr("id % 3 AS videos"))
+
+
+@query(f"WITH {M}, {EVENTS_SQL}, j AS (SELECT m.id, e.id AS event_id, row_number() OVER (PARTITION BY m.id ORDER BY e.start_at DESC, e.id DESC) AS rn FROM moments m JOIN ev e ON m.taken_at >= e.start_at AND m.taken_at <= e.end_at) SELECT id, event_id FROM j WHERE rn = 1")
+def event_of_photo(spark, d):
+    return lookups.event_of_photo(fx.moments(spark, d), _event_rows(spark, d))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT id, start_at FROM ev WHERE photos + videos >= 1 AND year(make_timestamp(CAST(start_at AS BIGINT) * 1000000)) = 2024")
+def events_of_year(spark, d):
+    return lookups.events_of_year(_event_rows(spark, d), 2024).select("id", "start_at")
+
+
+@query(f"WITH {P} SELECT DISTINCT CAST(year(make_timestamp(CAST(taken_at AS BIGINT) * 1000000)) AS INTEGER) AS year FROM photos WHERE taken_at IS NOT NULL")
+def event_years(spark, d):
+    return lookups.event_years(fx.photos(spark, d).where("taken_at IS NOT NULL").withColumn("start_at", F.col("taken_at")))
+
+
+@query(f"WITH {EVENTS_SQL}, o AS (SELECT * FROM ev WHERE id = 450) (SELECT ev.id FROM ev, o WHERE ev.start_at > o.end_at ORDER BY ev.start_at, ev.id LIMIT 1) UNION ALL (SELECT ev.id FROM ev, o WHERE ev.end_at < o.start_at ORDER BY ev.end_at DESC, ev.id DESC LIMIT 1)")
+def event_neighbours(spark, d):
+    ev = _event_rows(spark, d)
+    return lookups.neighbour(ev, 450, True).union(lookups.neighbour(ev, 450, False))
+
+
+@query(f"WITH {P}, {FACE_ROWS}, pe AS (SELECT CAST(n_nationkey AS BIGINT) AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS name, CASE WHEN n_nationkey = 4 THEN 1 ELSE 0 END AS hidden FROM nation) SELECT pe.id, name, count(DISTINCT f.photo_id) AS photos FROM pe JOIN f ON f.person_id = pe.id AND f.state < 2 JOIN photos p ON p.id = f.photo_id AND p.trashed_at IS NULL AND p.hidden = 0 WHERE pe.hidden = 0 GROUP BY 1, 2")
+def listed_people(spark, d):
+    pe = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.expr("CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS name"), F.expr("CASE WHEN n_nationkey = 4 THEN 1 ELSE 0 END AS hidden"))
+    return lookups.listed_people(pe, _face_rows(spark, d), fx.photos(spark, d))
+
+
+@query(f"WITH {P}, fo AS (SELECT id, CASE WHEN id % 3 = 0 THEN path WHEN id % 3 = 1 THEN path || '?' END AS cover_path FROM photos WHERE id % 11 = 0) SELECT fo.id, p.path FROM fo JOIN photos p ON p.path = fo.cover_path WHERE p.trashed_at IS NULL")
+def folder_covers(spark, d):
+    p = fx.photos(spark, d)
+    fo = p.where("id % 11 = 0").select("id", F.expr("CASE WHEN id % 3 = 0 THEN path WHEN id % 3 = 1 THEN path || '?' END AS cover_path"))
+    return lookups.folder_covers(fo, p)
+
+
+@query("SELECT l_orderkey AS photo_id, array_to_string(list_sort(list_distinct(list(l_suppkey))), ',') AS albums FROM lineitem GROUP BY 1")
+def albums_of_photos(spark, d):
+    return lookups.albums_of_photos(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("photo_id"), F.col("l_suppkey").alias("album_id")))
+
+
+@query(f"WITH {P} SELECT coalesce(strftime({STAMP}, '%Y-%m-%d'), 'unknown') AS section, count(*) FILTER (NOT {VIDEO}) AS pictures, count(*) FILTER ({VIDEO}) AS videos FROM photos WHERE {LIVE} GROUP BY 1")
+def grid_sections(spark, d):
+    return lookups.sections(fx.photos(spark, d))
+
+
+@query("SELECT p_partkey AS id, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS place FROM part QUALIFY place <= 40")
+def list_by_count(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr("'Album ' || p_partkey AS name"), F.col("p_size").alias("items"))
+    best = p.orderBy(*lookups.list_order("count_desc")).limit(40)
+    return best.select("id", F.row_number().over(Window.orderBy(*lookups.list_order("count_desc"))).cast("long").alias("place"))
+
+
+@query(f"WITH {P}, r AS (SELECT CAST(r_regionkey AS BIGINT) AS id, CASE WHEN r_regionkey = 3 THEN 0 ELSE 1 END AS enabled FROM region) SELECT root_id, count(*) AS items FROM photos WHERE root_id IN (SELECT id FROM r WHERE enabled = 1) AND root_id <> 2 GROUP BY 1")
+def roots_left(spark, d):
+    r = lookups.roots(table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("path"), F.expr("CASE WHEN r_regionkey = 3 THEN 0 ELSE 1 END AS enabled")))
+    return lookups.forget_root(fx.photos(spark, d), 2).join(r.select(F.col("id").alias("root_id")), "root_id", "left_semi").groupBy("root_id").agg(F.count("*").alias("items"))
+
+
+@query("SELECT DISTINCT 'u' || o_custkey AS uuid FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0)")
+def structure_pending(spark, d):
+    known = table(spark, d, "customer").where("c_custkey % 3 > 0").select(F.expr("'u' || c_custkey AS uuid"))
+    return lookups.structure_pending(table(spark, d, "orders").select(F.expr("'u' || o_custkey AS uuid")), known)
+
+
+@query("WITH p AS (SELECT o_orderkey AS id, '/lib/' || CAST(o_orderkey // 4 AS VARCHAR) || '.jpg' AS path, o_orderkey % 4 AS way, CAST(o_orderkey % 5 AS INTEGER) AS thumb_state FROM orders WHERE o_orderkey % 4 < 3), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY way = 0, id) AS rn FROM p) SELECT id, path, CASE WHEN way > 0 AND thumb_state = 3 THEN 0 ELSE thumb_state END AS thumb_state FROM r WHERE rn = 1")
+def normalised_paths(spark, d):
+    way = "CASE o_orderkey % 4 WHEN 0 THEN '/lib/' WHEN 1 THEN '/lib//' ELSE '/lib/././' END || CAST(o_orderkey DIV 4 AS STRING) || CASE o_orderkey % 4 WHEN 2 THEN '.jpg/' ELSE '.jpg' END AS path"
+    p = table(spark, d, "orders").where("o_orderkey % 4 < 3").select(F.col("o_orderkey").alias("id"), F.expr(way), F.expr("CAST(o_orderkey % 5 AS INT) AS thumb_state"))
+    return lookups.normalised(p).select("id", "path", "thumb_state")
+
+
+# Values
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 3 THEN NULL WHEN 2 THEN epoch(date_trunc('day', o_orderdate)) ELSE epoch(o_orderdate + INTERVAL (o_orderkey % 86400) SECOND) + CASE WHEN o_orderkey % 5 = 0 THEN 0.25::DOUBLE ELSE 0 END END AS taken_at FROM orders")
+def camera_times(spark, d):
+    moment = "o_orderdate + make_dt_interval(0, 0, 0, o_orderkey % 86400)"
+    raw = F.expr(f"CASE o_orderkey % 4 WHEN 0 THEN date_format({moment}, 'yyyy:MM:dd HH:mm:ss') WHEN 1 THEN date_format({moment}, 'yyyy-MM-dd HH:mm:ss') WHEN 2 THEN date_format(o_orderdate, 'yyyy:MM:dd') ELSE '0000:00:00 00:00:00' END")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), dates.camera_time(raw, F.expr("CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 4 < 2 THEN '25' END")).alias("taken_at"))
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 4 THEN NULL ELSE epoch(o_orderdate + INTERVAL (o_orderkey % 86400) SECOND) + CASE o_orderkey % 5 WHEN 1 THEN 0.5::DOUBLE - 7200 WHEN 2 THEN 12600 ELSE 0 END END AS taken_at FROM orders")
+def container_times(spark, d):
+    iso = "date_format(o_orderdate + make_dt_interval(0, 0, 0, o_orderkey % 86400), \"yyyy-MM-dd'T'HH:mm:ss\")"
+    raw = F.expr(f"{iso} || CASE o_orderkey % 5 WHEN 0 THEN 'Z' WHEN 1 THEN '.5+0200' WHEN 2 THEN '-03:30' WHEN 3 THEN '' ELSE ' noon' END")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), dates.container_time(raw).alias("taken_at"))
+
+
+@query("WITH a AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'Straße ' ELSE 'STRASSE ' END || c_custkey % 40 AS title, 'd' || c_custkey % 7 AS detail, CASE WHEN c_custkey % 4 = 3 THEN 'park' ELSE '' END AS kind, c_custkey % 100 * 0.001::DOUBLE AS lat, 0.0::DOUBLE AS lon FROM customer), x AS (SELECT *, replace(lower(title), 'ß', 'ss') AS t FROM a), s AS (SELECT a.id, b.id AS other, b.kind AS o_kind FROM x a JOIN x b ON a.t = b.t AND a.id <> b.id AND (abs(a.lat - b.lat) < 0.004::DOUBLE AND abs(a.lon - b.lon) < 0.004::DOUBLE OR a.detail = b.detail)) SELECT id, CASE WHEN kind = '' THEN (SELECT arg_min(o_kind, other) FROM s WHERE s.id = x.id AND s.other > x.id AND o_kind <> '') ELSE kind END AS kind FROM x WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.id = x.id AND s.other < x.id)")
+def merged_place_answers(spark, d):
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr("CASE WHEN c_custkey % 2 = 0 THEN 'Straße ' ELSE 'STRASSE ' END || c_custkey % 40 AS title"), F.expr("'d' || c_custkey % 7 AS detail"), F.expr("CASE WHEN c_custkey % 4 = 3 THEN 'park' ELSE '' END AS kind"), F.expr("c_custkey % 100 * 0.001D AS lat"), F.lit(0.0).alias("lon"))
+    return places.merged_answers(a)
+
+
+PIN_POINTS = "pts AS (SELECT c_custkey AS id, c_custkey % 60 AS pin, CAST(c_custkey % 60 * 53 % 120 - 65 AS DOUBLE) + c_custkey // 60 % 3 * sp AS lat, CAST(c_custkey % 60 * 29 % 340 - 170 AS DOUBLE) + c_custkey // 60 % 2 * sp AS lon FROM (SELECT *, CASE c_custkey % 4 WHEN 0 THEN 0.001::DOUBLE WHEN 1 THEN 0.125::DOUBLE WHEN 2 THEN 0.5::DOUBLE ELSE 5.0::DOUBLE END AS sp FROM customer))"
+
+
+@query(f"""WITH {TOWNS_SQL}, {PIN_POINTS}, sm AS (SELECT pin, avg(lat) AS lat, avg(lon) AS lon, min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e FROM pts GROUP BY 1), c AS (SELECT pin, s AS lat, w AS lon FROM sm), k AS (SELECT pin, n AS lat, e AS lon FROM sm),
+sp AS (SELECT c.pin, {KM.format('c', 'k')} AS span FROM c JOIN k USING (pin)),
+nt AS (SELECT sm.pin, t.name, t.country, {KM.format('sm', 't')} AS km, row_number() OVER (PARTITION BY sm.pin ORDER BY {KM.format('sm', 't')}, t.id) AS rn FROM sm, towns t WHERE {KM.format('sm', 't')} <= 400),
+ar AS (SELECT sm.pin, arg_max(t.name, t.population * 1000000 - t.id) AS around FROM sm JOIN towns t ON t.population >= 100000 AND {KM.format('sm', 't')} <= 40 GROUP BY 1),
+pn AS (SELECT p.pin, p.id, t.name, t.country, row_number() OVER (PARTITION BY p.id ORDER BY {KM.format('p', 't')}, t.id) AS rn FROM pts p, towns t WHERE t.population >= 100000 AND {KM.format('p', 't')} <= 400),
+h AS (SELECT pin, count(DISTINCT name) AS cities, count(DISTINCT country) AS countries, min(name) AS city, min(country) AS country FROM pn WHERE rn = 1 GROUP BY 1)
+SELECT sm.pin, CASE WHEN sm.lat <= -60 THEN 'Antarctica' WHEN span <= 3 THEN coalesce(CASE WHEN nt.km <= 60 THEN nt.name || ', ' || nt.country END, nt.country, '') WHEN countries > 1 THEN countries || ' countries' WHEN span > 200 THEN coalesce(h.country, '')
+WHEN span <= 40 AND around IS NOT NULL AND h.country IS NOT NULL THEN around || ', ' || h.country WHEN cities = 1 THEN city || ', ' || h.country WHEN cities > 1 THEN cities || ' places in ' || h.country ELSE '' END AS name
+FROM sm JOIN sp USING (pin) LEFT JOIN (SELECT * FROM nt WHERE rn = 1) nt USING (pin) LEFT JOIN ar USING (pin) LEFT JOIN h USING (pin)""")
+def described_pins(spark, d):
+    spread = F.expr("CASE c_custkey % 4 WHEN 0 THEN 0.001D WHEN 1 THEN 0.125D WHEN 2 THEN 0.5D ELSE 5.0D END")
+    pts = table(spark, d, "customer").withColumn("sp", spread).selectExpr("c_custkey AS id", "c_custkey % 60 AS pin", "CAST(c_custkey % 60 * 53 % 120 - 65 AS DOUBLE) + c_custkey DIV 60 % 3 * sp AS lat", "CAST(c_custkey % 60 * 29 % 340 - 170 AS DOUBLE) + c_custkey DIV 60 % 2 * sp AS lon")
+    return places.described(pts.select("pin").distinct(), pts, _towns(spark, d).withColumn("region", F.lit(None).cast("string")))

@@ -33,7 +33,7 @@ def test_rules_on_nulls(photos):
     assert rule(df, ("title", "is_not", "abc")) == [0, 1]
     assert rule(df, ("title", "contains", "a_c")) == [1, 2]  # _ is a wildcard
     assert rule(df, ("title", "contains", "")) == [0, 1, 2]
-    assert rule(df, ("rating", "is", -1)) == [0] and rule(df, ("rating", "<", 5)) == [1, 2]
+    assert rule(df, ("rating", "is", -1)) == [] and rule(df, ("rating", "is_not", -1)) == [1, 2] and rule(df, ("rating", "<", 5)) == [1, 2]
     assert rule(df, ("rating", ">", "x")) == [0, 1, 2] == rule(df, ("nothing", "is", 1)) == rule(df)
     assert rule(df, ("rating", ">", 1), ("title", "is", "ABC"), match="any") == [1, 2]
 
@@ -181,7 +181,7 @@ def test_duration_pairs_equal_all_pairs(spark):
 
 
 def test_due_checks_take_one_at_least(spark):
-    df = spark.createDataFrame([("a", 100, None, 0.0), ("b", 1, 5.0, 0.0), ("c", 1, 1e9, 0.0)], "key string, size long, checked_at double, mtime double")
+    df = spark.createDataFrame([("a", 100, None, 0.0, 0.0), ("b", 1, 5.0, 0.0, 0.0), ("c", 1, 1e9, 0.0, 0.0)], "key string, size long, checked_at double, mtime double, ctime double")
     assert [r["key"] for r in upkeep.due_checks(df, 1e9, 10).collect()] == ["a"]
     assert sorted(r["key"] for r in upkeep.due_checks(df, 1e9, 101).collect()) == ["a", "b"]
 
@@ -202,3 +202,55 @@ def test_pixels(spark):
     pair = spark.createDataFrame([(grey, grey, 16), (grey, grey[::-1], 16), (grey, None, 16)], "a array<double>, b array<double>, w int")
     same, other, none = (x[0] for x in pair.select(pixels.ssim("a", "b", "w")).collect())
     assert abs(same - 1) < 1e-9 and other < 0.9 and none is None
+
+
+def test_every_video_ending_and_screenshot_prefix(spark):
+    """The values themselves, spelled here again."""
+    endings = "mp4 m4v mov qt mkv webm avi 3gp 3g2 mts m2ts mpg mpeg wmv ogv flv".split()
+    df = spark.createDataFrame([(e.upper(),) for e in [*endings, "jpg", "heic", "mp3", ""]] + [(None,)], "ext string")
+    assert [r["ext"] for r in df.where(rules.is_video()).collect()] == [e.upper() for e in endings]
+    names = ["Screenshot 1.png", "Screen Shot 2.png", "Captura de pantalla 3.png", "ScreenCapture4.png", "screen_shot 5.png", "my screenshot.png", None]
+    df = spark.createDataFrame([(n,) for n in names], "filename string")
+    assert [r["filename"] for r in df.where(rules.is_screenshot()).collect()] == names[:4]
+
+
+def test_stored_rules_and_iso_dates(spark):
+    df = spark.createDataFrame([(1, 0.0, None, 0), (2, 1_600_000_000.0, 4, 2)], "id long, taken_at double, rating int, edit_version int")
+
+    def ids(text, match="all"):
+        return [r["id"] for r in df.where(rules.combined(rules.stored(text), match, 2e9)).orderBy("id").collect()]
+
+    assert ids('[{"field": "taken_at", "op": "after", "value": "2020-01-01"}]') == [2]
+    assert ids('[{"field": "taken_at", "op": "before", "value": "1970-01-01T00:00:01+00:00"}]') == [1]
+    assert ids('[{"field": "rating", "op": "is", "value": -1}]') == []  # a missing rating is no number
+    assert ids('[{"field": "rating", "op": "is not", "value": 4}]') == [1]
+    assert ids('[{"field": "edited", "op": "is true"}]') == [2] and ids('[{"field": "edited", "op": "is false"}]') == [1]
+    assert ids('[{"field": "rating", "op": "greater than", "value": 3}, {"field": "edited", "op": "is false"}]', "any") == [1, 2]
+    assert ids("not json") == [1, 2] and ids('[{"field": "unknown", "op": "is", "value": 1}]') == [1, 2]
+
+
+def test_a_face_is_left_out_only_if_the_next_person_passes_too(spark):
+    f = spark.createDataFrame([(1, 10, None, [0.50, 0.47, 0.7270]), (2, 20, None, [0.50, 0.49, 0.7141]), (3, 30, None, [0.60, 0.1, 0.7937])], "id long, photo_id long, person_id long, emb array<double>")
+    people_ = spark.createDataFrame([(7, 1, [1.0, 0.0, 0.0]), (8, 1, [0.0, 1.0, 0.0])], "person_id long, faces long, total array<double>")
+    found = {r["id"]: r["person_id"] for r in people.assign(f, people_, 0.48, 0.04).collect()}
+    assert found == {1: 7, 3: 7}
+    there = spark.createDataFrame([(30, 7)], "photo_id long, person_id long")
+    assert {r["id"] for r in people.assign(f, people_, 0.48, 0.04, there).collect()} == {1}
+
+
+def test_health_states_budget_and_rungs(spark):
+    cols = "key long, size long, mtime double, ctime double, digest string"
+    known = spark.createDataFrame([(k, 5, 1.0, 1.0, "x") for k in range(4)], cols)
+    seen = spark.createDataFrame([(0, 5, 1.0, 1.0, "x", "x"), (1, 5, 1.0, 1.0, "y", "y"), (2, 5, 1.0, 1.0, "y", "z"), (3, 5, 1.0, 1.0, "y", "x"), (9, 1, 1.0, 1.0, "q", "q")], cols + ", again string")
+    assert {r["key"]: r["state"] for r in upkeep.check_states(known, seen).collect()} == {0: "ok", 1: "damaged", 2: "skipped", 3: "ok", 9: "new"}
+    files = spark.createDataFrame([(1, 60, None, 0.0, 0.0), (2, 60, None, 0.0, 0.0), (3, 60, None, 0.0, 0.0), (4, 1, None, 0.0, 9_900.0)], "key long, size long, checked_at double, mtime double, ctime double")
+    assert sorted(r["key"] for r in upkeep.due_checks(files, 10_000.0, 100).collect()) == [1, 2]  # the second crosses the budget; the fourth was just written
+    tries = spark.createDataFrame([(1, 92, 10, 0.985, 0.955, 0.0022), (1, 90, 9, 0.985, 0.954, 0.0022), (1, 88, 8, 0.985, 0.955, 0.0023)], "id long, rung long, size long, ssim double, worst_block double, chroma_error double")
+    assert [tuple(r) for r in upkeep.best_rung(tries).collect()] == [(1, 92, 10)]
+    assert [tuple(r) for r in upkeep.best_rung(tries, "balanced").collect()] == [(1, 88, 8)]
+
+
+def test_natural_order_of_long_numbers(spark):
+    names = ["a1700000000002", "a1700000000001", "a007", "a7b", "a10", "10", "b"]
+    df = spark.createDataFrame([(n,) for n in names], "t string")
+    assert [r["t"] for r in df.orderBy(text.natural_key("t"), "t").collect()] == ["10", "a007", "a7b", "a10", "a1700000000001", "a1700000000002", "b"]
