@@ -201,8 +201,9 @@ def leading() -> Column:
 def split_hot(rows: DataFrame, hot_suffixes: int) -> tuple[DataFrame, DataFrame | None]:
     """The suffixes, each with offsets lo to hi so that few share its leading bytes, and (uid, places, low, high).
 
-    A part of the offsets sees only some of a context. Suffixes that are alike in all of it are decided
-    at once, these are the latter table (None: none are), and one of them goes on, for others to meet.
+    Offsets lo to hi see only some of a context. Suffixes that are alike in all of that are decided at
+    once, these are the latter table (None: none are), and one of them goes on, for others to meet, into
+    the parts of lo to hi that its own offsets touch.
     """
     key, row = ["lo", "hi", "lead"], ["uid", "places", "lo", "hi"]
     level = saved(rows.select("*", F.lit(0).alias("lo"), F.lit(SIDE).alias("hi")))
@@ -214,16 +215,17 @@ def split_hot(rows: DataFrame, hot_suffixes: int) -> tuple[DataFrame, DataFrame
             return level if cool is None else cool.unionByName(level), sure
         own = led.join(hot, key, "left_anti").drop("lead")
         cool = own if cool is None else cool.unionByName(own)
-        step = F.ceil((F.col("hi") - F.col("lo") + 1) / PARTS).cast("int")
-        parts = led.join(hot, key, "left_semi").drop("lead").withColumns({"step": step, "lo": F.explode(F.sequence(F.col("lo"), F.col("hi"), step))})
-        parts = parts.withColumn("hi", F.least(F.col("hi"), F.col("lo") + F.col("step") - 1)).drop("step")
-        parts = parts.withColumns({"least": F.greatest("least", "lo"), "most": F.least("most", "hi")}).where(F.col("least") <= F.col("most"))
-        parts = saved(parts.withColumn("seen", F.md5(F.substring("context", F.lit(SIDE + 1) - F.col("hi"), F.col("hi") + LENGTH - F.col("lo")))))
-        alike = parts.groupBy("lo", "hi", "least", "most", "seen").agg(F.min(F.struct("uid", "places", "context")).alias("one"), F.count("*").alias("n"))
+        view = F.md5(F.substring("context", F.lit(SIDE + 1) - F.col("hi"), F.col("hi") + LENGTH - F.col("lo")))
+        shared = saved(led.join(hot, key, "left_semi").drop("lead").withColumn("seen", view))
+        alike = shared.groupBy("lo", "hi", "least", "most", "seen").agg(F.min(F.struct("uid", "places", "context")).alias("one"), F.count("*").alias("n"))
         alike = saved(alike.select("one.*", "least", "most", "lo", "hi", "n"))
-        decided = parts.join(alike.where("n = 1").select(row), row, "left_anti").select("uid", "places", F.col("least").cast("long").alias("low"), F.col("most").cast("long").alias("high"))
+        decided = shared.join(alike.where("n = 1").select(row), row, "left_anti").select("uid", "places", F.col("least").cast("long").alias("low"), F.col("most").cast("long").alias("high"))
         sure = decided if sure is None else sure.union(decided)
-        level = alike.drop("n")
+        step = F.ceil((F.col("hi") - F.col("lo") + 1) / PARTS).cast("int")
+        first = (F.col("lo") + F.floor((F.col("least") - F.col("lo")) / F.col("step")) * F.col("step")).cast("int")
+        parts = alike.where("lo < hi").drop("n").withColumn("step", step).withColumn("lo", F.explode(F.sequence(first, F.col("most").cast("int"), F.col("step"))))
+        parts = parts.withColumn("hi", F.least(F.col("hi"), F.col("lo") + F.col("step") - 1)).drop("step")
+        level = saved(parts.withColumns({"least": F.greatest("least", "lo"), "most": F.least("most", "hi")}))
 
 
 def compared(rows: DataFrame, buckets: int) -> DataFrame:
