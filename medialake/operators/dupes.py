@@ -58,12 +58,24 @@ def sign_bands(vector: Column, bands: int = BANDS, bits: int = SIGN_BITS) -> Col
     return F.array(*(F.concat(F.lit(f"{b}:"), F.array_join(F.slice(sign, b * width + 1, width), "")) for b in range(bands)))
 
 
+def distinct_vectors(rows: DataFrame, vector: str = "embedding") -> DataFrame:
+    """(id, vector): each vector once, with the least id of its rows; rows without one take no part."""
+    return rows.where(F.col(vector).isNotNull()).groupBy(vector).agg(F.min("id").alias("id")).select("id", vector)
+
+
+def vector_copies(rows: DataFrame, vector: str = "embedding") -> DataFrame:
+    """(a, b): each row b whose vector equals that of a row with a lesser id, and the least such row a."""
+    first = distinct_vectors(rows, vector).withColumnRenamed("id", "a")
+    return rows.join(first, vector).where(F.col("id") > F.col("a")).select("a", F.col("id").alias("b"))
+
+
 def band_candidates(rows: DataFrame, vector: str = "embedding", largest: int = LARGEST_BUCKET) -> DataFrame:
-    """(a, b) with a < b: rows that share a band whose bucket holds 2 to ``largest`` rows.
+    """(a, b) with a < b: different vectors that share a band whose bucket holds 2 to ``largest`` of them.
 
+    A vector is stood for by the least id of its rows; vector_copies() gives the others, however many.
     The size limit is part of the operator: larger buckets are of flat pictures. It also bounds the join.
     """
-    keyed = rows.select("id", F.explode(sign_bands(F.col(vector))).alias("band"))
+    keyed = distinct_vectors(rows, vector).select("id", F.explode(sign_bands(F.col(vector))).alias("band"))
     small = keyed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n").between(2, largest)).select("band")
     kept = keyed.join(small, "band")
     other = kept.select(F.col("id").alias("b"), "band")
@@ -82,9 +94,9 @@ def verified(pairs: DataFrame, rows: DataFrame, least: float, vector: str = "emb
     return pairs.join(one, "a").join(two, "b").where(cosine(F.col("__a"), F.col("__b")) >= least).select("a", "b")
 
 
-def groups_of(pairs: DataFrame) -> DataFrame:
-    """(id, root) of rows in groups of linked pairs."""
-    return components(pairs)
+def groups_of(pairs: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    """(id, root) of rows in groups of linked pairs; copies: links of equal rows, which count without any limit."""
+    return components(pairs if copies is None else pairs.union(copies.select("a", "b")))
 
 
 def duration_pairs(videos: DataFrame, least: float = 0.3, share: float = 0.004) -> DataFrame:

@@ -17,6 +17,14 @@ MARGIN = 0.04
 REJECT = 0.8
 BARRED = -9.0
 NEIGHBOURS = 5
+# The audit of people's faces.
+AUDIT_FACES = 30
+AUDIT_MOVE = 0.65
+AUDIT_MARGIN = 0.1
+AUDIT_CONFIRMED = 0.15
+AUDIT_LOOSEN = 0.4
+AUDIT_MOMENT = 900.0
+ABSENT = -9.0
 #: A person is compared by at most so many faces, the least by a hash of the id.
 SAMPLE_FACES = 1500
 #: Faces per block of comparisons.
@@ -119,17 +127,20 @@ def assign(faces: DataFrame, people: DataFrame, least: float = ASSIGN, margin: f
     return once.select((-F.col("b.neg")).alias("id"), "person_id", F.col("b.s").alias("likeness"))
 
 
-def knn_means(faces: DataFrame, k: int = NEIGHBOURS, sample: int = SAMPLE_FACES) -> DataFrame:
+def knn_means(faces: DataFrame, k: int = NEIGHBOURS, sample: int = SAMPLE_FACES, moment: float | None = None) -> DataFrame:
     """(id, person_id, mean): for each face and person, the mean likeness of the k nearest faces of that person but itself.
 
     A person is stood for by at most ``sample`` faces, the least by a hash of the id, as the operator
     asks. Blocks of faces meet blocks of those, and each gives only its k best per face and person.
+    moment: if given, only faces of photos that ``taken_at`` puts more than so many seconds apart are
+    compared (null: 0), and each of the k that is lacking counts as ABSENT; a pair without any has no row.
     """
     rank = Window.partitionBy("person_id").orderBy(F.xxhash64("other"), "other")
-    known = faces.where(F.col("person_id").isNotNull()).select(F.col("id").alias("other"), "person_id", unit("emb").alias("u")).where("u is not null")
+    at = F.lit(0.0) if moment is None else F.coalesce(F.col("taken_at").cast("double"), F.lit(0.0))
+    known = faces.where(F.col("person_id").isNotNull()).select(F.col("id").alias("other"), "person_id", unit("emb").alias("u"), at.alias("at")).where("u is not null")
     known = saved(known.withColumn("__rn", F.row_number().over(rank)).where(F.col("__rn") <= sample).drop("__rn"))
-    theirs, n = _blocks(known, BLOCK, "other", "person_id", "u")
-    mine, _ = _blocks(faces.select("id", unit("emb").alias("u")).where("u is not null"), BLOCK, "id", "u")
+    theirs, n = _blocks(known, BLOCK, "other", "person_id", "u", "at")
+    mine, _ = _blocks(faces.select("id", unit("emb").alias("u"), at.alias("at")).where("u is not null"), BLOCK, "id", "u", "at")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -137,6 +148,8 @@ def knn_means(faces: DataFrame, k: int = NEIGHBOURS, sample: int = SAMPLE_FACES)
                 ids, others, who = (np.array([r[c] for r in x], "i8") for x, c in ((a, "id"), (b, "other"), (b, "person_id")))
                 s = _matrix(a, "u") @ _matrix(b, "u").T
                 s[ids[:, None] == others] = -np.inf
+                if moment is not None:
+                    s[np.abs(_matrix(a, "at")[:, None] - _matrix(b, "at")) <= moment] = -np.inf
                 for person in np.unique(who):
                     top = -np.sort(-s[:, who == person], axis=1)[:, :k]
                     i, j = np.nonzero(np.isfinite(top))
@@ -144,7 +157,9 @@ def knn_means(faces: DataFrame, k: int = NEIGHBOURS, sample: int = SAMPLE_FACES)
 
     found = _meet(mine, theirs, n).select("mine", "theirs").mapInPandas(compare, "id long, person_id long, s double")
     best = Window.partitionBy("id", "person_id").orderBy(F.desc("s"))
-    return found.withColumn("__rn", F.row_number().over(best)).where(F.col("__rn") <= k).groupBy("id", "person_id").agg(F.avg("s").alias("mean"))
+    top = found.withColumn("__rn", F.row_number().over(best)).where(F.col("__rn") <= k).groupBy("id", "person_id")
+    mean = F.avg("s") if moment is None else (F.sum("s") + ABSENT * (k - F.count("s"))) / k
+    return top.agg(mean.alias("mean"))
 
 
 def margins(means: DataFrame) -> DataFrame:
@@ -153,14 +168,30 @@ def margins(means: DataFrame) -> DataFrame:
     return best.select("id", "person_id", F.col("s").alias("mean"), (F.col("s") - F.col("next")).alias("margin"))
 
 
-def audit(faces: DataFrame, means: DataFrame, move: float = 0.65, margin: float = 0.1, loosen: float = 0.4) -> DataFrame:
-    """(id, person_id, to): faces that lie better with another person (to), or with none (to null)."""
-    own = faces.where(F.col("person_id").isNotNull()).select("id", "person_id")
-    mine = own.join(means, ["id", "person_id"], "left").select("id", "person_id", F.coalesce("mean", F.lit(-1.0)).alias("mine"))
-    other = means.select("id", F.col("person_id").alias("p"), "mean").join(own, "id").where("p <> person_id").groupBy("id").agg(F.max(F.struct("mean", (-F.col("p")).alias("neg"))).alias("b"))
-    joined = mine.join(other, "id", "left")
-    moves = (F.col("b.mean") >= move) & (F.col("b.mean") - F.col("mine") >= margin)
-    return joined.where(F.coalesce(moves, F.lit(False)) | (F.col("mine") < loosen)).select("id", "person_id", F.when(moves, -F.col("b.neg")).alias("to"))
+def audit(faces: DataFrame, move: float = AUDIT_MOVE, margin: float = AUDIT_MARGIN, confirmed: float = AUDIT_CONFIRMED, loosen: float = AUDIT_LOOSEN, least: int = AUDIT_FACES, moment: float = AUDIT_MOMENT) -> DataFrame:
+    """(id, person_id, to): faces that lie better with another person (to), or with none (to null).
+
+    faces: id, person_id, photo_id, taken_at, state (0: placed by the engine, 1: confirmed with a group),
+    pinned (chosen one by one: stays), emb. Only people with ``least`` faces are judged, and only by faces
+    of other moments. A confirmed face needs the greater margin and is never loosened. Nobody gets a
+    second face in a photo: of two that would move there the better one does, ties by the lesser id.
+    """
+    known = faces.where("person_id is not null and emb is not null")
+    big = known.groupBy("person_id").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select("person_id")
+    known = saved(known.join(big, "person_id", "left_semi"))
+    means = saved(knn_means(known, moment=moment))
+    own = known.where(~F.coalesce(F.col("pinned").cast("boolean"), F.lit(False))).select("id", "person_id", "photo_id", F.coalesce("state", F.lit(0)).alias("state"))
+    mine = own.join(means, ["id", "person_id"], "left").withColumn("mine", F.coalesce("mean", F.lit(ABSENT))).drop("mean")
+    other = means.select("id", F.col("person_id").alias("p"), "mean").join(own.select("id", "person_id"), "id").where("p <> person_id").groupBy("id").agg(F.max(F.struct("mean", (-F.col("p")).alias("neg"))).alias("b"))
+    judged = mine.join(other, "id", "left").withColumn("to", -F.col("b.neg"))
+    need = F.when(F.col("state") == 0, margin).otherwise(confirmed)
+    better = judged.where((F.col("b.mean") >= move) & (F.col("b.mean") >= F.col("mine") + need))
+    taken = known.select("photo_id", F.col("person_id").alias("to")).distinct()
+    free = better.join(taken, ["photo_id", "to"], "left_anti")
+    moves = free.groupBy("photo_id", "to").agg(F.max(F.struct(F.col("b.mean").alias("m"), (-F.col("id")).alias("neg"))).alias("w")).select((-F.col("w.neg")).alias("id"), "to")
+    found = judged.drop("to").join(moves, "id", "left")
+    loose = (F.col("state") == 0) & (F.col("mine") < loosen)
+    return found.where(F.col("to").isNotNull() | loose).select("id", "person_id", "to")
 
 
 def learned_thresholds(answers: DataFrame, share: float = 0.9, least: int = 6, floor: float = 0.42) -> DataFrame:

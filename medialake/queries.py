@@ -251,7 +251,7 @@ def dupe_merge(spark, d):
     return dupes.merged(p, "fingerprint")
 
 
-BANDS = """keyed AS (SELECT vec_id AS id, unnest([b || ':' || array_to_string(list_transform(embedding[b * 16 + 1 : b * 16 + 16], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') FOR b IN [0, 1, 2, 3]]) AS band FROM embeddings),
+BANDS = """firsts AS (SELECT min(vec_id) AS id, embedding FROM embeddings WHERE embedding IS NOT NULL GROUP BY embedding), keyed AS (SELECT id, unnest([b || ':' || array_to_string(list_transform(embedding[b * 16 + 1 : b * 16 + 16], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') FOR b IN [0, 1, 2, 3]]) AS band FROM firsts),
 small AS (SELECT band FROM keyed GROUP BY 1 HAVING count(*) BETWEEN 2 AND 60), cand AS (SELECT DISTINCT x.id AS a, y.id AS b FROM keyed x JOIN keyed y ON x.band = y.band AND x.id < y.id WHERE x.band IN (SELECT band FROM small))"""
 
 
@@ -270,10 +270,11 @@ def band_verified(spark, d):
     return dupes.verified(dupes.band_candidates(v), v, 0.42000001)
 
 
-@query(f"""WITH RECURSIVE {BANDS}, e AS (SELECT a, b FROM cand UNION SELECT b, a FROM cand), reach AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.id)
+@query(f"""WITH RECURSIVE {BANDS}, l AS (SELECT a, b FROM cand UNION SELECT f.id, x.vec_id FROM embeddings x JOIN firsts f ON f.embedding = x.embedding AND f.id < x.vec_id), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.id)
 SELECT id, min(root) AS root FROM reach GROUP BY 1""")
 def near_dupe_components(spark, d):
-    return dupes.groups_of(dupes.band_candidates(_vectors(spark, d)))
+    v = _vectors(spark, d)
+    return dupes.groups_of(dupes.band_candidates(v), dupes.vector_copies(v))
 
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND abs(a.p_retailprice / 7 - b.p_retailprice / 7) <= greatest(0.3, least(a.p_retailprice / 7, b.p_retailprice / 7) * 0.004)")
@@ -321,12 +322,19 @@ def knn_mean_margin(spark, d):
     return people.margins(means).select("id", "person_id", F.round("mean", 6).alias("mean"), F.round("margin", 6).alias("margin"))
 
 
-@query(f"""WITH {KNN}, o AS (SELECT f.id, f.person_id, coalesce(m.mean, -1) AS mine FROM faces f LEFT JOIN means m ON m.id = f.id AND m.person_id = f.person_id WHERE f.person_id IS NOT NULL),
-t AS (SELECT m.id, max(m.mean) AS best, arg_max(m.person_id, m.mean) AS p FROM means m JOIN o ON o.id = m.id AND o.person_id <> m.person_id GROUP BY 1)
-SELECT id, person_id, CASE WHEN best >= 0.3 AND best - mine >= 0.05 THEN CAST(p AS BIGINT) END AS "to" FROM o LEFT JOIN t USING (id) WHERE coalesce(best >= 0.3 AND best - mine >= 0.05, false) OR mine < 0.2""")
+# A photo every 400 seconds: two on either side are of one moment.
+AUDITED = f"""{V}, known AS (SELECT *, photo_id * 400 AS taken_at, CAST(id % 3 = 0 AS INT) AS state, id % 11 = 0 AS pinned FROM faces WHERE person_id IN (SELECT person_id FROM faces GROUP BY 1 HAVING count(*) >= 30)),
+sc AS (SELECT f.id, o.person_id, list_inner_product(f.u, o.u) AS s FROM known f JOIN known o ON f.id <> o.id AND abs(f.taken_at - o.taken_at) > 900),
+k AS (SELECT *, row_number() OVER (PARTITION BY id, person_id ORDER BY s DESC) AS rn FROM sc), means AS (SELECT id, person_id, (sum(s) - 9.0 * (5 - count(*))) / 5 AS mean FROM k WHERE rn <= 5 GROUP BY 1, 2),
+o AS (SELECT f.id, f.person_id, f.photo_id, f.state, coalesce(m.mean, -9) AS mine FROM known f LEFT JOIN means m ON m.id = f.id AND m.person_id = f.person_id WHERE NOT pinned),
+t AS (SELECT m.id, m.mean AS best, m.person_id AS p, row_number() OVER (PARTITION BY m.id ORDER BY m.mean DESC, m.person_id) AS rn FROM means m JOIN o ON o.id = m.id AND o.person_id <> m.person_id),
+w AS (SELECT o.id, p, row_number() OVER (PARTITION BY o.photo_id, p ORDER BY best DESC, o.id) AS rn FROM o JOIN t ON t.id = o.id AND t.rn = 1 WHERE best >= 0.3 AND best >= mine + CASE WHEN state = 0 THEN 0.05 ELSE 0.1 END AND NOT EXISTS (SELECT 1 FROM known q WHERE q.photo_id = o.photo_id AND q.person_id = p))"""
+
+
+@query(f"""WITH {AUDITED} SELECT o.id, o.person_id, CAST(p AS BIGINT) AS "to" FROM o LEFT JOIN w ON w.id = o.id AND w.rn = 1 WHERE p IS NOT NULL OR (state = 0 AND mine < 0.2)""")
 def people_audit(spark, d):
-    f = fx.faces(spark, d)
-    return people.audit(f, people.knn_means(f), 0.3, 0.05, 0.2)
+    f = fx.faces(spark, d).selectExpr("*", "photo_id * 400 AS taken_at", "CAST(id % 3 = 0 AS INT) AS state", "id % 11 = 0 AS pinned")
+    return people.audit(f, 0.3, 0.05, 0.1, 0.2)
 
 
 ANSWERS = "answers AS (SELECT CAST(doc_id % 97 AS DOUBLE) / 97 AS link, CASE WHEN doc_id % 97 > 25 THEN quality ELSE 0 END AS same, doc_id AS t FROM labels)"

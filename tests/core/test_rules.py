@@ -169,6 +169,41 @@ def test_clusters_never_hold_two_faces_of_a_photo(spark):
     assert found[1] != found[2] and found[3] in (1, 2) and found[4] == 4 and 5 not in found
 
 
+def test_copies_beyond_the_bucket_limit_stay_together(spark):
+    one, two, far = [1.0] * 64, [1.0] * 63 + [-1.0], [-1.0] * 64
+    rows = [(i, one) for i in range(100)] + [(200, two), (300, far), (301, None), (302, None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    pairs, copies = dupes.band_candidates(df), dupes.vector_copies(df)
+    assert {tuple(r) for r in pairs.collect()} == {(0, 200)}
+    assert {tuple(r) for r in copies.collect()} == {(0, i) for i in range(1, 100)}
+    assert {tuple(r) for r in dupes.groups_of(pairs, copies).collect()} == {(i, 0) for i in [*range(100), 200]}
+
+
+def test_audit_moves_loosens_and_leaves_alone(spark):
+    import math
+
+    at = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees)), 0.0]
+    home = [(1000 + 100 * p + i, p, 1000 + 100 * p + i, i * 1000.0, 0, False, at(0)) for p in range(10, 20) for i in range(30)]
+    rows = home + [(100 + i, 2, 100 + i, i * 1000.0 + 5e5, 0, False, at(90)) for i in range(30)]
+    rows += [
+        (500, 10, 500, 1e6, 0, False, at(90)),  # goes to 2
+        (501, 11, 501, 2e6, 0, True, at(90)),  # pinned
+        (502, 12, 100, 3e6, 0, False, at(90)),  # 2 is in that photo already: goes loose
+        (503, 13, 100, 4e6, 1, False, at(90)),  # the same, but confirmed
+        (504, 14, 504, 5e6, 0, False, [0.0, 0.0, 1.0]),  # like nobody
+        (505, 15, 505, 6e6, 0, False, at(41)),  # 0.755 with its own, 0.656 with 2
+        (506, 16, 506, 7e6, 1, False, at(49)),  # 0.656 with its own, 0.755 with 2: confirmed needs 0.15
+        (507, 17, 507, 8e6, 0, False, at(50)),  # 0.643 with its own, 0.766 with 2
+        (508, 18, 508, 9e6, 0, False, at(90)),  # of two faces of one photo the lesser id goes to 2
+        (509, 19, 508, 9e6, 0, False, at(90)),
+        (510, 3, 510, 1e7, 0, False, at(90)),  # a person of one face isn't judged
+    ]
+    rows += [(600 + i, 4, 600 + i, 2e7 + i, 0, False, at(200)) for i in range(30)]  # one burst doesn't vouch for itself
+    df = spark.createDataFrame(rows, "id long, person_id long, photo_id long, taken_at double, state int, pinned boolean, emb array<double>")
+    found = {r["id"]: r["to"] for r in people.audit(df).collect()}
+    assert found == {500: 2, 502: None, 504: None, 507: 2, 508: 2, 509: None, **{600 + i: None for i in range(30)}}
+
+
 def test_duration_pairs_equal_all_pairs(spark):
     import random
 
