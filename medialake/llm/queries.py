@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality, repeats, sharding, simhash, syncmers, topk, toxicity
+from . import bpe, packing, pii, quality, repeats, runs, sharding, simhash, syncmers, topk, toxicity
 from .common import documents, held_out, table
 
 
@@ -77,7 +77,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_syncmers, op2_bpe, op3_topk, op4_pii, op5_simhash, op6_repeats, op7_sharding, op8_quality, op9_packing, op10_toxicity)}
+def runs_digest(docs: DataFrame) -> DataFrame:
+    rows = runs.periodic_runs(docs).withColumn("best", runs.greatest(F.col("runs")))
+    spelled = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    spelled = F.when(F.size("runs") > 0, F.concat(spelled, F.lit("\n"))).otherwise("")
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(spelled, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_digest(runs.with_planted_runs(documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op1_syncmers, op2_bpe, op3_topk, op4_pii, op5_simhash, op6_repeats, op7_sharding, op8_quality, op9_packing, op10_toxicity, op11_periodic_runs)}
 ORACLES: dict[str, str] = {
     "op3_topk": """
         WITH v AS (
