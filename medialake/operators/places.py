@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEGREE, distance_km, located, snapped
@@ -141,32 +142,106 @@ def spots(photos: DataFrame, metres: float = 250.0) -> DataFrame:
     return rows.groupBy(snapped(F.col("gps_lat"), metres).alias("cell_lat"), snapped(F.col("gps_lon"), metres).alias("cell_lon")).agg(F.count("*").alias("items"), F.avg("gps_lat").alias("lat"), F.avg("gps_lon").alias("lon"))
 
 
-def zoom_clusters(spots_: DataFrame, zoom: int, pixels: float = 34.0, tile_degrees: float = 45.0) -> DataFrame:
-    """Clusters for a zoom level: lat, lon, items, spots.
+#: Seeds, in each of nine cells, that are few enough to be sent to every task.
+BROADCAST_SEEDS = 100_000
+#: A tile of TILE x TILE cells is walked by one task once no more spots than this are left in and next to it.
+TILE, TILE_SPOTS = 32, 100_000
 
-    The biggest spot left takes all spots within the radius. The order matters, so tiles of fixed size
-    are clustered one by one; clusters never reach across tiles, and a tile holds at most one spot per
-    grid cell.
+
+def _nine(rows: DataFrame, cy: str, cx: str) -> DataFrame:
+    """Each row once for each cell next to its own, and its own: columns y, x."""
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    return rows.withColumn("__by", around).withColumns({"y": F.col(cy) + F.col("__by.i"), "x": F.col(cx) + F.col("__by.j")}).drop("__by")
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS else rows
+
+
+def _reaches(lat: float, lon: float, squeeze: float, lat2: float, lon2: float, radius: float) -> bool:
+    dy, dx = lat2 - lat, (lon2 - lon) * squeeze
+    return dx * dx + dy * dy <= radius * radius
+
+
+def _walked(left: DataFrame, cells: DataFrame, radius: float) -> DataFrame:
+    """left without the spots that a walk through its tile shows to be gathered, and with ``seed`` for those that seed.
+
+    A tile sees its own spots and those of the cells around it. Spots around it, and spots after an undecided
+    one in the nine cells, stay undecided. cells: (cy, cx, n), how many spots may be left in each cell.
     """
-    radius = pixels * 360.0 / (256 * 2**zoom)
-    tile = min(tile_degrees, max(4 * radius, 1.0))
+    tile = lambda c: F.floor(F.col(c) / TILE).cast("long")
+    total = _nine(cells.select("cy", "cx", "n"), "cy", "cx").groupBy(tile("y").alias("ty"), tile("x").alias("tx"), "cy", "cx").agg(F.max("n").alias("n"))
+    total = total.groupBy("ty", "tx").agg(F.sum("n").alias("n")).where(F.col("n") <= TILE_SPOTS).select("ty", "tx")
+    copies = _nine(left, "cy", "cx").withColumns({"ty": tile("y"), "tx": tile("x"), "own": (tile("y") == tile("cy")) & (tile("x") == tile("cx"))})
+    copies = copies.drop("y", "x").dropDuplicates(["ty", "tx", "rank"])
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["items", "cell_lat", "cell_lon"], ascending=[False, True, True])
-        lat, lon, items = (rows[c].to_numpy() for c in ("lat", "lon", "items"))
-        left, out = [True] * len(rows), []
-        for i in range(len(rows)):
-            if left[i]:
-                squeeze = max(0.05, math.cos(math.radians(lat[i])))
-                mine = [j for j in range(i, len(rows)) if left[j] and math.hypot(lat[j] - lat[i], (lon[j] - lon[i]) * squeeze) <= radius]
-                for j in mine:
-                    left[j] = False
-                n = int(items[mine].sum())
-                out.append((float((lat[mine] * items[mine]).sum() / n), float((lon[mine] * items[mine]).sum() / n), n, len(mine)))
-        return pd.DataFrame(out, columns=["lat", "lon", "items", "spots"])
-
-    tiled = spots_.withColumns({"ty": F.floor((F.col("lat") + 90) / tile).cast("int"), "tx": F.floor((F.col("lon") + 180) / tile).cast("int")})
-    return tiled.groupBy("ty", "tx").applyInPandas(run, "lat double, lon double, items long, spots long")
+        rows = rows.sort_values(["items", "lat", "lon"], ascending=[False, True, True], kind="stable")
+        seeds: dict = {}
+        waits: set = set()
+        state = []
+        for cy, cx, lat, lon, own in zip(*(rows[c].tolist() for c in ("cy", "cx", "lat", "lon", "own"))):
+            near = [(cy + i, cx + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+            if any(_reaches(*s, lat, lon, radius) for c in near for s in seeds.get(c, ())):
+                state.append(0)
+            elif not own or not waits.isdisjoint(near):
+                waits.add((cy, cx))
+                state.append(1)
+            else:
+                seeds.setdefault((cy, cx), []).append((lat, lon, math.cos(math.radians(lat))))
+                state.append(2)
+        rows = rows.assign(state=state)
+        rows = rows[rows["own"] & (rows["state"] > 0)]
+        return rows.assign(seed=rows["state"] == 2)[["cy", "cx", "lat", "lon", "items", "seed"]]
+
+    small = copies.join(total, ["ty", "tx"]).drop("rank").groupBy("ty", "tx").applyInPandas(run, "cy long, cx long, lat double, lon double, items long, seed boolean")
+    large = left.withColumns({"ty": tile("cy"), "tx": tile("cx")}).join(total, ["ty", "tx"], "left_anti")
+    return small.unionByName(large.select("cy", "cx", "lat", "lon", "items", F.lit(False).alias("seed"))).withColumn("rank", _rank())
+
+
+def _rank() -> Column:
+    return F.struct((-F.col("items")).alias("n"), F.col("lat").alias("lat"), F.col("lon").alias("lon"))
+
+
+def gathered(spots_: DataFrame, zoom: float, pixels: float = 34.0, tile: int = 256) -> DataFrame:
+    """spots_ with ``seed_lat`` and ``seed_lon``: the spot that gathers it at this zoom.
+
+    The rule goes through the spots from the biggest (ties by place) and lets each that is left take all
+    that are left in its own and the eight next cells, within the radius. So a spot is a seed if no seed
+    before it reaches it, and the first seed that reaches it gathers it. Seeds are found in rounds, each
+    written to the shared folder: a spot that comes first in its nine cells is a seed, and what it reaches
+    is none, which thins the fullest cells at once; then tiles with few spots left are walked, all that
+    depends on nothing outside, which shortens chains of spots of one size. A round decides at least the
+    first spot of all. Seeds are further apart than the radius, so few are near one cell, and no spot meets
+    many of them. The result is that of the sequential walk. Spots of no place (null or NaN) are left out.
+    """
+    radius = pixels * 360.0 / (tile * 2.0**zoom)
+    cell = lambda c: F.expr(f"CAST({c} / {radius!r}D AS BIGINT)")
+    here = spots_.where(~F.isnan("lat") & ~F.isnan("lon") & F.col("items").isNotNull())  # null places fail the test too
+    all_ = saved(here.withColumns({"cy": cell("lat"), "cx": cell("lon"), "rank": _rank()}))
+    dy, dx = F.col("lat") - F.col("seed.lat"), (F.col("lon") - F.col("seed.lon")) * F.cos(F.radians("seed.lat"))
+    reached = (F.col("cy") == F.col("y")) & (F.col("cx") == F.col("x")) & (F.col("seed") <= F.col("rank")) & (dx * dx + dy * dy <= radius * radius)
+    near = lambda seeds: _small(_nine(seeds.select("seed", F.col("cy").alias("sy"), F.col("cx").alias("sx")), "sy", "sx").select("seed", "y", "x"))
+    left, seeds = all_.select("cy", "cx", "lat", "lon", "items", "rank"), []
+    while not left.isEmpty():
+        first = left.groupBy("cy", "cx").agg(F.min("rank").alias("rank"), F.count("*").alias("n"))
+        around = _nine(first, "cy", "cx").groupBy("y", "x").agg(F.min("rank").alias("least"))
+        new = saved(first.join(around, (F.col("cy") == F.col("y")) & (F.col("cx") == F.col("x"))).select("cy", "cx", "n", F.when(F.col("rank") == F.col("least"), F.col("rank")).alias("seed")))
+        after = saved(_walked(left.join(near(new.where("seed is not null")), reached, "left_anti"), new, radius))
+        walked = after.where("seed").select(F.col("rank").alias("seed"), "cy", "cx")
+        seeds += [new.where("seed is not null").select("seed", "cy", "cx"), walked]
+        left = after.where("not seed").drop("seed").join(near(walked), reached, "left_anti")  # over the edges of tiles
+    if not seeds:
+        return all_.select(*spots_.columns, F.col("lat").alias("seed_lat"), F.col("lon").alias("seed_lon"))
+    own = all_.join(near(saved(reduce(DataFrame.unionByName, seeds))), reached).groupBy("rank").agg(F.min("seed").alias("seed"))
+    return all_.join(own, "rank").select(*spots_.columns, F.col("seed.lat").alias("seed_lat"), F.col("seed.lon").alias("seed_lon"))
+
+
+def zoom_clusters(spots_: DataFrame, zoom: float, pixels: float = 34.0, tile: int = 256) -> DataFrame:
+    """The pins of a zoom level: seed_lat, seed_lon, lat and lon (the mean of the items), items, spots. See gathered."""
+    mean = lambda c: (F.sum(F.col(c) * F.col("items")) / F.sum("items")).alias(c)
+    pins = gathered(spots_, zoom, pixels, tile).groupBy("seed_lat", "seed_lon")
+    return pins.agg(mean("lat"), mean("lon"), F.sum("items").alias("items"), F.count("*").alias("spots"))
 
 
 def in_view(spots_: DataFrame, south: float, west: float, north: float, east: float) -> DataFrame:

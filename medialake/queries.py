@@ -486,9 +486,20 @@ def map_spots(spark, d):
     return places.spots(fx.photos(spark, d)).select("cell_lat", "cell_lon", "items", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-@query()
+PIN_RADIUS = "(34 * 360.0::DOUBLE / (256 * 16))"
+REACHES = f"abs({{0}}.cy - {{1}}.cy) <= 1 AND abs({{0}}.cx - {{1}}.cx) <= 1 AND pow(({{1}}.lon - {{0}}.lon) * cos(radians({{0}}.lat)), 2) + pow({{1}}.lat - {{0}}.lat, 2) <= pow({PIN_RADIUS}, 2)"
+
+
+@query(f"""WITH RECURSIVE {P}, g AS (SELECT avg(gps_lat) AS lat, avg(gps_lon) AS lon, count(*) AS items FROM photos WHERE gps_lat IS NOT NULL AND NOT (gps_lat = 0 AND gps_lon = 0) GROUP BY CAST(round(gps_lat / (0.25::DOUBLE / 111.32::DOUBLE)) AS BIGINT), CAST(round(gps_lon / (0.25::DOUBLE / 111.32::DOUBLE)) AS BIGINT)),
+spots AS (SELECT *, row_number() OVER (ORDER BY items DESC, lat, lon) AS k, CAST(trunc(lat / {PIN_RADIUS}) AS BIGINT) AS cy, CAST(trunc(lon / {PIN_RADIUS}) AS BIGINT) AS cx FROM g),
+walk AS (SELECT 0::BIGINT AS k, []::STRUCT(k BIGINT, lat DOUBLE, lon DOUBLE, cy BIGINT, cx BIGINT)[] AS seeds
+  UNION ALL SELECT spots.k, CASE WHEN len(list_filter(seeds, lambda s: {REACHES.format('s', 'spots')})) > 0 THEN seeds ELSE list_append(seeds, {{'k': spots.k, 'lat': lat, 'lon': lon, 'cy': cy, 'cx': cx}}) END FROM walk JOIN spots ON spots.k = walk.k + 1),
+seeds AS (SELECT unnest(seeds, recursive := true) FROM (SELECT seeds FROM walk ORDER BY k DESC LIMIT 1)),
+own AS (SELECT p.k, min(s.k) AS seed FROM spots p JOIN seeds s ON s.k <= p.k AND {REACHES.format('s', 'p')} GROUP BY 1)
+SELECT round(s.lat, 6) AS seed_lat, round(s.lon, 6) AS seed_lon, round(sum(p.lat * p.items) / sum(p.items), 6) AS lat, round(sum(p.lon * p.items) / sum(p.items), 6) AS lon, CAST(sum(p.items) AS BIGINT) AS items, count(*) AS spots FROM own JOIN spots p USING (k) JOIN seeds s ON s.k = own.seed GROUP BY s.k, s.lat, s.lon""")
 def map_clusters(spark, d):
-    return places.zoom_clusters(places.spots(fx.photos(spark, d)), 4)
+    pins = places.zoom_clusters(places.spots(fx.photos(spark, d)), 4)
+    return pins.select(*(F.round(c, 6).alias(c) for c in ("seed_lat", "seed_lon", "lat", "lon")), "items", "spots")
 
 
 @query(f"WITH {P}, {A} SELECT album_id, count(DISTINCT p.id) AS items FROM photos p LEFT JOIN items i ON i.photo_id = p.id AND i.album_id % 2 = 0 WHERE gps_lat > 10 GROUP BY 1")

@@ -1,5 +1,8 @@
 """Semantics that the driver's tables can't show: nulls, wildcards, ties, edges."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,10 +160,39 @@ def test_towns_across_the_date_line_and_the_pole(spark):
     assert {r["id"]: (r["city"], r["country"]) for r in places.locate(points, towns).collect()} == {1: ("line", "x"), 2: ("pole", "y"), 3: (None, None), 4: (None, "Antarctica")}
 
 
-def test_zoom_clusters_take_the_biggest_first(spark):
-    spots = spark.createDataFrame([(0, 0, 5, 10.0, 10.0), (0, 1, 9, 10.0, 10.5), (9, 9, 1, 60.0, 60.0)], "cell_lat long, cell_lon long, items long, lat double, lon double")
-    found = sorted((r["items"], r["spots"]) for r in places.zoom_clusters(spots, 3).collect())
-    assert found == [(1, 1), (14, 2)]
+def walked_pins(rows, zoom, pixels=34.0):
+    """(items, spots) of each pin by the sequential rule."""
+    radius = pixels * 360.0 / (256 * 2.0**zoom)
+    cell = lambda r: (int(r[1] / radius), int(r[2] / radius))
+    rows = sorted(rows, key=lambda r: (-r[0], r[1], r[2]))
+    taken, out = [False] * len(rows), []
+    for i, seed in enumerate(rows):
+        if taken[i]:
+            continue
+        squeeze, mine = math.cos(math.radians(seed[1])), []
+        for j in range(i, len(rows)):
+            near = all(abs(a - b) <= 1 for a, b in zip(cell(seed), cell(rows[j])))
+            if not taken[j] and near and ((rows[j][2] - seed[2]) * squeeze) ** 2 + (rows[j][1] - seed[1]) ** 2 <= radius * radius:
+                taken[j] = True
+                mine.append(rows[j])
+        out.append((seed[1], seed[2], sum(r[0] for r in mine), len(mine)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("tile_spots", [100_000, 40, 0])
+def test_pins_equal_the_sequential_walk(spark, monkeypatch, tile_spots):
+    """Chains of spots of one size, a full cell, both signs, the poles; tiles walked, too full, or not at all."""
+    monkeypatch.setattr(places, "TILE_SPOTS", tile_spots)
+    monkeypatch.setattr(places, "TILE", 3)
+    rng = random.Random(4)
+    rows = {(rng.choice([1, 1, 1, 2, 50]), round(rng.uniform(-12, 12), 2), round(rng.uniform(-12, 12), 2)) for _ in range(500)}
+    rows |= {(1, 40 + k / 4, 3.0) for k in range(40)} | {(rng.randint(1, 3), 60 + rng.random(), 100 + rng.random()) for _ in range(100)} | {(1, 90.0, 5.0), (2, -90.0, 9.0), (7, 0.0, -179.9)}
+    df = spark.createDataFrame([*((n, lat, lon) for n, lat, lon in rows), (None, 1.0, 1.0), (1, None, 1.0), (1, float("nan"), 1.0)], "items long, lat double, lon double")
+    found = [(r["seed_lat"], r["seed_lon"], r["items"], r["spots"]) for r in places.zoom_clusters(df, 5).collect()]
+    assert sorted(found) == walked_pins(rows, 5)
+    assert places.zoom_clusters(df.limit(0), 5).count() == 0
+    twice = df.where("lat > 59").union(df.where("lat > 59"))
+    assert sum(r["items"] for r in places.zoom_clusters(twice, 5).collect()) == 2 * sum(n for n, lat, _ in rows if lat > 59)
 
 
 def test_clusters_never_hold_two_faces_of_a_photo(spark):
@@ -180,8 +212,6 @@ def test_copies_beyond_the_bucket_limit_stay_together(spark):
 
 
 def test_audit_moves_loosens_and_leaves_alone(spark):
-    import math
-
     at = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees)), 0.0]
     home = [(1000 + 100 * p + i, p, 1000 + 100 * p + i, i * 1000.0, 0, False, at(0)) for p in range(10, 20) for i in range(30)]
     rows = home + [(100 + i, 2, 100 + i, i * 1000.0 + 5e5, 0, False, at(90)) for i in range(30)]
