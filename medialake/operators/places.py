@@ -217,7 +217,7 @@ def gathered(spots_: DataFrame, zoom: float, pixels: float = 34.0, tile: int = 2
     """
     radius = pixels * 360.0 / (tile * 2.0**zoom)
     cell = lambda c: F.expr(f"CAST({c} / {radius!r}D AS BIGINT)")
-    here = spots_.where(~F.isnan("lat") & ~F.isnan("lon") & F.col("items").isNotNull())  # null places fail the test too
+    here = spots_.where("lat is not null and lon is not null and items is not null and not isnan(lat) and not isnan(lon)")
     all_ = saved(here.withColumns({"cy": cell("lat"), "cx": cell("lon"), "rank": _rank()}))
     dy, dx = F.col("lat") - F.col("seed.lat"), (F.col("lon") - F.col("seed.lon")) * F.cos(F.radians("seed.lat"))
     reached = (F.col("cy") == F.col("y")) & (F.col("cx") == F.col("x")) & (F.col("seed") <= F.col("rank")) & (dx * dx + dy * dy <= radius * radius)

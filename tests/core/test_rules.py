@@ -179,20 +179,18 @@ def walked_pins(rows, zoom, pixels=34.0):
     return sorted(out)
 
 
-@pytest.mark.parametrize("tile_spots", [100_000, 40, 0])
+@pytest.mark.parametrize("tile_spots", [100_000, 20])
 def test_pins_equal_the_sequential_walk(spark, monkeypatch, tile_spots):
     """Chains of spots of one size, a full cell, both signs, the poles; tiles walked, too full, or not at all."""
     monkeypatch.setattr(places, "TILE_SPOTS", tile_spots)
     monkeypatch.setattr(places, "TILE", 3)
     rng = random.Random(4)
-    rows = {(rng.choice([1, 1, 1, 2, 50]), round(rng.uniform(-12, 12), 2), round(rng.uniform(-12, 12), 2)) for _ in range(500)}
-    rows |= {(1, 40 + k / 4, 3.0) for k in range(40)} | {(rng.randint(1, 3), 60 + rng.random(), 100 + rng.random()) for _ in range(100)} | {(1, 90.0, 5.0), (2, -90.0, 9.0), (7, 0.0, -179.9)}
+    rows = {(rng.choice([1, 1, 1, 2, 50]), round(rng.uniform(-6, 6), 2), round(rng.uniform(-6, 6), 2)) for _ in range(150)}
+    rows |= {(1, 40 + k / 2, 3.0) for k in range(12)} | {(rng.randint(1, 3), 60 + rng.random(), 100 + rng.random()) for _ in range(60)} | {(1, 90.0, 5.0), (2, -90.0, 9.0), (7, 0.0, -179.9)}
     df = spark.createDataFrame([*((n, lat, lon) for n, lat, lon in rows), (None, 1.0, 1.0), (1, None, 1.0), (1, float("nan"), 1.0)], "items long, lat double, lon double")
     found = [(r["seed_lat"], r["seed_lon"], r["items"], r["spots"]) for r in places.zoom_clusters(df, 5).collect()]
     assert sorted(found) == walked_pins(rows, 5)
     assert places.zoom_clusters(df.limit(0), 5).count() == 0
-    twice = df.where("lat > 59").union(df.where("lat > 59"))
-    assert sum(r["items"] for r in places.zoom_clusters(twice, 5).collect()) == 2 * sum(n for n, lat, _ in rows if lat > 59)
 
 
 def test_clusters_never_hold_two_faces_of_a_photo(spark):
@@ -235,8 +233,6 @@ def test_audit_moves_loosens_and_leaves_alone(spark):
 
 
 def test_duration_pairs_equal_all_pairs(spark):
-    import random
-
     rng = random.Random(3)
     values = [rng.uniform(0, 200) for _ in range(300)] + [0.0, 0.3, 75.0, 75.3, 74.9]
     df = spark.createDataFrame(list(enumerate(values)), "id long, duration double")
