@@ -14,7 +14,6 @@ from ..shared import saved
 # Likeness thresholds.
 ASSIGN = 0.48
 MARGIN = 0.04
-REJECT = 0.8
 BARRED = -9.0
 NEIGHBOURS = 5
 # The audit of people's faces.
@@ -237,65 +236,6 @@ def cover_faces(faces: DataFrame) -> DataFrame:
     return best.select("person_id", (-F.col("b.neg")).alias("id"))
 
 
-def clusters(faces: DataFrame, block: str, least: float = 0.5, tight: float = 0.62) -> DataFrame:
-    """(id, cluster) within each block: first to the best leader that is ``tight`` alike, then groups are
-    joined by average likeness while it is at least ``least``; two faces of a photo never meet.
-
-    The order decides, so a block is worked through by id in one task, and must be bounded by the
-    caller (a library, an import). cluster: the least id of the group.
-    """
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        x = np.array(rows["u"].tolist())
-        ids, photos = rows["id"].to_numpy(), rows["photo_id"].to_numpy()
-        sums: list[np.ndarray] = []
-        members: list[list[int]] = []
-        seen: list[set] = []
-        for i in range(len(rows)):
-            best = -1
-            if sums:
-                s = np.array(sums) @ x[i] / np.array([max(1e-9, float(np.linalg.norm(t))) for t in sums])
-                for j in np.argsort(-s, kind="stable"):
-                    if s[j] < tight:
-                        break
-                    if photos[i] not in seen[j]:
-                        best = int(j)
-                        break
-            if best < 0:
-                sums.append(x[i].copy())
-                members.append([i])
-                seen.append({photos[i]})
-            else:
-                sums[best] += x[i]
-                members[best].append(i)
-                seen[best].add(photos[i])
-        alive = list(range(len(sums)))
-        while len(alive) > 1:
-            t, n = np.array([sums[a] for a in alive]), np.array([len(members[a]) for a in alive])
-            link = (t @ t.T) / np.outer(n, n)
-            link[np.tril_indices(len(alive))] = -1
-            for flat in np.argsort(-link, axis=None, kind="stable"):
-                i, j = divmod(int(flat), len(alive))
-                if link[i, j] < least:
-                    i = -1
-                    break
-                if not seen[alive[i]] & seen[alive[j]]:
-                    break
-            else:
-                break
-            if i < 0:
-                break
-            a, b = alive[i], alive.pop(j)
-            sums[a] += sums[b]
-            members[a] += members[b]
-            seen[a] |= seen[b]
-        out = [(int(ids[m]), int(min(ids[k] for k in members[a]))) for a in alive for m in members[a]]
-        return pd.DataFrame(out, columns=["id", "cluster"])
-
-    return faces.select(block, "id", "photo_id", unit("emb").alias("u")).where("u is not null").groupBy(block).applyInPandas(run, "id long, cluster long")
-
-
 def overlap(a: str, b: str) -> Column:
     """Intersection over union of two boxes struct(x, y, w, h)."""
     side = lambda p, q: F.greatest(F.lit(0.0), F.least(F.col(f"{a}.{p}") + F.col(f"{a}.{q}"), F.col(f"{b}.{p}") + F.col(f"{b}.{q}")) - F.greatest(F.col(f"{a}.{p}"), F.col(f"{b}.{p}")))

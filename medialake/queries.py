@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import dates, geo, pixels, text
-from .operators import browse, dupes, edits, events, ingest, lookups, merge, people, places, rules, search, summary
+from .operators import browse, dupes, edits, events, ingest, lookups, merge, people, places, regroup, rules, search, sets, summary
 from .operators import vocabulary as words
 from .plans import upkeep
 from .schema import table
@@ -120,6 +120,97 @@ def search_haystack(spark, d):
     return fx.photos(spark, d).select("id", text.search_text("filename", "camera_model", date=dates.wall_time(F.col("taken_at"))).alias("haystack"))
 
 
+#: Pictures of vectors, some with a copy of other contrast (k = 1), some with another shot (k = 2): column -> expression in both dialects.
+LOOKS = {
+    "id": "vec_id + k * 1000000",
+    "path": "'/lib/' || CASE WHEN vec_id % 50 = 7 THEN 'Screenshot_' || CAST(vec_id AS {text}) || '.png' WHEN k = 1 AND vec_id % 9 = 0 THEN 'IMG_' || CAST(vec_id AS {text}) || '_Edited 2.jpg' WHEN k = 1 AND vec_id % 33 = 0 THEN 'raw_' || CAST(vec_id AS {text}) || '.CR2' WHEN vec_id % 13 = 1 THEN 'd' || CAST(vec_id AS {text}) || '.png' ELSE CASE k WHEN 0 THEN 'IMG_' ELSE 'copy_' END || CAST(vec_id AS {text}) || '.jpg' END",
+    "camera_make": "CASE WHEN vec_id % 26 = 1 THEN 'Canon' WHEN vec_id % 3 = 0 THEN '' END",
+    "camera_model": "CASE WHEN vec_id % 39 = 1 THEN 'D5' END",
+    "duration": "CASE WHEN vec_id % 43 = 3 THEN CAST(2 AS DOUBLE) WHEN vec_id % 5 = 3 THEN CAST(0 AS DOUBLE) END",
+    "paired_to": "CASE WHEN vec_id % 47 = 5 THEN vec_id END",
+    "date_source": "CASE WHEN vec_id % 2 = 0 THEN 'exif' ELSE 'file' END",
+    "taken_at": "CAST(vec_id * 100 + CASE WHEN k = 1 AND vec_id % 12 = 0 THEN 5 ELSE k END AS DOUBLE)",
+    "aspect": "CASE WHEN k = 1 AND vec_id % 15 = 0 THEN CAST(16 AS DOUBLE) / 10 ELSE CAST(15 AS DOUBLE) / 10 END",
+    "stamp": "'s'",
+    "looked_key": "CASE WHEN vec_id % 5 = 0 THEN 's' WHEN vec_id % 5 = 1 THEN 'old' END",
+    "look_key": "CASE WHEN vec_id % 4 = 0 THEN 'v' || CAST(vec_id - vec_id % 60 AS {text}) END",
+    "content_hash": "CASE WHEN vec_id % 7 = 0 THEN 'h' || CAST(vec_id % 97 AS {text}) END",
+    "hashed_key": "CASE WHEN vec_id % 14 = 0 THEN 's' ELSE 't' END",
+}
+LOOKS_SQL = f"""base AS (SELECT vec_id, k, list_transform(embedding, lambda x, i: (128 + 200 * x::DOUBLE) * CASE k WHEN 1 THEN 0.8::DOUBLE ELSE 1 END + CASE WHEN k = 1 THEN 20 WHEN k = 2 AND i = 1 THEN 60 ELSE 0 END) AS sig FROM embeddings, (SELECT unnest([0, 1, 2])::BIGINT AS k) WHERE k = 0 OR k = 1 AND vec_id % 3 = 0 OR k = 2 AND vec_id % 4 = 0),
+photos AS (SELECT {", ".join(f"{e.replace('{text}', 'VARCHAR')} AS {n}" for n, e in LOOKS.items())}, sig FROM base)"""
+
+
+def _variants(spark, d):
+    base = table(spark, d, "embeddings").select("vec_id", F.explode(F.expr("array(0L, 1L, 2L)")).alias("k"), "embedding")
+    return base.where("k = 0 or k = 1 and vec_id % 3 = 0 or k = 2 and vec_id % 4 = 0")
+
+
+def _looks(spark, d):
+    sig = F.expr("transform(embedding, (x, i) -> (128 + 200 * CAST(x AS DOUBLE)) * CASE k WHEN 1 THEN 0.8D ELSE 1D END + CASE WHEN k = 1 THEN 20 WHEN k = 2 AND i = 0 THEN 60 ELSE 0 END)")
+    return _variants(spark, d).select(*(F.expr(e.replace("{text}", "STRING")).alias(n) for n, e in LOOKS.items()), sig.alias("sig"))
+
+
+#: Sets from links (a, b) of rows: the rule for both kinds.
+SETS_SQL = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT a AS id, b AS r FROM both_ways UNION SELECT reach.id, both_ways.b FROM reach JOIN both_ways ON reach.r = both_ways.a),
+roots AS (SELECT id, least(id, min(r)) AS root FROM reach GROUP BY 1)
+SELECT h.id, '{letter}' || CAST(root AS VARCHAR) AS look_key, ('{letter}' || CAST(root AS VARCHAR)) IS DISTINCT FROM h.look_key AS changed FROM rows h LEFT JOIN roots USING (id)"""
+STANDING_SQL = "standing AS (SELECT min(id) OVER (PARTITION BY look_key) AS a, id AS b FROM rows WHERE look_key IS NOT NULL AND looked_key = stamp UNION ALL SELECT min(id) OVER (PARTITION BY content_hash), id FROM rows WHERE content_hash IS NOT NULL AND hashed_key = stamp)"
+EXPORT_SQL = "(starts_with({0}.stem, {1}.stem || '_edited') OR starts_with({1}.stem, {0}.stem || '_edited'))"
+
+
+@query(f"""WITH RECURSIVE {LOOKS_SQL}, named AS (SELECT *, lower(regexp_extract(path, '[^/]*$')) AS name, regexp_extract(lower(path), '\.[^./]*$') AS ext FROM photos),
+rows AS (SELECT *, looked_key IS DISTINCT FROM stamp AS fresh, regexp_replace(name, '\.[^.]*$', '') AS stem, list_avg(sig) AS m, sqrt(list_avg(list_transform(sig, lambda x: pow(x - list_avg(sig), 2)))) AS sd FROM named
+  WHERE NOT (coalesce(duration, 0) > 0 OR paired_to IS NOT NULL OR ext = '.cr2' OR contains(name, 'screenshot') OR ext = '.png' AND coalesce(camera_make, '') = '' AND coalesce(camera_model, '') = '')),
+z AS (SELECT *, list_transform(sig, lambda x: (x - m) / greatest(sd, 3)) AS z, list_transform(sig, lambda x: (x - m) / sd) AS zz FROM rows),
+keyed AS (SELECT z.*, b, list_transform(range(16 * b, 16 * b + 16), lambda j: CASE WHEN j % 8 < 7 AND sig[j + 2] > sig[j + 1] THEN 1 ELSE 0 END) AS band FROM z, (SELECT unnest(range(4)) AS b)),
+few AS (SELECT b, band FROM keyed GROUP BY ALL HAVING count(*) BETWEEN 2 AND 60),
+cand AS (SELECT DISTINCT p.id AS a, q.id AS c FROM keyed p JOIN few USING (b, band) JOIN keyed q ON p.b = q.b AND p.band = q.band AND p.id < q.id WHERE (p.fresh OR q.fresh) AND p.sd >= 3 AND q.sd >= 3),
+same AS (SELECT a, c AS b FROM cand JOIN z p ON p.id = a JOIN z q ON q.id = c WHERE list_avg(list_transform(list_zip(p.z, q.z), lambda t: abs(t[1] - t[2]))) < 0.1 AND abs(p.aspect / greatest(q.aspect, 1e-6) - 1) <= 0.03
+  AND NOT (p.date_source = 'exif' AND q.date_source = 'exif' AND abs(p.taken_at - q.taken_at) > 2) AND NOT {EXPORT_SQL.format('p', 'q')} AND list_avg(list_transform(list_zip(p.zz, q.zz), lambda t: abs(t[1] - t[2]))) <= 0.008 AND list_avg(list_transform(list_zip(p.zz, q.zz), lambda t: t[1] * t[2])) >= 0.9995),
+{STANDING_SQL}, links AS (SELECT a, b FROM same UNION ALL SELECT a, b FROM standing WHERE a <> b),
+{SETS_SQL.format(letter='v')}""")
+def picture_sets(spark, d):
+    return sets.picture_sets(_looks(spark, d).withColumn("picture", F.col("sig")), 8)
+
+
+#: Videos of vectors: five moments of two shots of 8 x 8 dots; the copy (k = 1) may be turned a quarter, of another shot (k = 2) the last moment differs.
+CLIPS = LOOKS | {
+    "duration": "CASE WHEN vec_id % 43 <> 3 THEN 10 + CAST(vec_id % 50 AS DOUBLE) / 4 + CAST(k AS DOUBLE) / 10 END",
+    "date_source": "CASE WHEN vec_id % 2 = 0 THEN 'metadata' ELSE 'file' END",
+    "width": "CASE WHEN vec_id % 10 = 9 THEN NULL WHEN k = 1 AND vec_id % 6 = 0 THEN 1080 ELSE 1920 END",
+    "height": "CASE WHEN k = 1 AND vec_id % 21 = 0 THEN 1440 WHEN k = 1 AND vec_id % 6 = 0 THEN 1920 ELSE 1080 END",
+    "sound": "vec_id % 2 = 0 AND NOT (k = 1 AND vec_id % 8 = 0)",
+    "look_key": "CASE WHEN vec_id % 4 = 0 THEN 'w' || CAST(vec_id - vec_id % 60 AS {text}) END",
+}
+TURNS = ("list[t + 1]", "list[(t % 8) * 8 + (7 - t // 8) + 1]", "list[64 - t]", "list[(7 - t % 8) * 8 + t // 8 + 1]")
+SSIM_SQL = "(2 * list_avg({0}) * list_avg({1}) + 1e-4) * (2 * (list_inner_product({0}, {1}) / 64 - list_avg({0}) * list_avg({1})) + 9e-4) / ((pow(list_avg({0}), 2) + pow(list_avg({1}), 2) + 1e-4) * (list_inner_product({0}, {0}) / 64 - pow(list_avg({0}), 2) + list_inner_product({1}, {1}) / 64 - pow(list_avg({1}), 2) + 9e-4))"
+
+
+@query(f"""WITH RECURSIVE base AS (SELECT vec_id, k, embedding FROM embeddings, (SELECT unnest([0, 1, 2])::BIGINT AS k) WHERE k = 0 OR k = 1 AND vec_id % 3 = 0 OR k = 2 AND vec_id % 4 = 0),
+named AS (SELECT {", ".join(f"{e.replace('{text}', 'VARCHAR')} AS {n}" for n, e in CLIPS.items())}, k, vec_id, embedding FROM base),
+rows AS (SELECT *, looked_key IS DISTINCT FROM stamp AS fresh, regexp_replace(lower(regexp_extract(path, '[^/]*$')), '\.[^.]*$', '') AS stem FROM named WHERE duration > 0 AND paired_to IS NULL),
+shots AS (SELECT id, m, s, list_transform(range(64), lambda j: (0.5::DOUBLE + 2 * embedding[CAST(((CASE WHEN k = 1 AND vec_id % 6 = 0 THEN (j % 8) * 8 + (7 - j // 8) ELSE j END) + 13 * m + s) % 64 + 1 AS BIGINT)]::DOUBLE) * CASE WHEN k = 2 AND m = 4 THEN -1 ELSE 1 END + CASE WHEN k = 1 THEN 0.01::DOUBLE ELSE 0 END) AS list FROM rows, (SELECT unnest(range(5)) AS m), (SELECT unnest(range(2)) AS s)),
+turned AS (SELECT id, m, {", ".join(f"list_transform(range(64), lambda t: {e}) AS t{k}" for k, e in enumerate(TURNS))} FROM shots WHERE s = 0),
+cand AS (SELECT p.id AS a, q.id AS b FROM rows p JOIN rows q ON p.id < q.id AND abs(p.duration - q.duration) <= greatest(0.3::DOUBLE, 0.004::DOUBLE * least(p.duration, q.duration)) WHERE (p.fresh OR q.fresh) AND p.sound = q.sound
+  AND coalesce(abs(CASE WHEN q.duration < p.duration THEN (q.width / q.height) / (p.width / p.height) ELSE (p.width / p.height) / (q.width / q.height) END - 1) <= 0.03 OR abs((p.width / p.height) * (q.width / q.height) - 1) <= 0.03, true)
+  AND NOT (p.date_source = 'metadata' AND q.date_source = 'metadata' AND abs(p.taken_at - q.taken_at) > 2) AND NOT {EXPORT_SQL.format('p', 'q')}),
+scored AS (SELECT a, b, x.m, max(greatest(0, {", ".join(SSIM_SQL.format("x.list", f"y.t{k}") for k in range(4))})) AS score FROM cand JOIN shots x ON x.id = a JOIN turned y ON y.id = b AND y.m = x.m GROUP BY 1, 2, 3),
+same AS (SELECT a, b FROM scored GROUP BY 1, 2 HAVING min(score) >= 0.88 AND avg(score) >= 0.92),
+{STANDING_SQL}, links AS (SELECT a, b FROM same UNION ALL SELECT a, b FROM standing WHERE a <> b),
+{SETS_SQL.format(letter='w')}""")
+def video_sets(spark, d):
+    shot = "transform(sequence(0, 63), j -> (0.5D + 2 * CAST(embedding[CAST(((CASE WHEN k = 1 AND vec_id % 6 = 0 THEN (j % 8) * 8 + (7 - j div 8) ELSE j END) + 13 * m + s) % 64 AS INT)] AS DOUBLE)) * CASE WHEN k = 2 AND m = 4 THEN -1 ELSE 1 END + CASE WHEN k = 1 THEN 0.01D ELSE 0D END)"
+    shots = F.expr(f"transform(sequence(0, 4), m -> transform(sequence(0, 1), s -> {shot}))")
+    return sets.video_sets(_variants(spark, d).select(*(F.expr(e.replace("{text}", "STRING")).alias(n) for n, e in CLIPS.items()), shots.alias("shots")))
+
+
+@query(f"WITH {P} SELECT id, 'f' || CAST(id % 4003 AS VARCHAR) AS fingerprint FROM photos WHERE duration > 0 AND id % 4 > 0 AND id % 4001 <> id % 4003")
+def stale_fingerprints(spark, d):
+    p = fx.photos(spark, d)
+    return sets.stale_fingerprints(p, p.where("id % 4 > 0").select("path", F.expr("'f' || CAST(id % 4003 AS STRING)").alias("fingerprint")))
+
+
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_type, b.p_type) <= 1")
 def names_within_one_edit(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_type")
@@ -357,7 +448,19 @@ def people_suggestions(spark, d):
 
 @query()
 def face_clusters(spark, d):
-    return people.clusters(fx.faces(spark, d).withColumn("library", F.lit(1)), "library", 0.3, 0.4)
+    """Not SQL: each join changes the likeness of all later ones. Tested against a loop."""
+    faces = fx.faces(spark, d).select("id", "photo_id", people.unit("emb").alias("u")).where("u is not null")
+    return regroup.groups(faces, 0.3).select("id", "cluster")
+
+
+@query()
+def faces_regrouped(spark, d):
+    """Not SQL, as face_clusters. Likeness at the thresholds that are set; vectors are drawn to the first of their label."""
+    state = F.expr("CASE WHEN id % 28 = 0 THEN 2 WHEN id % 5 = 0 THEN 1 ELSE 0 END")
+    faces = fx.faces(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id").withColumns({"state": state, "was_person": F.expr("CASE WHEN id % 28 = 0 THEN id % 10 END"), "yaw": F.expr("CAST(id % 9 AS DOUBLE) / 10"), "roll": F.expr("CAST(id % 50 AS DOUBLE)")})
+    first = faces.groupBy("label").agg(F.min_by("emb", "id").alias("first"))
+    nearer = F.zip_with(people.unit("emb"), people.unit("first"), lambda x, y: x + y)
+    return regroup.regroup(faces.join(first, "label").withColumn("emb", nearer), least_faces=30)
 
 
 # Merging copies

@@ -193,12 +193,6 @@ def test_pins_equal_the_sequential_walk(spark, monkeypatch, tile_spots):
     assert places.zoom_clusters(df.limit(0), 5).count() == 0
 
 
-def test_clusters_never_hold_two_faces_of_a_photo(spark):
-    rows = [(1, 10, [1.0, 0.0], "l"), (2, 10, [1.0, 0.01], "l"), (3, 11, [1.0, 0.02], "l"), (4, 12, [0.0, 1.0], "l"), (5, 12, None, "l")]
-    found = {r["id"]: r["cluster"] for r in people.clusters(spark.createDataFrame(rows, "id long, photo_id long, emb array<double>, library string"), "library").collect()}
-    assert found[1] != found[2] and found[3] in (1, 2) and found[4] == 4 and 5 not in found
-
-
 def test_copies_beyond_the_bucket_limit_stay_together(spark):
     one, two, far = [1.0] * 64, [1.0] * 63 + [-1.0], [-1.0] * 64
     rows = [(i, one) for i in range(100)] + [(200, two), (300, far), (301, None), (302, None)]
