@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import dates, geo, pixels, text
-from .operators import browse, dupes, edits, events, ingest, lookups, merge, people, places, regroup, rules, search, sets, summary
+from .operators import browse, dupes, edits, events, grammar, ingest, lookups, merge, people, places, regroup, rules, search, sets, summary
 from .operators import vocabulary as words
 from .plans import upkeep
 from .schema import table
@@ -1119,3 +1120,104 @@ def described_pins(spark, d):
     spread = F.expr("CASE c_custkey % 4 WHEN 0 THEN 0.001D WHEN 1 THEN 0.125D WHEN 2 THEN 0.5D ELSE 5.0D END")
     pts = table(spark, d, "customer").withColumn("sp", spread).selectExpr("c_custkey AS id", "c_custkey % 60 AS pin", "CAST(c_custkey % 60 * 53 % 120 - 65 AS DOUBLE) + c_custkey DIV 60 % 3 * sp AS lat", "CAST(c_custkey % 60 * 29 % 340 - 170 AS DOUBLE) + c_custkey DIV 60 % 2 * sp AS lon")
     return places.described(pts.select("pin").distinct(), pts, _towns(spark, d).withColumn("region", F.lit(None).cast("string")))
+
+
+# Searches
+
+SEARCHED_ON = date(1996, 1, 3)
+SEARCH = """CASE p_partkey % 9 WHEN 0 THEN 'Fotos de ' || p_name || ' en África 1994' WHEN 1 THEN upper(p_name) || ' octubre 1995 videos' WHEN 2 THEN '-' || split_part(p_name, ' ', 1) || ' ' || p_brand || ' viaje'
+WHEN 3 THEN '"' || p_name || '" el Año pasado' WHEN 4 THEN split_part(p_name, ' ', 1) || ' middle east 1992-1994, .JPG' WHEN 5 THEN p_name || ' y ' || p_type || ' lunes 4+ estrellas' WHEN 6 THEN '1995 a 1997 oct 1996 mar 1995-02 1995-02-30 1996-02-29 ★★★'
+WHEN 7 THEN 'sin personas la semana pasada cuadradas mov -videos 12 -' || p_type ELSE 'de la ' || CASE WHEN p_size % 2 = 0 THEN 'Y' ELSE '-the "con ubicacion"' END END"""
+
+
+def _searches(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(SEARCH).alias("text"))
+
+
+def _words(spark, d):
+    part = table(spark, d, "part")
+    people_ = part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
+    brands = part.groupBy("p_brand").agg(F.min("p_partkey").alias("id"))
+    named = brands.select(F.lit("album").alias("kind"), "id", F.col("p_brand").alias("name")).union(brands.select(F.lit("event"), "id", F.concat("p_brand", F.lit(" Viaje"))))
+    named = named.union(part.groupBy("p_type").agg(F.min("p_partkey").alias("id")).select(F.lit("folder"), "id", "p_type"))
+    places_ = table(spark, d, "region").select(F.col("r_name").alias("name")).union(table(spark, d, "nation").select("n_name"))
+    cameras = fx.photos(spark, d).select(F.col("camera_model").alias("name")).distinct()
+    return grammar.library_words(people_, places_, named, cameras).union(grammar.fixed_words(spark, SEARCHED_ON))
+
+
+def _fixed_sql() -> str:
+    """The fixed words as SQL rows."""
+    rows = [(w, "month", m, [f"o:{m}"]) for w, m in grammar.MONTHS.items()] + [(w, "weekday", k, [f"k:{k}"]) for w, k in grammar.WEEKDAYS.items()]
+    rows += [(w, "type", kind, [f"t:{kind}"]) for kind, words_ in grammar.KINDS.items() for w in words_] + [(dot + x, "type", "." + x, [f"x:{x}"]) for x in grammar.EXTENSIONS for dot in ("", ".")]
+    span = {"this_year": ["y:1996"], "last_year": ["y:1995"], "this_month": ["m:1996-01"], "last_month": ["m:1995-12"], "today": ["d:1996-01-03"], "yesterday": ["d:1996-01-02"], "this_week": [f"d:1996-01-0{k}" for k in range(1, 8)], "last_week": [f"d:1995-12-{k}" for k in range(25, 32)]}
+    rows += [(w, "phrase", what, span.get(what, [what])) for w, what in grammar.PHRASES.items()]
+    return ", ".join(f"('{g}', '{k}', '{v}', {keys})" for g, k, v, keys in rows)
+
+
+_FOLD = "strip_accents(lower({0}))"
+_BARE = "regexp_replace({0}, '^[\",;]+|[\",;]+$', '', 'g')"
+_STOP = "(" + ", ".join(f"'{w}'" for w in grammar.STOPWORDS) + ")"
+READ_SQL = f"""own AS (
+  SELECT p_name AS gram, 'person' AS kind, 1 AS r, 'p:' || min(p_partkey) AS key FROM part GROUP BY p_name
+  UNION ALL SELECT split_part(p_name, ' ', 1), 'person', 2, 'p:' || min(p_partkey) FROM part WHERE contains(p_name, ' ') GROUP BY p_name
+  UNION ALL SELECT r_name, 'place', 1, 'l:' || lower(r_name) FROM region UNION ALL SELECT n_name, 'place', 1, 'l:' || lower(n_name) FROM nation
+  UNION ALL SELECT p_brand, 'album', 1, 'a:' || min(p_partkey) FROM part GROUP BY p_brand UNION ALL SELECT p_brand || ' Viaje', 'event', 1, 'e:' || min(p_partkey) FROM part GROUP BY p_brand
+  UNION ALL SELECT p_type, 'folder', 1, 'f:' || min(p_partkey) FROM part GROUP BY p_type UNION ALL SELECT DISTINCT camera_model, 'camera', 1, 'c:' || lower(camera_model) FROM photos WHERE camera_model IS NOT NULL),
+low AS (SELECT {_FOLD.format('gram')} AS gram, kind, r, key FROM own), top AS (SELECT gram, kind, min(r) AS r FROM low GROUP BY 1, 2),
+vocab AS (SELECT gram, kind, gram AS value, list_sort(list(DISTINCT key)) AS keys FROM low JOIN top USING (gram, kind, r) GROUP BY 1, 2 UNION ALL SELECT * FROM (VALUES {_fixed_sql()}) f(gram, kind, value, keys)),
+searches AS (SELECT p_partkey AS id, {SEARCH} AS text FROM part),
+toks AS (SELECT id, regexp_extract_all(text, '[^\s"]*"[^"]*"|\S+') AS raw FROM searches),
+folds AS (SELECT id, raw, list_transform(raw, lambda x: {_BARE.format(_FOLD.format('x'))}) AS words FROM toks),
+spots AS (SELECT *, raw[s + 1] AS token, words[s + 1] AS w, words[s + 2] AS w2, words[s + 3] AS w3, CASE WHEN raw[s + 1] LIKE '-_%' AND NOT regexp_full_match(replace(raw[s + 1][2:], '.', ''), '[0-9]+') THEN 'minus' WHEN raw[s + 1] LIKE '"_%"' THEN 'quoted' ELSE 'plain' END AS mode FROM (SELECT *, unnest(range(len(raw))) AS s FROM folds)),
+runs AS (SELECT *, CASE WHEN n = 1 THEN '' ELSE ' ' || array_to_string(words[s + 2:s + n], ' ') END AS more FROM spots, (SELECT unnest(range(1, 7)) AS n) WHERE s + n <= len(raw) AND (mode <> 'quoted' OR n = 1)),
+grams AS (SELECT *, CASE WHEN mode = 'minus' THEN {_BARE.format(_FOLD.format('token[2:]'))} ELSE w END || more AS g FROM runs),
+cand AS (
+  SELECT id, s, CASE mode WHEN 'quoted' THEN CASE WHEN kind IN ('album', 'event', 'folder') THEN 1 WHEN kind = 'person' THEN 2 WHEN kind = 'place' THEN 3 END WHEN 'minus' THEN CASE WHEN kind = 'person' THEN 1 WHEN kind = 'type' AND n = 1 THEN 2 END
+    ELSE CASE WHEN kind = 'person' THEN 1 WHEN kind IN ('album', 'event', 'folder') AND n > 1 THEN 2 WHEN kind = 'place' AND n < 4 THEN 3 WHEN kind IN ('album', 'event', 'folder') AND g NOT IN {_STOP} AND NOT regexp_full_match(g, '[0-9]+') THEN 4 WHEN kind = 'phrase' THEN 5
+      WHEN kind = 'month' AND (regexp_full_match(coalesce(w2, ''), '(19|20)[0-9][0-9]') OR length(g) > 4 OR g IN ('mayo')) THEN 7 WHEN kind = 'weekday' THEN 10 WHEN kind = 'type' THEN 11 WHEN kind = 'camera' THEN 13 END END AS rank,
+    CASE WHEN mode = 'plain' AND kind = 'month' AND regexp_full_match(coalesce(w2, ''), '(19|20)[0-9][0-9]') THEN 2 ELSE n END AS n, CASE WHEN kind IN ('month', 'weekday') THEN 'date' ELSE kind END AS kind,
+    CASE WHEN mode = 'plain' AND kind = 'month' AND regexp_full_match(coalesce(w2, ''), '(19|20)[0-9][0-9]') THEN w2 || '-' || lpad(value, 2, '0') ELSE value END AS value,
+    CASE WHEN mode = 'plain' AND kind = 'month' AND regexp_full_match(coalesce(w2, ''), '(19|20)[0-9][0-9]') THEN ['m:' || w2 || '-' || lpad(value, 2, '0')] ELSE keys END AS keys
+  FROM grams JOIN vocab ON gram = g
+  UNION ALL SELECT id, s, 6, 1, 'date', w[:4] || '-' || w[6:], list_transform(range(CAST(w[:4] AS INT), CAST(w[6:] AS INT) + 1), lambda y: 'y:' || y) FROM spots WHERE mode = 'plain' AND regexp_full_match(w, '(19|20)[0-9]{{2}}-(19|20)[0-9]{{2}}') AND w[:4] <= w[6:]
+  UNION ALL SELECT id, s, 6, 3, 'date', w || '-' || w3, list_transform(range(CAST(w AS INT), CAST(w3 AS INT) + 1), lambda y: 'y:' || y) FROM spots WHERE mode = 'plain' AND regexp_full_match(w, '(19|20)[0-9]{{2}}') AND w2 IN ('a', 'to', 'al', 'hasta', '-') AND regexp_full_match(w3, '(19|20)[0-9]{{2}}') AND w <= w3
+  UNION ALL SELECT id, s, 8, 1, 'date', w, [CASE WHEN length(w) = 7 THEN 'm:' ELSE 'd:' END || w] FROM spots WHERE mode = 'plain' AND (regexp_full_match(w, '(19|20)[0-9]{{2}}-(0[1-9]|1[0-2])') OR regexp_full_match(w, '(19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}') AND TRY_CAST(w AS DATE) IS NOT NULL)
+  UNION ALL SELECT id, s, 9, 1, 'date', w, ['y:' || w] FROM spots WHERE mode = 'plain' AND regexp_full_match(w, '(19|20)[0-9]{{2}}')
+  UNION ALL SELECT id, s, 12, 2, 'rating', w, list_transform(range(CAST(w[1] AS INT), CASE WHEN w[2:] = '+' THEN 6 ELSE CAST(w[1] AS INT) + 1 END), lambda y: 'r:' || y) FROM spots WHERE mode = 'plain' AND regexp_full_match(w, '[1-5]\+?') AND w2 IN ('estrella', 'estrellas', 'star', 'stars')
+  UNION ALL SELECT id, s, 12, 1, 'rating', CAST(length(w) AS VARCHAR), ['r:' || length(w)] FROM spots WHERE mode = 'plain' AND regexp_full_match(w, '★{{1,5}}')),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, s ORDER BY rank, n DESC, kind, value) AS rn FROM cand WHERE rank IS NOT NULL) WHERE rn = 1),
+walk AS (SELECT id, -1::BIGINT AS s, 0::BIGINT AS until, NULL::VARCHAR AS kind FROM searches
+  UNION ALL SELECT w.id, w.s + 1, CASE WHEN w.s + 1 >= w.until AND b.n IS NOT NULL THEN w.s + 1 + b.n ELSE w.until END, CASE WHEN w.s + 1 < w.until THEN 'in' WHEN b.n IS NULL THEN 'word' ELSE 'term' END FROM walk w JOIN folds f ON f.id = w.id AND w.s + 1 < len(f.raw) LEFT JOIN best b ON b.id = w.id AND b.s = w.s + 1),
+free AS (SELECT p.id, p.s, p.mode, CASE WHEN p.mode = 'minus' THEN {_BARE.format(_FOLD.format('p.token[2:]'))} ELSE p.w END AS w, p.mode = 'plain' AND p.w IN {_STOP} AS little FROM walk JOIN spots p USING (id, s) WHERE kind = 'word'),
+lone AS (SELECT id FROM searches WHERE id NOT IN (SELECT id FROM walk WHERE kind = 'term') AND id NOT IN (SELECT id FROM free WHERE NOT little)),
+terms AS (SELECT b.id, b.s AS position, b.n AS length, b.kind, b.value, b.keys, p.mode = 'minus' AS negative FROM walk JOIN best b USING (id, s) JOIN spots p USING (id, s) WHERE walk.kind = 'term'
+  UNION ALL SELECT id, s, 1, 'word', w, ['w:' || w], mode = 'minus' FROM free WHERE NOT little OR id IN (SELECT id FROM lone))"""
+
+
+@query(f"WITH RECURSIVE {P}, {READ_SQL} SELECT id, CAST(position AS INTEGER) AS position, CAST(length AS INTEGER) AS length, kind, value, array_to_string(list_sort(keys), ' ') AS keys, negative FROM terms")
+def search_terms(spark, d):
+    return grammar.read(_searches(spark, d), _words(spark, d)).withColumn("keys", F.array_join(F.array_sort("keys"), " "))
+
+
+@query(f"""WITH RECURSIVE {P}, {READ_SQL}, who AS (SELECT DISTINCT l_orderkey AS photo, m.id AS person, b.id AS album FROM lineitem JOIN part ON p_partkey = l_partkey JOIN (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1) m USING (p_name) JOIN (SELECT p_brand, min(p_partkey) AS id FROM part GROUP BY 1) b USING (p_brand) WHERE l_orderkey % 2 = 0),
+seen AS (SELECT id AS photo, CAST(to_timestamp(taken_at) AT TIME ZONE 'UTC' AS TIMESTAMP) AS tm, {VIDEO} AS video, {SCREEN} AS screen, * FROM photos),
+k AS (SELECT photo, unnest([strftime(tm, 'y:%Y'), strftime(tm, 'm:%Y-%m'), strftime(tm, 'd:%Y-%m-%d'), 'o:' || month(tm), 'k:' || dayofweek(tm), CASE WHEN video THEN 't:videos' ELSE 't:photos' END, CASE WHEN screen THEN 't:screenshots' END, CASE WHEN favorite = 1 THEN 't:favorites' END, CASE WHEN abs(width - height) * 20 <= width THEN 't:square' END, 'x:' || lower(ext), 'r:' || rating,
+    CASE WHEN gps_lat IS NOT NULL AND gps_lon IS NOT NULL AND NOT (gps_lat = 0 AND gps_lon = 0) THEN 'located' ELSE 'unlocated' END]) AS key FROM seen
+  UNION SELECT photo, 'w:' || unnest(regexp_split_to_array(lower(filename), '[^a-z0-9]+')) FROM seen UNION SELECT photo, 'p:' || person FROM who UNION SELECT photo, 'a:' || album FROM who UNION SELECT id, CASE WHEN id IN (SELECT photo FROM who) THEN 'with_people' ELSE 'no_people' END FROM photos
+  UNION SELECT o_orderkey, 'l:' || lower(unnest([r_name, n_name])) FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey UNION SELECT id, '*' FROM photos),
+forms AS (SELECT id, list_sort(list(DISTINCT (CASE WHEN negative THEN '-' ELSE '' END) || array_to_string(list_sort(keys), ' '))) AS form FROM terms GROUP BY 1),
+asked AS (SELECT DISTINCT form FROM forms), parts AS (SELECT form, unnest(CASE WHEN len(list_filter(form, lambda x: x NOT LIKE '-%')) = 0 THEN list_append(form, '*') ELSE form END) AS part FROM asked),
+hits AS (SELECT DISTINCT form, part, photo FROM (SELECT form, part, unnest(string_split(ltrim(part, '-'), ' ')) AS key FROM parts) JOIN k USING (key)),
+need AS (SELECT form, count(*) FILTER (part NOT LIKE '-%') AS need FROM parts GROUP BY 1),
+counts AS (SELECT form, count(*) AS photos FROM (SELECT form, photo, count(*) FILTER (part NOT LIKE '-%') AS n, count(*) FILTER (part LIKE '-%') AS bad FROM hits GROUP BY 1, 2) JOIN need USING (form) WHERE n = need AND bad = 0 GROUP BY 1)
+SELECT s.id, coalesce(photos, 0) AS photos FROM searches s LEFT JOIN forms USING (id) LEFT JOIN counts USING (form)""")
+def searched_photos(spark, d):
+    photos, part = fx.photos(spark, d), table(spark, d, "part")
+    least = lambda c: part.groupBy(c).agg(F.min("p_partkey").alias("of_" + c))
+    items = table(spark, d, "lineitem").where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("photo_id"), F.col("l_partkey").alias("p_partkey")).join(part.select("p_partkey", "p_name", "p_brand"), "p_partkey").join(least("p_name"), "p_name").join(least("p_brand"), "p_brand")
+    lands = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), F.explode(F.array("r_name", "n_name")).alias("name"))
+    placed = table(spark, d, "orders").select(F.col("o_orderkey").alias("photo"), F.col("o_custkey").alias("c_custkey")).join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey").join(lands, "c_nationkey")
+    keys = grammar.photo_keys(photos).union(grammar.people_keys(photos, items.select("photo_id", F.col("of_p_name").alias("person_id"))))
+    keys = keys.union(items.select("photo_id", F.concat(F.lit("a:"), F.col("of_p_brand").cast("string"))).distinct()).union(placed.select("photo", F.concat(F.lit("l:"), F.lower("name"))))
+    searches = _searches(spark, d)
+    return grammar.found_counts(searches, grammar.read(searches, _words(spark, d)), keys, photos)
