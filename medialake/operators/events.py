@@ -81,13 +81,25 @@ def trips(events: DataFrame, home: DataFrame, key: str, days: float = 2.0) -> Da
 
 
 def event_name(start: Column, end: Column, place: Column, zone: str = "UTC") -> Column:
-    """A holiday, or the place and the day, or the days."""
+    """What an event is called: a holiday, or the place and the day (several days: the month), or the days.
+
+    Christmas: it starts in 22 to 26 December, or ends there after three days at most. New Year: it starts
+    on 31 December or 1 January, and is called by the year it starts in. An empty place is none.
+    """
     a, b = wall_time(start, zone), wall_time(end, zone)
-    day = lambda t: F.date_format(t, "d MMMM yyyy")
-    christmas = (F.month(a) == 12) & (F.dayofmonth(a) >= 22) & (F.dayofmonth(b) <= 26) & (F.month(b) == 12)
+    days = F.datediff(F.to_date(b), F.to_date(a))
+    at_christmas = lambda t: (F.month(t) == 12) & F.dayofmonth(t).between(22, 26)
+    christmas = at_christmas(a) | (at_christmas(b) & (days <= 3))
     new_year = ((F.month(a) == 12) & (F.dayofmonth(a) == 31)) | ((F.month(a) == 1) & (F.dayofmonth(a) == 1))
-    when = F.when(F.to_date(a) == F.to_date(b), day(a)).when(F.date_format(a, "yyyy-MM") == F.date_format(b, "yyyy-MM"), F.concat(F.dayofmonth(a).cast("string"), F.lit("–"), day(b))).otherwise(F.concat(day(a), F.lit(" – "), day(b)))
-    return F.when(christmas, F.concat(F.lit("Christmas "), F.year(a))).when(new_year, F.concat(F.lit("New Year "), F.year(b))).otherwise(F.concat_ws(" · ", place, when))
+    there = F.coalesce(place, F.lit("")) != ""
+    say = F.date_format
+    return (
+        F.when(christmas | new_year, F.concat(F.when(christmas, "Christmas ").otherwise("New Year "), F.year(a).cast("string")))
+        .when(there, F.concat(place, F.lit(" · "), F.when(days == 0, say(a, "d MMMM yyyy")).otherwise(say(a, "MMMM yyyy"))))
+        .when(days == 0, say(a, "EEEE, d MMMM yyyy"))
+        .when(say(a, "yyyy-MM") == say(b, "yyyy-MM"), F.concat(say(a, "d"), F.lit("–"), say(b, "d"), say(a, " MMMM yyyy")))
+        .otherwise(F.concat(say(a, "d MMMM"), F.lit(" – "), say(b, "d MMMM yyyy")))
+    )
 
 
 def joined_events(events: DataFrame, ids: list[int]) -> DataFrame:

@@ -102,11 +102,28 @@ def structure_pending(in_files: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def normal_path(c: Column, windows: bool = False) -> Column:
-    """One spelling of a path: one separator, no '.' and no doubled or last separators."""
-    way = F.regexp_replace(c, r"\\", "/") if windows else c
-    way = F.regexp_replace(F.regexp_replace(F.regexp_replace(way, "/+", "/"), r"(?<=/)(\./)+", ""), r"/\.?$", "")
-    way = F.when(way == "", F.lit("/")).otherwise(way)
-    return F.replace(way, F.lit("/"), F.lit("\\")) if windows else way
+    """One spelling of a path: no '.', no doubled or last separators, '..' taken back where there is something before it.
+
+    Two separators at the start stay two, three or more are one; an empty path is '.'.
+    """
+    way = F.replace(c, F.lit("\\"), F.lit("/")) if windows else c
+    start = F.when(way.rlike("^//(?!/)"), "//").when(F.startswith(way, F.lit("/")), "/").otherwise("")
+
+    def step(done: Column, part: Column) -> Column:
+        back = (part == "..") & (F.size(done) > 0) & (F.get(done, F.size(done) - 1) != "..")
+        lost = (part == "..") & (F.size(done) == 0) & F.startswith(way, F.lit("/"))
+        return F.when((part == "") | (part == ".") | F.coalesce(lost, F.lit(False)), done).when(F.coalesce(back, F.lit(False)), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, part))
+
+    left = F.aggregate(F.split(way, "/"), F.array().cast("array<string>"), step, lambda d: F.array_join(d, "/"))
+    out = F.concat(start, left)
+    out = F.when(out == "", ".").otherwise(out)
+    return F.replace(out, F.lit("/"), F.lit("\\")) if windows else out
+
+
+def repointed_covers(folders: DataFrame, windows: bool = False) -> DataFrame:
+    """(id, cover_path) of folders whose cover's path has another spelling now."""
+    now = folders.where("cover_path is not null and cover_path <> ''").select("id", F.col("cover_path").alias("was"), normal_path(F.col("cover_path"), windows).alias("cover_path"))
+    return now.where("was <> cover_path").select("id", "cover_path")
 
 
 def normalised(photos: DataFrame, windows: bool = False) -> DataFrame:

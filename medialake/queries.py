@@ -697,8 +697,9 @@ def day_titles(spark, d):
 
 
 @query(f"""WITH {DESCRIBED.format(least=3)}, t AS (SELECT *, make_timestamp(CAST(start_at AS BIGINT) * 1000000) AS a, make_timestamp(CAST(end_at AS BIGINT) * 1000000) AS b FROM described)
-SELECT user_id, session, CASE WHEN month(a) = 12 AND day(a) >= 22 AND day(b) <= 26 AND month(b) = 12 THEN 'Christmas ' || year(a) WHEN month(a) = 12 AND day(a) = 31 OR month(a) = 1 AND day(a) = 1 THEN 'New Year ' || year(b)
-ELSE concat_ws(' · ', city, CASE WHEN CAST(a AS DATE) = CAST(b AS DATE) THEN day(a) || strftime(a, ' %B %Y') WHEN strftime(a, '%Y-%m') = strftime(b, '%Y-%m') THEN day(a) || '–' || day(b) || strftime(b, ' %B %Y') ELSE day(a) || strftime(a, ' %B %Y') || ' – ' || day(b) || strftime(b, ' %B %Y') END) END AS name FROM t""")
+SELECT user_id, session, CASE WHEN month(a) = 12 AND day(a) BETWEEN 22 AND 26 OR month(b) = 12 AND day(b) BETWEEN 22 AND 26 AND date_diff('day', a::DATE, b::DATE) <= 3 THEN 'Christmas ' || year(a) WHEN month(a) = 12 AND day(a) = 31 OR month(a) = 1 AND day(a) = 1 THEN 'New Year ' || year(a)
+WHEN city <> '' AND a::DATE = b::DATE THEN city || ' · ' || strftime(a, '%-d %B %Y') WHEN city <> '' THEN city || ' · ' || strftime(a, '%B %Y') WHEN a::DATE = b::DATE THEN strftime(a, '%A, %-d %B %Y')
+WHEN strftime(a, '%Y-%m') = strftime(b, '%Y-%m') THEN day(a) || '–' || strftime(b, '%-d %B %Y') ELSE strftime(a, '%-d %B') || ' – ' || strftime(b, '%-d %B %Y') END AS name FROM t""")
 def event_names(spark, d):
     return _described(spark, d, 3).select("user_id", "session", events.event_name(F.col("start_at"), F.col("end_at"), F.col("city")).alias("name"))
 
@@ -1074,13 +1075,21 @@ def structure_pending(spark, d):
     return lookups.structure_pending(table(spark, d, "orders").select(F.expr("'u' || o_custkey AS uuid")), known)
 
 
-@query("WITH p AS (SELECT o_orderkey AS id, '/lib/' || CAST(o_orderkey // 4 AS VARCHAR) || '.jpg' AS path, o_orderkey % 4 AS way, CAST(o_orderkey % 5 AS INTEGER) AS thumb_state FROM orders WHERE o_orderkey % 4 < 3), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY way = 0, id) AS rn FROM p) SELECT id, path, CASE WHEN way > 0 AND thumb_state = 3 THEN 0 ELSE thumb_state END AS thumb_state FROM r WHERE rn = 1")
+@query("""WITH p AS (SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 3 THEN '//nas/' || CAST(o_orderkey // 8 AS VARCHAR) WHEN 4 THEN '../up/' || CAST(o_orderkey // 8 AS VARCHAR) || '.jpg' WHEN 7 THEN '/' ELSE '/lib/' || CAST(o_orderkey // 8 AS VARCHAR) || '.jpg' END AS path, o_orderkey % 8 AS way, CAST(o_orderkey % 5 AS INTEGER) AS thumb_state FROM orders WHERE o_orderkey % 8 <> 6),
+r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY way = 0, id) AS rn FROM p) SELECT id, path, CASE WHEN way > 0 AND thumb_state = 3 THEN 0 ELSE thumb_state END AS thumb_state FROM r WHERE rn = 1""")
 def normalised_paths(spark, d):
-    way = "CASE o_orderkey % 4 WHEN 0 THEN '/lib/' WHEN 1 THEN '/lib//' ELSE '/lib/././' END || CAST(o_orderkey DIV 4 AS STRING) || CASE o_orderkey % 4 WHEN 2 THEN '.jpg/' ELSE '.jpg' END AS path"
-    p = table(spark, d, "orders").where("o_orderkey % 4 < 3").select(F.col("o_orderkey").alias("id"), F.expr(way), F.expr("CAST(o_orderkey % 5 AS INT) AS thumb_state"))
+    n = "CAST(o_orderkey DIV 8 AS STRING)"
+    way = f"CASE o_orderkey % 8 WHEN 0 THEN '/lib/' || {n} || '.jpg' WHEN 1 THEN '/lib//' || {n} || '.jpg' WHEN 2 THEN '/../lib/./x/../' || {n} || '.jpg/' WHEN 3 THEN '//nas/./' || {n} WHEN 4 THEN './a/../../up/' || {n} || '.jpg' WHEN 5 THEN '///lib/' || {n} || '.jpg' ELSE '/a/..' END AS path"
+    p = table(spark, d, "orders").where("o_orderkey % 8 <> 6").select(F.col("o_orderkey").alias("id"), F.expr(way), F.expr("CAST(o_orderkey % 5 AS INT) AS thumb_state"))
     return lookups.normalised(p).select("id", "path", "thumb_state")
 
 
+@query("SELECT c_custkey AS id, '/lib/' || c_custkey || '.jpg' AS cover_path FROM customer WHERE c_custkey % 3 = 1")
+def repointed_covers(spark, d):
+    cover = "CASE c_custkey % 3 WHEN 0 THEN '/lib/' || c_custkey || '.jpg' WHEN 1 THEN '/lib/a/../' || c_custkey || '.jpg' END AS cover_path"
+    return lookups.repointed_covers(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr(cover)))
+
+
 # Values
 
 

@@ -9,14 +9,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# File name endings of pictures, and folders that hold no library files.
-PICTURE_EXTENSIONS = ("jpg", "jpeg", "png", "heic", "heif", "tif", "tiff", "webp", "gif", "bmp", "dng", "cr2", "cr3", "nef", "arw", "raf", "orf", "rw2", "avif", "jxl")
-SKIPPED_FOLDERS = ("node_modules", "__pycache__", "$recycle.bin", "system volume information", "lost+found")
+from ..operators.rules import VIDEO_EXTENSIONS
+
+# File name endings of pictures (JPEG XL where its tools are there), and folders that hold no library files.
+PICTURE_EXTENSIONS = (
+    "jpg", "jpeg", "jpe", "jfif", "png", "webp", "tif", "tiff", "bmp", "gif", "ppm", "pgm", "tga", "ico", "jp2", "j2k", "jxl", "heic", "heif", "avif",
+    "cr2", "cr3", "nef", "nrw", "arw", "srf", "sr2", "raf", "orf", "rw2", "pef", "dng", "raw", "erf", "kdc", "mos", "mrw", "x3f", "3fr", "iiq", "rwl", "srw",
+)
+SKIPPED_FOLDERS = (".git", ".svn", ".hg", "node_modules", "__pycache__", ".cache", ".thumbnails", ".Trash", ".Trash-1000", "lost+found", ".stversions", ".stfolder", "@eaDir", ".@__thumb", "@Recycle")
 HEAD_BYTES = 64 * 1024
 
 
-def listing(spark: SparkSession, root: str, extensions: tuple[str, ...] = PICTURE_EXTENSIONS) -> DataFrame:
-    """(path, filename, ext, bytes, mtime) of the files below a root; contents aren't read.
+def listing(spark: SparkSession, root: str, extensions: tuple[str, ...] = (*PICTURE_EXTENSIONS, *VIDEO_EXTENSIONS)) -> DataFrame:
+    """(path, filename, ext, bytes, mtime) of the pictures and videos below a root; contents aren't read.
 
     Hidden files and folders, and SKIPPED_FOLDERS, are left out.
     """
@@ -24,7 +29,7 @@ def listing(spark: SparkSession, root: str, extensions: tuple[str, ...] = PICTUR
     rows = files.select("path", F.col("length").alias("bytes"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"))
     parts = F.split(F.substring(F.col("path"), F.lit(1), F.length("path")), "/")
     rows = rows.withColumns({"filename": F.element_at(parts, -1), "ext": F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))})
-    bad = F.exists(parts, lambda p: (F.startswith(p, F.lit(".")) & (F.length(p) > 1)) | F.lower(p).isin(*SKIPPED_FOLDERS))
+    bad = F.exists(parts, lambda p: (F.startswith(p, F.lit(".")) & (F.length(p) > 1)) | p.isin(*SKIPPED_FOLDERS))
     return rows.where(F.col("ext").isin(*extensions) & ~bad).select("path", "filename", "ext", "bytes", "mtime")
 
 

@@ -309,3 +309,29 @@ def test_natural_order_of_long_numbers(spark):
     names = ["a1700000000002", "a1700000000001", "a007", "a7b", "a10", "10", "b"]
     df = spark.createDataFrame([(n,) for n in names], "t string")
     assert [r["t"] for r in df.orderBy(text.natural_key("t"), "t").collect()] == ["10", "a007", "a7b", "a10", "a1700000000001", "a1700000000002", "b"]
+
+
+def test_event_names(spark):
+    from datetime import datetime, timezone
+
+    at = lambda y, m, d, h=12: datetime(y, m, d, h, tzinfo=timezone.utc).timestamp()
+    cases = [
+        (at(2023, 12, 21), at(2023, 12, 24), "Rome", "Christmas 2023"), (at(2023, 12, 23), at(2023, 12, 28), None, "Christmas 2023"), (at(2023, 12, 20), at(2023, 12, 24), "Rome", "Rome · December 2023"),
+        (at(2023, 12, 31), at(2024, 1, 2), None, "New Year 2023"), (at(2024, 1, 1), at(2024, 1, 1), "Rome", "New Year 2024"), (at(2023, 11, 14), at(2023, 11, 17), "Rome", "Rome · November 2023"),
+        (at(2023, 11, 14), at(2023, 11, 14, 20), "Rome", "Rome · 14 November 2023"), (at(2023, 11, 14), at(2023, 11, 14), "", "Tuesday, 14 November 2023"), (at(2023, 11, 4), at(2023, 11, 7), None, "4–7 November 2023"),
+        (at(2023, 11, 29), at(2024, 2, 2), None, "29 November – 2 February 2024"),
+    ]
+    df = spark.createDataFrame([c[:3] for c in cases], "a double, b double, place string")
+    assert [r[0] for r in df.select(events.event_name(F.col("a"), F.col("b"), F.col("place"))).collect()] == [c[3] for c in cases]
+
+
+def test_normal_paths_are_those_of_the_system(spark):
+    import posixpath
+
+    from medialake.operators import lookups
+
+    paths = ["/a/../b/c.jpg", "./x/y", "//a/b", "///a//b/", "", ".", "..", "../..", "a/..", "/..", "/../../a", "a/../../b", "a/./b/../../..", "/", "//", "a//", "../a/../../b", "//../a"]
+    df = spark.createDataFrame([(p,) for p in paths] + [(None,)], "p string")
+    assert [r[0] for r in df.select(lookups.normal_path(F.col("p"))).collect()] == [posixpath.normpath(p) for p in paths] + [None]
+    back = df.where("p = './x/y' or p = '//a/b'").select(lookups.normal_path(F.col("p"), True)).collect()
+    assert [r[0] for r in back] == ["x\\y", "\\\\a\\b"]
