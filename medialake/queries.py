@@ -13,6 +13,7 @@ from .functions import dates, geo, pixels, text
 from .operators import browse, dupes, edits, events, grammar, ingest, lookups, merge, people, places, regroup, rules, search, sets, summary
 from .operators import vocabulary as words
 from .plans import upkeep
+from .sources import structure
 from .schema import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1131,6 +1132,43 @@ def described_pins(spark, d):
     return places.described(pts.select("pin").distinct(), pts, _towns(spark, d).withColumn("region", F.lit(None).cast("string")))
 
 
+# Side files
+
+#: Suppliers as folders of four libraries, each under another one; every 7th under one that is lost.
+TREE_SQL = "tree AS (SELECT s_suppkey % 4 AS library, s_suppkey // 4 AS k, CASE WHEN s_suppkey // 4 % 7 = 6 THEN NULL WHEN s_suppkey // 4 > 0 THEN (s_suppkey // 4 - 1) // 3 END AS up, s_name, s_suppkey // 4 AS position FROM supplier)"
+
+
+def _arrangement(spark, d):
+    """The documents of the libraries: folders, albums with their photos, smart albums, removed photos; some damaged."""
+    tree = table(spark, d, "supplier").select(F.expr("s_suppkey % 4 AS library"), F.expr("s_suppkey DIV 4 AS id"), F.expr("'f' || s_suppkey DIV 4 AS uuid"), F.col("s_name").alias("name"), F.expr("CASE WHEN s_suppkey DIV 4 % 7 = 6 THEN 1000000L WHEN s_suppkey DIV 4 > 0 THEN (s_suppkey DIV 4 - 1) DIV 3 END AS parent_id"), F.lit(1.0).alias("created_at"), F.expr("CAST(s_suppkey DIV 4 AS INT) AS position"), F.lit(None).cast("string").alias("cover_path"))
+    albums = table(spark, d, "customer").select(F.expr("c_custkey % 4 AS library"), F.expr("'a' || c_custkey AS uuid"), F.expr("CASE WHEN c_custkey % 13 > 0 THEN c_name END AS name"), F.lit(1.0).alias("created_at"), F.expr("'f' || c_custkey % 40 AS folder_uuid"), F.lit(None).cast("string").alias("cover"))
+    items = table(spark, d, "orders").select(F.expr("o_custkey % 4 AS library"), F.expr("'a' || o_custkey AS uuid"), F.expr("'/p/' || o_orderkey AS path"), F.expr("CAST(o_orderkey % 50 AS INT) AS position"), F.expr("CAST(o_orderkey % 900 AS DOUBLE) AS added_at"))
+    smart = table(spark, d, "part").select(F.expr("p_partkey % 4 AS library"), F.expr("'s' || p_partkey AS uuid"), F.col("p_name").alias("name"), F.expr("CASE WHEN p_partkey % 2 = 0 THEN 'any' END AS match_mode"), F.lit(None).cast("string").alias("rules"), F.expr("'f' || p_partkey % 30 AS folder_uuid"), F.lit(1.0).alias("created_at"))
+    gone = table(spark, d, "orders").where("o_orderkey % 9 = 0").select(F.expr("o_custkey % 4 AS library"), F.expr("'/p/' || o_orderkey AS path"), F.lit(2.0).alias("removed_at"))
+    deleted = table(spark, d, "customer").where("c_custkey % 6 = 0").groupBy(F.expr("c_custkey % 4 AS library")).agg(F.map_from_entries(F.collect_list(F.struct(F.expr("'a' || c_custkey"), F.lit(890.0)))).alias("albums"))
+    deleted = deleted.select("library", F.lit(structure.DELETED).alias("name"), F.to_json(F.struct(F.lit(structure.STRUCTURE).alias("format"), "albums")).alias("content"))
+    docs = structure.folder_documents(tree).union(structure.album_documents(albums, items)).union(structure.smart_documents(smart)).union(structure.removed_documents(gone)).union(deleted)
+    damaged = F.col("name").rlike(r"a[0-9]*7\.json$")
+    return docs.withColumn("content", F.when(damaged, F.expr("substr(content, 1, length(content) - 1)")).otherwise(F.col("content"))), table(spark, d, "orders").select(F.expr("o_custkey % 4 AS library"), F.expr("'/p/' || o_orderkey AS path"))
+
+
+@query(f"""WITH {TREE_SQL}, p AS (SELECT o_custkey AS a, o_orderkey % 900 AS added, o_orderkey % 9 > 0 AS there FROM orders),
+albums AS (SELECT c_custkey % 4 AS library, 'a' || c_custkey AS uuid, CASE WHEN c_custkey % 13 > 0 THEN c_name ELSE 'a' || c_custkey END AS name, CASE WHEN c_custkey % 40 IN (SELECT k FROM tree t WHERE t.library = c_custkey % 4) THEN 'f' || c_custkey % 40 END AS parent, (SELECT count(*) FROM p WHERE a = c_custkey AND there) AS items FROM customer
+  WHERE c_custkey % 10 <> 7 AND (c_custkey % 6 > 0 OR (SELECT max(added) FROM p WHERE a = c_custkey) > 890))
+SELECT 'folder' AS kind, library, 'f' || k AS uuid, s_name AS name, 'f' || up AS parent, 0 AS items FROM tree
+UNION ALL SELECT 'album', library, uuid, name, parent, items FROM albums
+UNION ALL SELECT 'smart', p_partkey % 4, 's' || p_partkey, p_name, CASE WHEN p_partkey % 30 IN (SELECT k FROM tree t WHERE t.library = p_partkey % 4) THEN 'f' || p_partkey % 30 END, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END FROM part
+UNION ALL SELECT 'photos', o_custkey % 4, NULL, NULL, NULL, count(*) FROM orders WHERE o_orderkey % 9 > 0 GROUP BY 2""")
+def rebuilt_index(spark, d):
+    docs, listing = _arrangement(spark, d)
+    new = structure.rebuilt(docs, listing)
+    of = lambda kind, df, parent, items, name="name": df.select(F.lit(kind).alias("kind"), "library", F.col("uuid"), F.col(name).alias("name"), F.col(parent).alias("parent"), items.cast("long").alias("items"))
+    albums = new["albums"].join(new["items"].groupBy("library", "uuid").agg(F.count("*").alias("n")), ["library", "uuid"], "left")
+    photos = new["photos"].groupBy("library").agg(F.count("*").alias("n")).withColumns({c: F.lit(None).cast("string") for c in ("uuid", "name", "parent")})
+    parts = [of("folder", new["folders"], "parent_uuid", F.lit(0)), of("album", albums, "folder_uuid", F.coalesce("n", F.lit(0))), of("smart", new["smart"], "folder_uuid", (F.col("match_mode") == "any").cast("int")), of("photos", photos, "parent", F.col("n"))]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
 # Searches
 
 SEARCHED_ON = date(1996, 1, 3)
