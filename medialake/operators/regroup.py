@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import saved
+from .components import components
 from .people import BLOCK, SAMPLE_FACES, _blocks, _matrix, _meet, unit
 
 # Likeness, numbers of faces and photos.
@@ -26,6 +28,7 @@ KNOWN_NEAREST = 5
 SOMEBODY = 0.30
 RELAX = 0.05
 MIN_PHOTOS = 3
+MOST_MERGES = 50
 SEED_YAW = 0.6
 SEED_ROLL = 45.0
 AUTO, CONFIRMED, REMOVED = 0, 1, 2
@@ -106,7 +109,7 @@ def well_known(free: DataFrame, known: DataFrame, present: DataFrame, rejected:
     return free.select("id", "photo_id", F.lit(None).cast("long").alias("person_id")).limit(0) if placed is None else saved(placed)
 
 
-def known_people(free: DataFrame, known: DataFrame, anchors: DataFrame, present: DataFrame, rejected: DataFrame, join_person: float = JOIN_PERSON, anchor_join: float = ANCHOR_JOIN) -> DataFrame:
+def to_known(free: DataFrame, known: DataFrame, anchors: DataFrame, present: DataFrame, rejected: DataFrame, join_person: float = JOIN_PERSON, anchor_join: float = ANCHOR_JOIN) -> DataFrame:
     """(id, photo_id, person_id) of faces whose average likeness to a person is enough and not as good for another.
 
     A person with three confirmed faces (anchors) is also known by the three nearest of them: if those
@@ -122,32 +125,36 @@ def known_people(free: DataFrame, known: DataFrame, anchors: DataFrame, present:
     return best.where(F.col("next").isNull() | (F.col("s") - F.col("next") >= JOIN_MARGIN)).select("id", "photo_id", "person_id")
 
 
-def groups(faces: DataFrame, least: float = SAME_PERSON) -> DataFrame:
-    """(id, photo_id, cluster): faces joined into groups by average likeness, never two of a photo; cluster: the least id.
+def joined(live: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Groups joined by average likeness, the most alike two first, as long as they are ``least`` alike.
+
+    live: g, total (the sum of the group's unit vectors), n (how many), ids, photos and apart (arrays: what is
+    in it, the photos of that, and ids that it must never be joined with). Groups with a photo in common are
+    never joined. Returns the groups in the end, and (g, other, link) of every joining, g the lesser.
 
-    The rule joins the most alike two groups first, as long as they are ``least`` alike. A group made of two
-    is nowhere more alike than the likelier of the two was, so two groups that are each other's best may be
-    joined at once, whatever else there is: each round joins all such pairs. Only groups that were joined, or
-    whose best was, look for a best again; a group with none is finished, and nobody's best. The likeness
-    of two groups needs their sums alone; it is compared in blocks, and a block gives one row per group.
+    A group made of two is nowhere more alike than the likelier of the two was, so two groups that are each
+    other's best may be joined at once, whatever else there is: each round joins all such pairs. Only groups
+    that were joined, or whose best was, look for a best again; a group with none is finished, and nobody's
+    best. The likeness of two groups needs their sums alone; it is compared in blocks, and a block gives one
+    row per group.
     """
-    live = saved(faces.select("id", "photo_id", "u").select(F.col("id").alias("g"), F.col("u").alias("total"), F.array(F.struct("id", "photo_id")).alias("members")))
-    finished, best, dirty = [], None, live
+    live = saved(live.select("g", "total", "n", "ids", "photos", "apart"))
+    finished, log, best, dirty = [], [], None, live
+    parts = ("g", "total", "n", "ids", "photos", "apart")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b in zip(batch["mine"], batch["theirs"]):
                 ga, gb = np.array([r["g"] for r in a], "i8"), np.array([r["g"] for r in b], "i8")
-                size = np.outer([len(r["photos"]) for r in a], [len(r["photos"]) for r in b])
-                link = np.round(_matrix(a, "total") @ _matrix(b, "total").T / size, 9)
+                link = np.round(_matrix(a, "total") @ _matrix(b, "total").T / np.outer(_matrix(a, "n"), _matrix(b, "n")), 9)
                 link[ga[:, None] == gb] = -9.0
-                shots, out = [set(r["photos"]) for r in b], []
+                shots, inside, out = [set(r["photos"]) for r in b], [r["ids"] for r in b], []
                 for i in np.flatnonzero((link >= least).any(axis=1)).tolist():
-                    own = set(a[i]["photos"])
+                    own, never = set(a[i]["photos"]), set(a[i]["apart"])
                     near = np.flatnonzero(link[i] >= least)
                     low, high = np.minimum(ga[i], gb[near]), np.maximum(ga[i], gb[near])
                     for j in near[np.lexsort((high, low, -link[i][near]))].tolist():
-                        if own.isdisjoint(shots[j]):
+                        if own.isdisjoint(shots[j]) and (not never or never.isdisjoint(inside[j])):
                             out.append((int(ga[i]), int(gb[j]), float(link[i, j])))
                             break
                 if out:
@@ -155,32 +162,79 @@ def groups(faces: DataFrame, least: float = SAME_PERSON) -> DataFrame:
 
     order = F.struct("link", -F.least("g", "other"), -F.greatest("g", "other"))
     while True:
-        flat = lambda df: df.select("g", "total", F.transform("members", lambda m: m["photo_id"]).alias("photos"))
-        theirs, n = _blocks(flat(live), BLOCK, "g", "total", "photos")
-        mine, _ = _blocks(flat(dirty), BLOCK, "g", "total", "photos")
+        theirs, n = _blocks(live, BLOCK, *parts)
+        mine, _ = _blocks(dirty, BLOCK, *parts)
         found = _meet(mine, theirs, n).select("mine", "theirs").mapInPandas(compare, "g long, other long, link double")
         found = found.groupBy("g").agg(F.max_by("other", order).alias("other"), F.max("link").alias("link"))
         best = saved(found if best is None else found.unionByName(best))
         if best.isEmpty():
-            finished.append(live.select("g", "members"))
+            finished.append(live)
             break
         back = best.select(F.col("g").alias("other"), F.col("other").alias("g"))
-        pairs = saved(best.join(back, ["g", "other"]).where("g < other").select("g", "other"))
-        two = live.alias("a").join(pairs, "g").join(live.select(F.col("g").alias("other"), F.col("total").alias("t"), F.col("members").alias("m")), "other")
-        joined = two.select("g", F.zip_with("total", "t", lambda x, y: x + y).alias("total"), F.concat("members", "m").alias("members"))
+        pairs = saved(best.join(back, ["g", "other"]).where("g < other").select("g", "other", "link"))
+        log.append(pairs)
+        second = live.select(F.col("g").alias("other"), F.struct(*parts[1:]).alias("o"))
+        two = live.join(pairs.select("g", "other"), "g").join(second, "other")
+        new = two.select("g", F.zip_with("total", "o.total", lambda x, y: x + y).alias("total"), (F.col("n") + F.col("o.n")).alias("n"), *(F.concat(c, f"o.{c}").alias(c) for c in parts[3:]))
         gone = pairs.select("g").union(pairs.select("other"))
         single = live.join(gone, "g", "left_anti")
-        finished.append(single.join(best, "g", "left_anti").select("g", "members"))
+        finished.append(single.join(best, "g", "left_anti"))
         kept = best.join(gone, "g", "left_anti")
         lost = kept.join(gone.withColumnRenamed("g", "other"), "other", "left_semi").select("g")
         best = kept.join(lost, "g", "left_anti").select("g", "other", "link")
-        live = saved(joined.withColumn("new", F.lit(True)).unionByName(single.join(kept, "g", "left_semi").withColumn("new", F.lit(False))))
-        dirty = live.where("new").drop("new").unionByName(live.join(lost, "g", "left_semi").drop("new"))
-        live = live.drop("new")
-    out = finished[0]
-    for part in finished[1:]:
-        out = out.unionByName(part)
-    return out.select(F.array_min(F.transform("members", lambda m: m["id"])).alias("cluster"), F.explode("members").alias("m")).select("m.id", "m.photo_id", "cluster")
+        after = saved(new.withColumn("new", F.lit(True)).unionByName(single.join(kept, "g", "left_semi").withColumn("new", F.lit(False))))
+        dirty = after.where("new").drop("new").unionByName(after.join(lost, "g", "left_semi").drop("new"))
+        live = after.drop("new")
+    links = best.select("g", "other", "link") if not log else reduce(DataFrame.unionByName, log)
+    return reduce(DataFrame.unionByName, finished), links
+
+
+def groups(faces: DataFrame, least: float = SAME_PERSON) -> DataFrame:
+    """(id, photo_id, cluster): faces joined into groups by average likeness, never two of a photo; cluster: the least id."""
+    none = F.array().cast("array<long>")
+    one = faces.select(F.col("id").alias("g"), F.col("u").alias("total"), F.lit(1).alias("n"), F.array(F.col("id").cast("long")).alias("ids"), F.array(F.col("photo_id").cast("long")).alias("photos"), none.alias("apart"))
+    made, _ = joined(one, least)
+    return made.select(F.array_min("ids").alias("cluster"), F.explode(F.arrays_zip("ids", "photos")).alias("m")).select(F.col("m.ids").alias("id"), F.col("m.photos").alias("photo_id"), "cluster")
+
+
+def merged_people(faces: DataFrame, people: DataFrame, apart: DataFrame, join_at: float, most: int = MOST_MERGES, min_photos: int = MIN_PHOTOS) -> DataFrame:
+    """(person_id, into): unnamed people that are joined without asking, the likeliest first, at most ``most`` joinings.
+
+    faces: person_id, photo_id, state, emb; people: id, name; apart: a, b, whom the user told to be two. People
+    with few photos, a name, or a photo in common aren't joined; what is joined has the photos and the
+    enemies of both. No joining is likelier than one before it, so the first ``most`` are those of all
+    that are most alike.
+    """
+    rows = faces.where(F.col("person_id").isNotNull() & (F.coalesce("state", F.lit(AUTO)) < REMOVED)).select("person_id", "photo_id", unit("emb").alias("u")).where("u is not null")
+    rows = rows.join(people.where("name is null").select(F.col("id").alias("person_id")), "person_id", "left_semi")
+    sums = rows.select("person_id", F.posexplode("u").alias("dim", "x")).groupBy("person_id", "dim").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    sums = sums.groupBy("person_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda r: r["x"]).alias("total"), F.max("n").alias("n"))
+    shots = rows.groupBy("person_id").agg(F.collect_set("photo_id").alias("photos")).where(F.size("photos") >= min_photos)
+    enemies = apart.select("a", "b").union(apart.select("b", "a")).groupBy(F.col("a").alias("person_id")).agg(F.collect_set(F.col("b").cast("long")).alias("apart"))
+    live = sums.join(shots, "person_id").join(enemies, "person_id", "left")
+    live = live.select(F.col("person_id").cast("long").alias("g"), "total", "n", F.array(F.col("person_id").cast("long")).alias("ids"), "photos", F.coalesce("apart", F.array().cast("array<long>")).alias("apart"))
+    _, log = joined(live, join_at)
+    first = log.orderBy(F.desc("link"), "g", "other").limit(most)
+    return components(first.select(F.col("g").alias("a"), F.col("other").alias("b"))).where("id <> root").select(F.col("id").alias("person_id"), F.col("root").alias("into"))
+
+
+def joined_by_hand(questions: DataFrame, shown: DataFrame, faces: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the user's picks do: (q, keep, gone, whole) of the questions that join something, and (q, id, person_id) of the picked faces.
+
+    questions: q, a, b (two people); shown: q, id, picked; faces: id, person_id, state; people: id, name. A face
+    of each has to be picked. The named one is kept, else the one with more picked faces, then with more faces,
+    then a. The other goes whole if all its shown faces were picked, else only those that were. Questions
+    that share a person are for the caller to put one after the other.
+    """
+    count = faces.where(F.coalesce("state", F.lit(AUTO)) < REMOVED).groupBy("person_id").agg(F.count("*").alias("n"))
+    seen = shown.join(faces.select("id", "person_id"), "id").groupBy("q", "person_id").agg(F.count_if("picked").alias("mine"), F.count_if(~F.coalesce("picked", F.lit(False))).alias("left"))
+    sides = questions.select("q", F.explode(F.array(F.struct(F.col("a").alias("person_id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("person_id"), F.lit(1).alias("side")))).alias("s")).select("q", "s.*")
+    sides = sides.join(seen, ["q", "person_id"]).where("mine > 0").join(people.select(F.col("id").alias("person_id"), F.col("name").isNotNull().alias("named")), "person_id", "left").join(count, "person_id", "left")
+    rank = F.struct(F.coalesce("named", F.lit(False)).alias("named"), "mine", F.coalesce("n", F.lit(0)).alias("n"), (-F.col("side")).alias("first"))
+    both = sides.groupBy("q").agg(F.count("*").alias("sides"), F.max_by("person_id", rank).alias("keep"), F.min_by("person_id", rank).alias("gone"), F.min_by("left", rank).alias("left")).where("sides = 2")
+    made = both.select("q", "keep", "gone", (F.col("left") == 0).alias("whole"))
+    moved = shown.where("picked").join(made, "q").join(faces.select("id", "person_id"), "id").where("person_id = keep or person_id = gone").select("q", "id", F.col("keep").alias("person_id"))
+    return made, moved
 
 
 def new_people(free: DataFrame, join_at: float = SAME_PERSON, min_photos: int = MIN_PHOTOS) -> DataFrame:
@@ -210,8 +264,8 @@ def regroup(faces: DataFrame, join_at: float = SAME_PERSON, min_photos: int = MI
     sure = well_known(free, known.select("person_id", "key", "u"), present, rejected, least_faces)
     left = saved(free.join(sure, "id", "left_anti"))
     present = present.union(sure.select("photo_id", "person_id")).distinct()
-    joined = saved(known_people(left, known.select("person_id", "key", "u"), known.where(F.col("state") == CONFIRMED).select("person_id", "key", "u"), present, rejected, JOIN_PERSON - less, ANCHOR_JOIN - less))
-    made = new_people(left.join(joined, "id", "left_anti"), join_at, min_photos)
+    placed = saved(to_known(left, known.select("person_id", "key", "u"), known.where(F.col("state") == CONFIRMED).select("person_id", "key", "u"), present, rejected, JOIN_PERSON - less, ANCHOR_JOIN - less))
+    made = new_people(left.join(placed, "id", "left_anti"), join_at, min_photos)
     none = F.lit(None).cast("long")
-    parts = [sure.select("id", "person_id", none.alias("cluster"), F.lit("known").alias("how")), joined.select("id", "person_id", none.alias("cluster"), F.lit("joined").alias("how"))]
+    parts = [sure.select("id", "person_id", none.alias("cluster"), F.lit("known").alias("how")), placed.select("id", "person_id", none.alias("cluster"), F.lit("joined").alias("how"))]
     return parts[0].union(parts[1]).union(made.select("id", none.alias("person_id"), "cluster", F.lit("new").alias("how")))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from .functions import dates, geo, pixels, text
+from .functions import dates, geo, pixels, text, vectors
 from .operators import browse, dupes, edits, events, grammar, ingest, lookups, merge, people, places, regroup, rules, search, sets, summary
 from .operators import vocabulary as words
 from .plans import upkeep
@@ -465,6 +465,35 @@ def faces_regrouped(spark, d):
     return regroup.regroup(faces.join(first, "label").withColumn("emb", nearer), least_faces=30)
 
 
+@query()
+def people_merged_alone(spark, d):
+    """Not SQL, as face_clusters: people of ten vectors or so, joined where they are most alike."""
+    faces = fx.faces(spark, d).withColumns({"person_id": F.expr("id DIV 10"), "state": F.lit(0)})
+    names = faces.groupBy(F.col("person_id").alias("id")).agg(F.when(F.col("person_id") % 11 == 0, "named").alias("name"))
+    apart = faces.where("person_id % 3 = 0").select(F.col("person_id").alias("a"), (F.col("person_id") + 1).alias("b")).distinct()
+    return regroup.merged_people(faces, names, apart, 0.02)
+
+
+@query("""WITH faces AS (SELECT vec_id AS id, vec_id // 8 AS person_id, CASE WHEN vec_id % 9 = 0 THEN 2 ELSE 0 END AS state FROM embeddings), q AS (SELECT DISTINCT vec_id // 16 AS q FROM embeddings), shown AS (SELECT id // 16 AS q, id, id % 5 > 0 AND (id // 8 % 7 > 0 OR id % 8 = 0) AS picked FROM faces WHERE id % 8 < 4),
+sides AS (SELECT q, s.person_id, person_id % 2 AS side, count(*) FILTER (picked) AS mine, count(*) FILTER (NOT picked) AS left_out, (SELECT count(*) FROM faces f WHERE f.person_id = s.person_id AND state < 2) AS n FROM (SELECT shown.*, person_id FROM shown JOIN faces USING (id)) s GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY person_id % 6 = 0 DESC, mine DESC, n DESC, side) AS rn, count(*) OVER (PARTITION BY q) AS both FROM sides WHERE mine > 0)
+SELECT k.q, k.person_id AS keep, g.person_id AS gone, g.left_out = 0 AS whole FROM r k JOIN r g ON k.q = g.q AND k.rn = 1 AND g.rn = 2""")
+def people_joined_by_hand(spark, d):
+    faces = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.expr("vec_id DIV 8 AS person_id"), F.expr("CASE WHEN vec_id % 9 = 0 THEN 2 ELSE 0 END AS state"))
+    questions = faces.select(F.expr("id DIV 16 AS q")).distinct().select("q", F.expr("q * 2 AS a"), F.expr("q * 2 + 1 AS b"))
+    shown = faces.where("id % 8 < 4").select(F.expr("id DIV 16 AS q"), "id", F.expr("id % 5 > 0 AND (id DIV 8 % 7 > 0 OR id % 8 = 0) AS picked"))
+    names = faces.select(F.col("person_id").alias("id")).distinct().withColumn("name", F.expr("CASE WHEN id % 6 = 0 THEN 'x' END"))
+    return regroup.joined_by_hand(questions, shown, faces, names)[0]
+
+
+@query("""SELECT id, pos, v * u AS x FROM (SELECT id, pos, round_even(x / u, 0) AS v, u FROM (SELECT vec_id AS id, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings), LATERAL (SELECT pow(2::DOUBLE, greatest(CASE WHEN x = 0 THEN -14 ELSE floor(log2(abs(x))) END, -14) - 10) AS u))""")
+def half_vectors(spark, d):
+    """Vectors to half floats in base64 and back."""
+    sent = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.base64(vectors.to_half("embedding")).alias("text"))
+    back = sent.select("id", F.posexplode(vectors.from_half(F.unbase64("text"))).alias("pos", "x"))
+    return back.select("id", F.col("pos").cast("long").alias("pos"), F.col("x").cast("double").alias("x"))
+
+
 # Merging copies
 
 REPLICAS = """mine AS (SELECT o_custkey AS album, o_orderkey AS item, CAST(o_orderkey % 50 AS DOUBLE) AS added, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 60 AS DOUBLE) END AS removed FROM orders WHERE o_orderkey % 3 > 0),

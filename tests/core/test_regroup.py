@@ -115,3 +115,47 @@ def test_ties_equal_faces_and_nothing(spark):
     assert sorted(len(v) for v in found.values()) == [3, 4, 4] and all(len({p for _, p in v}) == len(v) for v in found.values())
     assert regroup.groups(df.limit(0), 0.5).count() == 0
     assert regroup.regroup(spark.createDataFrame([], FACES)).count() == 0
+
+
+def test_people_merge_as_one_by_one(spark):
+    """Best pair first, sums and photos put together, enemies inherited, no more than so many."""
+    rng = np.random.default_rng(5)
+    centre = [unit(rng.normal(size=12)) for _ in range(4)]
+    faces = [(1000 * p + k, int(rng.integers(4000)), p, 0, None, 0.0, 0.0, unit(centre[p % 4] + rng.normal(size=12) * 0.25).tolist()) for p in range(20) for k in range(int(rng.integers(2, 6)))]
+    faces += [(50_000, 1, 0, 0, None, 0.0, 0.0, centre[0].tolist()), (50_001, 1, 4, 0, None, 0.0, 0.0, centre[0].tolist())]
+    names, apart = {3: "x", 6: "y"}, [(1, 5), (9, 1)]
+    for most in (50, 4):
+        sums, count, shots, ids = {}, {}, {}, {}
+        for _, ph, p, *_, e in faces:
+            if p not in names:
+                sums[p] = sums.get(p, 0) + unit(e)
+                count[p] = count.get(p, 0) + 1
+                shots.setdefault(p, set()).add(ph)
+                ids[p] = {p}
+        live = {p for p in sums if len(shots[p]) >= 3}
+        far = {(a, b) for a, b in apart} | {(b, a) for a, b in apart}
+        for _ in range(most):
+            best = max(((round(float(sums[a] @ sums[b]) / count[a] / count[b], 9), -a, -b) for a in live for b in live if a < b and not shots[a] & shots[b] and not any((x, y) in far for x in ids[a] for y in ids[b])), default=(0,))
+            if best[0] < 0.4:
+                break
+            a, b = -best[1], -best[2]
+            sums[a], count[a], shots[a], ids[a] = sums[a] + sums[b], count[a] + count[b], shots[a] | shots[b], ids[a] | ids[b]
+            live.remove(b)
+        df = spark.createDataFrame(faces, FACES)
+        people = spark.createDataFrame([(p, names.get(p)) for p in range(20)], "id long, name string")
+        got = {r["person_id"]: r["into"] for r in regroup.merged_people(df, people, spark.createDataFrame(apart, "a long, b long"), 0.4, most).collect()}
+        assert got == {x: a for a in live for x in ids[a] if x != a} and len(got) > 2
+
+
+def test_half_floats(spark):
+    from medialake.functions import vectors
+
+    odd = [0.0, -0.0, 6e-8, -6.2e-5, 65504.0, 1e6, float("inf"), float("nan"), 1 / 3]
+    rows = spark.createDataFrame([(1, odd), (2, []), (3, None), (4, [None, 1.5])], "id int, v array<float>")
+    back = {r["id"]: r["b"] for r in rows.select("id", vectors.from_half(vectors.to_half("v")).alias("b")).collect()}
+    np.testing.assert_array_equal(np.array(back[1], "f4"), np.array(odd, "f4").astype("f2").astype("f4"))
+    assert np.signbit(back[1][1]) and back[2] == [] and back[3] is None and np.isnan(back[4][0]) and back[4][1] == 1.5
+    exact = {r["id"]: r["b"] for r in rows.where("id = 1").select("id", vectors.from_single(vectors.to_single("v")).alias("b")).collect()}
+    np.testing.assert_array_equal(np.array(exact[1], "f4"), np.array(odd, "f4"))
+    bad = spark.createDataFrame([(bytearray(b"abc"),), (None,)], "b binary")
+    assert [r[0] for r in bad.select(vectors.from_half("b")).collect()] == [None, None]
