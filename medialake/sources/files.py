@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+import struct
+import urllib.parse
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +21,7 @@ PICTURE_EXTENSIONS = (
 )
 SKIPPED_FOLDERS = (".git", ".svn", ".hg", "node_modules", "__pycache__", ".cache", ".thumbnails", ".Trash", ".Trash-1000", "lost+found", ".stversions", ".stfolder", "@eaDir", ".@__thumb", "@Recycle")
 HEAD_BYTES = 64 * 1024
+PAGE_BYTES, CHUNK_BYTES = 64 * 1024, 1 << 20
 
 
 def listing(spark: SparkSession, root: str, extensions: tuple[str, ...] = (*PICTURE_EXTENSIONS, *VIDEO_EXTENSIONS)) -> DataFrame:
@@ -33,24 +37,96 @@ def listing(spark: SparkSession, root: str, extensions: tuple[str, ...] = (*PICT
     return rows.where(F.col("ext").isin(*extensions) & ~bad).select("path", "filename", "ext", "bytes", "mtime")
 
 
-def fingerprints(spark: SparkSession, root: str) -> DataFrame:
-    """(path, fingerprint, digest): a quick hash of size, head and tail, and one of the whole file.
+class Ranged:
+    """A file that is read where it is asked for: slices like bytes, in pages; ``taken`` counts the bytes read.
 
-    Arrow batches of file contents; a file must fit a task's memory, as Spark's binary reader asks.
+    The path is one that Spark lists (file:, hdfs:, s3: and so on), opened by Arrow in the task itself.
     """
 
+    def __init__(self, path: str, page: int = PAGE_BYTES) -> None:
+        from pyarrow import fs
+
+        uri = re.sub(r"^file:/+", "file:///", path) if ":" in path.split("/", 1)[0] else "file://" + path
+        store, inner = fs.FileSystem.from_uri(urllib.parse.quote(uri, safe=":/%+@") if uri.startswith("file:") else uri)
+        self.file, self.page, self.pages, self.taken = store.open_input_file(inner), page, {}, 0
+        self.size = self.file.size()
+
+    def __len__(self) -> int:
+        return self.size
+
+    def read(self, start: int, end: int) -> bytes:
+        """The bytes from start to end, not kept."""
+        data = self.file.read_at(max(0, min(end, self.size) - start), start)
+        self.taken += len(data)
+        return data
+
+    def __getitem__(self, at):
+        if isinstance(at, int):
+            return self[at : at + 1][0]
+        start, end, _ = at.indices(self.size)
+        out = b""
+        for k in range(start // self.page, -(-end // self.page) if end > start else 0):
+            if k not in self.pages:
+                while len(self.pages) >= 4:
+                    self.pages.pop(next(iter(self.pages)))
+                self.pages[k] = self.read(k * self.page, (k + 1) * self.page)
+            out += self.pages[k]
+        first = start // self.page * self.page
+        return out[start - first : end - first] if end > start else b""
+
+    def __enter__(self) -> Ranged:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
+
+def opened(path: str) -> Ranged | None:
+    """The file, or None if it can't be read."""
+    try:
+        return Ranged(path)
+    except OSError:
+        return None
+
+
+def fingerprint(data: Ranged) -> str:
+    """A quick hash: of the size, the first 64 KiB and, beyond twice that, the last."""
+    h = hashlib.blake2b(struct.pack("<Q", len(data)), digest_size=16)
+    h.update(data.read(0, HEAD_BYTES))
+    if len(data) > 2 * HEAD_BYTES:
+        h.update(data.read(len(data) - HEAD_BYTES, len(data)))
+    return h.hexdigest()
+
+
+def digest(data: Ranged) -> str:
+    """A hash of all bytes, a chunk at a time."""
+    h = hashlib.blake2b(digest_size=20)
+    for at in range(0, len(data), CHUNK_BYTES):
+        h.update(data.read(at, at + CHUNK_BYTES))
+    return h.hexdigest()
+
+
+def _hashed(files: DataFrame, column: str, of: Callable[[Ranged], str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            quick, whole = [], []
-            for data in batch["content"]:
-                h = hashlib.blake2b(str(len(data)).encode() + b"\0" + data[:HEAD_BYTES], digest_size=16)
-                h.update(data[-HEAD_BYTES:] if len(data) > 2 * HEAD_BYTES else b"")
-                quick.append(h.hexdigest())
-                whole.append(hashlib.blake2b(data, digest_size=20).hexdigest())
-            yield pd.DataFrame({"path": batch["path"], "fingerprint": quick, "digest": whole})
+            out = []
+            for path in batch["path"]:
+                if (data := opened(path)) is not None:
+                    with data:
+                        out.append((path, of(data), data.taken))
+            yield pd.DataFrame(out, columns=["path", column, "taken"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select("path", "content").mapInPandas(run, "path string, fingerprint string, digest string")
+    return files.select("path").mapInPandas(run, f"path string, {column} string, taken long")
+
+
+def fingerprints(files: DataFrame) -> DataFrame:
+    """(path, fingerprint, taken) of listed files: 128 KiB at most are read of each (taken); unreadable ones are left out."""
+    return _hashed(files, "fingerprint", fingerprint)
+
+
+def digests(files: DataFrame) -> DataFrame:
+    """(path, digest, taken) of listed files, read whole, in chunks; see dupes.to_hash for those that need it."""
+    return _hashed(files, "digest", digest)
 
 
 STATE = "path string, favorite int, rating int, hidden int, trashed_at double, title string, caption string, keywords string, taken_at double, date_source string, modified_at double"

@@ -4,7 +4,7 @@ import pytest
 
 from medialake import schema
 from medialake.operators import edits, vocabulary
-from medialake.sources import headers
+from medialake.sources import files, headers
 
 
 def test_marks(spark):
@@ -88,7 +88,7 @@ def test_headers(spark, tmp_path):
     assert headers.probe(b"") == headers.probe(b"text") == {} and headers.probe(jpeg(1)[:20]) == {}
     (tmp_path / "a.jpg").write_bytes(jpeg(1))
     (tmp_path / "b.txt").write_bytes(b"no")
-    rows = headers.probed(spark, str(tmp_path)).collect()
+    rows = headers.probed(files.listing(spark, str(tmp_path), ("jpg", "txt"))).collect()
     assert [(r["width"], r["make"], r["duration"]) for r in rows] == [(40, "Ab", None)]
     assert headers.xmp('<x xmp:Rating="5"><dc:title>T</dc:title></x>') == {"xmp:Rating": "5", "dc:title": "T"}
 
