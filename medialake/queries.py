@@ -1210,7 +1210,7 @@ def _searches(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(SEARCH).alias("text"))
 
 
-def _words(spark, d):
+def _spoken(spark, d):
     part = table(spark, d, "part")
     people_ = part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
     brands = part.groupBy("p_brand").agg(F.min("p_partkey").alias("id"))
@@ -1272,7 +1272,7 @@ terms AS (SELECT b.id, b.s AS position, b.n AS length, b.kind, b.value, b.keys,
 
 @query(f"WITH RECURSIVE {P}, {READ_SQL} SELECT id, CAST(position AS INTEGER) AS position, CAST(length AS INTEGER) AS length, kind, value, array_to_string(list_sort(keys), ' ') AS keys, negative FROM terms")
 def search_terms(spark, d):
-    return grammar.read(_searches(spark, d), _words(spark, d)).withColumn("keys", F.array_join(F.array_sort("keys"), " "))
+    return grammar.read(_searches(spark, d), _spoken(spark, d)).withColumn("keys", F.array_join(F.array_sort("keys"), " "))
 
 
 @query(f"""WITH RECURSIVE {P}, {READ_SQL}, who AS (SELECT DISTINCT l_orderkey AS photo, m.id AS person, b.id AS album FROM lineitem JOIN part ON p_partkey = l_partkey JOIN (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1) m USING (p_name) JOIN (SELECT p_brand, min(p_partkey) AS id FROM part GROUP BY 1) b USING (p_brand) WHERE l_orderkey % 2 = 0),
@@ -1296,4 +1296,4 @@ def searched_photos(spark, d):
     keys = grammar.photo_keys(photos).union(grammar.people_keys(photos, items.select("photo_id", F.col("of_p_name").alias("person_id"))))
     keys = keys.union(items.select("photo_id", F.concat(F.lit("a:"), F.col("of_p_brand").cast("string"))).distinct()).union(placed.select("photo", F.concat(F.lit("l:"), F.lower("name"))))
     searches = _searches(spark, d)
-    return grammar.found_counts(searches, grammar.read(searches, _words(spark, d)), keys, photos)
+    return grammar.found_counts(searches, grammar.read(searches, _spoken(spark, d)), keys, photos)
