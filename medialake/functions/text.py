@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def fold_one(text: str | None) -> str | None:
+    """Compatibility decomposition without combining marks, lower case, of one text."""
+    return text if text is None else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
+
+
 @F.pandas_udf(T.StringType())
 def fold(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining marks, lower case."""
-    return text.map(lambda s: s if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower())
+    """fold_one() of each text."""
+    return text.map(fold_one)
 
 
 # Latin letters with marks, and the plain letters they fold to.

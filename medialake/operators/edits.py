@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, merge_keywords
+from ..functions.text import fold, fold_one, merge_keywords
 from .summary import may_move
 
 
@@ -94,9 +94,7 @@ def with_items(items: DataFrame, album: int, photos: DataFrame) -> DataFrame:
 
 def person_named(people: DataFrame, faces: DataFrame, apart: DataFrame, person: int, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A person's name; if another person has it (regardless of case and accents), the two become one."""
-    folded = people.select(fold(F.lit(name)).alias("n")).limit(1)
-    key = folded.first()["n"] if people.limit(1).count() else name.lower()
-    other = people.where((F.col("id") != person) & (fold("name") == key)).agg(F.min("id")).first()[0]
+    other = people.where((F.col("id") != person) & (fold("name") == fold_one(name))).agg(F.min("id")).first()[0]
     if other is None:
         return people.withColumn("name", F.when(F.col("id") == person, F.lit(name)).otherwise(F.col("name"))), faces, apart
     return people_merged(people, faces, apart, person, other)

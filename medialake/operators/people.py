@@ -59,10 +59,11 @@ def _matrix(rows, name: str) -> np.ndarray:
     return np.array([r[name] for r in rows], "f8")
 
 
-def class_links(faces: DataFrame, by: str = "person_id") -> DataFrame:
+def class_links(faces: DataFrame, by: str = "person_id", least: float | None = None) -> DataFrame:
     """(a, b, link) with a < b: the average likeness of the faces of two people, from their sums alone.
 
-    It compares every two people, which is the operator, in blocks; faces aren't compared.
+    It compares every two people, which is the operator, in blocks; faces aren't compared. least: pairs that
+    are less alike aren't given, so that what comes out doesn't grow with the square of the people.
     """
     sums = saved(centroids(faces, by))
     blocks, n = _blocks(sums, PEOPLE_PER_BLOCK, by, "faces", "total")
@@ -72,7 +73,7 @@ def class_links(faces: DataFrame, by: str = "person_id") -> DataFrame:
             for mine, theirs in zip(batch["mine"], batch["theirs"]):
                 a, b = (np.array([r[by] for r in x], "i8") for x in (mine, theirs))
                 link = _matrix(mine, "total") @ _matrix(theirs, "total").T / np.outer(_matrix(mine, "faces"), _matrix(theirs, "faces"))
-                i, j = np.nonzero(a[:, None] < b)
+                i, j = np.nonzero((a[:, None] < b) if least is None else (a[:, None] < b) & (link >= least))
                 yield pd.DataFrame({"a": a[i], "b": b[j], "link": link[i, j]})
 
     return _meet(blocks, blocks, n).select("mine", "theirs").mapInPandas(compare, "a long, b long, link double")

@@ -442,7 +442,7 @@ def learned_thresholds(spark, d):
 
 @query(f"WITH {LINKS}, l AS (SELECT CAST(a.person_id AS BIGINT) AS a, CAST(b.person_id AS BIGINT) AS b, round(list_inner_product(a.total, b.total) / (a.n * b.n), 6) AS link FROM sums a JOIN sums b ON a.person_id < b.person_id) SELECT a, b, link FROM l WHERE link >= -0.01 AND link < 0.5 AND NOT (a % 2 = 0 AND b % 2 = 0) AND NOT (a = 1 AND b = 3) ORDER BY link DESC, a, b LIMIT 10")
 def people_suggestions(spark, d):
-    links = people.class_links(fx.faces(spark, d)).withColumn("link", F.round("link", 6))
+    links = people.class_links(fx.faces(spark, d), least=-0.010001).withColumn("link", F.round("link", 6))
     who = spark.range(10).select(F.col("id"), F.expr("CASE WHEN id % 2 = 0 THEN 'n' END AS name"))
     apart = spark.createDataFrame([(3, 1)], "a long, b long")
     return people.suggestions(links, who, apart, apart.limit(0), -0.01, 0.5, 10)
