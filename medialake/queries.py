@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import dates, geo, pixels, text, vectors
-from .operators import browse, dupes, edits, events, grammar, ingest, lookups, merge, people, places, regroup, rules, search, sets, summary
+from .operators import browse, dupes, edits, events, grammar, ingest, lookups, merge, people, places, regroup, rules, search, sets, summary, sync
 from .operators import vocabulary as words
 from .plans import upkeep
 from .sources import structure
@@ -1297,3 +1297,117 @@ def searched_photos(spark, d):
     keys = keys.union(items.select("photo_id", F.concat(F.lit("a:"), F.col("of_p_brand").cast("string"))).distinct()).union(placed.select("photo", F.concat(F.lit("l:"), F.lower("name"))))
     searches = _searches(spark, d)
     return grammar.found_counts(searches, grammar.read(searches, _spoken(spark, d)), keys, photos)
+
+
+# What other computers sent: three copies (s = 0 is the own one) of arrangements made of customers and orders
+
+_COPY = "CASE s WHEN 0 THEN '' WHEN 1 THEN 'b' ELSE 'c' END"
+_PULLED = {
+    "folders": ("customer", "(c_custkey + s) % 4 > 0", {"library": "c_custkey % 5", "uuid": "'f' || c_custkey", "name": "CASE WHEN c_custkey % 7 > 0 THEN 'n' || c_custkey || s ELSE '' END", "parent_uuid": "CASE WHEN s = 2 AND c_custkey % 4 = 0 THEN NULL WHEN s = 1 AND c_custkey >= 15 THEN 'f' || (c_custkey - 5 * ({c15})) WHEN s <> 1 AND c_custkey >= 10 THEN 'f' || (c_custkey - 5 * ({c10})) END", "cover": "CASE WHEN c_custkey % 3 = 0 THEN 'c' || s END", "tm": "CAST(c_custkey * (s + 3) % 50 AS DOUBLE)"}),
+    "folders_gone": ("customer", "(c_custkey + 2 * s) % 9 = 0", {"library": "c_custkey % 5", "uuid": "'f' || c_custkey", "gone_at": "CAST((c_custkey * 7 + s) % 60 AS DOUBLE)"}),
+    "albums": ("customer", "(c_custkey + s) % 5 < 3", {"library": "c_custkey % 5", "uuid": "'a' || c_custkey", "name": "'a' || c_custkey || s", "folder_uuid": "CASE WHEN s = 0 THEN 'f' || c_custkey WHEN c_custkey >= 10 THEN 'f' || (c_custkey - 5 * ({c10})) END", "cover": "'/p/' || c_custkey", "tm": "CAST((c_custkey * 11 + s * 5) % 40 AS DOUBLE)"}),
+    "albums_gone": ("customer", "(c_custkey + s) % 6 = 0", {"library": "c_custkey % 5", "uuid": "'a' || c_custkey", "gone_at": "CAST(c_custkey * 3 % 70 AS DOUBLE)"}),
+    "put": ("orders", "(o_custkey + s) % 5 < 3 AND (o_orderkey + s) % 3 > 0", {"library": "o_custkey % 5", "uuid": "'a' || o_custkey", "path": "'/p/' || o_orderkey", "place": "o_orderkey % 101", "tm": "CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderkey * (s + 2) % 45 AS DOUBLE) END"}),
+    "taken": ("orders", "(o_custkey + s) % 5 < 3 AND (o_orderkey + s) % 5 = 0", {"library": "o_custkey % 5", "uuid": "'a' || o_custkey", "path": "'/p/' || o_orderkey", "tm": "CAST(o_orderkey * (s + 3) % 50 AS DOUBLE)"}),
+    "marks": ("orders", "(o_orderkey + s) % 6 < 2", {"library": "o_custkey % 5", "path": "'/p/' || o_orderkey", "favorite": "CAST(o_orderkey % 2 AS INTEGER)", "rating": "CAST((o_orderkey + s) % 6 AS INTEGER)", "title": "CASE WHEN o_orderkey % 4 = 0 THEN 't' || s END", "tm": "CAST(o_orderkey * (s + 5) % 30 AS DOUBLE)"}),
+    "cleared": ("orders", "(o_orderkey + 3 * s) % 8 = 0", {"library": "o_custkey % 5", "path": "'/p/' || o_orderkey", "gone_at": "CAST(o_orderkey * 3 % 32 AS DOUBLE)"}),
+    "removed": ("orders", "o_orderkey % 37 = s", {"library": "o_custkey % 5", "path": "'/p/' || o_orderkey", "gone_at": "CAST(o_orderkey % 90 AS DOUBLE)"}),
+}
+_INDEX = {
+    "folders": ("customer", "c_custkey % 2 = 0", {"library": "c_custkey % 5", "uuid": "'f' || c_custkey", "name": "'old'", "parent_uuid": "CASE WHEN c_custkey >= 20 THEN 'f' || (c_custkey - 10 * ({c20})) END", "cover": "'old'"}),
+    "albums": ("customer", "c_custkey % 3 = 0", {"library": "c_custkey % 5", "uuid": "'a' || c_custkey", "name": "'old'", "folder_uuid": "CASE WHEN c_custkey % 2 = 0 THEN 'f' || c_custkey END", "cover": "'old'"}),
+    "items": ("orders", "o_orderkey % 2 = 0 AND o_custkey % 3 = 0", {"library": "o_custkey % 5", "uuid": "'a' || o_custkey", "path": "'/p/' || o_orderkey"}),
+    "photos": ("orders", "o_orderkey % 4 < 3", {"library": "o_custkey % 5", "path": "'/p/' || o_orderkey", "favorite": "1", "rating": "3", "hidden": "0", "trashed_at": "CAST(NULL AS DOUBLE)", "title": "'old'", "caption": "CAST(NULL AS {text})", "keywords": "CAST(NULL AS {text})"}),
+    "removed": ("orders", "o_orderkey % 37 = 5", {"library": "o_custkey % 5", "path": "'/p/' || o_orderkey", "gone_at": "CAST(1 AS DOUBLE)"}),
+}
+
+
+def _pulled_expr(e: str, dialect: str) -> str:
+    div = "DIV" if dialect == "spark" else "//"
+    for n in (10, 15, 20):
+        e = e.replace(f"{{c{n}}}", f"c_custkey {div} {n}")
+    return e.replace("{text}", "STRING" if dialect == "spark" else "VARCHAR")
+
+
+PULLED_SQL = ", ".join(f"p_{n} AS (SELECT s, {', '.join(f'{_pulled_expr(e, "sql")} AS {c}' for c, e in columns.items())} FROM {t}, range(3) r(s) WHERE {where})" for n, (t, where, columns) in _PULLED.items())
+PULLED_SQL += ", " + ", ".join(f"i_{n} AS (SELECT {', '.join(f'{_pulled_expr(e, "sql")} AS {c}' for c, e in columns.items())} FROM {t} WHERE {where})" for n, (t, where, columns) in _INDEX.items())
+PULLED_SQL += """,
+fb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY tm DESC, s) AS rn FROM p_folders) WHERE rn = 1),
+fg AS (SELECT uuid, max(gone_at) AS gone_at FROM p_folders_gone GROUP BY 1),
+fw AS (SELECT fb.* FROM fb LEFT JOIN fg USING (uuid) WHERE gone_at IS NULL OR gone_at < tm),
+fa AS (SELECT coalesce(w.library, i.library) AS library, uuid, coalesce(nullif(w.name, ''), i.name, 'Untitled Folder') AS name, CASE WHEN w.uuid IS NULL THEN i.parent_uuid ELSE w.parent_uuid END AS parent, coalesce(w.cover, i.cover) AS cover FROM fw w FULL JOIN i_folders i USING (uuid)),
+ft AS (SELECT library, uuid, name, CASE WHEN parent IN (SELECT uuid FROM fa) THEN parent END AS parent_uuid, cover FROM fa),
+dead AS (SELECT uuid FROM fg WHERE uuid NOT IN (SELECT uuid FROM fw) AND uuid IN (SELECT uuid FROM ft) UNION SELECT ft.uuid FROM ft JOIN dead ON ft.parent_uuid = dead.uuid),
+photos_left AS (SELECT * FROM i_photos WHERE path NOT IN (SELECT path FROM p_removed WHERE path NOT IN (SELECT path FROM i_removed))),
+ab AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY tm DESC, s) AS rn FROM p_albums) WHERE rn = 1),
+am AS (SELECT uuid, path, max(added) AS added, max(removed) AS removed FROM (SELECT uuid, path, coalesce(tm, 0) AS added, NULL AS removed FROM p_put UNION ALL SELECT uuid, path, NULL, tm FROM p_taken) GROUP BY 1, 2),
+ak AS (SELECT *, added IS NOT NULL AND added >= coalesce(removed, -1) AS stays FROM am),
+ag AS (SELECT uuid, max(gone_at) AS gone_at FROM p_albums_gone GROUP BY 1),
+aw AS (SELECT ab.* FROM ab LEFT JOIN ag USING (uuid) LEFT JOIN (SELECT uuid, max(added) AS last FROM ak WHERE stays GROUP BY 1) USING (uuid) WHERE gone_at IS NULL OR gone_at < greatest(tm, coalesce(last, 0))),
+aa AS (SELECT coalesce(w.library, i.library) AS library, uuid, coalesce(w.name, i.name) AS name, CASE WHEN w.uuid IS NULL THEN i.folder_uuid WHEN w.folder_uuid IN (SELECT uuid FROM ft) THEN w.folder_uuid END AS folder_uuid, CASE WHEN (w.library, w.cover) IN (SELECT (library, path) FROM photos_left) THEN w.cover ELSE i.cover END AS cover
+  FROM aw w FULL JOIN i_albums i USING (uuid) WHERE w.uuid IS NOT NULL OR uuid NOT IN (SELECT uuid FROM ag)),
+albums_left AS (SELECT * FROM aa WHERE folder_uuid IS NULL OR folder_uuid NOT IN (SELECT uuid FROM dead))"""
+
+
+def _times_of(rows: DataFrame, key: str, at: str, *by: str) -> DataFrame:
+    return rows.where(F.col(at).isNotNull()).groupBy("source", "library", *by).agg(F.map_from_entries(F.collect_list(F.struct(key, at))).alias(f"{at}s"))
+
+
+def _pulled(spark, d) -> dict[str, DataFrame]:
+    """The index after a pull of the copies' documents."""
+    rows = lambda t, where, columns: t.where(where).select(*(["source"] if "source" in t.columns else []), *(F.expr(_pulled_expr(e, "spark")).alias(c) for c, e in columns.items()))
+    copies = {t: table(spark, d, t).withColumn("s", F.explode(F.array(*map(F.lit, range(3))))).withColumn("source", F.expr(_COPY)) for t in ("customer", "orders")}
+    p = {n: rows(copies[t], where, columns) for n, (t, where, columns) in _PULLED.items()}
+    index = {n: rows(table(spark, d, t), where, columns) for n, (t, where, columns) in _INDEX.items()}
+    one = ["source", "library"]
+    sent = lambda df, name, *fields, kind=structure.STRUCTURE: df.select(*one, F.lit(name).alias("name") if isinstance(name, str) else name.alias("name"), F.to_json(F.struct(F.lit(kind).alias("format"), *fields)).alias("content"))
+    entries = p["folders"].groupBy(*one).agg(F.collect_list(F.struct("uuid", "name", "parent_uuid", "cover", F.col("tm").alias("modified_at"))).alias("folders"))
+    documents = sent(entries.join(_times_of(p["folders_gone"], "uuid", "gone_at"), one, "full"), structure.FOLDERS, F.col("folders"), F.col("gone_ats").alias("deleted"))
+    marks = p["marks"].groupBy(*one).agg(F.map_from_entries(F.collect_list(F.struct("path", F.struct("favorite", "rating", "title", F.col("tm").alias("modified_at"))))).alias("photos"))
+    documents = documents.union(sent(marks.join(_times_of(p["cleared"], "path", "gone_at"), one, "full"), sync.MARKS, F.col("photos"), F.col("gone_ats").alias("cleared")))
+    documents = documents.union(sent(_times_of(p["removed"], "path", "gone_at"), structure.REMOVED, F.col("gone_ats").alias("photos"))).union(sent(_times_of(p["albums_gone"], "uuid", "gone_at"), structure.DELETED, F.col("gone_ats").alias("albums")))
+    put = p["put"].groupBy(*one, "uuid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda r: r["path"]).alias("photos"))
+    albums = p["albums"].join(put, [*one, "uuid"], "left").join(_times_of(p["put"], "path", "tm", "uuid").withColumnRenamed("tms", "added"), [*one, "uuid"], "left").join(_times_of(p["taken"], "path", "tm", "uuid").withColumnRenamed("tms", "removed"), [*one, "uuid"], "left")
+    documents = documents.union(sent(albums, F.concat(F.lit("albums/"), "uuid", F.lit(".json")), F.col("uuid"), F.col("name"), F.col("folder_uuid"), F.col("cover"), F.col("tm").alias("modified_at"), F.col("photos"), F.col("added"), F.col("removed"), kind=structure.ALBUM))
+    index["smart"] = spark.createDataFrame([], "library long, uuid string, name string, match_mode string, rules string, folder_uuid string")
+    return sync.applied(index, documents)
+
+
+@query(f"WITH RECURSIVE {PULLED_SQL} SELECT * FROM ft WHERE uuid NOT IN (SELECT uuid FROM dead)")
+def pulled_folders(spark, d):
+    return _pulled(spark, d)["folders"]
+
+
+@query(f"WITH RECURSIVE {PULLED_SQL} SELECT * FROM albums_left")
+def pulled_albums(spark, d):
+    return _pulled(spark, d)["albums"]
+
+
+@query(f"""WITH RECURSIVE {PULLED_SQL} SELECT library, uuid, path FROM (SELECT library, uuid, path FROM i_items WHERE (uuid, path) NOT IN (SELECT (uuid, path) FROM ak WHERE NOT stays AND uuid IN (SELECT uuid FROM aw))
+  UNION SELECT aw.library, uuid, path FROM ak JOIN aw USING (uuid) WHERE stays) WHERE path IN (SELECT path FROM photos_left) AND uuid IN (SELECT uuid FROM albums_left)""")
+def pulled_items(spark, d):
+    return _pulled(spark, d)["items"]
+
+
+@query(f"""WITH RECURSIVE {PULLED_SQL}, mb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY tm DESC, s) AS rn FROM p_marks) WHERE rn = 1), mg AS (SELECT path, max(gone_at) AS gone_at FROM p_cleared GROUP BY 1),
+mt AS (SELECT coalesce(mb.path, mg.path) AS path, mb.path IS NULL OR coalesce(gone_at >= tm, false) AS clear, favorite, rating, title FROM mb FULL JOIN mg ON mb.path = mg.path)
+SELECT p.library, p.path, CASE WHEN clear THEN 0 WHEN NOT clear THEN mt.favorite ELSE p.favorite END AS favorite, CASE WHEN clear THEN 0 WHEN NOT clear THEN mt.rating ELSE p.rating END AS rating, CASE WHEN clear THEN NULL WHEN NOT clear THEN mt.title ELSE p.title END AS title FROM photos_left p LEFT JOIN mt ON mt.path = p.path""")
+def pulled_photos(spark, d):
+    return _pulled(spark, d)["photos"].select("library", "path", "favorite", "rating", "title")
+
+
+@query("""WITH l AS (SELECT o_custkey % 5 AS library, CASE s WHEN 0 THEN 'b' ELSE 'c' END AS source, CASE WHEN o_orderkey % 3 = 0 THEN 'edits/' || o_orderkey || '.json' WHEN o_orderkey % 6 = 1 THEN 'originals/' || o_orderkey || '.MOV' ELSE 'originals/' || o_orderkey || '.jpg' END AS name, o_orderkey % 10 AS size, CAST(o_orderkey % 40 + s AS DOUBLE) AS mtime, o_orderkey AS k, s FROM orders, range(2) r(s))
+SELECT library, source, name, 'edit' AS what FROM l WHERE k % 3 = 0 AND NOT ((k + s) % 4 = 0) AND NOT (k % 5 = 0 AND k % 2 = 0 AND k % 41 >= mtime)
+UNION ALL SELECT library, min(source), name, CASE WHEN name LIKE '%.MOV' THEN 'video' ELSE 'photo' END FROM l WHERE k % 3 > 0 AND k % 5 > 0 AND k % 7 > 0 AND k % 11 > 0 GROUP BY library, name""")
+def pulled_names(spark, d):
+    """Files to fetch: edits that changed since they were seen and aren't newer here, originals that are missing."""
+    o = table(spark, d, "orders")
+    name = "CASE WHEN o_orderkey % 3 = 0 THEN 'edits/' || o_orderkey || '.json' WHEN o_orderkey % 6 = 1 THEN 'originals/' || o_orderkey || '.MOV' ELSE 'originals/' || o_orderkey || '.jpg' END AS name"
+    base = o.select(F.expr("o_custkey % 5 AS library"), F.expr(name), F.expr("o_orderkey % 10 AS size"), F.col("o_orderkey").alias("k"))
+    listing = base.withColumn("s", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("source", F.expr("CASE s WHEN 0 THEN 'b' ELSE 'c' END")).withColumn("mtime", F.expr("CAST(k % 40 + s AS DOUBLE)"))
+    seen = listing.withColumn("size", F.expr("CASE WHEN (k + s) % 4 = 0 THEN size ELSE size + 1 END"))
+    local = base.where("k % 5 = 0").withColumn("mtime", F.expr("CAST(k % 41 AS DOUBLE)"))
+    sent = local.where("k % 2 = 1")
+    edits = sync.edits_to_take(listing, seen, local, sent).where("take").select("library", "source", "name", F.lit("edit").alias("what"))
+    fetch = sync.originals_to_fetch(listing, local, base.where("k % 7 = 0"), base.where("k % 11 = 0"))
+    return edits.union(fetch.select("library", "source", "name", F.when(F.col("stage") == 1, "video").otherwise("photo")))
