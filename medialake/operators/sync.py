@@ -131,7 +131,7 @@ def merged_albums(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     last removal. An album is gone if its deletion isn't older than its last change and its photos' last addition.
     """
     own = ~F.contains("name", F.lit("/_")) & F.startswith("name", F.lit("albums/"))
-    doc = saved(documents.where(own).select("library", "source", "name", F.from_json("content", ALBUM_SCHEMA).alias("doc")).where((F.col("doc.format") == st.ALBUM) & F.col("doc.uuid").isNotNull()))
+    doc = documents.where(own).select("library", "source", "name", F.from_json("content", ALBUM_SCHEMA).alias("doc")).where((F.col("doc.format") == st.ALBUM) & F.col("doc.uuid").isNotNull())
     rows = doc.select("library", "source", F.col("name").alias("place"), "doc.uuid", "doc.name", "doc.folder_uuid", "doc.cover", F.coalesce("doc.modified_at", "doc.changed_at", F.lit(0.0)).alias("at"))
     best = rows.groupBy("library", "uuid").agg(*_newest("name", "folder_uuid", "cover"))
     stamp = F.coalesce(F.try_element_at("doc.added", F.col("path")), F.lit(0.0))
@@ -140,7 +140,7 @@ def merged_albums(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     taken = doc.select("library", "doc.uuid", F.explode("doc.removed").alias("path", "removed"))
     taken = taken.select("library", "uuid", "path", F.lit(None).cast("double").alias("added"), F.coalesce("removed", F.lit(0.0)).alias("removed"), F.lit(None).cast(put.schema["first"].dataType).alias("first"))
     items = put.union(taken).groupBy("library", "uuid", "path").agg(F.max("added").alias("added"), F.max("removed").alias("removed"), F.min("first").alias("first"))
-    items = items.withColumn("stays", F.coalesce(F.col("added") >= F.coalesce("removed", F.lit(-1.0)), F.lit(False)))
+    items = saved(items.withColumn("stays", F.coalesce(F.col("added") >= F.coalesce("removed", F.lit(-1.0)), F.lit(False))))
     last = items.where("stays").groupBy("library", "uuid").agg(F.max("added").alias("last"))
     both = best.join(last, ["library", "uuid"], "left").join(_times(documents, st.DELETED, "albums", "uuid"), ["library", "uuid"], "full")
     stays = F.col("best").isNotNull() & (F.col("gone_at").isNull() | (F.col("gone_at") < F.greatest("best.at", F.coalesce("last", F.lit(0.0)))))
@@ -189,50 +189,68 @@ def _filed(index: DataFrame, wanted: DataFrame, folders: DataFrame, name: str, *
     return rows.select("library", "uuid", F.coalesce(_given("w_name", "h_name"), F.lit(name)).alias("name"), folder.alias("folder_uuid"), *(c for m in more for c in (F.col(f"w_{m}").alias(f"w_{m}"), F.col(f"h_{m}").alias(f"h_{m}"))), F.coalesce("w", F.lit(False)).alias("w"))
 
 
-def applied(index: dict[str, DataFrame], documents: DataFrame) -> dict[str, DataFrame]:
-    """The index brought in line with the merged documents of all copies.
-
-    index, and the result, each by library: photos (path and the marks, more columns stay), folders (uuid, name, parent_uuid, cover),
-    smart (uuid, name, match_mode, rules, folder_uuid), albums (uuid, name, folder_uuid, cover), items (uuid, path) and
-    removed (path, gone_at). In this order: removed photos leave the photos and the albums; folders are made, renamed and
-    moved; smart albums and albums are made, renamed and moved, with photos added and taken out; deleted albums go;
-    deleted folders go with all that is still inside them; marks are set or cleared.
-    """
-    removed = saved(merged_removed(documents))
+def photos_left(index: dict[str, DataFrame], documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Photos without those that were removed on any computer, and the removed ones that are known then."""
     known = index["removed"].select("library", "path", "gone_at")
-    fresh = removed.join(known.select("library", "path"), ["library", "path"], "left_anti")  # a photo put back here on purpose stays
-    photos = index["photos"].join(fresh.select("library", "path"), ["library", "path"], "left_anti")
-    there = photos.select("library", "path").distinct()
+    fresh = merged_removed(documents).join(known.select("library", "path"), ["library", "path"], "left_anti")  # a photo put back here on purpose stays
+    return index["photos"].join(fresh.select("library", "path"), ["library", "path"], "left_anti"), known.unionByName(fresh.select("library", "path", "gone_at"))
 
-    wanted, gone = (saved(x) for x in merged_list(documents, "folders"))
+
+def folders_left(index: dict[str, DataFrame], documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All folders as arranged, and those (library, folder_uuid) that are deleted once the albums have moved."""
+    wanted, gone = merged_list(documents, "folders")
     folders = saved(arranged_folders(index["folders"], wanted))
-    dead = _beneath(folders, gone.join(wanted.select("library", "uuid"), ["library", "uuid"], "left_anti"))
-    dead = saved(dead.select("library", F.col("uuid").alias("folder_uuid")))
-    inside = ["library", "folder_uuid"]
+    return folders, saved(_beneath(folders, gone).select("library", F.col("uuid").alias("folder_uuid")))
+
+
+def smart_left(index: dict[str, DataFrame], documents: DataFrame, folders: DataFrame) -> DataFrame:
+    wanted, gone = merged_list(documents, "smart")
+    rows = _filed(index["smart"], wanted, folders, "Smart Album", "match_mode", "rules").join(gone.select("library", "uuid"), ["library", "uuid"], "left_anti")
+    now = lambda c, default: F.coalesce(F.when(F.col("w"), F.when(F.col(f"w_{c}") != "", F.col(f"w_{c}"))).otherwise(F.col(f"h_{c}")), F.lit(default)).alias(c)
+    return rows.select("library", "uuid", "name", now("match_mode", "all"), now("rules", "[]"), "folder_uuid")
 
-    s_wanted, s_gone = merged_list(documents, "smart")
-    smart = _filed(index["smart"], s_wanted, folders, "Smart Album", "match_mode", "rules").join(s_gone.select("library", "uuid"), ["library", "uuid"], "left_anti")
-    smart = smart.select("library", "uuid", "name", *(F.coalesce(F.when(F.col("w"), F.when(F.col(f"w_{c}") != "", F.col(f"w_{c}"))).otherwise(F.col(f"h_{c}")), F.lit(d)).alias(c) for c, d in (("match_mode", "all"), ("rules", "[]"))), "folder_uuid")
 
-    a_wanted, members, a_gone = (saved(x) for x in merged_albums(documents))
-    albums = _filed(index["albums"], a_wanted, folders, "Album", "cover").join(a_gone.select("library", "uuid"), ["library", "uuid"], "left_anti").join(dead, inside, "left_anti")
+def albums_left(index: dict[str, DataFrame], documents: DataFrame, photos: DataFrame, folders: DataFrame, dead: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Albums and items; photos added are those that are there, a cover that isn't there changes nothing."""
+    wanted, members, gone = merged_albums(documents)
+    there = photos.select("library", "path").distinct()
+    rows = _filed(index["albums"], wanted, folders, "Album", "cover").join(gone.select("library", "uuid"), ["library", "uuid"], "left_anti").join(dead, ["library", "folder_uuid"], "left_anti")
     shown = there.select("library", F.col("path").alias("w_cover"), F.lit(True).alias("shown"))
-    albums = saved(albums.join(shown, ["library", "w_cover"], "left").select("library", "uuid", "name", "folder_uuid", F.when(F.col("shown"), F.col("w_cover")).otherwise(F.col("h_cover")).alias("cover")))
+    albums = saved(rows.join(shown, ["library", "w_cover"], "left").select("library", "uuid", "name", "folder_uuid", F.when(F.col("shown"), F.col("w_cover")).otherwise(F.col("h_cover")).alias("cover")))
     key = ["library", "uuid", "path"]
-    items = index["items"].select(*key).join(members.where("not stays").select(*key), key, "left_anti").unionByName(members.where("stays").select(*key)).distinct()
-    items = items.join(there, ["library", "path"], "left_semi").join(albums.select("library", "uuid"), ["library", "uuid"], "left_semi")
+    told = members.select(*key, "stays")
+    items = index["items"].select(*key).distinct().join(told, key, "full").where(F.coalesce("stays", F.lit(True))).select(*key)
+    return albums, items.join(there, ["library", "path"], "left_semi").join(albums.select("library", "uuid"), ["library", "uuid"], "left_semi").select(*key)
+
 
+def marked(photos: DataFrame, documents: DataFrame) -> DataFrame:
+    """Photos with the marks that are told of, plain where marks were cleared; others keep theirs."""
     marks, cleared = merged_list(documents, "marks")
     fields = [f.split()[0] for f in MARK_FIELDS.split(", ")]
     plain = {"favorite": F.lit(0), "rating": F.lit(0), "hidden": F.lit(0)}
-    set_ = {c: F.coalesce(f"m.{c}", plain[c]) if c in plain else F.col(f"m.{c}") for c in fields} | {"favorite": (F.coalesce("m.favorite", F.lit(0)) != 0).cast("int"), "hidden": (F.coalesce("m.hidden", F.lit(0)) != 0).cast("int")}
-    told = marks.select("library", "path", F.struct(*fields).alias("m"), F.lit(False).alias("clear")).unionByName(cleared.select("library", "path", F.lit(True).alias("clear")), allowMissingColumns=True)
-    rows = photos.join(told, ["library", "path"], "left")
-    marked = {c: F.when(F.col("clear"), plain.get(c, F.lit(None))).when(F.col("m").isNotNull(), set_[c]).otherwise(F.col(c)) for c in fields}
-    return {
-        "photos": rows.withColumns(marked).select(*index["photos"].columns), "smart": smart.join(dead, inside, "left_anti"), "albums": albums, "items": items.select(*key),
-        "folders": folders.join(dead.withColumnRenamed("folder_uuid", "uuid"), ["library", "uuid"], "left_anti"), "removed": known.unionByName(fresh.select("library", "path", "gone_at")),
-    }
+    told = {c: F.col(f"m.{c}") for c in fields} | {"rating": F.coalesce("m.rating", F.lit(0))}
+    told |= {c: (F.coalesce(f"m.{c}", F.lit(0)) != 0).cast("int") for c in ("favorite", "hidden")}
+    news = marks.select("library", "path", F.struct(*fields).alias("m"), F.lit(False).alias("clear")).unionByName(cleared.select("library", "path", F.lit(True).alias("clear")), allowMissingColumns=True)
+    rows = photos.join(news.select("library", "path", F.struct("m", "clear").alias("__told")), ["library", "path"], "left").withColumn("m", F.col("__told.m"))
+    now = {c: F.when(F.col("__told.clear"), plain.get(c, F.lit(None))).when(F.col("m").isNotNull(), told[c]).otherwise(F.col(c)) for c in fields}
+    return rows.withColumns(now).select(*photos.columns)
+
+
+def applied(index: dict[str, DataFrame], documents: DataFrame) -> dict[str, DataFrame]:
+    """The index brought in line with the merged documents of all copies.
+
+    index, and the result, each by library: photos (path and the marks, more columns stay), folders (uuid, name, parent_uuid, cover),
+    smart (uuid, name, match_mode, rules, folder_uuid), albums (uuid, name, folder_uuid, cover), items (uuid, path) and
+    removed (path, gone_at). In this order: removed photos leave the photos and the albums; folders are made, renamed and
+    moved; smart albums and albums are made, renamed and moved, with photos added and taken out; deleted albums go;
+    deleted folders go with all that is still inside them; marks are set or cleared.
+    """
+    photos, removed = photos_left(index, documents)
+    folders, dead = folders_left(index, documents)
+    smart = smart_left(index, documents, folders).join(dead, ["library", "folder_uuid"], "left_anti")
+    albums, items = albums_left(index, documents, photos, folders, dead)
+    folders = folders.join(dead.withColumnRenamed("folder_uuid", "uuid"), ["library", "uuid"], "left_anti")
+    return {"photos": marked(photos, documents), "folders": folders, "smart": smart, "albums": albums, "items": items, "removed": removed}
 
 
 def pulled(index: dict[str, DataFrame], documents: DataFrame, listing: DataFrame, seen: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:

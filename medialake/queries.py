@@ -1353,8 +1353,8 @@ def _times_of(rows: DataFrame, key: str, at: str, *by: str) -> DataFrame:
     return rows.where(F.col(at).isNotNull()).groupBy("source", "library", *by).agg(F.map_from_entries(F.collect_list(F.struct(key, at))).alias(f"{at}s"))
 
 
-def _pulled(spark, d) -> dict[str, DataFrame]:
-    """The index after a pull of the copies' documents."""
+def _pulled(spark, d) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The index and the copies' documents."""
     rows = lambda t, where, columns: t.where(where).select(*(["source"] if "source" in t.columns else []), *(F.expr(_pulled_expr(e, "spark")).alias(c) for c, e in columns.items()))
     copies = {t: table(spark, d, t).withColumn("s", F.explode(F.array(*map(F.lit, range(3))))).withColumn("source", F.expr(_COPY)) for t in ("customer", "orders")}
     p = {n: rows(copies[t], where, columns) for n, (t, where, columns) in _PULLED.items()}
@@ -1370,30 +1370,32 @@ def _pulled(spark, d) -> dict[str, DataFrame]:
     albums = p["albums"].join(put, [*one, "uuid"], "left").join(_times_of(p["put"], "path", "tm", "uuid").withColumnRenamed("tms", "added"), [*one, "uuid"], "left").join(_times_of(p["taken"], "path", "tm", "uuid").withColumnRenamed("tms", "removed"), [*one, "uuid"], "left")
     documents = documents.union(sent(albums, F.concat(F.lit("albums/"), "uuid", F.lit(".json")), F.col("uuid"), F.col("name"), F.col("folder_uuid"), F.col("cover"), F.col("tm").alias("modified_at"), F.col("photos"), F.col("added"), F.col("removed"), kind=structure.ALBUM))
     index["smart"] = spark.createDataFrame([], "library long, uuid string, name string, match_mode string, rules string, folder_uuid string")
-    return sync.applied(index, documents)
+    return index, documents
 
 
 @query(f"WITH RECURSIVE {PULLED_SQL} SELECT * FROM ft WHERE uuid NOT IN (SELECT uuid FROM dead)")
 def pulled_folders(spark, d):
-    return _pulled(spark, d)["folders"]
+    folders, dead = sync.folders_left(*_pulled(spark, d))
+    return folders.join(dead.withColumnRenamed("folder_uuid", "uuid"), ["library", "uuid"], "left_anti")
 
 
 @query(f"WITH RECURSIVE {PULLED_SQL} SELECT * FROM albums_left")
 def pulled_albums(spark, d):
-    return _pulled(spark, d)["albums"]
+    return sync.applied(*_pulled(spark, d))["albums"]
 
 
 @query(f"""WITH RECURSIVE {PULLED_SQL} SELECT library, uuid, path FROM (SELECT library, uuid, path FROM i_items WHERE (uuid, path) NOT IN (SELECT (uuid, path) FROM ak WHERE NOT stays AND uuid IN (SELECT uuid FROM aw))
   UNION SELECT aw.library, uuid, path FROM ak JOIN aw USING (uuid) WHERE stays) WHERE path IN (SELECT path FROM photos_left) AND uuid IN (SELECT uuid FROM albums_left)""")
 def pulled_items(spark, d):
-    return _pulled(spark, d)["items"]
+    return sync.applied(*_pulled(spark, d))["items"]
 
 
 @query(f"""WITH RECURSIVE {PULLED_SQL}, mb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY tm DESC, s) AS rn FROM p_marks) WHERE rn = 1), mg AS (SELECT path, max(gone_at) AS gone_at FROM p_cleared GROUP BY 1),
 mt AS (SELECT coalesce(mb.path, mg.path) AS path, mb.path IS NULL OR coalesce(gone_at >= tm, false) AS clear, favorite, rating, title FROM mb FULL JOIN mg ON mb.path = mg.path)
 SELECT p.library, p.path, CASE WHEN clear THEN 0 WHEN NOT clear THEN mt.favorite ELSE p.favorite END AS favorite, CASE WHEN clear THEN 0 WHEN NOT clear THEN mt.rating ELSE p.rating END AS rating, CASE WHEN clear THEN NULL WHEN NOT clear THEN mt.title ELSE p.title END AS title FROM photos_left p LEFT JOIN mt ON mt.path = p.path""")
 def pulled_photos(spark, d):
-    return _pulled(spark, d)["photos"].select("library", "path", "favorite", "rating", "title")
+    index, documents = _pulled(spark, d)
+    return sync.marked(sync.photos_left(index, documents)[0], documents).select("library", "path", "favorite", "rating", "title")
 
 
 @query("""WITH l AS (SELECT o_custkey % 5 AS library, CASE s WHEN 0 THEN 'b' ELSE 'c' END AS source, CASE WHEN o_orderkey % 3 = 0 THEN 'edits/' || o_orderkey || '.json' WHEN o_orderkey % 6 = 1 THEN 'originals/' || o_orderkey || '.MOV' ELSE 'originals/' || o_orderkey || '.jpg' END AS name, o_orderkey % 10 AS size, CAST(o_orderkey % 40 + s AS DOUBLE) AS mtime, o_orderkey AS k, s FROM orders, range(2) r(s))
