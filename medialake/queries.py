@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import dates, geo, pixels, text, vectors
-from .operators import browse, dupes, edits, events, grammar, ingest, lookups, merge, people, places, regroup, rules, search, sets, summary, sync
+from .operators import browse, dupes, edits, events, grammar, ingest, lookups, merge, people, peoplefile, places, regroup, rules, search, sets, summary, sync
 from .operators import vocabulary as words
 from .plans import upkeep
 from .sources import structure
@@ -1413,3 +1413,38 @@ def pulled_names(spark, d):
     edits = sync.edits_to_take(listing, seen, local, sent).where("take").select("library", "source", "name", F.lit("edit").alias("what"))
     fetch = sync.originals_to_fetch(listing, local, base.where("k % 7 = 0"), base.where("k % 11 = 0"))
     return edits.union(fetch.select("library", "source", "name", F.when(F.col("stage") == 1, "video").otherwise("photo")))
+
+
+@query("""WITH n AS (SELECT s, c_custkey AS c, CASE WHEN s = 0 AND c_custkey % 6 = 0 THEN NULL WHEN s = 1 THEN 'name  ' || (c_custkey % 50) ELSE 'Name ' || (c_custkey % (45 + 5 * s)) END AS name, CAST(c_custkey * (s + 2) % 50 AS DOUBLE) AS tm FROM customer, range(3) r(s) WHERE (c_custkey + s) % 4 > 0),
+best AS (SELECT *, CASE WHEN c % 20 = 10 AND c > 10 THEN c - 5 WHEN c % 10 = 0 THEN c + 5 END AS became FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY tm DESC, s) AS rn, min(s) OVER (PARTITION BY c) AS source FROM n) WHERE rn = 1),
+whole AS (SELECT coalesce(became, c) AS c, coalesce(max(name) FILTER (became IS NULL), arg_max(name, {'t': tm, 'n': name}) FILTER (name IS NOT NULL)) AS name, coalesce(max(tm) FILTER (became IS NULL AND name IS NOT NULL), max(tm) FILTER (name IS NOT NULL), max(tm)) AS name_at, min(source) > 0 AS far FROM best GROUP BY 1),
+same AS (SELECT c FROM (SELECT c, row_number() OVER (PARTITION BY c % 5, lower(regexp_replace(name, ' +', ' ', 'g')) ORDER BY far, 'p' || c) AS rn FROM whole WHERE name IS NOT NULL) WHERE rn > 1)
+SELECT c % 5 AS library, 'p' || c AS uuid, name, name_at FROM whole WHERE c NOT IN (SELECT c FROM same)""")
+def people_file_names(spark, d):
+    """People after names and merges of three copies; chains of merges end with their last."""
+    n = table(spark, d, "customer").select(F.col("c_custkey").alias("c")).withColumn("s", F.explode(F.array(*map(F.lit, range(3))))).where("(c + s) % 4 > 0")
+    n = n.selectExpr("c % 5 AS library", "'p' || c AS uuid", "CASE WHEN s = 0 AND c % 6 = 0 THEN NULL WHEN s = 1 THEN 'name  ' || (c % 50) ELSE 'Name ' || (c % (45 + 5 * s)) END AS name", "CAST(c * (s + 2) % 50 AS DOUBLE) AS name_at", f"{_COPY} AS source")
+    links = table(spark, d, "customer").where("c_custkey % 10 = 0").selectExpr("c_custkey % 5 AS library", "'p' || c_custkey AS old", "'p' || CASE WHEN c_custkey % 20 = 10 AND c_custkey > 10 THEN c_custkey - 10 ELSE c_custkey + 5 END AS new", "CAST(c_custkey % 7 AS DOUBLE) AS at")
+    return peoplefile.merged_people(n.where("source = ''").drop("source"), n.where("source <> ''"), links)[0]
+
+
+@query(f"""WITH e AS (SELECT vec_id, vec_id // 3 AS p, vec_id % 3 AS k, label, 'p' || (CASE WHEN label % 4 = 3 THEN label + 1 ELSE label END) AS who FROM embeddings),
+photos AS (SELECT p AS id, p FROM (SELECT DISTINCT p FROM e) UNION ALL SELECT p + 1000000, p FROM (SELECT DISTINCT p FROM e WHERE p % 7 = 0)),
+told AS (SELECT *, vec_id * (s + 1) % 4 AS state, CAST(vec_id * (s + 3) % 50 AS DOUBLE) AS tm FROM e, range(1, 3) r(s) WHERE (p + s) % 4 > 0),
+mine AS (SELECT id AS photo_id, e.*, who AS person, vec_id % 2 AS state, CAST(vec_id * 7 % 45 AS DOUBLE) AS tm, true AS own FROM e JOIN photos USING (p) WHERE p % 3 > 0 AND id < 1000000),
+came AS (SELECT id AS photo_id, t.vec_id, t.p, k, label, who, CASE WHEN t.state <> 2 THEN who END AS person, t.state, tm, false AS own FROM told t JOIN photos USING (p) WHERE (p % 3 = 0 OR id >= 1000000) AND s = (CASE WHEN (p + 2) % 4 > 0 THEN 2 ELSE 1 END)),
+all_ AS (SELECT * FROM mine UNION ALL SELECT * FROM came),
+d AS (SELECT * FROM (SELECT vec_id, s, state AS d_state, tm AS d_tm, row_number() OVER (PARTITION BY vec_id ORDER BY tm DESC, s) AS rn FROM told WHERE state > 0) WHERE rn = 1),
+n AS (SELECT a.*, d_state, d_tm, coalesce(d_tm > tm AND (NOT own OR a.vec_id % 5 > 0), false) AS newer FROM all_ a LEFT JOIN d USING (vec_id))
+SELECT p % 3 AS library, photo_id, k, CASE WHEN NOT newer THEN person WHEN d_state = 1 THEN who END AS person, CAST(CASE WHEN newer THEN d_state ELSE state END AS INTEGER) AS state, CASE WHEN newer THEN d_tm ELSE tm END AS state_at, CASE WHEN newer AND d_state <> 1 THEN coalesce(person, who) WHEN own THEN NULL ELSE who END AS was FROM n""")
+def people_file_faces(spark, d):
+    """Faces of photos not looked at here are taken whole, elsewhere the newest decision on the same box counts."""
+    e = table(spark, d, "embeddings").selectExpr("vec_id", "vec_id DIV 3 AS p", "vec_id % 3 AS k", "'p' || label AS who", "embedding", "label", "vec_id DIV 3 % 3 AS library")
+    photos = e.select("library", "p").distinct().withColumn("id", F.explode(F.expr("CASE WHEN p % 7 = 0 THEN array(p, p + 1000000) ELSE array(p) END"))).selectExpr("library", "id", "'f' || p AS fingerprint")
+    face = ("CAST(0.1 AS DOUBLE) AS y", "CAST(0.2 AS DOUBLE) AS w", "CAST(0.2 AS DOUBLE) AS h", "CAST(1 AS DOUBLE) AS score", "90L AS px", "CAST(0 AS DOUBLE) AS yaw", "CAST(0 AS DOUBLE) AS roll", "0 AS pinned")
+    mine = e.where("p % 3 > 0").selectExpr("library", "vec_id AS id", "p AS photo_id", "CAST(0.1 + 0.3 * k AS DOUBLE) AS x", "who AS person", "CAST(vec_id % 2 AS INT) AS state", "CAST(vec_id * 7 % 45 AS DOUBLE) AS state_at", "CAST(NULL AS STRING) AS was", "embedding AS emb", *face)
+    told = e.withColumn("s", F.explode(F.array(F.lit(1), F.lit(2)))).where("(p + s) % 4 > 0").withColumn("emb", F.base64(vectors.to_half("embedding")))
+    told = told.selectExpr("library", f"{_COPY} AS source", "'f' || p AS fp", "CAST(0.1 + 0.3 * k + 0.02 * s + CASE WHEN vec_id % 5 = 0 THEN 0.15 ELSE 0 END AS DOUBLE) AS x", "CASE WHEN vec_id * (s + 1) % 4 <> 2 THEN who END AS person", "CAST(vec_id * (s + 1) % 4 AS INT) AS state", "CAST(vec_id * (s + 3) % 50 AS DOUBLE) AS state_at", "who AS was", "s AS version", "emb", *face)
+    links = e.where("label % 4 = 3").selectExpr("library", "who AS old", "'p' || (label + 1) AS new", "CAST(0 AS DOUBLE) AS at").distinct()
+    faces, _ = peoplefile.merged_faces(mine, told, photos, mine.select("library", "photo_id").distinct().withColumn("version", F.lit(2)), peoplefile.redirects(links))
+    return faces.selectExpr("library", "photo_id", "CAST(floor(x / 0.3) AS BIGINT) AS k", "person", "state", "state_at", "was")
