@@ -7,13 +7,15 @@ of a query node and a data node are descended together and dropped if no product
 covering radii reaches the worst kth score of the queries below. The tree's lower levels grow with the rows, as blocks do: Spark joins the centres and radii of blocks
 under the pairs of leaves that are left, prunes pairs of blocks by the same bound, and joins the vectors of
 those that pass, by block, so that a dense leaf is no hot key. Sub-nodes inside a block are pruned alike
-before products are taken.
+before products are taken. Bounds start from the sample; a query is then compared with the other rows of the
+block that it lies in itself, the nearest there are, before any pair is judged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -24,10 +26,9 @@ from .common import saved
 
 #: The tree's upper levels and the first bounds come from at most so many rows; every row is indexed.
 SAMPLE_ROWS = 4096
-#: Leaves that the driver's descent sees; what lies below them are blocks, as many as the rows need.
+#: Leaves that the driver's descent sees, the square root of the rows until then (half that of the queries);
+#: what lies below them are blocks, as many as the rows need.
 MOST_LEAVES = 256
-ROWS_PER_LEAF = 2048
-QUERIES_PER_LEAF = 256
 BLOCK_ROWS = 2048
 QUERY_BLOCK_ROWS = 512
 SUB_NODES = 16
@@ -156,11 +157,23 @@ def unpacked(data, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(data), "<i8").reshape(-1, dim)
 
 
-def blocked(rows: DataFrame, cap: int) -> DataFrame:
+def raised(x: np.ndarray, query: np.ndarray, kth: np.ndarray, k: int) -> np.ndarray:
+    """kth, raised for the queries among the rows x to their kth best score against the other rows of x."""
+    mine = np.flatnonzero(query)
+    if len(mine) and len(x) > k:
+        score = products(x[mine], x)
+        score[np.arange(len(mine)), mine] = -(2**63)
+        kth = kth.copy()
+        kth[mine] = np.maximum(kth[mine], np.partition(score, -k, axis=1)[:, -k])
+    return kth
+
+
+def blocked(rows: DataFrame, cap: int, k: int | None = None) -> DataFrame:
     """(leaf, dim, centre, radius, least, centres, radii, sizes, ids, uids, kth, data): blocks of up to ``cap`` rows of a leaf.
 
-    rows: leaf, part, vec_id, uid, kth, data. A block has its centre, its covering radius and its least kth
-    score. Its rows are ordered by its sub-nodes, whose centres, radii and sizes it holds.
+    rows: leaf, part, vec_id, uid, query, kth, data. A block has its centre, its covering radius and its least kth
+    score. Its rows are ordered by its sub-nodes, whose centres, radii and sizes it holds. With k given, the kth
+    scores of its queries are raised by its own rows.
     """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,17 +193,19 @@ def blocked(rows: DataFrame, cap: int) -> DataFrame:
                 distance = np.sqrt(((f - tree.centres[sub]) ** 2).sum(1))
                 radii = np.array([distance[sub == s].max(initial=0.0) for s in range(len(sizes))])
                 own, centre = own.iloc[order], f.mean(0)
+                kth = own["kth"].to_numpy("<i8")
+                kth = kth if k is None else raised(x, own["query"].to_numpy(bool), kth, k)
                 radius = float(np.sqrt(((f - centre) ** 2).sum(1)).max(initial=0.0))
-                out.append((int(own["leaf"].iloc[0]), int(own["dim"].iloc[0]), centre.astype("<f8").tobytes(), radius, int(own["kth"].min()), tree.centres.tobytes(), radii.tobytes(), sizes.astype("<i8").tobytes(), own["vec_id"].to_numpy("<i8").tobytes(), own["uid"].to_numpy("<i8").tobytes(), own["kth"].to_numpy("<i8").tobytes(), x.tobytes()))
+                out.append((int(own["leaf"].iloc[0]), int(own["dim"].iloc[0]), centre.astype("<f8").tobytes(), radius, int(kth.min()), tree.centres.tobytes(), radii.tobytes(), sizes.astype("<i8").tobytes(), own["vec_id"].to_numpy("<i8").tobytes(), own["uid"].to_numpy("<i8").tobytes(), kth.astype("<i8").tobytes(), x.tobytes()))
             return pd.DataFrame(out, columns=["leaf", "dim", "centre", "radius", "least", "centres", "radii", "sizes", "ids", "uids", "kth", "data"])
 
         key = None
         for batch in batches:  # sorted by leaf and part
-            for k, part in batch.groupby(["dim", "leaf", "part"], sort=False):
-                if key is not None and k != key:
+            for at, part in batch.groupby(["dim", "leaf", "part"], sort=False):
+                if key is not None and at != key:
                     yield filled(pd.concat(held))
                     held = []
-                key = k
+                key = at
                 held.append(part)
         if held:
             yield filled(pd.concat(held))
@@ -199,6 +214,17 @@ def blocked(rows: DataFrame, cap: int) -> DataFrame:
     return dealt.mapInPandas(pack, "leaf long, dim int, centre binary, radius double, least long, centres binary, radii binary, sizes binary, ids binary, uids binary, kth binary, data binary")
 
 
+def raised_scores(blocks: DataFrame) -> DataFrame:
+    """(uid, kth) of the queries in blocks whose kth score is known."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            uid, kth = (np.frombuffer(b"".join(b[c]), "<i8") for c in ("uids", "kth"))
+            yield pd.DataFrame({"uid": uid, "kth": kth})[kth > -(2**63)]
+
+    return blocks.select("uids", "kth").mapInPandas(run, "uid long, kth long")
+
+
 def near_blocks(queries: DataFrame, blocks: DataFrame, leaves: DataFrame, dim: int) -> DataFrame:
     """(q_block, d_block): blocks under pairs of leaves (q_leaf, d_leaf) that may hold a top-k pair, by centres and radii."""
 
@@ -234,15 +260,15 @@ def top_k(vectors: DataFrame, k: int = 5, queries_every: int = 50, scale: int =
     return vectors.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _top_k(rows: DataFrame, dim: int, k: int) -> DataFrame:
+def indexed(rows: DataFrame, dim: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks of queries, blocks of all rows, and the pairs (q_leaf, d_leaf) of their leaves that the descent leaves."""
     spark = rows.sparkSession
     n, m = rows.agg(F.count("*"), F.count_if("query")).first()
     picked = rows.orderBy(F.xxhash64("vec_id"), "uid").limit(SAMPLE_ROWS).select("uid", "data").collect()
     sample, own = unpacked([r["data"] for r in picked], dim) if dim else np.zeros((len(picked), 0), "i8"), np.array([r["uid"] for r in picked])
-    leaves = max(1, min(MOST_LEAVES, n // ROWS_PER_LEAF))
-    tree = farthest_first(sample.astype("f8"), leaves)
+    tree = farthest_first(sample.astype("f8"), max(1, min(MOST_LEAVES, isqrt(n))))
     leaves = len(tree.centres)
-    q_leaves = max(1, min(leaves, m // QUERIES_PER_LEAF))
+    q_leaves = max(1, min(leaves, isqrt(m) // 2))
     state = spark.sparkContext.broadcast((tree, sample, own))  # at most SAMPLE_ROWS vectors
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,8 +288,6 @@ def _top_k(rows: DataFrame, dim: int, k: int) -> DataFrame:
 
     placed = saved(rows.mapInPandas(assign, "uid long, vec_id long, query boolean, dim int, data binary, leaf long, q_leaf long, kth long, gap double, q_gap double"))
     data = {r["leaf"]: r for r in placed.groupBy("leaf").agg(F.max("gap").alias("r"), F.count("*").alias("n")).collect()}  # a row per leaf
-    asked = {r["q_leaf"]: r for r in placed.where("query").groupBy("q_leaf").agg(F.max("q_gap").alias("r"), F.min("kth").alias("kth"), F.count("*").alias("n")).collect()}
-    pairs = dual_descent(tree, {i: (r["r"], float(r["kth"])) for i, r in asked.items()}, {i: r["r"] for i, r in data.items()})
 
     def parts(sizes: dict, leaf: str, cap: int):
         table = {i: r["n"] // cap + 1 for i, r in sizes.items()}
@@ -271,10 +295,20 @@ def _top_k(rows: DataFrame, dim: int, k: int) -> DataFrame:
         return F.pmod(F.xxhash64("uid"), count)
 
     block = F.monotonically_increasing_id().alias("block")
-    blocks = saved(blocked(placed.select("uid", "vec_id", "dim", "data", "kth", "leaf", parts(data, "leaf", BLOCK_ROWS).alias("part")), BLOCK_ROWS).select(block, "*"))
-    queries = placed.where("query").select("uid", "vec_id", "dim", "data", "kth", F.col("q_leaf").alias("leaf"), parts(asked, "q_leaf", QUERY_BLOCK_ROWS).alias("part"))
+    cols = ["uid", "vec_id", "query", "dim", "data"]
+    blocks = saved(blocked(placed.select(*cols, "kth", "leaf", parts(data, "leaf", BLOCK_ROWS).alias("part")), BLOCK_ROWS, k).select(block, "*"))
+    better = raised_scores(blocks).withColumnRenamed("kth", "better")
+    asking = placed.where("query").join(better, "uid", "left").withColumn("kth", F.greatest("kth", "better"))
+    asking = saved(asking.select(*cols, "kth", "q_leaf", "q_gap"))
+    asked = {r["q_leaf"]: r for r in asking.groupBy("q_leaf").agg(F.max("q_gap").alias("r"), F.min("kth").alias("kth"), F.count("*").alias("n")).collect()}
+    pairs = dual_descent(tree, {i: (r["r"], float(r["kth"])) for i, r in asked.items()}, {i: r["r"] for i, r in data.items()})
+    queries = asking.select(*cols, "kth", F.col("q_leaf").alias("leaf"), parts(asked, "q_leaf", QUERY_BLOCK_ROWS).alias("part"))
     queries = saved(blocked(queries, QUERY_BLOCK_ROWS).select(block, "*"))
-    near = spark.createDataFrame(pairs or [(-1, -1)], "q_leaf long, d_leaf long")  # at most MOST_LEAVES squared
+    return queries, blocks, spark.createDataFrame(pairs or [(-1, -1)], "q_leaf long, d_leaf long")  # at most MOST_LEAVES squared
+
+
+def _top_k(rows: DataFrame, dim: int, k: int) -> DataFrame:
+    queries, blocks, near = indexed(rows, dim, k)
     met = near_blocks(queries, blocks, near, dim)
     q = met.join(queries.select(F.col("block").alias("q_block"), *(F.col(c).alias("q_" + c) for c in ("data", "kth", "uids", "ids"))), "q_block").drop("q_block")
     joined = q.join(blocks.select(F.col("block").alias("d_block"), "data", "ids", "uids", "sizes", "centres", "radii"), "d_block").drop("d_block")
@@ -300,8 +334,6 @@ def _top_k(rows: DataFrame, dim: int, k: int) -> DataFrame:
                 rows_ = rows_[np.arange(len(rows_)) - first < k]
                 yield pd.DataFrame({"query_uid": uid[rows_[:, 0]], "query_id": qid[rows_[:, 0]], "vec_id": rows_[:, 2], "uid": rows_[:, 3], "score": rows_[:, 1]})
 
-
-
     found = joined.mapInPandas(compare, "query_uid long, query_id long, vec_id long, uid long, score long")
     best = Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id", "uid")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,6 +3,7 @@ import numpy as np
 import pytest
 
 from medialake.llm import queries, topk
+from medialake.llm.common import scratch as topk_scratch
 
 SF = "/root/testdata/sf0.01"
 
@@ -33,7 +34,7 @@ def table(spark, rows):
 
 @pytest.mark.parametrize("shape", ["clusters", "one point", "huge"])
 def test_small_blocks(spark, monkeypatch, shape):
-    for name, n in (("ROWS_PER_LEAF", 20), ("QUERIES_PER_LEAF", 3), ("BLOCK_ROWS", 16), ("QUERY_BLOCK_ROWS", 4), ("SAMPLE_ROWS", 60), ("SUB_NODES", 4)):
+    for name, n in (("BLOCK_ROWS", 16), ("QUERY_BLOCK_ROWS", 4), ("SAMPLE_ROWS", 60), ("SUB_NODES", 4)):
         monkeypatch.setattr(topk, name, n)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 5))
@@ -57,3 +58,31 @@ def test_far_pairs_are_dropped():
     radius = {i: float(np.sqrt(((x[leaf == i] - tree.centres[i]) ** 2).sum(1)).max()) for i in (0, 1)}
     pairs = topk.dual_descent(tree, {i: (radius[i], 5000.0) for i in (0, 1)}, radius)
     assert sorted(pairs) == [(0, 0), (1, 1)]
+
+
+def test_pairs_of_clustered_vectors_are_pruned(spark):
+    """Seven clusters of the given vectors: over half of the pairs of leaves and of blocks go unseen, and results stay exact."""
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r["embedding"] for r in given])
+    x = x[np.arange(len(x)) % 7] + 0.1 * x
+    ids = [r["vec_id"] for r in given]
+    vectors = table(spark, [(i, v.tolist()) for i, v in zip(ids, x.astype("f4"))])
+    with topk_scratch(spark):
+        queries_, blocks, near = topk.indexed(topk.scaled(vectors, topk.SCALE, 5), x.shape[1], 5)
+        leaves = [b.select("leaf").distinct().count() for b in (queries_, blocks)]
+        assert min(leaves) > 2 and near.count() < leaves[0] * leaves[1] / 2
+        assert topk.near_blocks(queries_, blocks, near, x.shape[1]).count() < queries_.count() * blocks.count() / 2
+    v = np.floor(256.0 * x.astype("f4").astype("f8")).astype("i8")
+    want = []
+    for a in (a for a, i in enumerate(ids) if i % 5 == 0):
+        scores = v @ v[a]
+        best = [b for b in np.lexsort((ids, -scores)) if b != a][:5]
+        want += [(ids[a], r + 1, ids[b], int(scores[b])) for r, b in enumerate(best)]
+    assert got(topk.top_k(vectors, 5, 5)) == sorted(want)
+
+
+def test_bounds_are_raised_by_rows_nearby():
+    x = np.array([[3, 0], [2, 0], [1, 0], [0, 5]], "i8")
+    low = np.full(4, -(2**63), "i8")
+    assert topk.raised(x, np.array([True, False, True, False]), low, 2).tolist() == [3, -(2**63), 2, -(2**63)]
+    assert topk.raised(x, np.array([True] * 4), low, 4).tolist() == low.tolist()
