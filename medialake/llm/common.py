@@ -39,15 +39,17 @@ def held_out(doc_id: str, parts: int, remainder: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, parts: int, remainder: int, rows: int) -> DataFrame:
-    """(text, y) of at most ``rows`` rows of each label that aren't held out, the least by a hash of the id."""
+    """(text, y) of at most ``rows`` rows of each label that aren't held out, the least by a hash of the id.
+
+    Of an id's rows in docs the one with the least hash of its text counts, so that ids bound the rows
+    and no text is sorted or moved but to the task of its id. An id that has both labels is in both kinds.
+    """
     known = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", parts, remainder))
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    order, out = [F.xxhash64("doc_id"), F.col("doc_id")], []
-    for y in (0, 1):
-        picked = known.where(F.col("y") == y).orderBy(*order).limit(rows)  # so a broadcast of at most ``rows`` ids
-        out.append(texts.join(F.broadcast(picked), "doc_id").orderBy(*order).limit(rows))
-    return out[0].union(out[1]).select("text", "y")
+    kinds = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
+    found = texts.join(F.broadcast(kinds[0].union(kinds[1])), "doc_id")  # at most 2 * rows ids
+    return found.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y")
 
 
 def sliced(df: DataFrame, *order: str) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from medialake.llm import quality, queries, toxicity
+from medialake.llm.common import labelled
 
 SF = "/root/testdata/sf0.01"
 
@@ -19,6 +20,23 @@ def test_held_out_accuracy(spark, name, label, parts, rest, cut, least):
     assert np.mean([a == b for a, b in known]) >= least
 
 
+@pytest.mark.parametrize("size,found,wrong", [("sf0.1", 0.85, 0.02), ("sf0.001", 0.5, 0.05)])
+def test_toxic_rows_are_found_and_clean_ones_left_alone(spark, size, found, wrong):
+    """Shares of held-out rows: at least ``found`` of the toxic ones, at most ``wrong`` of the others."""
+    rows = {r["doc_id"]: r for r in queries.QUERIES["op10_toxicity"](spark, f"/root/testdata/{size}").collect()}
+    known = [(r["toxic"], rows[r["doc_id"]]["predicted"]) for r in spark.read.parquet(f"/root/testdata/{size}/labels.parquet").collect() if rows[r["doc_id"]]["held_out"]]
+    assert np.mean([said for y, said in known if y == 1]) >= found
+    assert np.mean([said for y, said in known if y == 0]) <= wrong
+
+
+def test_labelled_rows_are_one_an_id(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "c"), (3, None), (None, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (None, 1), (9, 1)], "doc_id long, toxic int")
+    rows = sorted(tuple(r) for r in labelled(docs, labels, "toxic", 1, 5, 10).collect())
+    assert [r for r in rows if r[0] not in "ab" or not r[0]] == [("", 0), ("c", 0), ("c", 1)] and len(rows) == 4
+    assert labelled(docs, labels, "toxic", 1, 5, 1).count() <= 2
+
+
 @pytest.mark.parametrize("op", [quality, toxicity])
 def test_odd_rows(spark, odd, op):
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (5, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
