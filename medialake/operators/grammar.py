@@ -13,11 +13,14 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import located
 from ..functions.text import folded
+from ..shared import saved
 from .rules import is_screenshot, is_video
 
 # Words of two languages.
@@ -67,6 +70,10 @@ PERSON, LONG_NAME, PLACE, NAME, PHRASE, YEARS, MONTH, DAY, YEAR, WEEKDAY, TYPE,
 #: Of names that are written alike, the kinds that come first.
 NAMED = ("album", "folder", "event")
 
+#: Photos of a block of bit sets, and how many blocks there are unless photos are many; forms that come to a block at once.
+LEAST_BLOCK, MOST_BLOCKS, LARGEST_BLOCK = 4_096, 64, 1 << 16
+FORMS_AT_ONCE = 1 << 14
+
 VOCABULARY = "gram string, kind string, value string, keys array<string>"
 
 
@@ -146,8 +153,15 @@ def read(searches: DataFrame, vocabulary: DataFrame) -> DataFrame:
     searches: id, text; vocabulary: library_words() and fixed_words(). position and length count words, from
     0. ``-name`` and ``-videos`` turn a term around; other words with a dash are words not to be there (kind
     word, negative). A quoted phrase is a name or stays together. Little words are left out, unless there is
-    nothing else. Null and empty searches have no terms; each id is one search.
+    nothing else. Null and empty searches have no terms; each id is one search. Searches of one text are read once.
     """
+    texts = searches.where("text is not null").groupBy("text").agg(F.min("id").alias("__first"))
+    terms = _read(texts.select(F.col("__first").alias("id"), "text"), vocabulary).withColumnRenamed("id", "__first")
+    return searches.select("id", "text").join(texts, "text").join(terms, "__first").drop("text", "__first")
+
+
+def _read(searches: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """read() of searches that have different texts."""
     raw = F.regexp_extract_all("text", F.lit(r'([^\s"]*"[^"]*"|\S+)'), 1)
     bare = lambda t: F.regexp_replace(folded(t), '^[",;]+|[",;]+$', "")
     texts = searches.where("text is not null").select("id", raw.alias("raw")).withColumn("words", F.transform("raw", bare))
@@ -226,6 +240,12 @@ def people_keys(photos: DataFrame, faces: DataFrame) -> DataFrame:
     return seen.distinct().union(ids.join(anybody, "photo", "left_semi").select("photo", F.lit("with_people"))).union(ids.join(anybody, "photo", "left_anti").select("photo", F.lit("no_people")))
 
 
+def _from_all(asked: Column) -> Column:
+    """A form that only turns terms around starts from all photos, whose key is ``*``."""
+    all_ = F.array(F.struct(F.lit(False).alias("negative"), F.array(F.lit("*")).alias("keys")))
+    return F.when(F.exists(asked, lambda t: ~t["negative"]), asked).otherwise(F.concat(asked, all_))
+
+
 def matches(terms: DataFrame, keys: DataFrame, photos: DataFrame) -> DataFrame:
     """(form, photo): the photos of each different search, and (id, form) is searched_forms(terms).
 
@@ -233,8 +253,7 @@ def matches(terms: DataFrame, keys: DataFrame, photos: DataFrame) -> DataFrame:
     that isn't turned around, and none of the others; a form that only has others starts from all photos.
     """
     asked = searched_forms(terms).groupBy("form").agg(F.first("asked").alias("asked"))
-    all_ = F.array(F.struct(F.lit(False).alias("negative"), F.array(F.lit("*")).alias("keys")))
-    asked = asked.withColumn("asked", F.when(F.exists("asked", lambda t: ~t["negative"]), F.col("asked")).otherwise(F.concat("asked", all_)))
+    asked = asked.withColumn("asked", _from_all(F.col("asked")))
     parts = asked.select("form", F.size(F.filter("asked", lambda t: ~t["negative"])).alias("need"), F.posexplode("asked").alias("part", "t"))
     each = parts.select("form", "need", "part", "t.negative", F.explode("t.keys").alias("key"))
     wanted = keys.union(photos.select(F.col("id").alias("photo"), F.lit("*").alias("key"))).join(each.select("key").distinct(), "key", "left_semi")  # what anybody asks for
@@ -249,8 +268,74 @@ def searched_forms(terms: DataFrame) -> DataFrame:
     return asked.select("id", F.sha2(F.to_json("asked"), 256).alias("form"), "asked")
 
 
+def _photo_bits(wanted: DataFrame, blocks: int) -> DataFrame:
+    """(block, key, bits): photos are dealt to blocks by a hash; which of a block's photos have a key, packed."""
+
+    def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(rows["photo"].to_numpy(), return_inverse=True)
+        names, of = np.unique(rows["key"].to_numpy().astype(str), return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        ends = np.searchsorted(of[order], np.arange(len(names) + 1))
+        size = -(-len(ids) // 64) * 64
+        out = []
+        for k in range(len(names)):
+            has = np.zeros(size, bool)
+            has[at[order[ends[k] : ends[k + 1]]]] = True
+            out.append(np.packbits(has).tobytes())
+        return pd.DataFrame({"block": key[0], "key": names, "bits": out})
+
+    dealt = wanted.withColumn("block", F.pmod(F.xxhash64("photo"), F.lit(blocks)).cast("int"))
+    return saved(dealt.groupBy("block").applyInPandas(pack, "block int, key string, bits binary"))
+
+
+def counted(terms: DataFrame, keys: DataFrame, photos: DataFrame) -> DataFrame:
+    """(form, photos): how many photos each form of matches() finds, without making the pairs.
+
+    A key is a set of bits over the photos of a block. Forms come in chunks to each block, where a term is
+    the union of its keys' sets and a form what is left of the terms' sets. Forms found nowhere have no row.
+    """
+    asked = searched_forms(terms).groupBy("form").agg(F.first("asked").alias("asked"))
+    forms = saved(asked.withColumn("asked", _from_all(F.col("asked"))))
+    every = photos.select(F.col("id").alias("photo"), F.lit("*").alias("key"))
+    wanted = keys.union(every).join(forms.select(F.explode("asked.keys").alias("keys")).select(F.explode("keys").alias("key")).distinct(), "key", "left_semi")
+    n = photos.count()
+    blocks = max(1, min(MOST_BLOCKS, n // LEAST_BLOCK), -(-n // LARGEST_BLOCK))
+    bits = _photo_bits(wanted, blocks)
+    chunks = max(1, -(-forms.count() // FORMS_AT_ONCE))
+    chunk = forms.withColumn("chunk", F.pmod(F.xxhash64("form"), F.lit(chunks)).cast("int"))
+    left = chunk.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = bits.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+
+    def count(key, some: pd.DataFrame, sets_: pd.DataFrame) -> pd.DataFrame:
+        has = {k: np.frombuffer(b, "u8") for k, b in zip(sets_["key"], sets_["bits"])}
+        none = np.zeros(len(next(iter(has.values()))) if has else 0, "u8")
+        made: dict = {}
+
+        def term(names: tuple) -> np.ndarray:
+            if len(names) == 1:
+                return has.get(names[0], none)
+            if names not in made:
+                found = [has[k] for k in names if k in has]
+                made[names] = np.bitwise_or.reduce(found) if found else none
+            return made[names]
+
+        out = []
+        for asked_ in some["asked"]:
+            left_ = None
+            for t in sorted(asked_, key=lambda t: t["negative"]):
+                own = term(tuple(t["keys"]))
+                left_ = own if left_ is None else left_ & ~own if t["negative"] else left_ & own
+                if not left_.any():
+                    break
+            out.append(int(np.bitwise_count(left_).sum()))
+        return pd.DataFrame({"form": some["form"], "n": pd.Series(out, dtype="int64")})
+
+    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(count, "form string, n long")
+    return found.where("n > 0").groupBy("form").agg(F.sum("n").alias("photos"))
+
+
 def found_counts(searches: DataFrame, terms: DataFrame, keys: DataFrame, photos: DataFrame) -> DataFrame:
     """(id, photos): how many photos each search finds; searches without terms find none."""
     forms = searched_forms(terms).select("id", "form")
-    counts = matches(terms, keys, photos).groupBy("form").agg(F.count("*").alias("photos"))
+    counts = counted(terms, keys, photos)
     return searches.select("id").join(forms.join(counts, "form"), "id", "left").select("id", F.coalesce("photos", F.lit(0)).cast("long").alias("photos"))

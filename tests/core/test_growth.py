@@ -1,11 +1,12 @@
 """Operators whose work must grow with the rows: equal to plain loops, on copies, ties and edges."""
 
 import random
+from datetime import date
 
 from pyspark.sql import functions as F
 
 from medialake import queries as media
-from medialake.operators import dupes, lookups
+from medialake.operators import dupes, grammar, lookups
 
 
 def test_duration_links_equal_all_pairs(spark):
@@ -40,3 +41,24 @@ def test_event_of_photo_equals_a_loop(spark):
     want = sorted((i, max(found)[1]) for i, found in in_.items() if found)
     got = lookups.event_of_photo(spark.createDataFrame(photos, "id long, taken_at double"), spark.createDataFrame(events, "id long, start_at double, end_at double"))
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_counted_searches_equal_the_photos_found(spark, monkeypatch):
+    for name, value in {"LEAST_BLOCK": 8, "LARGEST_BLOCK": 40, "FORMS_AT_ONCE": 7}.items():
+        monkeypatch.setattr(grammar, name, value)
+    rng = random.Random(11)
+    photos = spark.range(90).where("id % 7 > 0")
+    keys = spark.createDataFrame([(p, f"k{rng.randrange(12)}") for p in range(90) if p % 7 for _ in range(4)] * 2, "photo long, key string")
+    rows = [(i, rng.random() < 0.3, sorted({f"k{rng.randrange(14)}" for _ in range(rng.randint(1, 3))})) for i in range(60) for _ in range(rng.randint(1, 3))]
+    terms = spark.createDataFrame(rows, "id long, negative boolean, keys array<string>")
+    want = {r["form"]: r["n"] for r in grammar.matches(terms, keys, photos).groupBy("form").agg(F.count("*").alias("n")).collect()}
+    assert {r["form"]: r["photos"] for r in grammar.counted(terms, keys, photos).collect()} == want
+
+
+def test_searches_of_one_text_are_read_once(spark, monkeypatch):
+    words = grammar.fixed_words(spark, date(1996, 1, 3))
+    one = [tuple(r)[1:] for r in grammar.read(spark.createDataFrame([(1, "videos 1995 -clip")], "id long, text string"), words).collect()]
+    read, seen = grammar._read, []
+    monkeypatch.setattr(grammar, "_read", lambda searches, vocabulary: (seen.append(searches.count()), read(searches, vocabulary))[1])
+    got = grammar.read(spark.createDataFrame([(k, "videos 1995 -clip" if k % 5 else None) for k in range(40)], "id long, text string"), words).collect()
+    assert seen == [1] and sorted(map(str, got)) == sorted(map(str, (type(got[0])(**dict(zip(got[0].asDict(), (k, *t)))) for k in range(40) if k % 5 for t in one)))
