@@ -76,8 +76,11 @@ def words_match(name: Column, typed: Column) -> Column:
 def keywords(text: Column) -> Column:
     """The keywords of a list separated by ; or , in order, each once, regardless of case."""
     parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[;,]"), lambda s: F.trim(s)), lambda s: s != "")
-    lower = F.transform(parts, lambda s: F.lower(s))
-    return F.filter(parts, lambda s, i: F.array_position(lower, F.lower(s)) == i + 1)
+    # sorted by what is compared, the first of each is the one before which another stands; a lambda's own variable is counted once
+    once = lambda column, then: F.get(F.transform(F.array(column), then), F.lit(0))
+    keyed = F.sort_array(F.transform(parts, lambda s, i: F.struct(F.lower(s).alias("key"), i.alias("at"), s.alias("word"))))
+    first = once(keyed, lambda z: F.filter(z, lambda x, j: (j == 0) | (F.get(z, j - 1)["key"] != x["key"])))
+    return F.transform(F.sort_array(F.transform(first, lambda x: F.struct(x["at"].alias("at"), x["word"].alias("word")))), lambda x: x["word"])
 
 
 def merge_keywords(mine: Column, more: Column) -> Column:
