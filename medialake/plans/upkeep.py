@@ -97,15 +97,18 @@ def stray_partials(listing: DataFrame, as_of: float, root: str = "Originals/", o
     """(folder, name) of files under ``root`` that nobody wrote to for ``older_than`` seconds and that were left half made:
     the sending of a file (name.part), beside that file, or an encoding (.stem.smaller.mp4.part), beside its video.
 
-    listing: (folder, name, mtime). The join is on folder and stem, so no folder is compared with itself."""
-    stem = lambda c: F.regexp_extract(c, r"^([^.\-]*)", 1)
-    files = listing.select("folder", F.col("name").alias("beside"), stem(F.col("name")).alias("stem"))
+    listing: (folder, name, mtime). Different names are given to what stands before each of their dots and dashes,
+    of which the least and the greatest name are kept: the join is one of equal keys, a row each."""
+    names = listing.select("folder", "name").distinct()
+    cut = F.filter(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring("name", i, F.lit(1)).isin(".", "-"))
+    keys = F.concat(F.array(F.struct(F.col("name").alias("of"), F.lit(True).alias("whole"))), F.transform(cut, lambda i: F.struct(F.substring("name", F.lit(1), i - 1).alias("of"), F.lit(False).alias("whole"))))
+    beside = names.select("folder", "name", F.inline(keys)).groupBy("folder", "of").agg(F.min("name").alias("least"), F.max("name").alias("most"), F.max("whole").alias("whole"))
     old = listing.where(F.endswith("name", F.lit(".part")) & F.startswith(F.concat("folder", F.lit("/")), F.lit(root)) & (F.lit(as_of) - F.coalesce("mtime", F.lit(0.0)) >= older_than))
     whole = F.regexp_extract("name", HALF_MADE, 1)
     half = F.when(whole != "", whole).otherwise(F.expr("substring(name, 1, length(name) - 5)"))
-    old = old.select("folder", "name", half.alias("of"), (whole != "").alias("encoded"), stem(half).alias("stem"))
-    fits = F.when(F.col("encoded"), (F.col("beside") == F.col("of")) | F.startswith("beside", F.concat("of", F.lit("."))) | F.startswith("beside", F.concat("of", F.lit("-")))).otherwise(F.col("beside") == F.col("of"))
-    return old.join(files, ["folder", "stem"]).where(fits & (F.col("beside") != F.col("name"))).select("folder", "name").distinct()
+    old = old.select("folder", "name", half.alias("of"), (whole != "").alias("encoded")).distinct()
+    fits = F.when(F.col("encoded"), (F.col("least") != F.col("name")) | (F.col("most") != F.col("name"))).otherwise(F.col("whole"))
+    return old.join(beside, ["folder", "of"]).where(fits).select("folder", "name").distinct()
 
 
 def estimate(files: DataFrame, measured: DataFrame, samples: int = 24) -> DataFrame:
@@ -118,15 +121,15 @@ def estimate(files: DataFrame, measured: DataFrame, samples: int = 24) -> DataFr
 
 
 def sample_rows(files: DataFrame, samples: int = 24) -> DataFrame:
-    """Every step-th file in the order of paths, at most ``samples``: the step is the files over the samples.
+    """Every step-th file in the order of paths (ties: of ids), at most ``samples``: the step is the files over the samples.
 
     Ranges of paths are counted first, so each ranks its own files; no task holds all."""
-    dealt = saved(files.repartitionByRange("path").withColumn("__slice", F.spark_partition_id()))
+    dealt = saved(files.repartitionByRange("path", "id").withColumn("__slice", F.spark_partition_id()))
     sums = dealt.groupBy("__slice").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     sums = sums.select("__slice", before.alias("__n0"), F.greatest(F.lit(1), F.floor(total / max(1, samples))).alias("__step"))
-    place = F.row_number().over(Window.partitionBy("__slice").orderBy("path")) - 1 + F.col("__n0")
+    place = F.row_number().over(Window.partitionBy("__slice").orderBy("path", "id")) - 1 + F.col("__n0")
     rows = dealt.join(sums, "__slice").withColumn("__place", place)
     return rows.where((F.col("__place") % F.col("__step") == 0) & (F.col("__place") < F.col("__step") * samples)).drop("__slice", "__n0", "__step", "__place")
 
