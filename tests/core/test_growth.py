@@ -1,12 +1,15 @@
 """Operators whose work must grow with the rows: equal to plain loops, on copies, ties and edges."""
 
 import random
+import re
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from medialake import queries as media
-from medialake.operators import dupes, grammar, lookups
+from medialake.functions import text
+from medialake.operators import dupes, grammar, lookups, places, sets
+from medialake.plans import upkeep
 
 
 def test_duration_links_equal_all_pairs(spark):
@@ -62,3 +65,97 @@ def test_searches_of_one_text_are_read_once(spark, monkeypatch):
     monkeypatch.setattr(grammar, "_read", lambda searches, vocabulary: (seen.append(searches.count()), read(searches, vocabulary))[1])
     got = grammar.read(spark.createDataFrame([(k, "videos 1995 -clip" if k % 5 else None) for k in range(40)], "id long, text string"), words).collect()
     assert seen == [1] and sorted(map(str, got)) == sorted(map(str, (type(got[0])(**dict(zip(got[0].asDict(), (k, *t)))) for k in range(40) if k % 5 for t in one)))
+
+
+def test_alike_videos_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(sets, "CELL", 3)
+    rng = random.Random(13)
+    base = [[[rng.random() for _ in range(16)] for _ in range(2)] for _ in range(6)]
+    rows = []
+    for k in range(60):
+        b = base[rng.randrange(6)]
+        noise = rng.choice((0, 0, 0.02, 0.1, 0.16))
+        moment = lambda m: [[min(1.0, max(0.0, b[m % 2][(j * (3 if m == 2 else 1)) % 16] + rng.uniform(-noise, noise))) for j in range(16)] for _ in range(rng.randint(1, 2))]  # noqa: B023, E731
+        rows.append((k, rng.choice((5.0, 5.2, 5.4, 9.0)), rng.random() < 0.7, rng.choice((None, None, 1, 2)), rng.choice((True, False, None)), [moment(m) for m in range(rng.choice((0, 3, 3, 3, 2)))]))
+    df = spark.createDataFrame(rows, "id long, duration double, is_new boolean, root long, sound boolean, shots array<array<array<double>>>")
+    pairs = [(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and abs(x[1] - y[1]) <= 0.3 and (x[2] or y[2]) and not (x[3] is not None and x[3] == y[3])]
+    scored = sets.moments_alike(spark.createDataFrame(pairs, "a long, b long"), df).collect()
+    want = sorted((r["a"], r["b"]) for r in scored if min(r["scores"]) >= sets.VIDEO_MIN and sum(r["scores"]) / len(r["scores"]) >= sets.VIDEO_MEAN)
+    assert len(want) > 10 and sorted(map(tuple, sets.alike_videos(df).collect())) == want
+
+
+def test_samples_of_equal_paths_go_by_id(spark):
+    files = spark.createDataFrame([(k * 37 % 100, f"p{k * 37 % 100 // 50}") for k in range(100)], "id long, path string").repartition(7)
+    assert sorted(r["id"] for r in upkeep.sample_rows(files, 10).collect()) == list(range(0, 100, 10))
+
+
+def test_names_near_equal_all_pairs(spark):
+    rng = random.Random(17)
+    names = ["", "a", "ab", "ba", "abc", "acb", "abcd", "añb", "aab", "b", "bb", None]
+    rows = [(k, rng.choice(("x", "y", None)), rng.choice(names)) for k in range(120)]
+    first = {}
+    for k, g, n in rows:
+        if g is not None and n is not None:
+            first.setdefault((g, n), k)
+
+    def near(a, b):
+        cuts = lambda s: {s[:i] + s[i + 1 :] for i in range(len(s))}
+        return a in cuts(b) or b in cuts(a) or len(a) == len(b) and sum(p != q for p, q in zip(a, b)) <= 1
+
+    want = {(first[g, n], k, True) for k, g, n in rows if (g, n) in first and first[g, n] < k} | {(i, j, False) for (g, n), i in first.items() for (h, m), j in first.items() if g == h and i < j and near(n, m)}
+    got = dupes.names_near(spark.createDataFrame(rows, "id long, g string, name string"), ["g"], "name").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_points_and_towns_of_one_place_meet_once(spark, monkeypatch):
+    points = spark.createDataFrame([(k, float(k % 3), 10.0 if k % 4 else None) for k in range(60)], "id long, lat double, lon double")
+    towns = spark.createDataFrame([(k, float(k % 2), 10.2, (k * 7 % 5) * 100_000) for k in range(30)], "id long, lat double, lon double, population long")
+    near, met = places.near, []
+    monkeypatch.setattr(places, "near", lambda *a: (met.append(near(*a).count()), near(*a))[1])
+    nearest = {r["id"]: r["town_id"] for r in places.nearest(points, towns, 200.0).collect()}
+    assert nearest == {k: 0 if k % 3 == 0 else 1 for k in range(60) if k % 4}
+    largest = {r["id"]: r["town_id"] for r in places.largest(points, towns, 60.0).collect()}
+    assert largest == {k: 2 if k % 3 == 0 else 7 for k in range(60) if k % 4 and k % 3 < 2}
+    assert max(met) <= 6
+
+
+def test_merged_answers_equal_a_loop(spark):
+    rng = random.Random(19)
+    rows = [(k, rng.choice(("Rome", "ROME", "Oslo", None)), rng.choice(("d", "D", "e", "f", None)), rng.choice(("", "", None, "park", "bar")), rng.choice((0.0, 0.003, 0.0041, -0.001, 5.0, None)), rng.choice((0.0, 0.004, -0.003))) for k in range(40)]
+    fold = lambda s: None if s is None else s.lower()
+
+    def same(a, b):
+        close = a[4] is not None and b[4] is not None and abs(a[4] - b[4]) < 0.004 and abs(a[5] - b[5]) < 0.004
+        return a[1] is not None and fold(a[1]) == fold(b[1]) and (close or fold(a[2] or "") == fold(b[2] or ""))
+
+    want = []
+    for a in rows:
+        if not any(b[0] < a[0] and same(a, b) for b in rows):
+            want.append((a[0], a[3] or next((b[3] for b in rows if b[0] > a[0] and same(a, b) and b[3]), None)))
+    got = places.merged_answers(spark.createDataFrame(rows, "id long, title string, detail string, kind string, lat double, lon double")).collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_long_lists_of_keywords(spark):
+    words = [f"{'Ab'[k % 2]}{k * 7919 % 1500} x" for k in range(6000)]
+    seen = {}
+    for w in words:
+        seen.setdefault(w.lower(), w)
+    df = spark.createDataFrame([(" ; ".join(words) + ",,",), (None,), ("b;B, a ;A",)], "t string")
+    assert [r[0] for r in df.select(text.merge_keywords(F.col("t"), F.lit(""))).collect()] == ["; ".join(seen.values()), "", "b; a"]
+
+
+def test_stray_partials_equal_a_loop(spark):
+    rng = random.Random(23)
+    names = ["a.jpg", "a.jpg.part", ".a.smaller.mp4.part", "a-2.mov", "a", ".a.b.smaller.mp4.part", "a.b-1.mp4", ".smaller.smaller.mp4.part", ".part", "b.part", "b", "..smaller.mp4.part", "", ".c.smaller.mp4.part", "c", "cd.mp4"]
+    rows = [(f"{rng.choice(('Originals', 'Other'))}/{k % 9}", rng.choice(names), rng.choice((None, 0.0, 1e9))) for k in range(300)]
+    want = set()
+    for folder, name, mtime in rows:
+        if name.endswith(".part") and folder.startswith("Originals/") and 1e9 - (mtime or 0.0) >= 86_400:
+            made = re.match(upkeep.HALF_MADE, name)
+            of = made[1] if made else name[:-5]
+            fits = lambda b: b == of or made and (b.startswith(of + ".") or b.startswith(of + "-"))  # noqa: B023, E731
+            if any(f == folder and fits(b) and b != name for f, b, _ in rows):
+                want.add((folder, name))
+    got = upkeep.stray_partials(spark.createDataFrame(rows, "folder string, name string, mtime double"), 1e9).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
