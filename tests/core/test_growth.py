@@ -159,3 +159,30 @@ def test_stray_partials_equal_a_loop(spark):
                 want.add((folder, name))
     got = upkeep.stray_partials(spark.createDataFrame(rows, "folder string, name string, mtime double"), 1e9).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_picture_candidates_equal_all_pairs(spark):
+    rng = random.Random(29)
+    rows = []
+    for k in range(150):
+        own = [rng.choice((0.0, 1.0)) for _ in range(4)]
+        bands = [f"{b}:{rng.randrange(12)}" for b in range(3)] + ["3:full" if k < 70 else f"3:{k % 5}"]
+        rows.append((k, rng.random() < 0.5, rng.choice((1.0, 3.0, 9.0)), [x + rng.choice((0.0, 0.05, 0.1)) for x in own], bands))
+    size = {}
+    for r in rows:
+        for b in r[4]:
+            size[b] = size.get(b, 0) + 1
+    small = {b for b, n in size.items() if 2 <= n <= sets.BUCKET_MAX}
+    want = set()
+    for x in rows:
+        for y in rows:
+            if x[0] < y[0] and (x[1] or y[1]) and min(x[2], y[2]) >= sets.FLAT and small & set(x[4]) & set(y[4]):
+                total = 0.0
+                for p, q in zip(x[3], y[3]):
+                    total += abs(p - q)
+                if total / 4 < sets.LOOK_PREFILTER:
+                    want.add((x[0], y[0]))
+    df = spark.createDataFrame(rows, "id long, is_new boolean, sd double, z array<double>, bands array<string>")
+    candidates = sets.picture_candidates(df)
+    got = [tuple(r) for r in candidates.collect()]
+    assert want and len(got) == len(want) and set(got) == want
