@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,13 @@ MOST_MERGES = 50
 SEED_YAW = 0.6
 SEED_ROLL = 45.0
 AUTO, CONFIRMED, REMOVED = 0, 1, 2
+#: Joining of groups: parts that meet each other, and groups in one at most; groups of a connected piece of near ones;
+#: near groups listed for each; groups that tell how alike they are; links for each group in a large and in a small table.
+PARTS, PART = 8, 65_536
+PIECE = 65_536
+LISTED = 64
+PROBES = 256
+FEW_NEAR, SOME_NEAR = 0.5, 16
 
 
 def nearest(faces: DataFrame, known: DataFrame, k: int, least: float) -> DataFrame:
@@ -125,68 +134,243 @@ def to_known(free: DataFrame, known: DataFrame, anchors: DataFrame, present: Dat
     return best.where(F.col("next").isNull() | (F.col("s") - F.col("next") >= JOIN_MARGIN)).select("id", "photo_id", "person_id")
 
 
-def joined(live: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+class _Groups:
+    """Groups of an Arrow table, with their sets looked up when asked for."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        self.g, self.n = rows["g"].to_numpy(), rows["n"].to_numpy().astype("f8")
+        self.total = rows["total"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(self.g), -1)
+        self.u = (self.total / self.n[:, None]).astype("f4")
+        self.lists = {c: rows[c].combine_chunks() for c in ("ids", "photos", "apart")}
+        self.sets: dict[tuple[str, int], frozenset] = {}
+
+    def of(self, name: str, i: int) -> frozenset:
+        if (name, i) not in self.sets:
+            self.sets[name, i] = frozenset(self.lists[name][i].as_py())
+        return self.sets[name, i]
+
+    def may_join(self, i: int, other: _Groups, j: int) -> bool:
+        return self.of("photos", i).isdisjoint(other.of("photos", j)) and self.of("apart", i).isdisjoint(other.of("ids", j))
+
+    def links(self, other: _Groups, least: float, strip: int, same: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(i, j, link) of pairs at least so alike, strip by strip; same: each pair of one table once.
+
+        Single precision finds them, with room for its error (the means are no longer than 1); double says.
+        """
+        room = 2e-7 * self.u.shape[1] + 1e-6
+        for r in range(0, len(self.g), strip):
+            for c in range(r // strip * strip if same else 0, len(other.g), strip):
+                i, j = np.nonzero(self.u[r : r + strip] @ other.u[c : c + strip].T >= np.float32(least - room))
+                i, j = i + r, j + c
+                if same:
+                    i, j = i[i < j], j[i < j]
+                for k in range(0, len(i), 1 << 16):
+                    x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                    link = np.round(np.einsum("kd,kd->k", self.total[x], other.total[y]) / (self.n[x] * other.n[y]), 9)
+                    good = (link >= least) & (self.g[x] != other.g[y])
+                    if good.any():
+                        yield x[good], y[good], link[good]
+
+    def best(self, other: _Groups, i: np.ndarray, j: np.ndarray, link: np.ndarray, most: int) -> Iterator[tuple[int, int, float, bool]]:
+        """(g, other, link, full): the best ``most`` of each of my groups that it may join; full: there may be more after this one."""
+        low, high = np.minimum(self.g[i], other.g[j]), np.maximum(self.g[i], other.g[j])
+        order = np.lexsort((high, low, -link, i))
+        i, j, link = i[order].tolist(), j[order].tolist(), link[order].tolist()
+        k = 0
+        while k < len(i):
+            own, found = i[k], 0
+            while k < len(i) and i[k] == own and found < most:
+                if self.may_join(own, other, j[k]):
+                    found += 1
+                    yield int(self.g[own]), int(other.g[j[k]]), link[k], found == most
+                k += 1
+            while k < len(i) and i[k] == own:
+                k += 1
+
+
+NEAR = "g long, other long, link double, full boolean"
+GROUP = "g long, total array<double>, n long, ids array<long>, photos array<long>, apart array<long>"
+MERGED = f"{GROUP}, log array<struct<g: long, other: long, link: double>>"
+
+
+def _near(rows: Iterable[tuple[int, int, float, bool]]) -> pa.Table:
+    g, other, link, full = zip(*rows) if (rows := list(rows)) else ((), (), (), ())
+    return pa.table({"g": pa.array(g, pa.int64()), "other": pa.array(other, pa.int64()), "link": pa.array(link, pa.float64()), "full": pa.array(full, pa.bool_())})
+
+
+def _likely(live: DataFrame, least: float, degree: float) -> float:
+    """A likeness that a group shares with about ``degree`` others that it may join, by PROBES of them against all; least, if there are fewer."""
+    probes = live.orderBy(F.xxhash64("g"), "g").limit(PROBES).toArrow()
+    some, strip = max(4, 4 * int(degree)), BLOCK
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = _Groups(probes)
+        for batch in batches:
+            theirs = _Groups(pa.Table.from_batches([batch]))
+            found = [row for hits in mine.links(theirs, least, strip) for row in mine.best(theirs, *hits, some)]
+            yield from _near(found).to_batches()
+
+    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("link")))
+    top = live.mapInArrow(compare, NEAR).withColumn("rn", rank).where(F.col("rn") <= some)
+    enough = max(1, int(probes.num_rows * degree))
+    links = [r["link"] for r in top.select("link").orderBy(F.desc("link")).limit(enough).collect()]
+    return links[-1] if len(links) == enough else least
+
+
+def _near_groups(live: DataFrame, count: int, least: float) -> DataFrame:
+    """(g, other, link, full): LISTED groups that each group is most alike to and may join, of those ``least`` alike; full as for best().
+
+    The groups are dealt into parts, and every two parts meet in a task. There are PARTS of them, so
+    that a group is sent PARTS times, whatever the number of groups, until a part has PART of them.
+    """
+    parts = max(min(PARTS, -(-count // BLOCK)), -(-count // PART))
+    part, strip, most = F.pmod(F.xxhash64("g"), F.lit(parts)).cast("int"), BLOCK, LISTED
+    sent = live.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    sent = sent.withColumn("cell", F.least("part", "with") * parts + F.greatest("part", "with")).drop("with")
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table["part"].to_numpy()
+        sides = [_Groups(table.filter(pa.array(side == k))) for k in np.unique(side)]
+        mine, theirs = sides[0], sides[-1]
+        found = []
+        for i, j, link in mine.links(theirs, least, strip, same=len(sides) == 1):
+            found += mine.best(theirs, i, j, link, most)
+            found += theirs.best(mine, j, i, link, most)
+        return _near(found)
+
+    found = sent.repartition(parts * (parts + 1) // 2, "cell").groupBy("cell").applyInArrow(compare, NEAR)
+    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("link"), F.least("g", "other"), F.greatest("g", "other")))
+    return found.withColumn("rn", rank).where(F.col("rn") <= most).select("g", "other", "link", (F.col("full") | (F.col("rn") == most)).alias("full"))
+
+
+def _merging(least: float) -> Callable[[pa.Table], pa.Table]:
+    def merge(table: pa.Table) -> pa.Table:
+        return _merged(table, least)
+
+    return merge
+
+
+def _merged(table: pa.Table, least: float) -> pa.Table:
+    """Groups of pieces of the graph of near groups, joined as far as that graph says whose best is whose.
+
+    A group knows all its links above its floor, so its best is known while that is not below. Links are
+    taken from the best down; a group whose best can't be taken (a floor is above it) waits, and so does
+    what is most alike to it. A new group is near to what either of its two was near to, and to nothing
+    else above the greater floor.
+    """
+    a = _Groups(table)
+    g, n, total = a.g.tolist(), a.n.tolist(), list(a.total)
+    ids, photos, apart = ([set(a.of(c, i)) for i in range(len(g))] for c in ("ids", "photos", "apart"))
+    floor, place = table["floor"].to_pylist(), {x: i for i, x in enumerate(g)}
+    log: list[list[tuple[int, int, float]]] = [[] for _ in g]
+    near: list[dict[int, float]] = [{} for _ in g]
+    for i, around in enumerate(table["around"].to_pylist()):
+        for r in around or ():
+            j = place[r["other"]]
+            near[i][j] = near[j][i] = r["link"]
+    entry = lambda i, j, link: (-link, min(g[i], g[j]), max(g[i], g[j]), i, j)
+    heap = [entry(i, j, link) for i in range(len(g)) for j, link in near[i].items() if i < j]
+    heapq.heapify(heap)
+    gone, waits = [False] * len(g), [False] * len(g)
+    while heap:
+        link, _, _, i, j = heapq.heappop(heap)
+        if gone[i] or gone[j] or near[i].get(j) != -link:
+            continue
+        if waits[i] or waits[j] or -link < max(floor[i], floor[j]):
+            waits[i] = waits[j] = True
+            continue
+        if g[j] < g[i]:
+            i, j = j, i
+        log[i] += [*log[j], (g[i], g[j], -link)]
+        gone[j] = True
+        total[i] = total[i] + total[j]
+        n[i] += n[j]
+        floor[i] = max(floor[i], floor[j])
+        for c in (ids, photos, apart):
+            c[i] |= c[j]
+        both = (near[i].keys() | near[j].keys()) - {i, j}
+        for k in both:
+            near[k].pop(i, None)
+            near[k].pop(j, None)
+        near[i], near[j] = {}, {}
+        for k in both:
+            if photos[i].isdisjoint(photos[k]) and apart[i].isdisjoint(ids[k]):
+                new = round(float(total[i] @ total[k]) / (n[i] * n[k]), 9)
+                if new >= least:
+                    near[i][k] = near[k][i] = new
+                    heapq.heappush(heap, entry(i, k, new))
+    left = [i for i in range(len(g)) if not gone[i]]
+    lists = {c: pa.array([sorted(v[i]) for i in left], pa.list_(pa.int64())) for c, v in (("ids", ids), ("photos", photos), ("apart", apart))}
+    step = pa.struct([("g", pa.int64()), ("other", pa.int64()), ("link", pa.float64())])
+    steps = pa.array([[dict(zip(("g", "other", "link"), x)) for x in log[i]] for i in left], pa.list_(step))
+    return pa.table({"g": pa.array([g[i] for i in left], pa.int64()), "total": pa.array([total[i] for i in left], pa.list_(pa.float64())), "n": pa.array([int(n[i]) for i in left], pa.int64()), **lists, "log": steps})
+
+
+def _pieces(edges: DataFrame, count: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(edges, piece of each group, floors): edges (a, b, link) cut until a piece has at most PIECE groups, or links that are all alike.
+
+    A piece that is too large keeps its links above their median, which is then a floor for its groups.
+    """
+    floors = None
+    if count <= PIECE:
+        return edges, edges.select(F.explode(F.array("a", "b")).alias("g")).distinct().withColumn("piece", F.lit(0).cast("long")), floors
+    while True:
+        piece = components(edges.select("a", "b"))
+        large = piece.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > PIECE)
+        links = edges.join(piece.select(F.col("id").alias("a"), "root"), "a").join(F.broadcast(large), "root")
+        cuts = saved(links.groupBy("root").agg(F.percentile_approx("link", 0.5).alias("cut"), F.max("link").alias("top")).where("cut < top").select("root", "cut"))
+        if cuts.isEmpty():
+            return edges, piece.select(F.col("id").alias("g"), F.col("root").alias("piece")), floors
+        cut = saved(piece.join(F.broadcast(cuts), "root").select(F.col("id").alias("g"), "cut"))
+        floors = cut if floors is None else floors.unionByName(cut)
+        edges = saved(edges.join(cut.withColumnRenamed("g", "a"), "a", "left").where("cut is null or link > cut").select("a", "b", "link"))
+
+
+def joined(live: DataFrame, least: float, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Groups joined by average likeness, the most alike two first, as long as they are ``least`` alike.
 
     live: g, total (the sum of the group's unit vectors), n (how many), ids, photos and apart (arrays: what is
     in it, the photos of that, and ids that it must never be joined with). Groups with a photo in common are
     never joined. Returns the groups in the end, and (g, other, link) of every joining, g the lesser.
+    most: it may end when the first so many joinings are known; others may be lacking then.
 
-    A group made of two is nowhere more alike than the likelier of the two was, so two groups that are each
-    other's best may be joined at once, whatever else there is: each round joins all such pairs. Only groups
-    that were joined, or whose best was, look for a best again; a group with none is finished, and nobody's
-    best. The likeness of two groups needs their sums alone; it is compared in blocks, and a block gives one
-    row per group.
+    A group made of two is nowhere more alike than the likelier of the two was. So of all links above a
+    likeness, those of new groups are among what their two had: once the links above it are known, all
+    joinings above it are too. Each round takes a likeness that leaves a few links per group (some
+    groups tell; any would be right), finds the links above it, and makes the joinings
+    within each connected piece of their graph; a table of PIECE groups is one piece. The next round has fewer groups and less likeness.
     """
-    live = saved(live.select("g", "total", "n", "ids", "photos", "apart"))
-    finished, log, best, dirty = [], [], None, live
-    parts = ("g", "total", "n", "ids", "photos", "apart")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for a, b in zip(batch["mine"], batch["theirs"]):
-                ga, gb = np.array([r["g"] for r in a], "i8"), np.array([r["g"] for r in b], "i8")
-                link = np.round(_matrix(a, "total") @ _matrix(b, "total").T / np.outer(_matrix(a, "n"), _matrix(b, "n")), 9)
-                link[ga[:, None] == gb] = -9.0
-                shots, inside, out = [set(r["photos"]) for r in b], [r["ids"] for r in b], []
-                for i in np.flatnonzero((link >= least).any(axis=1)).tolist():
-                    own, never = set(a[i]["photos"]), set(a[i]["apart"])
-                    near = np.flatnonzero(link[i] >= least)
-                    low, high = np.minimum(ga[i], gb[near]), np.maximum(ga[i], gb[near])
-                    for j in near[np.lexsort((high, low, -link[i][near]))].tolist():
-                        if own.isdisjoint(shots[j]) and (not never or never.isdisjoint(inside[j])):
-                            out.append((int(ga[i]), int(gb[j]), float(link[i, j])))
-                            break
-                if out:
-                    yield pd.DataFrame(out, columns=["g", "other", "link"])
-
-    order = F.struct("link", -F.least("g", "other"), -F.greatest("g", "other"))
+    live = saved(live.select("g", "total", F.col("n").cast("long").alias("n"), "ids", "photos", "apart"))
+    log = []
     while True:
-        theirs, n = _blocks(live, BLOCK, *parts)
-        mine, _ = _blocks(dirty, BLOCK, *parts)
-        found = _meet(mine, theirs, n).select("mine", "theirs").mapInPandas(compare, "g long, other long, link double")
-        found = found.groupBy("g").agg(F.max_by("other", order).alias("other"), F.max("link").alias("link"))
-        best = saved(found if best is None else found.unionByName(best))
-        if best.isEmpty():
-            finished.append(live)
+        count = live.count()
+        if count < 2:
+            break
+        cut = _likely(live, least, FEW_NEAR if count > PIECE else SOME_NEAR)
+        near = saved(_near_groups(live, count, cut))
+        edges = saved(near.select(F.least("g", "other").alias("a"), F.greatest("g", "other").alias("b"), "link").distinct())
+        if edges.isEmpty():
+            break
+        edges, piece, cuts = _pieces(edges, count)
+        floors = near.where("full").select("g", F.col("link").alias("floor"))
+        floors = floors if cuts is None else floors.union(cuts)
+        floors = saved(floors.groupBy("g").agg(F.max("floor").alias("floor")))
+        around = edges.groupBy(F.col("a").alias("g")).agg(F.collect_list(F.struct(F.col("b").alias("other"), "link")).alias("around"))
+        n = max(1, -(-count // PIECE))
+        all_ = saved(live.join(piece, "g", "left").join(around, "g", "left").join(floors, "g", "left").withColumn("floor", F.coalesce("floor", F.lit(cut))))
+        deal = all_.where("piece is not null").withColumn("task", F.pmod(F.xxhash64("piece"), F.lit(n)))
+        made = deal.repartition(n, "task").groupBy("task").applyInArrow(_merging(cut), MERGED)
+        made = saved(made)
+        log.append(made.select(F.explode("log").alias("m")).select("m.*"))
+        live = saved(made.drop("log").unionByName(all_.where("piece is null").select(*live.columns)))
+        highest = floors.agg(F.max("floor")).first()[0]
+        if cut <= least and highest is None:
+            break
+        if most is not None and reduce(DataFrame.unionByName, log).where(F.col("link") > max(cut, highest or cut)).count() >= most:
             break
-        back = best.select(F.col("g").alias("other"), F.col("other").alias("g"))
-        pairs = saved(best.join(back, ["g", "other"]).where("g < other").select("g", "other", "link"))
-        log.append(pairs)
-        second = live.select(F.col("g").alias("other"), F.struct(*parts[1:]).alias("o"))
-        two = live.join(pairs.select("g", "other"), "g").join(second, "other")
-        new = two.select("g", F.zip_with("total", "o.total", lambda x, y: x + y).alias("total"), (F.col("n") + F.col("o.n")).alias("n"), *(F.concat(c, f"o.{c}").alias(c) for c in parts[3:]))
-        gone = pairs.select("g").union(pairs.select("other"))
-        single = live.join(gone, "g", "left_anti")
-        finished.append(single.join(best, "g", "left_anti"))
-        kept = best.join(gone, "g", "left_anti")
-        lost = kept.join(gone.withColumnRenamed("g", "other"), "other", "left_semi").select("g")
-        best = kept.join(lost, "g", "left_anti").select("g", "other", "link")
-        after = saved(new.withColumn("new", F.lit(True)).unionByName(single.join(kept, "g", "left_semi").withColumn("new", F.lit(False))))
-        dirty = after.where("new").drop("new").unionByName(after.join(lost, "g", "left_semi").drop("new"))
-        live = after.drop("new")
-    links = best.select("g", "other", "link") if not log else reduce(DataFrame.unionByName, log)
-    return reduce(DataFrame.unionByName, finished), links
+    none = live.select("g", F.col("g").alias("other"), F.lit(0.0).alias("link")).limit(0)
+    return live, reduce(DataFrame.unionByName, log, none)
 
 
 def groups(faces: DataFrame, least: float = SAME_PERSON) -> DataFrame:

@@ -159,3 +159,21 @@ def test_half_floats(spark):
     np.testing.assert_array_equal(np.array(exact[1], "f4"), np.array(odd, "f4"))
     bad = spark.createDataFrame([(bytearray(b"abc"),), (None,)], "b binary")
     assert [r[0] for r in bad.select(vectors.from_half("b")).collect()] == [None, None]
+
+
+@pytest.mark.parametrize(("piece", "listed"), [(25, 64), (25, 2), (1000, 3)])
+def test_groups_of_a_cut_graph_equal_the_loop(spark, monkeypatch, piece, listed):
+    """Pieces cut at their median, short lists and few probes leave the same joinings; a group is sent PARTS times, not once for each block."""
+    for name, value in {"BLOCK": 5, "PIECE": piece, "LISTED": listed, "PROBES": 12, "PARTS": 3}.items():
+        monkeypatch.setattr(regroup, name, value)
+    sent = []
+    near = regroup._near_groups
+    monkeypatch.setattr(regroup, "_near_groups", lambda live, count, least: sent.append(count) or near(live, count, least))
+    rng = np.random.default_rng(piece + listed)
+    rows = [(i, int(rng.integers(40)), unit(rng.normal(size=5) + 1.5 * (i % 4 == 0))) for i in range(110)]
+    df = spark.createDataFrame([(i, p, v.tolist()) for i, p, v in rows], "id long, photo_id long, u array<double>")
+    found = {}
+    for r in regroup.groups(df, 0.4).collect():
+        found.setdefault(r["cluster"], set()).add(r["id"])
+    assert {frozenset(v) for v in found.values()} == grouped(rows, 0.4)
+    assert sent[0] == 110 and all(a >= b for a, b in zip(sent, sent[1:]))
