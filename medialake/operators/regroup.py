@@ -397,7 +397,7 @@ def merged_people(faces: DataFrame, people: DataFrame, apart: DataFrame, join_at
     enemies = apart.select("a", "b").union(apart.select("b", "a")).groupBy(F.col("a").alias("person_id")).agg(F.collect_set(F.col("b").cast("long")).alias("apart"))
     live = sums.join(shots, "person_id").join(enemies, "person_id", "left")
     live = live.select(F.col("person_id").cast("long").alias("g"), "total", "n", F.array(F.col("person_id").cast("long")).alias("ids"), "photos", F.coalesce("apart", F.array().cast("array<long>")).alias("apart"))
-    _, log = joined(live, join_at)
+    _, log = joined(live, join_at, most)
     first = log.orderBy(F.desc("link"), "g", "other").limit(most)
     return components(first.select(F.col("g").alias("a"), F.col("other").alias("b"))).where("id <> root").select(F.col("id").alias("person_id"), F.col("root").alias("into"))
 

@@ -177,3 +177,17 @@ def test_groups_of_a_cut_graph_equal_the_loop(spark, monkeypatch, piece, listed)
         found.setdefault(r["cluster"], set()).add(r["id"])
     assert {frozenset(v) for v in found.values()} == grouped(rows, 0.4)
     assert sent[0] == 110 and all(a >= b for a, b in zip(sent, sent[1:]))
+
+
+def test_the_first_joinings_need_not_wait_for_all(spark, monkeypatch):
+    for name, value in {"PIECE": 60, "PROBES": 40}.items():
+        monkeypatch.setattr(regroup, name, value)
+    rng = np.random.default_rng(9)
+    rows = [(i, unit(rng.normal(size=8)).tolist(), 1, [i], [i], []) for i in range(150)]
+    live = spark.createDataFrame(rows, "g long, total array<double>, n long, ids array<long>, photos array<long>, apart array<long>")
+    rounds, near = [], regroup._near_groups
+    monkeypatch.setattr(regroup, "_near_groups", lambda *a: rounds.append(a) or near(*a))
+    some = regroup.joined(live, 0.1, 5)[1].orderBy(regroup.F.desc("link")).limit(5).collect()
+    few = len(rounds)
+    every = regroup.joined(live, 0.1)[1].orderBy(regroup.F.desc("link")).limit(5).collect()
+    assert some == every and few < len(rounds) - few
