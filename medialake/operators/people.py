@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,10 +49,19 @@ def _blocks(df: DataFrame, size: int, *columns: str) -> tuple[DataFrame, int]:
     return df.groupBy(F.pmod(F.xxhash64(columns[0]), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct(*columns)).alias("rows")), n
 
 
-def _meet(one: DataFrame, two: DataFrame, n: int) -> DataFrame:
-    """Each block of one with each of the n blocks of two, by an equality join on the block's number."""
-    wide = one.select(F.col("rows").alias("mine"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
-    return wide.join(two.select("block", F.col("rows").alias("theirs")), "block")
+def _meet(one: DataFrame, two: DataFrame, n: int, compare: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """Each block of one (mine) compared with each of the n blocks of two (theirs), by an equality join on the block's number.
+
+    A pair of blocks goes to Python alone: a batch of rows would hold all pairs of a task at once.
+    """
+    wide = one.select(F.col("block").alias("own"), F.col("rows").alias("mine"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def pair(rows: pd.DataFrame) -> pd.DataFrame:
+        found = list(compare(iter([rows])))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=names)
+
+    return wide.join(two.select("block", F.col("rows").alias("theirs")), "block").groupBy("block", "own").applyInPandas(pair, schema)
 
 
 def _matrix(rows, name: str) -> np.ndarray:
@@ -76,7 +85,7 @@ def class_links(faces: DataFrame, by: str = "person_id", least: float | None = N
                 i, j = np.nonzero((a[:, None] < b) if least is None else (a[:, None] < b) & (link >= least))
                 yield pd.DataFrame({"a": a[i], "b": b[j], "link": link[i, j]})
 
-    return _meet(blocks, blocks, n).select("mine", "theirs").mapInPandas(compare, "a long, b long, link double")
+    return _meet(blocks, blocks, n, compare, "a long, b long, link double")
 
 
 def _two_best(scored: DataFrame, *keep: str) -> DataFrame:
@@ -119,7 +128,7 @@ def assign(faces: DataFrame, people: DataFrame, least: float = ASSIGN, margin: f
                 i = np.repeat(np.arange(len(a)), order.shape[1])
                 yield pd.DataFrame({"id": np.array([r["id"] for r in a], "i8")[i], "photo_id": np.array([r["photo_id"] for r in a], "i8")[i], "person_id": who[order.ravel()], "s": s[i, order.ravel()]})
 
-    scored = _meet(mine, theirs, n).select("mine", "theirs").mapInPandas(compare, "id long, photo_id long, person_id long, s double")
+    scored = _meet(mine, theirs, n, compare, "id long, photo_id long, person_id long, s double")
     best = _two_best(scored, "photo_id")
     close = (F.col("next") >= least) & (F.col("s") - F.col("next") < margin)
     good = best.where((F.col("s") >= least) & ~F.coalesce(close, F.lit(False)))
@@ -155,7 +164,7 @@ def knn_means(faces: DataFrame, k: int = NEIGHBOURS, sample: int = SAMPLE_FACES,
                     i, j = np.nonzero(np.isfinite(top))
                     yield pd.DataFrame({"id": ids[i], "person_id": person, "s": top[i, j]})
 
-    found = _meet(mine, theirs, n).select("mine", "theirs").mapInPandas(compare, "id long, person_id long, s double")
+    found = _meet(mine, theirs, n, compare, "id long, person_id long, s double")
     best = Window.partitionBy("id", "person_id").orderBy(F.desc("s"))
     top = found.withColumn("__rn", F.row_number().over(best)).where(F.col("__rn") <= k).groupBy("id", "person_id")
     mean = F.avg("s") if moment is None else (F.sum("s") + ABSENT * (k - F.count("s"))) / k

@@ -73,7 +73,7 @@ def nearest(faces: DataFrame, known: DataFrame, k: int, least: float) -> DataFra
                     if len(i):
                         yield pd.DataFrame({"id": ids[i], "photo_id": photos[i], "person_id": person, "s": top[i, j]})
 
-    found = _meet(mine, theirs, n).select("mine", "theirs").mapInPandas(compare, "id long, photo_id long, person_id long, s double")
+    found = _meet(mine, theirs, n, compare, "id long, photo_id long, person_id long, s double")
     best = Window.partitionBy("id", "photo_id", "person_id").orderBy(F.desc("s"))
     top = found.withColumn("__rn", F.row_number().over(best)).where(F.col("__rn") <= k)
     return top.groupBy("id", "photo_id", "person_id").agg(F.avg("s").alias("s")).where(F.col("s") >= least)

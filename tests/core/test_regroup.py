@@ -191,3 +191,19 @@ def test_the_first_joinings_need_not_wait_for_all(spark, monkeypatch):
     few = len(rounds)
     every = regroup.joined(live, 0.1)[1].orderBy(regroup.F.desc("link")).limit(5).collect()
     assert some == every and few < len(rounds) - few
+
+
+def test_a_pair_of_blocks_goes_to_python_alone(spark):
+    import pandas as pd
+
+    from medialake.operators import people
+
+    blocks, n = people._blocks(spark.range(40).coalesce(1), 5, "id")
+
+    def compare(batches):
+        for batch in batches:
+            yield pd.DataFrame({"pairs": [len(batch)], "rows": [sum(map(len, batch["mine"]))]})
+
+    met = people._meet(blocks, blocks, n, compare, "pairs long, rows long").collect()
+    held = blocks.count()
+    assert len(met) == held * held and {r["pairs"] for r in met} == {1} and sum(r["rows"] for r in met) == 40 * held
