@@ -32,8 +32,10 @@ PEOPLE_PER_BLOCK = 512
 
 
 def unit(vector: str) -> Column:
-    norm = F.sqrt(F.aggregate(F.col(vector), F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    return F.when(norm > 0, F.transform(F.col(vector), lambda x: x.cast("double") / norm))
+    """The vector at length 1. Vector and norm are bound as lambda variables: once for each row, not for each component."""
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    scaled = lambda v: F.transform(F.array(norm(v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)))[0]
+    return F.transform(F.array(F.col(vector)), scaled)[0]
 
 
 def centroids(faces: DataFrame, by: str = "person_id") -> DataFrame:
