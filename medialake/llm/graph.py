@@ -14,7 +14,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links each node's neighbours (larger ones, or all smaller ones and itself) to its least neighbour."""
     both = edges.union(edges.select("v", "u")) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    linked = both.join(least, "u")
+    linked = both.join(least.hint("merge"), "u")  # not broadcast, whatever Spark takes its size for
     if large:
         out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -115,7 +115,8 @@ def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
         keys.append(((F.lit(n) * 2048 + parts[i]) * 2048 + parts[j]) * 2048 + parts[k])
     keyed = fps.select("fp", "table", F.explode(F.array(*keys)).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keyed.join(shared, "key")
+    # Spark sizes what is exploded as if it weren't, and would broadcast millions of keys: these joins say that they sort
+    rows = keyed.join(shared.hint("merge"), "key")
     # in a large group, chunks of the same stripe meet pair by pair, and those of neighbouring stripes; each meeting (g, a, b) is a group of its own
     large, stripe = F.col("n") > GROUP_ROWS, F.floor(F.conv(F.hex(F.substring("table", 1, 1)), 16, 10).cast("int") / (bits + 1)).cast("int")
     chunks = F.when(large, F.ceil(F.col("n") / (CHUNKS_PER_GROUP * GROUP_ROWS))).otherwise(1).cast("int")
@@ -174,9 +175,10 @@ def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, shingle: int = SHINGL
     rows = saved(fingerprints(docs, shingle))
     fps = saved(pivot_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first"))))
     roots = components(links(fps, bits))
-    classes = fps.join(roots, F.col("node") == F.col("fp"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    classes = fps.join(roots.hint("merge"), F.col("node") == F.col("fp"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(classes.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    placed = classes.select("fp", "root").join(least.hint("merge"), "root").select("fp", "component_id")
+    return rows.join(placed.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 # Near copies by shingle similarity: SimHash only discards, and signatures verify.

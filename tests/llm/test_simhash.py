@@ -82,6 +82,13 @@ def test_links_keep_the_components_of_crowded_groups(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_nothing_that_grows_with_the_texts_is_broadcast(spark, docs):
+    rows = docs([(i, f"some words of text {i % 5} and more") for i in range(40)])
+    fps = simhash.pivot_table(simhash.fingerprints(rows).groupBy("fp").agg(simhash.F.min("doc_id").alias("first")))
+    for df in (simhash.links(fps), simhash.near_duplicates(rows)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_the_pivot_table_holds_distances(spark):
     rows = simhash.pivot_table(spark.createDataFrame([(5,), (-1,), (-(2**63),)], "fp long")).collect()
     pivots = [xxhash.xxh64_intdigest(str(i), 7) for i in range(simhash.PIVOTS)]
