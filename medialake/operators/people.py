@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +25,16 @@ AUDIT_CONFIRMED = 0.15
 AUDIT_LOOSEN = 0.4
 AUDIT_MOMENT = 900.0
 ABSENT = -9.0
-#: A person is compared by at most so many faces, the least by a hash of the id.
-SAMPLE_FACES = 1500
 #: Faces per block of comparisons.
 BLOCK = 2048
 PEOPLE_PER_BLOCK = 512
+SAMPLE_FACES = 1500
+#: Nearest faces: parts that meet each other, and faces in one at most; faces of a person dealt together; rows and columns of one
+#: product; rows that a pair of parts gives.
+PARTS, PART = 8, 65_536
+PERSON = 16_384
+STRIP, WIDE = 1024, 8192
+GIVEN = 4_000_000
 
 
 def unit(vector: str) -> Column:
@@ -138,39 +144,101 @@ def assign(faces: DataFrame, people: DataFrame, least: float = ASSIGN, margin: f
     return once.select((-F.col("b.neg")).alias("id"), "person_id", F.col("b.s").alias("likeness"))
 
 
-def knn_means(faces: DataFrame, k: int = NEIGHBOURS, sample: int = SAMPLE_FACES, moment: float | None = None) -> DataFrame:
+def _columns(vectors: pa.ChunkedArray) -> np.ndarray:
+    rows = vectors.combine_chunks()
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+
+def _best_of(s: np.ndarray, k: int) -> np.ndarray:
+    return -np.partition(-s, k - 1, axis=1)[:, :k] if s.shape[1] > k else s
+
+
+def _tops(one: pa.Table, two: pa.Table, k: int, moment: float | None, but_itself: bool) -> Iterator[tuple[slice, int, bool, np.ndarray]]:
+    """(rows of one, person, whole, likenesses): the k best of each person of two, from the highest down; -inf for those that there aren't."""
+    order = np.argsort(two["person_id"].to_numpy(), kind="stable")
+    who, key, whole, v = two["person_id"].to_numpy()[order], two["key"].to_numpy()[order], two["whole"].to_numpy()[order], _columns(two["u"])[order]
+    ids, u = one["id"].to_numpy(), _columns(one["u"])
+    at, theirs = (one["at"].to_numpy(), two["at"].to_numpy()[order]) if moment is not None else (None, None)
+    for r in range(0, len(u), STRIP):
+        rows, held = slice(r, min(r + STRIP, len(u))), None
+        for c in range(0, len(v), WIDE):
+            s = u[rows] @ v[c : c + WIDE].T
+            if but_itself:
+                own = np.flatnonzero(np.isin(key[c : c + WIDE], ids[rows]))
+                x, y = np.nonzero(ids[rows][:, None] == key[c : c + WIDE][own])
+                s[x, own[y]] = -np.inf
+            if moment is not None:
+                s[np.abs(at[rows][:, None] - theirs[c : c + WIDE]) <= moment] = -np.inf
+            ends = [*(np.flatnonzero(np.diff(who[c : c + WIDE])) + 1).tolist(), s.shape[1]]
+            for a, b in zip([0, *ends], ends):
+                top = _best_of(s[:, a:b], k)
+                if held and held[1] == who[c + a]:  # went on from the columns before
+                    top = _best_of(np.concatenate([held[3], top], axis=1), k)
+                elif held:
+                    yield *held[:3], -np.sort(-held[3], axis=1)
+                held = (rows, who[c + a], whole[c + a], top)
+        if held:
+            yield *held[:3], -np.sort(-held[3], axis=1)
+
+
+def nearest_faces(mine: DataFrame, known: DataFrame, k: int, least: float | None = None, moment: float | None = None, but_itself: bool = False) -> DataFrame:
+    """The columns of mine but u and at, person_id and top: how alike the k faces of each person are that are most alike to each of mine.
+
+    mine: id, u and others; known: key, person_id, u. All are compared: each part of mine with each of known, in a task. There are PARTS of
+    each, so that a face is sent PARTS times, until a part has PART faces. A person's faces lie in one part, if they are no more than PERSON;
+    least: if given, of such a person only means of so much are given. moment: as in knn_means(), by the column at of both.
+    """
+    count, number = mine.count(), lambda n: max(1, min(PARTS, -(-n // BLOCK)), -(-n // PART))
+    size = known.groupBy("person_id").agg(F.count("*").alias("__n"))
+    faces, people = size.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count("*")).first()
+    cols = number(faces)
+    rows = max(number(count), -(-count * people // (cols * GIVEN)) if least is None else 1)
+    pieces = F.ceil(F.col("__n") / PERSON).cast("int")
+    dealt = known.select(*(F.col(c).alias(c) for c in known.columns)).join(size, "person_id").withColumns({"whole": pieces == 1, "__piece": F.pmod(F.xxhash64("key"), pieces)})
+    dealt = dealt.withColumns({"__b": F.pmod(F.xxhash64("person_id", "__piece"), F.lit(cols)).cast("int"), "__a": F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))}).withColumn("person_id", F.col("person_id").cast("long"))
+    sent = mine.withColumns({"__a": F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int"), "__b": F.explode(F.sequence(F.lit(0), F.lit(cols - 1)))})
+    kept = [c for c in mine.columns if c not in ("u", "at")]
+
+    def compare(one: pa.Table, two: pa.Table) -> pa.Table:
+        at, who, sizes, values = [np.empty(0, "i8")], [np.empty(0, "i8")], [np.zeros(1, "i8")], [np.empty(0)]
+        for rows, person, whole, top in _tops(one, two, k, moment, but_itself) if len(one) and len(two) else ():
+            there = np.isfinite(top)
+            n = there.sum(axis=1)
+            good = n > 0
+            if least is not None and whole:
+                good &= np.where(there, top, 0).sum(axis=1) / np.maximum(n, 1) >= least - 1e-9
+            at.append(np.flatnonzero(good) + rows.start)
+            who.append(np.full(good.sum(), person))
+            sizes.append(n[good])
+            values.append(top[good][there[good]])
+        tops = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), np.concatenate(values))
+        own = one.select(kept).take(pa.array(np.concatenate(at)))
+        return own.append_column("person_id", pa.array(np.concatenate(who), pa.int64())).append_column("top", tops)
+
+    types = dict(mine.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in kept) + ", person_id long, top array<double>"
+    found = sent.groupBy("__a", "__b").cogroup(dealt.groupBy("__a", "__b")).applyInArrow(compare, schema)
+    tops = found.groupBy(*kept, "person_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, k).alias("top"))
+    return tops if least is None else tops.where(total("top") / F.size("top") >= least)
+
+
+def total(array: str) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda s, x: s + x)
+
+
+def knn_means(faces: DataFrame, k: int = NEIGHBOURS, moment: float | None = None) -> DataFrame:
     """(id, person_id, mean): for each face and person, the mean likeness of the k nearest faces of that person but itself.
 
-    A person is stood for by at most ``sample`` faces, the least by a hash of the id, as the operator
-    asks. Blocks of faces meet blocks of those, and each gives only its k best per face and person.
+    All faces of a person are compared.
     moment: if given, only faces of photos that ``taken_at`` puts more than so many seconds apart are
     compared (null: 0), and each of the k that is lacking counts as ABSENT; a pair without any has no row.
     """
-    rank = Window.partitionBy("person_id").orderBy(F.xxhash64("other"), "other")
     at = F.lit(0.0) if moment is None else F.coalesce(F.col("taken_at").cast("double"), F.lit(0.0))
-    known = faces.where(F.col("person_id").isNotNull()).select(F.col("id").alias("other"), "person_id", unit("emb").alias("u"), at.alias("at")).where("u is not null")
-    known = saved(known.withColumn("__rn", F.row_number().over(rank)).where(F.col("__rn") <= sample).drop("__rn"))
-    theirs, n = _blocks(known, BLOCK, "other", "person_id", "u", "at")
-    mine, _ = _blocks(faces.select("id", unit("emb").alias("u"), at.alias("at")).where("u is not null"), BLOCK, "id", "u", "at")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for a, b in zip(batch["mine"], batch["theirs"]):
-                ids, others, who = (np.array([r[c] for r in x], "i8") for x, c in ((a, "id"), (b, "other"), (b, "person_id")))
-                s = _matrix(a, "u") @ _matrix(b, "u").T
-                s[ids[:, None] == others] = -np.inf
-                if moment is not None:
-                    s[np.abs(_matrix(a, "at")[:, None] - _matrix(b, "at")) <= moment] = -np.inf
-                for person in np.unique(who):
-                    top = -np.sort(-s[:, who == person], axis=1)[:, :k]
-                    i, j = np.nonzero(np.isfinite(top))
-                    yield pd.DataFrame({"id": ids[i], "person_id": person, "s": top[i, j]})
-
-    found = _meet(mine, theirs, n, compare, "id long, person_id long, s double")
-    best = Window.partitionBy("id", "person_id").orderBy(F.desc("s"))
-    top = found.withColumn("__rn", F.row_number().over(best)).where(F.col("__rn") <= k).groupBy("id", "person_id")
-    mean = F.avg("s") if moment is None else (F.sum("s") + ABSENT * (k - F.count("s"))) / k
-    return top.agg(mean.alias("mean"))
+    rows = saved(faces.select(F.col("id").cast("long").alias("id"), "person_id", unit("emb").alias("u"), at.alias("at")).where("u is not null"))
+    known = rows.where(F.col("person_id").isNotNull()).withColumnRenamed("id", "key")
+    top = nearest_faces(rows.drop("person_id"), known, k, moment=moment, but_itself=True)
+    mean = total("top") / F.size("top") if moment is None else (total("top") + ABSENT * (k - F.size("top"))) / k
+    return top.select("id", "person_id", mean.alias("mean"))
 
 
 def margins(means: DataFrame) -> DataFrame:

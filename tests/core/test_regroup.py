@@ -207,3 +207,21 @@ def test_a_pair_of_blocks_goes_to_python_alone(spark):
     met = people._meet(blocks, blocks, n, compare, "pairs long, rows long").collect()
     held = blocks.count()
     assert len(met) == held * held and {r["pairs"] for r in met} == {1} and sum(r["rows"] for r in met) == 40 * held
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_all_faces_of_a_person_are_compared(spark, monkeypatch, small):
+    from medialake.operators import people
+
+    if small:
+        for name, value in {"PART": 90, "PERSON": 200, "STRIP": 64, "WIDE": 50, "GIVEN": 3000}.items():
+            monkeypatch.setattr(people, name, value)
+    rng = np.random.default_rng(3)
+    rows = [(k, 1 if k < 1700 else 2 + k % 3 if k % 4 else None, float(k * 200), rng.normal(size=4).tolist()) for k in range(1800)]
+    df = spark.createDataFrame(rows, "id long, person_id long, taken_at double, emb array<double>")
+    u, who, at = np.array([unit(r[3]) for r in rows]), np.array([r[1] or 0 for r in rows]), np.array([r[2] for r in rows])
+    for moment, far in ((None, ~np.eye(len(rows), dtype=bool)), (900.0, abs(at[:, None] - at) > 900)):
+        like = np.where(far, u @ u.T, -9.0)
+        want = {(i, p): np.mean(-np.sort(-like[i, who == p])[:5]) for i in range(len(rows)) for p in (1, 2, 3, 4)}
+        got = {(r["id"], r["person_id"]): r["mean"] for r in people.knn_means(df, moment=moment).collect()}
+        assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
