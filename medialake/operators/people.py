@@ -28,7 +28,6 @@ ABSENT = -9.0
 #: Faces per block of comparisons.
 BLOCK = 2048
 PEOPLE_PER_BLOCK = 512
-SAMPLE_FACES = 1500
 #: Nearest faces: parts that meet each other, and faces in one at most; faces of a person dealt together; rows and columns of one
 #: product; rows that a pair of parts gives.
 PARTS, PART = 8, 65_536

@@ -7,14 +7,13 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import saved
 from .components import components
-from .people import BLOCK, SAMPLE_FACES, _blocks, _matrix, _meet, unit
+from .people import BLOCK, nearest_faces, total, unit
 
 # Likeness, numbers of faces and photos.
 SAME_PERSON = 0.50
@@ -46,37 +45,10 @@ FEW_NEAR, SOME_NEAR = 0.5, 16
 def nearest(faces: DataFrame, known: DataFrame, k: int, least: float) -> DataFrame:
     """(id, photo_id, person_id, s): people whose k nearest vectors are on average ``least`` alike to a face.
 
-    faces: id, photo_id, u; known: person_id, key, u. The vectors of a person lie in one block, if it has
-    no more than BLOCK, so a block tells which pairs pass and gives no others; of a larger person each
-    block gives the k best per face, which are put together after.
+    faces: id, photo_id, u; known: person_id, key, u.
     """
-    size = known.groupBy("person_id").agg(F.count("*").alias("__n"))
-    parts = F.ceil(F.col("__n") / BLOCK).cast("int")
-    dealt = known.join(size, "person_id").select("person_id", "key", "u", (parts == 1).alias("whole"), F.pmod(F.xxhash64("key"), parts).alias("part"))
-    n = max(1, -(-known.count() // BLOCK))
-    block = F.pmod(F.xxhash64("person_id", "part"), F.lit(n)).cast("int")
-    theirs = dealt.groupBy(block.alias("block")).agg(F.collect_list(F.struct("person_id", "u", "whole")).alias("rows"))
-    mine, _ = _blocks(faces.select("id", "photo_id", "u"), BLOCK, "id", "photo_id", "u")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for a, b in zip(batch["mine"], batch["theirs"]):
-                ids, photos, who = np.array([r["id"] for r in a], "i8"), np.array([r["photo_id"] for r in a], "i8"), np.array([r["person_id"] for r in b], "i8")
-                whole = np.array([r["whole"] for r in b])
-                s = _matrix(a, "u") @ _matrix(b, "u").T
-                for person in np.unique(who):
-                    own = who == person
-                    top = -np.sort(-s[:, own], axis=1)[:, :k]
-                    if whole[own][0]:
-                        top = top.mean(axis=1, keepdims=True)
-                    i, j = np.nonzero(top >= (least if whole[own][0] or k == 1 else -2.0))
-                    if len(i):
-                        yield pd.DataFrame({"id": ids[i], "photo_id": photos[i], "person_id": person, "s": top[i, j]})
-
-    found = _meet(mine, theirs, n, compare, "id long, photo_id long, person_id long, s double")
-    best = Window.partitionBy("id", "photo_id", "person_id").orderBy(F.desc("s"))
-    top = found.withColumn("__rn", F.row_number().over(best)).where(F.col("__rn") <= k)
-    return top.groupBy("id", "photo_id", "person_id").agg(F.avg("s").alias("s")).where(F.col("s") >= least)
+    top = nearest_faces(faces.select("id", "photo_id", "u"), known.select("key", "person_id", "u"), k, least)
+    return top.select("id", "photo_id", "person_id", (total("top") / F.size("top")).alias("s"))
 
 
 def without(scored: DataFrame, present: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -92,16 +64,15 @@ def two_best(scored: DataFrame) -> DataFrame:
     return best.select("id", "photo_id", "b.person_id", "b.s", "next")
 
 
-def well_known(free: DataFrame, known: DataFrame, present: DataFrame, rejected: DataFrame, least_faces: int = KNOWN_FACES, sample: int = SAMPLE_FACES) -> DataFrame:
+def well_known(free: DataFrame, known: DataFrame, present: DataFrame, rejected: DataFrame, least_faces: int = KNOWN_FACES) -> DataFrame:
     """(id, photo_id, person_id) of faces that the nearest faces of a person with many say are theirs.
 
     Faces go by id, and a person who has got a face of a photo is somebody else for the later ones of it.
     In each round the faces of a photo are placed up to the first one whose person an earlier one takes;
     that one and those after it choose again, so the result is that of going one by one.
     """
-    rank = Window.partitionBy("person_id").orderBy(F.xxhash64("key"), "key")
     many = known.groupBy("person_id").agg(F.count("*").alias("__n")).where(F.col("__n") >= least_faces).select("person_id")
-    shown = known.join(many, "person_id").withColumn("__rn", F.row_number().over(rank)).where(F.col("__rn") <= sample).select("person_id", "key", "u")
+    shown = saved(known.join(many, "person_id").select("person_id", "key", "u"))
     left = saved(without(nearest(free, shown, KNOWN_NEAREST, KNOWN_ALIKE - KNOWN_MARGIN), present, rejected))
     placed = None
     while not left.isEmpty():

@@ -225,3 +225,12 @@ def test_all_faces_of_a_person_are_compared(spark, monkeypatch, small):
         want = {(i, p): np.mean(-np.sort(-like[i, who == p])[:5]) for i in range(len(rows)) for p in (1, 2, 3, 4)}
         got = {(r["id"], r["person_id"]): r["mean"] for r in people.knn_means(df, moment=moment).collect()}
         assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
+def test_the_well_known_take_what_any_of_their_faces_says(spark):
+    rng = np.random.default_rng(4)
+    spots = [unit(rng.normal(size=32)) for _ in range(320)]
+    rows = [(5 * k + j, 10_000 + 5 * k + j, 7, 0, None, 0.0, 0.0, (spots[k] + rng.normal(size=32) * 0.02).tolist()) for k in range(320) for j in range(5)]
+    rows += [(50_000 + k, k, None, 0, None, 0.0, 0.0, spots[k].tolist()) for k in range(320)]
+    got = {(r["id"], r["person_id"], r["how"]) for r in regroup.regroup(spark.createDataFrame(rows, FACES)).collect()}
+    assert got == {(50_000 + k, 7, "known") for k in range(320)}
