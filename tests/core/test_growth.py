@@ -107,6 +107,16 @@ def test_names_near_equal_all_pairs(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_name_pairs_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(dupes, "TOGETHER", 3)
+    rng = random.Random(19)
+    rows = [(k * 7 % 151, rng.choice(("x", "y", None)), rng.choice(["", "a", "ab", "ba", "abc", "acb", "b", None])) for k in range(150)]
+    near = lambda s, t: len(s) <= len(t) and (any(t[:i] + t[i + 1 :] == s for i in range(len(t))) or len(s) == len(t) and sum(p != q for p, q in zip(s, t)) <= 1)
+    want = sorted((a, b) for a, g, s in rows for b, h, t in rows if a < b and g == h and None not in (g, s, t) and (near(s, t) or near(t, s)))
+    got = dupes.name_pairs(spark.createDataFrame(rows, "id long, g string, name string"), ["g"], "name").collect()
+    assert sorted(map(tuple, got)) == want and len(want) > 200
+
+
 def test_points_and_towns_of_one_place_meet_once(spark, monkeypatch):
     points = spark.createDataFrame([(k, float(k % 3), 10.0 if k % 4 else None) for k in range(60)], "id long, lat double, lon double")
     towns = spark.createDataFrame([(k, float(k % 2), 10.2, (k * 7 % 5) * 100_000) for k in range(30)], "id long, lat double, lon double, population long")
