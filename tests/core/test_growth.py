@@ -117,6 +117,14 @@ def test_name_pairs_equal_all_pairs(spark, monkeypatch):
     assert sorted(map(tuple, got)) == want and len(want) > 200
 
 
+def test_duration_query_has_every_pair(spark):
+    d = "/root/testdata/sf0.001"
+    parts = [(r[0], r[1] / 7) for r in spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_retailprice").collect()]
+    want = {(i, j) for i, a in parts for j, b in parts if i < j and abs(a - b) <= max(0.3, min(a, b) * 0.004)}
+    got = [(r["id"], int(j)) for r in media.QUERIES["duration_band_pairs"](spark, d).collect() for j in r["linked"].split(",") if j]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_points_and_towns_of_one_place_meet_once(spark, monkeypatch):
     points = spark.createDataFrame([(k, float(k % 3), 10.0 if k % 4 else None) for k in range(60)], "id long, lat double, lon double")
     towns = spark.createDataFrame([(k, float(k % 2), 10.2, (k * 7 % 5) * 100_000) for k in range(30)], "id long, lat double, lon double, population long")
