@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from medialake import queries as media
 from medialake.functions import text
-from medialake.operators import dupes, grammar, lookups, places, sets
+from medialake.operators import components, dupes, grammar, lookups, places, sets
 from medialake.plans import upkeep
 
 
@@ -204,3 +204,11 @@ def test_picture_candidates_equal_all_pairs(spark):
     candidates = sets.picture_candidates(df)
     got = [tuple(r) for r in candidates.collect()]
     assert want and len(got) == len(want) and set(got) == want
+
+
+def test_long_chains_settle_in_few_rounds(spark):
+    # the least is at one end and the way to it goes up: labels that only go from neighbour to neighbour take a round for each link
+    chain = [1000, *range(1300, 1000, -1)]
+    rows = [*zip(chain, chain[1:]), (5, 5), (8, 9), (9, 8), (None, 3)]
+    got = components.components(spark.createDataFrame(rows, "a long, b long"), rounds=20).collect()
+    assert sorted(map(tuple, got)) == [(8, 8), (9, 8), *((i, 1000) for i in range(1000, 1301))]
