@@ -84,6 +84,23 @@ def test_alike_videos_equal_all_pairs(spark, monkeypatch):
     assert len(want) > 10 and sorted(map(tuple, sets.alike_videos(df).collect())) == want
 
 
+def test_videos_of_one_length_meet_in_few_cells(spark, monkeypatch):
+    n = 2600
+    df = spark.range(n).selectExpr("id", "5D AS duration", "true AS is_new", "CAST(NULL AS BIGINT) AS root", "true AS sound", "array(array(array(0.5D))) AS shots")
+    monkeypatch.setattr(sets, "_same_videos", lambda a, b: [(len(a), len(b))])
+    assert sum(r["a"] + r["b"] for r in sets.alike_videos(df).collect()) < 10 * n
+
+
+def test_videos_are_compared_strip_by_strip(spark, monkeypatch):
+    for name, value in {"CELL": 10, "ROWS": 3, "COLUMNS": 4}.items():
+        monkeypatch.setattr(sets, name, value)
+    rng = random.Random(23)
+    base = [[[rng.random() for _ in range(9)] for _ in range(4)] for _ in range(8)]
+    rows = [(k, 5.0, True, None, True, [[[x + rng.uniform(0, 0.02) for x in m]] for m in base[k % 8]]) for k in range(50)]
+    df = spark.createDataFrame(rows, "id long, duration double, is_new boolean, root long, sound boolean, shots array<array<array<double>>>")
+    assert sorted(map(tuple, sets.alike_videos(df).collect())) == [(i, j) for i in range(50) for j in range(i + 1, 50) if i % 8 == j % 8]
+
+
 def test_samples_of_equal_paths_go_by_id(spark):
     files = spark.createDataFrame([(k * 37 % 100, f"p{k * 37 % 100 // 50}") for k in range(100)], "id long, path string").repartition(7)
     assert sorted(r["id"] for r in upkeep.sample_rows(files, 10).collect()) == list(range(0, 100, 10))
